@@ -1,0 +1 @@
+"""Intentionally empty: every operator of the engine is a batch operator."""
