@@ -9,7 +9,7 @@ that table, not one job per step.
 from __future__ import annotations
 
 from collections.abc import Collection, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
@@ -40,19 +40,27 @@ class Reader:
 
     tables: Tables
     normalized: Collection[str] = ()
+    _types: dict[str, dict[str, T.DataType]] = field(default_factory=dict)
+
+    def types(self, table: str) -> dict[str, T.DataType]:
+        """Column types of a table, asked from Spark once."""
+        if table not in self._types:
+            self._types[table] = {f.name: f.dataType for f in self.tables[table].schema.fields}
+        return self._types[table]
+
+    def _is_boolean(self, table: str, column: str) -> bool:
+        return isinstance(self.types(table).get(column), T.BooleanType)
 
     def raw(self, table: str, column: str) -> Column:
-        df = self.tables[table]
-        return F.col(f"`{column}`") if column in df.columns else F.lit(None).cast("string")
+        return F.col(f"`{column}`") if column in self.types(table) else F.lit(None).cast("string")
 
     def string(self, table: str, column: str) -> Column:
         return text(self.raw(table, column).cast("string"))
 
     def date(self, table: str, column: str) -> Column:
-        df = self.tables[table]
-        if column not in df.columns:
+        if column not in self.types(table):
             return F.lit(None).cast("date")
-        if isinstance(df.schema[column].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        if isinstance(self.types(table)[column], (T.DateType, T.TimestampType, T.TimestampNTZType)):
             return F.col(column).cast("date")
         return parse_date(F.col(column).cast("string"))
 
@@ -66,15 +74,13 @@ class Reader:
         return text(normalize_upper(self.string(table, column))).isin(*expected)
 
     def boolean_is(self, table: str, column: str, expected: str) -> Column:
-        df = self.tables[table]
-        if column in df.columns and isinstance(df.schema[column].dataType, T.BooleanType):
+        if self._is_boolean(table, column):
             return F.col(column) == F.lit(expected == "true") if expected in ("true", "false") else F.lit(False)
         return boolean_text(self.string(table, column)) == expected
 
     def scalar_in(self, table: str, column: str, expected: Collection[str]) -> Column:
         """Comparison form used by event filters, among ``expected`` plain scalars."""
-        df = self.tables[table]
-        if column in df.columns and isinstance(df.schema[column].dataType, T.BooleanType):
+        if self._is_boolean(table, column):
             hits = [F.col(column) == F.lit(v == "true") for v in expected if v in ("true", "false")]
             hits += [F.col(column).isNull() for v in expected if v == ""]
             return reduce(Column.__or__, hits, F.lit(False))
@@ -118,7 +124,8 @@ def _items(value: Any) -> list[Any]:
 def visits_by_id(reader: Reader, *columns: Column, both_ids: bool = False) -> DataFrame:
     """One row per visit id: its last row (by ``row_ordinal`` where the table has one)."""
     visits = reader.tables[VISIT]
-    order = ["row_ordinal"] if "row_ordinal" in visits.columns else sorted(visits.columns)
+    names = reader.types(VISIT)
+    order = ["row_ordinal"] if "row_ordinal" in names else sorted(names)
     picked = visits.select(
         reader.string(VISIT, "visite_id").alias("visite_id"),
         reader.string(VISIT, "travailleur_id").alias("travailleur_id"),
@@ -460,7 +467,7 @@ def evaluate_cohort(
                 issue("blocking", "missing_field", rows > 0, table=table, field=name,
                       message=f"Required field is missing: {table}.{name}")
                 for name in names
-                if name not in tables[table].columns
+                if name not in reader.types(table)
             ]
     issues += [
         issue("warning", "empty_event", F.col(event_columns[e.name]) == 0, table=e.table, subject=e.name,

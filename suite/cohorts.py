@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harmonia.operators.cohort import CohortResult, Reader, evaluate_cohort, event_predicate
+from harmonia.plans.cohort_definition import CohortDefinition
 from suite import query
 from suite.views import read, standard_tables
 
@@ -30,7 +31,8 @@ expo AS (
 
 
 def evaluate(spark: SparkSession, sf_dir: str, definition: dict) -> CohortResult:
-    return evaluate_cohort(spark, standard_tables(spark, sf_dir), definition, normalized_columns=NORMALIZED)
+    needed = CohortDefinition.from_dict(definition).required_tables()
+    return evaluate_cohort(spark, standard_tables(spark, sf_dir, needed), definition, normalized_columns=NORMALIZED)
 
 
 # --- static criteria -----------------------------------------------------------------
