@@ -182,8 +182,8 @@ class Profiles:
     sources: DataFrame
 
 
-def profile(spark: SparkSession, tables: Iterable[SourceTable]) -> Profiles:
-    """Profile every column of every source."""
+def profile(spark: SparkSession, tables: Iterable[SourceTable], counts: DataFrame | None = None) -> Profiles:
+    """Profile every column of every source; ``counts`` are their value counts, if already written."""
     tables = list(tables)
     listed = [
         (i, t.source_ref, t.format, t.sheet, position, name)
@@ -201,7 +201,7 @@ def profile(spark: SparkSession, tables: Iterable[SourceTable]) -> Profiles:
             spark, [(i, ref, position, name) for i, ref, _, _, position, name in listed],
             "source int, source_ref string, position int, column string",
         )
-        columns = column_profiles(value_counts(tables), names)
+        columns = column_profiles(value_counts(tables) if counts is None else counts, names)
     per_source = columns.groupBy("source_ref").agg(
         F.max("row_count").alias("row_count"),
         F.concat_ws(
