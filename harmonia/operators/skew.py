@@ -28,6 +28,7 @@ def join_unique(
     share: float = HOT_SHARE,
     min_rows: int = HOT_MIN_ROWS,
     salts: int = SALTS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join a large table with a table whose ``key`` is unique.
 
@@ -35,9 +36,12 @@ def join_unique(
     partition; the matching right rows are copied to each of them.  Keys that
     are not hot are joined as usual, and Spark may still turn the join into a
     broadcast join when it measures a small right side.  ``left[key]`` must not
-    be NULL (read NULL as the empty text first).
+    be NULL (read NULL as the empty text first).  ``hot`` gives the hot keys
+    where they are known already, at most ``1 / share`` of them.
     """
-    hot = F.broadcast(hot_keys(left, key, share, min_rows).withColumn("_hot", F.lit(True)))
+    if hot is None:
+        hot = hot_keys(left, key, share, min_rows)
+    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     salted_left = left.join(hot, key, "left").withColumn(
         "_salt", F.when(F.col("_hot"), F.pmod(F.spark_partition_id(), F.lit(salts))).otherwise(F.lit(0))
     )
