@@ -24,7 +24,7 @@ def ambiguous_keys(df: DataFrame, key: str) -> DataFrame:
 
 
 def _key_counts(df: DataFrame, key: str) -> DataFrame:
-    return df.where(F.coalesce(F.col(key), F.lit("")) != "").groupBy(key).agg(F.count("*").alias("n"))
+    return df.where(F.coalesce(F.col(key).cast("string"), F.lit("")) != "").groupBy(key).agg(F.count("*").alias("n"))
 
 
 def usable_rules(rules: DataFrame) -> DataFrame:
