@@ -173,9 +173,9 @@ for _entity in MAPS:
 
 
 # --- keys --------------------------------------------------------------------------------------
-@query("unique_index", "SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(*) = 1")
+@query("unique_index", "SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) = 1")
 def unique_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return key_resolution.unique_index(read(spark, sf_dir, "lineitem"), "l_partkey")
+    return key_resolution.unique_index(read(spark, sf_dir, "lineitem"), "l_orderkey")
 
 
 @query("ambiguous_keys", "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1")
