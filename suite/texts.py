@@ -116,11 +116,11 @@ def centroid_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("centroid_predict", SCORES_SQL + " SELECT doc_id, rank, label, round(score, 5) AS score FROM ranked WHERE rank <= 3")
+@query("centroid_predict", SCORES_SQL + " SELECT doc_id, rank, label, score FROM ranked WHERE rank <= 3")
 def centroid_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = text_model.predict(documents(spark, sf_dir), features(), model(spark, sf_dir), 3)
     return found.select(
-        F.col("record_id").alias("doc_id"), F.col("rank").cast("bigint").alias("rank"), "label", F.round("score", 5).alias("score")
+        F.col("record_id").alias("doc_id"), F.col("rank").cast("bigint").alias("rank"), "label", "score"
     )
 
 
