@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from harmonia import fixed_values as fixed
 from harmonia.functions.matching import target_type_compatible
-from harmonia.functions.ngrams import weighted_list_tokens, weighted_tokens
+from harmonia.functions.ngrams import ngrams_of, weighted_list_tokens, weighted_tokens
 from harmonia.functions.text import normalize, text
 from harmonia.functions.values import suggestion_status, value_mapping_label
 from harmonia.operators.matching import target_fields
@@ -112,18 +112,35 @@ def column_records(records: DataFrame) -> DataFrame:
 
 
 # --- counts and vectors ------------------------------------------------------------------------
-def token_counts(records: DataFrame, features: Column, *keep: str) -> DataFrame:
-    """(record_id, kept columns, token, n): weighted token counts of every record.
+def _spread(records: DataFrame) -> DataFrame:
+    """Records shuffled by id before they grow into tokens.
 
-    The shuffle moves records before they grow into tokens.  The number of
-    partitions is given, since AQE would merge them by the size of the texts,
-    not of the tokens they become.
+    The number of partitions is given, since AQE would merge them by the size of
+    the texts, not of the tokens they become.
     """
     partitions = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    exploded = records.repartition(partitions, ID).select(ID, *keep, F.explode(features).alias("_f"))
+    return records.repartition(partitions, ID)
+
+
+def token_counts(records: DataFrame, features: Column, *keep: str) -> DataFrame:
+    """(record_id, kept columns, token, n): weighted token counts of records with several features."""
+    exploded = _spread(records).select(ID, *keep, F.explode(features).alias("_f"))
     return exploded.groupBy(ID, *keep, F.col("_f.token").alias("token")).agg(F.sum("_f.weight").alias("n"))
 
 
+def text_token_counts(records: DataFrame, column: str, *keep: str, prefix: str = "text") -> DataFrame:
+    """`token_counts` of one long text per record: the text itself and its n-grams, each once.
+
+    Texts are normalised after the shuffle, once, and tokens get their prefix
+    after the explode, inside generated code.
+    """
+    compact = _spread(records).select(ID, *keep, normalize(text(F.col(column))).alias("_compact")).where("_compact <> ''")
+    pieces = F.concat(F.array("_compact"), ngrams_of(F.col("_compact")))
+    exploded = compact.select(ID, *keep, F.posexplode(pieces).alias("_at", "_piece"))
+    start = F.when(F.col("_at") == 0, f"{prefix}:").otherwise(f"{prefix}:ngram:")
+    return exploded.groupBy(ID, *keep, F.concat(start, "_piece").alias("token")).agg(F.count("*").alias("n"))
+
+
 def document_frequency(counts: DataFrame, examples: Column) -> DataFrame:
     """(token, df, idf); ``examples`` is the number of records."""
     frequency = counts.groupBy("token").agg(F.count("*").alias("df"))
@@ -139,7 +156,8 @@ def _hot_tokens(tokens: DataFrame) -> DataFrame:
 def vectors(counts: DataFrame, tokens: DataFrame) -> DataFrame:
     """Counts with their weight: tf times idf over the record's length, 8 digits, zeros dropped.
 
-    Tokens that the model does not know are left out.
+    Tokens that the model does not know are left out.  ``tokens`` is read three
+    times here, so it should be a written or checkpointed table.
     """
     joined = join_unique(counts, tokens.drop("df"), "token", "inner", hot=_hot_tokens(tokens))
     raw = F.col("n") * F.col("idf")
@@ -176,15 +194,15 @@ class Model:
         return self.tokens.select("token", F.inline("centroids")).select("label", "token", "weight")
 
 
-def train(records: DataFrame, features: Column, *, materialize: bool = False) -> Model:
+def train(records: DataFrame, counts: DataFrame, *, materialize: bool = False) -> Model:
     """Learn a centroid per label from records with ``record_id`` and ``expected``.
 
-    With ``materialize`` the token table and the label means are checkpointed,
-    since both are read more than once.  The counts are not: cutting texts into
-    n-grams again costs less than writing ten times their size.
+    ``counts`` are their token counts, with ``expected`` kept.  With
+    ``materialize`` the token table, the label means and the model are
+    checkpointed, since each is read more than once.  The counts are not:
+    cutting texts into n-grams again costs less than writing ten times their size.
     """
     keep = cut_lineage if materialize else lambda df: df
-    counts = token_counts(records, features, "expected")
     labels = records.groupBy(F.col("expected").alias("label")).agg(F.count("*").alias("examples_count"))
     tokens = keep(document_frequency(counts, records.agg(F.count("*")).scalar()))
 
@@ -204,16 +222,14 @@ def train(records: DataFrame, features: Column, *, materialize: bool = False) ->
         .agg(F.array_sort(F.collect_list(F.struct("label", "weight"))).alias("centroids"))
     )
     nothing = F.array().cast("array<struct<label:string,weight:double>>")
-    return Model(
-        tokens.join(centroids, "token", "left").select(
-            "token", "df", "idf", F.coalesce("centroids", nothing).alias("centroids")
-        ),
-        labels,
+    joined = tokens.join(centroids, "token", "left").select(
+        "token", "df", "idf", F.coalesce("centroids", nothing).alias("centroids")
     )
+    return Model(keep(joined), keep(labels))
 
 
 def predict(
-    records: DataFrame, features: Column, model: Model, top_k: int, *keep: str,
+    records: DataFrame, counts: DataFrame, model: Model, top_k: int, *keep: str,
     guarded: Callable[[], Column] | None = None,
 ) -> DataFrame:
     """The ``top_k`` labels by cosine, ties by label: (record_id, kept columns, rank, label, score).
@@ -221,7 +237,7 @@ def predict(
     A label that shares no token with a record scores 0.  Where ``guarded``
     holds, the only label is the blocked one.
     """
-    known = vectors(token_counts(records, features), model.tokens)
+    known = vectors(counts, model.tokens)
     scores = (
         known.select(ID, "weight", F.inline("centroids").alias("label", "_centroid"))
         .groupBy(ID, "label")
@@ -295,7 +311,8 @@ def suggest(
     kept = ("source_ref", "source_column", "source_type", "source_sensitivity", "entity", "source_examples")
     # Every label is ranked, since the filters below come before the cut at top_k.
     all_labels = len(fixed.TARGET_FIELDS) + 1
-    predicted = predict(open_columns, column_features(), model, all_labels, *kept)
+    counts = token_counts(open_columns, column_features())
+    predicted = predict(open_columns, counts, model, all_labels, *kept)
     targets = target_fields(columns.sparkSession).select(
         F.concat_ws(".", "entity", "target_field").alias("label"), F.col("entity").alias("target_entity"),
         "target_field", "target_type",

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harmonia.functions.ngrams import weighted_tokens
-from harmonia.functions.text import normalize
 from harmonia.operators import matching, profiling, text_model
 from harmonia.plans.mapping_document import assemble
 from harmonia.session import cut_lineage
@@ -19,18 +17,19 @@ NO_RULES = "left struct<source_ref:string>, right struct<source_ref:string>, sta
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents, normalised once."""
     return read(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("record_id"), F.col("lang").alias("expected"), normalize(F.col("text")).alias("compact")
+        F.col("doc_id").alias("record_id"), F.col("lang").alias("expected"), "text"
     )
 
 
-def features() -> Column:
-    return weighted_tokens("text", F.col("compact"), 1, F.col("compact"))
+def counts(docs: DataFrame, *keep: str) -> DataFrame:
+    """Token counts of whole documents."""
+    return text_model.text_token_counts(docs, "text", *keep)
 
 
 def model(spark: SparkSession, sf_dir: str) -> text_model.Model:
-    return text_model.train(documents(spark, sf_dir), features(), materialize=True)
+    docs = documents(spark, sf_dir)
+    return text_model.train(docs, counts(docs, "expected"), materialize=True)
 
 
 # SQL cuts texts into pieces of 200 characters with an overlap of four, then every
@@ -73,8 +72,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC,
     COUNTS_SQL + " SELECT doc_id, count(*) AS tokens, CAST(sum(n) AS BIGINT) AS occurrences, max(n) AS most FROM counts GROUP BY 1",
 )
 def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = text_model.token_counts(documents(spark, sf_dir), features())
-    return counts.groupBy(F.col("record_id").alias("doc_id")).agg(
+    return counts(documents(spark, sf_dir)).groupBy(F.col("record_id").alias("doc_id")).agg(
         F.count("*").alias("tokens"), F.sum("n").alias("occurrences"), F.max("n").alias("most")
     )
 
@@ -82,8 +80,7 @@ def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("document_frequency", COUNTS_SQL + " SELECT df, idf, count(*) AS tokens FROM idf GROUP BY 1, 2")
 def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    counts = text_model.token_counts(docs, features())
-    tokens = text_model.document_frequency(counts, docs.agg(F.count("*")).scalar())
+    tokens = text_model.document_frequency(counts(docs), docs.agg(F.count("*")).scalar())
     return tokens.groupBy("df", "idf").agg(F.count("*").alias("tokens"))
 
 
@@ -94,10 +91,9 @@ def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def tfidf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    counts = text_model.token_counts(docs, features())
-    tokens = text_model.document_frequency(counts, docs.agg(F.count("*")).scalar())
+    tokens = cut_lineage(text_model.document_frequency(counts(docs), docs.agg(F.count("*")).scalar()))
     weight = F.col("weight")
-    return text_model.vectors(counts, tokens).groupBy(F.col("record_id").alias("doc_id")).agg(
+    return text_model.vectors(counts(docs), tokens).groupBy(F.col("record_id").alias("doc_id")).agg(
         F.count("*").alias("tokens"), F.round(F.sum(weight), 4).alias("total"), F.round(F.max(weight), 6).alias("heaviest"),
         F.round(F.sqrt(F.sum(weight * weight)), 5).alias("length"),
     )
@@ -118,7 +114,8 @@ def centroid_train(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("centroid_predict", SCORES_SQL + " SELECT doc_id, rank, label, score FROM ranked WHERE rank <= 3")
 def centroid_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = text_model.predict(documents(spark, sf_dir), features(), model(spark, sf_dir), 3)
+    docs = documents(spark, sf_dir)
+    found = text_model.predict(docs, counts(docs), model(spark, sf_dir), 3)
     return found.select(
         F.col("record_id").alias("doc_id"), F.col("rank").cast("bigint").alias("rank"), "label", "score"
     )
@@ -132,7 +129,8 @@ def centroid_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
        0.0 AS blocked_s4_recall, CAST(0 AS BIGINT) AS blocked_s4_examples FROM ranked""",
 )
 def centroid_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    predicted = text_model.predict(documents(spark, sf_dir), features(), model(spark, sf_dir), 3, "expected")
+    docs = documents(spark, sf_dir)
+    predicted = text_model.predict(docs, counts(docs), model(spark, sf_dir), 3, "expected")
     return text_model.evaluate(predicted, 3)
 
 
@@ -169,6 +167,7 @@ def learning_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles, mapping = mapped_catalogue(spark, sf_dir)
     records = cut_lineage(text_model.column_records(text_model.learning_records(mapping, profiles.columns)))
-    learned = text_model.train(records, text_model.column_features(), materialize=True)
+    features = text_model.token_counts(records, text_model.column_features(), "expected")
+    learned = text_model.train(records, features, materialize=True)
     found = text_model.suggest(profiles.columns, profiles.sources, learned, min_score=0.2)
     return found.select("source_ref", "source_column", "candidate_entity", "rank", "target", "score", "status")
