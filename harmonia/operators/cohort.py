@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from harmonia import fixed_values as fixed
 from harmonia.functions.text import normalize, normalize_upper, text
-from harmonia.functions.values import age_at, boolean_text, normalized_scalar, parse_date, plain_boolean_text, plain_scalar
+from harmonia.functions.values import age_at, parse_date, plain_boolean_text, plain_scalar
 from harmonia.operators.sequences import sequence_pairs
 from harmonia.operators.skew import join_unique
 from harmonia.plans.cohort_definition import CONCLUSION, VISIT, WORKER, CohortDefinition, EventDefinition
@@ -76,7 +76,7 @@ class Reader:
     def boolean_is(self, table: str, column: str, expected: str) -> Column:
         if self._is_boolean(table, column):
             return F.col(column) == F.lit(expected == "true") if expected in ("true", "false") else F.lit(False)
-        return boolean_text(self.string(table, column)) == expected
+        return _among_scalars(normalize(self.string(table, column)), None, [expected])
 
     def scalar_in(self, table: str, column: str, expected: Collection[str]) -> Column:
         """Comparison form used by event filters, among ``expected`` plain scalars."""
@@ -88,7 +88,23 @@ class Reader:
             words = {"true": fixed.TRUE_WORDS, "false": fixed.FALSE_WORDS}
             spelled = [w for v in expected for w in ([x.upper() for x in words[v]] if v in words else [v])]
             return self.raw(table, column).isin(*spelled)
-        return normalized_scalar(self.string(table, column)).isin(*expected)
+        value = self.string(table, column)
+        return _among_scalars(normalize(value), normalize_upper(value), expected)
+
+
+def _among_scalars(plain: Column, upper: Column | None, expected: Collection[str]) -> Column:
+    """Membership by comparison form: the yes and no words, else the upper form (or the plain one).
+
+    An expected value that is neither yes nor no can only equal texts that are
+    neither as well, so each form is computed at most once per row.
+    """
+    words = {"true": fixed.TRUE_WORDS, "false": fixed.FALSE_WORDS}
+    spelled = [w for v in expected for w in words.get(v, [])]
+    others = [v for v in expected if v not in words]
+    tests = [plain.isin(*spelled)] if spelled else []
+    if others:
+        tests.append((plain if upper is None else upper).isin(*others))
+    return F.coalesce(reduce(Column.__or__, tests, F.lit(False)), F.lit(False))
 
 
 def event_predicate(reader: Reader, table: str, filters: Mapping[str, Any]) -> Column:

@@ -200,9 +200,12 @@ def incoherent_dates(df: DataFrame, start: str = "date_debut", end: str = "date_
 def unknown_values(df: DataFrame, column: str, transform: str) -> DataFrame:
     """Distinct raw values that the transform maps to no known concept, with their rows."""
     source = F.col("source_value")
+    # Carried through an aggregate, so that the test runs once per distinct value:
+    # a filter on the grouping key itself would be pushed below, to every row.
     return (
-        df.groupBy(F.col(column).alias("source_value"))
-        .agg(F.count("*").alias("n"))
+        df.groupBy(F.col(column).alias("_key"))
+        .agg(F.count("*").alias("n"), F.min(column).alias("source_value"))
+        .drop("_key")
         .withColumn("target_value", TRANSFORMS[transform](source))
         .where(value_mapping_status(F.lit(transform), source, F.col("target_value")) == fixed.TO_REVIEW)
     )
