@@ -1,0 +1 @@
+"""Harmonisation, quality and cohort engine on PySpark DataFrames."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from harmonia import fixed_values as fixed
 from harmonia.operators.matching import VALUE_GROUP, group_status, value_groups, value_items
+from harmonia.operators.skew import join_unique
 from harmonia.plans.mapping_document import (
     Mapping,
     changed,
@@ -199,9 +200,10 @@ def apply_value_map(df: DataFrame, column: str, raw: str, items: DataFrame) -> D
     """Replace concepts by reviewed ones: ``items`` holds source_value and target_value of one field.
 
     Optional: the standard builders use the fixed transforms.  Values of one
-    field are joined on the raw text; Spark broadcasts the list when it is small.
+    field are joined on the raw text, with frequent texts kept apart.
     """
     reviewed = items.where(F.col("status") == fixed.BY_HUMAN).select(
         F.col("source_value").alias(raw), F.col("target_value").alias("_reviewed")
     ).dropDuplicates([raw])
-    return df.join(reviewed, raw, "left").withColumn(column, F.coalesce("_reviewed", column)).drop("_reviewed")
+    joined = join_unique(df.withColumn(raw, _or_empty(F.col(raw))), reviewed, raw)
+    return joined.withColumn(column, F.coalesce("_reviewed", column)).drop("_reviewed")
