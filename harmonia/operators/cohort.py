@@ -24,6 +24,7 @@ from harmonia.operators.sequences import sequence_pairs
 from harmonia.operators.skew import join_unique
 from harmonia.plans.cohort_definition import CONCLUSION, VISIT, WORKER, CohortDefinition, EventDefinition
 from harmonia.session import cut_lineage
+from harmonia.sources.artifacts import write_artifacts
 
 Tables = Mapping[str, DataFrame]
 
@@ -329,6 +330,11 @@ class CohortResult:
     summary: DataFrame
     included: DataFrame
 
+    def save(self, folder: str) -> None:
+        """Write the parts of the result as tables of a folder."""
+        parts = ("steps", "events", "sequences", "availability", "diagnostics", "summary", "included")
+        write_artifacts({name: getattr(self, name) for name in parts}, folder)
+
 
 def worker_flags(
     definition: CohortDefinition, reader: Reader, event_columns: Mapping[str, str], compat: bool = False

@@ -141,6 +141,10 @@ class ReviewQueue:
             .unionByName(self.rules.select(F.lit("rule").alias("kind"), "id"))
         )
 
+    def pending_counts(self) -> DataFrame:
+        """Pending items by kind."""
+        return self.pending_ids().groupBy("kind").agg(F.count("*").alias("pending"))
+
     def same_pending(self, other: ReviewQueue) -> bool:
         """Whether both queues wait for the same ids."""
         mine, theirs = self.pending_ids(), other.pending_ids()

@@ -12,7 +12,8 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harmonia.operators import matching, profiling, quality, registry, review, source_graph
+from harmonia.fixed_values import STRONG_SCORE
+from harmonia.operators import matching, profiling, quality, registry, review, source_graph, text_model
 from harmonia.operators.key_resolution import JoinContext
 from harmonia.operators.standard_tables import SPECS, Settings, build_tables, resolution_usage
 from harmonia.plans.mapping_document import Mapping, ReviewQueue, assemble, review_queue
@@ -27,6 +28,7 @@ class Proposed:
     proposals: DataFrame
     mapping: Mapping
     queue: ReviewQueue
+    suggestions: DataFrame | None = None
 
 
 def read_profiles(spark: SparkSession, workdir: str) -> profiling.Profiles:
@@ -37,12 +39,14 @@ def read_profiles(spark: SparkSession, workdir: str) -> profiling.Profiles:
 
 def propose(
     spark: SparkSession, exports_dir: str, workdir: str, *, source_system: str, schema_version: str,
-    registry_dir: str | None = None, exact_overlap: bool = True,
+    registry_dir: str | None = None, exact_overlap: bool = True, model: text_model.Model | None = None,
+    top_k: int = 3, min_score: float = STRONG_SCORE,
 ) -> Proposed:
     """Land and profile the exports, find joins, match columns, and write the draft.
 
     ``exact_overlap`` compares all distinct values of two columns; otherwise the
-    twenty smallest of each, as the profiles keep them.
+    twenty smallest of each, as the profiles keep them.  A trained ``model`` adds
+    its suggestions for every column.
     """
     bronze = Bronze.land(spark, exports_dir, f"{workdir}/bronze")
     sources = bronze.sources()
@@ -72,7 +76,12 @@ def propose(
     ).written(f"{workdir}/mapping_draft")
     queue = review_queue(mapping)
     write_queue(queue, workdir)
-    return Proposed(bronze, profiles, proposals, mapping, queue)
+    suggestions = None
+    if model is not None:
+        found = text_model.suggest(profiles.columns, profiles.sources, model, top_k=top_k, min_score=min_score)
+        write_artifacts({"suggestions": found}, workdir)
+        suggestions = spark.read.parquet(f"{workdir}/suggestions")
+    return Proposed(bronze, profiles, proposals, mapping, queue, suggestions)
 
 
 def write_queue(queue: ReviewQueue, workdir: str) -> None:

@@ -107,7 +107,7 @@ def test_definition_parsing():
     assert definition.required_fields()["conclusion_medicale"] == ["restriction_flag", "visite_id"]
 
 
-def test_missing_table_and_empty_result(spark):
+def test_missing_table_and_empty_result(spark, tmp_path):
     workers = spark.createDataFrame([("a", "1970"), ("b", "x"), ("", "1970")], "travailleur_id string, annee_naissance string")
     definition = {"name": "c", "reference_year": 2026, "population": {"min_age": 10, "region": "x"}}
     result = evaluate_cohort(spark, {"travailleur": workers}, definition)
@@ -121,5 +121,7 @@ def test_missing_table_and_empty_result(spark):
     result = evaluate_cohort(spark, {"travailleur": workers}, {"reference_year": 2026, "population": {"min_age": 100}}, materialize=True)
     assert result.summary.first()["feasibility_status"] == "feasible_empty"
     assert [(r["input_count"], r["output_count"]) for r in result.steps.orderBy("ord").collect()] == [(None, 2), (2, 0)]
+    result.save(str(tmp_path / "result"))
+    assert spark.read.parquet(str(tmp_path / "result/steps")).count() == 2
     with pytest.raises(ValueError):
         evaluate_cohort(spark, {"travailleur": workers}, {"population": {"min_age": 1}})

@@ -171,3 +171,7 @@ def test_learning_from_reviewed_mapping(spark, tmp_path):
     assert total["blocked_s4_columns"] == 6 and total["suggestions_count"] >= 69
     assert found.where("status <> 'blocked_s4' and entity <> candidate_entity").count() == 0
     assert fixed.BLOCKED_LABEL not in {r["target"] for r in found.collect()}
+
+    again = propose(spark, str(exports), str(tmp_path / "again"), model=model, min_score=0.0, **SYSTEM)
+    assert again.suggestions.count() == found.count()
+    assert {r["kind"]: r["pending"] for r in again.queue.pending_counts().collect()}["column"] == 2
