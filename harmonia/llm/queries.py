@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harmonia.llm import decontamination, near_dedup, packing, pii, quality
+from harmonia.llm import (
+    decontamination, language, near_dedup, packing, pii, quality, sharding, substring_dedup, token_counts, token_files,
+)
+from harmonia.llm.scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +36,11 @@ ALPHANUMERIC = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
 
 
+@query("op1_sharding")
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), f"{Scratch(spark, 'sharding').root}/slot-map")
+
+
 @query(
     "op2_decontamination",
     f"""
@@ -58,6 +66,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("item_ids", "text_key")
 
 
+@query("op3_substring_dedup")
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @query("op4_quality")
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -68,11 +81,26 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+@query("op6_language")
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language(table(spark, sf_dir, "documents"))
+
+
 @query("op7_packing")
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query("op8_token_counts")
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query("op9_token_ids")
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_ids(table(spark, sf_dir, "documents"), f"{Scratch(spark, 'token-ids').root}/ids")
+
+
 @query(
     "op10_near_dedup",
     f"""
