@@ -21,7 +21,6 @@ from harmonia import fixed_values as fixed
 from harmonia.functions.text import normalize, normalize_upper, text
 from harmonia.functions.values import age_at, parse_date, plain_boolean_text, plain_scalar
 from harmonia.operators.sequences import sequence_pairs
-from harmonia.operators.skew import join_unique
 from harmonia.plans.cohort_definition import CONCLUSION, VISIT, WORKER, CohortDefinition, EventDefinition
 from harmonia.session import cut_lineage
 from harmonia.sources.artifacts import write_artifacts
@@ -225,7 +224,8 @@ def criteria_signals(definition: CohortDefinition, reader: Reader) -> list[DataF
             reader.string("episode_poste", "etablissement_id").alias("etablissement_id"),
             worker("episode_poste").alias("travailleur_id"),
         )
-        inside = join_unique(jobs, sites, "etablissement_id", "left_semi")
+        # The sites of a region are few; AQE measures them and splits what is skewed.
+        inside = jobs.join(sites, "etablissement_id", "left_semi")
         signals.append(_signal(inside, F.col("travailleur_id"), {"population:region": F.lit(True)}))
     if d.exposures:
         table = "exposition_professionnelle"

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harmonia import fixed_values as fixed
-from harmonia.operators.skew import join_unique
+from harmonia.operators.skew import hot_keys, join_unique
 from harmonia.sources.exports import SourceTable
 
 
@@ -78,28 +79,43 @@ class JoinContext:
         primary = self.sources[rule.primary_source]
         return unique_index(primary.df.select(primary.cell(rule.primary_column).alias(key)), key)
 
-    def resolve(self, frame: DataFrame, table: SourceTable, key_role: str, fallback: str | None, out: str) -> DataFrame:
+    def resolve(
+        self, frame: DataFrame, table: SourceTable, key_role: str, fallback: str | None, out: str,
+        hot: Callable[[DataFrame, str], DataFrame] | None = hot_keys,
+    ) -> DataFrame:
         """Adds ``out`` and, where rules exist, ``out_resolved``.
 
         The first rule whose foreign value is a unique primary key gives the key;
         without any, the fallback column of the row does.  ``frame`` holds the
-        cells of ``table``.
+        cells of ``table``.  Rules with one foreign column are one join, with the
+        first of them that knows the key; hot keys come from the column itself,
+        so every rule adds one scan of its index and every column one join.
         """
         rules = self.rules_for(table.source_ref, key_role)
-        found = []
-        for i, rule in enumerate(rules):
-            key, hit = f"_key_{i}", f"_hit_{i}"
-            frame = join_unique(
-                frame.withColumn(key, table.cell(rule.foreign_column)),
-                self.index(rule, key).withColumn(hit, F.lit(True)),
-                key,
-            )
-            found.append(F.when(F.col(hit), F.col(key)))
-        value = F.coalesce(*found, table.cell(fallback)) if found else table.cell(fallback)
-        frame = frame.withColumn(out, value)
-        if found:
-            frame = frame.withColumn(f"{out}_resolved", F.coalesce(*found).isNotNull())
-        return frame.drop(*[f"_key_{i}" for i in range(len(rules))], *[f"_hit_{i}" for i in range(len(rules))])
+        columns = list(dict.fromkeys(rule.foreign_column for rule in rules))
+        ranks, cells = [], []
+        for i, column in enumerate(columns):
+            key, rank = f"_key_{i}", f"_rank_{i}"
+            parts = [
+                self.index(rule, key).withColumn(rank, F.lit(n)) for n, rule in enumerate(rules) if rule.foreign_column == column
+            ]
+            known = reduce(DataFrame.unionByName, parts)
+            if len(parts) > 1:
+                known = known.groupBy(key).agg(F.min(rank).alias(rank))
+            cell = table.cell(column)
+            frame = frame.withColumn(key, cell)
+            if hot is None:
+                frame = frame.join(known, key, "left")
+            else:
+                frame = join_unique(frame, known, key, hot=hot(table.df.select(cell.alias(key)), key))
+            ranks.append(F.col(rank))
+            cells.append(F.col(key))
+        if not rules:
+            return frame.withColumn(out, table.cell(fallback))
+        best = ranks[0] if len(ranks) == 1 else F.least(*ranks)
+        found = F.coalesce(*[F.when(rank == best, cell) for rank, cell in zip(ranks, cells, strict=True)])
+        frame = frame.withColumn(out, F.coalesce(found, table.cell(fallback))).withColumn(f"{out}_resolved", best.isNotNull())
+        return frame.drop(*[f"_key_{i}" for i in range(len(columns))], *[f"_rank_{i}" for i in range(len(columns))])
 
     def usage(self, table: SourceTable, key_role: str, condition=None) -> DataFrame | None:
         """(key_role, attempted, resolved, missed) of a table's rows; None without rules.
@@ -113,7 +129,7 @@ class JoinContext:
         rows = table.df if condition is None else table.df.where(condition)
         keys = sorted({f"c_{table.columns.index(r.foreign_column)}" for r in rules if r.foreign_column in table.columns})
         counted = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-        resolved = self.resolve(counted, table, key_role, None, "_value")
+        resolved = self.resolve(counted, table, key_role, None, "_value", hot=None)
         hits = F.coalesce(F.sum(F.when(F.col("_value_resolved"), F.col("_n"))), F.lit(0))
         total = F.coalesce(F.sum("_n"), F.lit(0))
         return resolved.agg(total.alias("attempted"), hits.alias("resolved"), (total - hits).alias("missed")).select(

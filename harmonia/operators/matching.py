@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from harmonia import fixed_values as fixed
 from harmonia.functions.matching import best_alias_score, type_score, value_evidence
-from harmonia.functions.text import plain_normalize
+from harmonia.functions.text import normalize, plain_normalize, text
 from harmonia.functions.values import apply_transform_column, value_mapping_status, values_are_boolean_like
 from harmonia.session import small_table
 
@@ -19,8 +19,8 @@ def target_fields(spark: SparkSession) -> DataFrame:
     return small_table(
         spark,
         [
-            (f.ord, f.entity, f.field, f.type, f.sensitivity, f.transform, list(dict.fromkeys(map(plain_normalize, f.aliases))))
-            for f in fixed.TARGET_FIELDS
+            (ord_, f.entity, f.field, f.type, f.sensitivity, f.transform, list(dict.fromkeys(map(plain_normalize, f.aliases))))
+            for ord_, f in enumerate(fixed.TARGET_FIELDS)
         ],
         "ord int, entity string, target_field string, target_type string, target_sensitivity string, "
         "transform string, aliases array<string>",
@@ -51,16 +51,33 @@ def field_scores(columns: DataFrame, sources: DataFrame, score_name=best_alias_s
     return scored.withColumn("confidence_score", confidence).where(F.col("confidence_score") > fixed.DISCARD_THRESHOLD)
 
 
-def propose_mappings(columns: DataFrame, sources: DataFrame, score_name=best_alias_score) -> DataFrame:
-    """The best field per column and entity, then the best column per source, entity and field."""
+def boolean_columns(counts: DataFrame) -> DataFrame:
+    """Whether every value of a column reads as yes or no: (source_position, position, all_boolean)."""
+    value = F.col("value")
+    return counts.groupBy(F.col("source").alias("source_position"), "position").agg(
+        F.bool_and((text(value) == "") | normalize(value).isin(fixed.BOOLEAN_LIKE)).alias("all_boolean")
+    )
+
+
+def propose_mappings(
+    columns: DataFrame, sources: DataFrame, score_name=best_alias_score, counts: DataFrame | None = None
+) -> DataFrame:
+    """The best field per column and entity, then the best column per source, entity and field.
+
+    A flag whose values are not all yes or no needs review: of all values with
+    ``counts``, else of those that the profile keeps.
+    """
     capped = field_scores(columns, sources, score_name).withColumn(
         "confidence_score", F.least("confidence_score", F.lit(fixed.CONFIDENCE_CEILING))
     )
     per_column = Window.partitionBy("source_ref", "position", "entity").orderBy(F.desc("confidence_score"), "ord")
     best = capped.withColumn("_rank", F.row_number().over(per_column)).where("_rank = 1")
-    unclear_flag = F.col("target_field").isin("restriction_flag", "amenagement_flag") & ~values_are_boolean_like(
-        F.transform("top_values", lambda v: v["value"])
-    )
+    if counts is None:
+        all_boolean = values_are_boolean_like(F.transform("top_values", lambda v: v["value"]))
+    else:
+        best = best.join(boolean_columns(counts), ["source_position", "position"], "left")
+        all_boolean = F.coalesce("all_boolean", F.lit(True))
+    unclear_flag = F.col("target_field").isin("restriction_flag", "amenagement_flag") & ~all_boolean
     status = (
         F.when(F.col("confidence_score") < fixed.REVIEW_THRESHOLD, "ignored")
         .when((F.col("confidence_score") < fixed.AUTO_THRESHOLD) | unclear_flag, fixed.TO_REVIEW)
@@ -121,13 +138,29 @@ def value_groups(mapped: DataFrame) -> DataFrame:
     return mapped.where(F.col("transform").isin(*fixed.VALUE_TRANSFORMS)).select(*VALUE_GROUP)
 
 
-def value_items(groups: DataFrame, columns: DataFrame) -> DataFrame:
-    """Concept and status of each frequent value of the mapped columns."""
-    profiled = columns.select("source_ref", F.col("column").alias("source_column"), "top_values")
-    items = groups.join(profiled, ["source_ref", "source_column"]).select(
-        *VALUE_GROUP, F.posexplode("top_values").alias("rank", "_item")
+def value_items(groups: DataFrame, columns: DataFrame, counts: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """Concept and status of each value of the mapped columns, the most frequent first.
+
+    With ``counts`` (value counts by source and position, and the ``sources``
+    that number them) every value has its item; without, those that the profile
+    keeps.
+    """
+    key = ["source_ref", "source_column"]
+    if counts is None:
+        profiled = columns.select("source_ref", F.col("column").alias("source_column"), "top_values")
+        items = groups.join(profiled, key).select(*VALUE_GROUP, F.posexplode("top_values").alias("rank", "_item"))
+        found = items.select(*VALUE_GROUP, "rank", F.col("_item.value").alias("source_value"), F.col("_item.count").alias("count"))
+        return map_values(found)
+    named = columns.select("source_ref", F.col("column").alias("source_column"), "position").join(
+        sources.select("source_ref", F.col("source_position").alias("source")), "source_ref"
+    )
+    wanted = named.join(groups.select(*key).distinct(), key, "left_semi")
+    values = counts.where("value <> ''").join(wanted, ["source", "position"])
+    place = Window.partitionBy("source", "position").orderBy(F.desc("n"), "first_ordinal")
+    ranked = values.select(
+        *key, (F.row_number().over(place) - 1).alias("rank"), F.col("value").alias("source_value"), F.col("n").alias("count")
     )
-    return map_values(items.select(*VALUE_GROUP, "rank", F.col("_item.value").alias("source_value"), F.col("_item.count").alias("count")))
+    return map_values(groups.join(ranked, key).select(*VALUE_GROUP, "rank", "source_value", "count"))
 
 
 def map_values(items: DataFrame) -> DataFrame:

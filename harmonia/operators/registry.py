@@ -12,7 +12,6 @@ from harmonia.functions.keys import stable_id
 from harmonia.functions.text import normalize, text
 from harmonia.operators.review import Decisions
 from harmonia.plans.mapping_document import Mapping, column_review_id
-from harmonia.session import cut_lineage
 from harmonia.sources.artifacts import path_exists
 
 SCHEMA = (
@@ -28,14 +27,30 @@ def empty_registry(spark: SparkSession) -> DataFrame:
 
 
 def load_registry(spark: SparkSession, folder: str | None) -> DataFrame:
-    if not folder or not path_exists(spark, folder):
-        return empty_registry(spark)
-    return spark.read.schema(SCHEMA).parquet(folder)
+    """The stored registry; the copy moved aside, where a save broke off between its two renames."""
+    for place in (folder, f"{folder}.old") if folder else ():
+        if path_exists(spark, place):
+            return spark.read.schema(SCHEMA).parquet(place)
+    return empty_registry(spark)
 
 
 def save_registry(registry: DataFrame, folder: str) -> None:
-    """Replace the stored registry; the new one is cut from the files it was read from first."""
-    cut_lineage(registry).write.mode("overwrite").parquet(folder)
+    """Replace the stored registry: the new one is written beside it, then takes its place.
+
+    One copy at least is whole at any time: the old one is moved aside, not
+    deleted, until the new one has its name.
+    """
+    new, old = f"{folder}.new", f"{folder}.old"
+    registry.write.mode("overwrite").parquet(new)
+    spark = registry.sparkSession
+    jvm = spark._jvm
+    paths = {name: jvm.org.apache.hadoop.fs.Path(name) for name in (folder, new, old)}
+    store = paths[folder].getFileSystem(spark._jsc.hadoopConfiguration())
+    store.delete(paths[old], True)
+    if store.exists(paths[folder]):
+        store.rename(paths[folder], paths[old])
+    store.rename(paths[new], paths[folder])
+    store.delete(paths[old], True)
 
 
 def entry_id(source_system, column, entity, target_field, transform):

@@ -18,9 +18,9 @@ from harmonia.plans.mapping_document import (
     with_review_columns,
 )
 
-COLUMN_SCHEMA = "position int, id string, action string, reviewer string, reason string"
+COLUMN_SCHEMA = "position bigint, id string, action string, reviewer string, reason string"
 VALUE_SCHEMA = (
-    "position int, id string, action string, source_ref string, source_column string, entity string, "
+    "position bigint, id string, action string, source_ref string, source_column string, entity string, "
     "target_field string, source_value string, target_value string, reviewer string, reason string"
 )
 RULE_SCHEMA = COLUMN_SCHEMA
@@ -68,14 +68,16 @@ class Reviewed:
 
 
 def apply_decisions(
-    mapping: Mapping, decisions: Decisions, columns: DataFrame, *, drop_rejected: bool = False
+    mapping: Mapping, decisions: Decisions, columns: DataFrame, *, drop_rejected: bool = False,
+    counts: DataFrame | None = None, sources: DataFrame | None = None,
 ) -> Reviewed:
     """The reviewed document.
 
     Approved columns become fields (and open their entity where it is new),
     value groups are rebuilt, earlier value reviews are carried over, then value
     and rule decisions apply.  Rejected columns stay pending unless
-    ``drop_rejected`` is set.
+    ``drop_rejected`` is set.  ``counts`` and ``sources`` are those of
+    :func:`~harmonia.operators.matching.value_items`.
     """
     approved = decisions.approved_columns().select("id", "reviewer", "reason")
     queue = mapping.review_queue.withColumn("id", column_review_id())
@@ -108,7 +110,7 @@ def apply_decisions(
     groups = value_groups(all_fields).join(
         columns.select("source_ref", F.col("column").alias("source_column")), ["source_ref", "source_column"], "left_semi"
     )
-    items = with_review_columns(value_items(groups, columns))
+    items = with_review_columns(value_items(groups, columns, counts, sources))
     items = carry_over(items, mapping.value_items)
     items = decide_values(items, decisions.values)
     return Reviewed(
@@ -200,10 +202,12 @@ def apply_value_map(df: DataFrame, column: str, raw: str, items: DataFrame) -> D
     """Replace concepts by reviewed ones: ``items`` holds source_value and target_value of one field.
 
     Optional: the standard builders use the fixed transforms.  Values of one
-    field are joined on the raw text, with frequent texts kept apart.
+    field are joined on the raw text, with frequent texts kept apart.  Where a
+    value has several reviewed targets, that of the last source and column wins.
     """
-    reviewed = items.where(F.col("status") == fixed.BY_HUMAN).select(
-        F.col("source_value").alias(raw), F.col("target_value").alias("_reviewed")
-    ).dropDuplicates([raw])
+    place = [F.col(c) for c in ("source_ref", "source_column") if c in items.columns]
+    reviewed = items.where(F.col("status") == fixed.BY_HUMAN).groupBy(F.col("source_value").alias(raw)).agg(
+        F.max_by("target_value", F.struct(*place, "target_value")).alias("_reviewed")
+    )
     joined = join_unique(df.withColumn(raw, _or_empty(F.col(raw))), reviewed, raw)
     return joined.withColumn(column, F.coalesce("_reviewed", column)).drop("_reviewed")

@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it holds more than this share of the rows, so there can be
-# at most 1 / HOT_SHARE hot keys: a proven bound for the broadcast below.
-HOT_SHARE = 0.001
+# A key is hot when it holds more than this many rows.  The most frequent ones, up
+# to MOST_HOT (a proven bound for the broadcast below), are split; AQE handles the rest.
 HOT_MIN_ROWS = 1_000_000
-SALTS = 64
+MOST_HOT = 1_000
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
-    """Keys with more than ``share`` of all rows (and at least ``min_rows``)."""
-    counts = df.groupBy(key).agg(F.count("*").alias("_n"))
-    total = df.agg(F.count("*") * F.lit(float(share))).scalar()
-    return counts.where((F.col("_n") >= min_rows) & (F.col("_n") > total)).select(key)
+def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
+    """Keys with at least ``min_rows`` rows, and the pieces to split each into; one scan."""
+    return hot_counts(df.groupBy(key).agg(F.count("*").alias("_n")), key, "_n", min_rows)
+
+
+def hot_counts(counts: DataFrame, key: str, n: str, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
+    """Hot keys where the rows of each key are counted already."""
+    hot = counts.where(F.col(n) >= min_rows).orderBy(F.desc(n), key).limit(MOST_HOT)
+    return hot.select(key, (F.floor(F.col(n) / min_rows) + 1).cast("int").alias("_pieces"))
 
 
 def join_unique(
@@ -25,29 +28,25 @@ def join_unique(
     key: str,
     how: str = "left",
     *,
-    share: float = HOT_SHARE,
     min_rows: int = HOT_MIN_ROWS,
-    salts: int = SALTS,
     hot: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join a large table with a table whose ``key`` is unique.
 
-    Rows of hot keys are spread over ``salts`` partitions by their input
-    partition; the matching right rows are copied to each of them.  Keys that
+    Rows of hot keys are spread by their input partition over as many pieces as
+    their number asks for; the matching right rows are copied to each.  Keys that
     are not hot are joined as usual, and Spark may still turn the join into a
     broadcast join when it measures a small right side.  ``left[key]`` must not
-    be NULL (read NULL as the empty text first).  ``hot`` gives the hot keys
-    where they are known already, at most ``1 / share`` of them.
+    be NULL (read NULL as the empty text first).  ``hot`` gives the hot keys and
+    pieces where they are known already, at most MOST_HOT of them.
     """
     if hot is None:
-        hot = hot_keys(left, key, share, min_rows)
-    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    salted_left = left.join(hot, key, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.spark_partition_id(), F.lit(salts))).otherwise(F.lit(0))
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_right = right.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return salted_left.drop("_hot").join(salted_right, [key, "_salt"], how).drop("_salt")
+        hot = hot_keys(left, key, min_rows)
+    hot = F.broadcast(hot)
+    pieces = F.coalesce("_pieces", F.lit(1))
+    salted_left = left.join(hot, key, "left").withColumn("_salt", F.pmod(F.spark_partition_id(), pieces)).drop("_pieces")
+    salted_right = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("_pieces")
+    return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")
 
 
 def last_row_wins(df: DataFrame, keys: list[str], order: Column) -> DataFrame:

@@ -59,6 +59,21 @@ def overlaps(values: DataFrame) -> DataFrame:
     )
 
 
+def shared_values(values: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(left, right, value) of every value that both columns of a pair hold; a long table."""
+    left = values.select(F.col("column_id").alias("left"), "value")
+    right = values.select(F.col("column_id").alias("right"), "value")
+    return pairs.select("left", "right").join(left, "left").join(right, ["right", "value"]).select("left", "right", "value")
+
+
+def exact_values(columns: DataFrame, sources: DataFrame, counts: DataFrame) -> DataFrame:
+    """Distinct (column_id, value) of the joinable columns, from the value counts."""
+    keys = joinable_columns(columns, sources).select(F.col("source_position").alias("source"), "position")
+    return counts.where(F.col("value") != "").join(keys, ["source", "position"]).select(
+        F.struct("source", "position").alias("column_id"), "value"
+    )
+
+
 def join_candidates(
     columns: DataFrame, sources: DataFrame, counts: DataFrame | None = None
 ) -> DataFrame:
@@ -66,7 +81,8 @@ def join_candidates(
 
     With ``counts`` (value counts by source and position) the overlap is exact;
     without, it is that of the twenty smallest values of each column, as kept in
-    the profiles.
+    the profiles.  ``overlap_values`` lists the shared ones of those twenty in
+    either mode; :func:`shared_values` has all of an exact overlap.
     """
     eligible = joinable_columns(columns, sources)
     identity = F.struct(F.col("source_position").alias("source"), F.col("position"))
@@ -74,12 +90,7 @@ def join_candidates(
         values = eligible.select(identity.alias("column_id"), F.explode("value_sample").alias("value"))
         size = F.size("value_sample").cast("bigint")
     else:
-        keys = eligible.select(F.col("source_position").alias("source"), "position")
-        values = (
-            counts.where(F.col("value") != "")
-            .join(keys, ["source", "position"])
-            .select(F.struct("source", "position").alias("column_id"), "value")
-        )
+        values = exact_values(columns, sources, counts)
         size = F.col("distinct_count")
     side = eligible.select(
         identity.alias("id"), F.col("normalized"), "inferred_type", size.alias("size"), "value_sample",

@@ -20,7 +20,7 @@ from harmonia.functions.ngrams import ngrams_of, weighted_list_tokens, weighted_
 from harmonia.functions.text import normalize, text
 from harmonia.functions.values import suggestion_status, value_mapping_label
 from harmonia.operators.matching import target_fields
-from harmonia.operators.skew import HOT_MIN_ROWS, HOT_SHARE, join_unique
+from harmonia.operators.skew import hot_counts, join_unique
 from harmonia.plans.mapping_document import Mapping
 from harmonia.session import cut_lineage
 
@@ -148,18 +148,13 @@ def document_frequency(counts: DataFrame, examples: Column) -> DataFrame:
     return frequency.select("token", "df", idf.alias("idf"))
 
 
-def _hot_tokens(tokens: DataFrame) -> DataFrame:
-    total = tokens.agg(F.sum("df") * F.lit(HOT_SHARE)).scalar()
-    return tokens.where((F.col("df") >= HOT_MIN_ROWS) & (F.col("df") > total)).select("token")
-
-
 def vectors(counts: DataFrame, tokens: DataFrame) -> DataFrame:
     """Counts with their weight: tf times idf over the record's length, 8 digits, zeros dropped.
 
     Tokens that the model does not know are left out.  ``tokens`` is read three
     times here, so it should be a written or checkpointed table.
     """
-    joined = join_unique(counts, tokens.drop("df"), "token", "inner", hot=_hot_tokens(tokens))
+    joined = join_unique(counts, tokens.drop("df"), "token", "inner", hot=hot_counts(tokens, "token", "df"))
     raw = F.col("n") * F.col("idf")
     norm = F.sqrt(F.sum(raw * raw).over(Window.partitionBy(ID)))
     return joined.withColumn("weight", F.round(raw / norm, 8)).where(raw != 0)

@@ -88,9 +88,12 @@ class Mapping:
 
 def assemble(
     profiles: Profiles, proposals: DataFrame, blocked: DataFrame, candidates: DataFrame, rules: DataFrame,
-    *, source_system: str, schema_version: str, mapping_version: str = "0.1.0-draft",
+    *, source_system: str, schema_version: str, mapping_version: str = "0.1.0-draft", counts: DataFrame | None = None,
 ) -> Mapping:
-    """The draft document from proposals, blocked columns and the source graph."""
+    """The draft document from proposals, blocked columns and the source graph.
+
+    With ``counts`` every value of a mapped column has its item.
+    """
     ranked = entity_sources(proposals)
     entities = ranked.where("rank = 1").select("entity", "source_ref", F.lit("auto_draft").alias("review_status"))
     automatic = proposals.where(F.col("status").isin(*fixed.AUTO_STATUSES))
@@ -100,7 +103,7 @@ def assemble(
         F.lit(None).cast("string").alias("review_reason"),
     )
     groups = value_groups(automatic)
-    items = value_items(groups, profiles.columns)
+    items = value_items(groups, profiles.columns, counts, profiles.sources)
     return Mapping(
         source_system, schema_version, mapping_version, "draft",
         entities=entities,

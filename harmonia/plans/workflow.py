@@ -65,14 +65,14 @@ def propose(
     write_artifacts({"join_candidates": candidates}, workdir)
     candidates = spark.read.parquet(f"{workdir}/join_candidates")
 
-    proposals = matching.propose_mappings(profiles.columns, profiles.sources)
+    proposals = matching.propose_mappings(profiles.columns, profiles.sources, counts=counts)
     known = registry.load_registry(spark, registry_dir)
     write_artifacts({"proposals": registry.apply_registry(proposals, known, source_system)}, workdir)
     proposals = spark.read.parquet(f"{workdir}/proposals")
 
     mapping = assemble(
         profiles, proposals, matching.blocked_columns(profiles.columns), candidates,
-        source_graph.join_rules(candidates), source_system=source_system, schema_version=schema_version,
+        source_graph.join_rules(candidates), source_system=source_system, schema_version=schema_version, counts=counts,
     ).written(f"{workdir}/mapping_draft")
     queue = review_queue(mapping)
     write_queue(queue, workdir)
@@ -110,8 +110,12 @@ def apply_review(
 ) -> review.Reviewed:
     """Apply decisions to the current mapping, learn from them, and rewrite mapping and queue."""
     base = review_base(spark, workdir)
-    columns = read_profiles(spark, workdir).columns
-    reviewed = review.apply_decisions(base, decisions, columns, drop_rejected=drop_rejected)
+    profiles = read_profiles(spark, workdir)
+    written = f"{workdir}/value_counts"
+    reviewed = review.apply_decisions(
+        base, decisions, profiles.columns, drop_rejected=drop_rejected,
+        counts=spark.read.parquet(written) if path_exists(spark, written) else None, sources=profiles.sources,
+    )
     if registry_dir:
         learned = registry.learned_entries(base, decisions, now or datetime.now(timezone.utc))
         if not learned.isEmpty():

@@ -11,25 +11,47 @@ from harmonia.sources.exports import SourceTable
 from suite import query
 from suite.views import read
 
-# Table, its columns that are profiled, and the column that orders its rows.
+# Table, its columns, and the expression that numbers its rows.
 PROFILED = {
-    "orders": (["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate"], "o_orderkey"),
-    "customer": (["c_custkey", "c_name", "c_nationkey", "c_mktsegment"], "c_custkey"),
-    "part": (["p_partkey", "p_name", "p_brand", "p_type", "p_size"], "p_partkey"),
-    "supplier": (["s_suppkey", "s_name", "s_nationkey"], "s_suppkey"),
+    "orders": (["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_orderdate"], "o_orderkey"),
+    "customer": (["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], "c_custkey"),
+    "part": (["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"], "p_partkey"),
+    "supplier": (["s_suppkey", "s_name", "s_nationkey", "s_acctbal"], "s_suppkey"),
     "nation": (["n_nationkey", "n_name", "n_regionkey"], "n_nationkey"),
-    "events": (["user_id", "event_type", "props"], "event_id"),
+    "events": (["event_id", "ts", "user_id", "event_type", "value", "props"], "event_id"),
+    "lineitem": (
+        ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+         "l_returnflag", "l_linestatus", "l_shipdate"],
+        "l_orderkey * 10 + l_linenumber",
+    ),
 }
+# Numbers and times whose text Spark and SQL would write differently.
+AMOUNTS = {
+    "o_totalprice", "c_acctbal", "p_retailprice", "s_acctbal", "value", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+}
+TIMES = {
+    "o_orderdate": ("yyyy-MM-dd", "%Y-%m-%d"), "l_shipdate": ("yyyy-MM-dd", "%Y-%m-%d"),
+    "ts": ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S"),
+}
+
+
+def rendered(column: str):
+    if column in AMOUNTS:
+        return F.col(column).cast("decimal(18,2)").alias(column)
+    return F.date_format(column, TIMES[column][0]).alias(column) if column in TIMES else F.col(column)
+
+
+def rendered_sql(column: str) -> str:
+    if column in AMOUNTS:
+        return f"CAST(CAST({column} AS DECIMAL(18,2)) AS VARCHAR)"
+    return f"strftime({column}, '{TIMES[column][1]}')" if column in TIMES else f"CAST({column} AS VARCHAR)"
 
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> SourceTable:
     columns, order = PROFILED[name]
-    df = read(spark, sf_dir, name).select(*dict.fromkeys([*columns, order]))
-    table = SourceTable.from_dataframe(name, df, F.col(order) + 1)
-    if order not in columns:
-        cells = [f"c_{i}" for i in range(len(columns))]
-        table = SourceTable(name, tuple(columns), table.df.select("ordinal", *cells), table.format)
-    return table
+    df = read(spark, sf_dir, name).select(*map(rendered, columns), F.expr(f"{order} + 1").alias("row_number"))
+    table = SourceTable.from_dataframe(name, df, F.col("row_number"))
+    return SourceTable(name, tuple(columns), table.df.select("ordinal", *[f"c_{i}" for i in range(len(columns))]), table.format)
 
 
 def sources(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> list[SourceTable]:
@@ -38,15 +60,12 @@ def sources(spark: SparkSession, sf_dir: str, names: list[str] | None = None) ->
 
 def cells_sql(names: list[str]) -> str:
     """(source_ref, column, value, ordinal) of every profiled cell."""
-    parts = []
-    for name in names:
-        columns, order = PROFILED[name]
-        for column in columns:
-            value = f"strftime({column}, '%Y-%m-%d')" if column == "o_orderdate" else f"CAST({column} AS VARCHAR)"
-            parts.append(
-                f"SELECT '{name}' AS source_ref, '{column}' AS column_name, {value} AS value, {order} + 1 AS ordinal FROM {name}"
-            )
-    return " UNION ALL ".join(parts)
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS source_ref, '{column}' AS column_name, {rendered_sql(column)} AS value, {order} + 1 AS ordinal FROM {name}"
+        for name in names
+        for columns, order in [PROFILED[name]]
+        for column in columns
+    )
 
 
 def counts_sql(names: list[str]) -> str:
@@ -149,8 +168,8 @@ def column_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     + """ SELECT a.source_ref || '.' || a.column_name AS left_column, b.source_ref || '.' || b.column_name AS right_column,
        count(*) AS overlap
 FROM counts a JOIN counts b ON a.value = b.value AND a.source_ref <> b.source_ref AND a.value <> ''
- AND list_position(['orders', 'customer', 'part', 'supplier', 'nation', 'events'], a.source_ref)
-   < list_position(['orders', 'customer', 'part', 'supplier', 'nation', 'events'], b.source_ref)
+ AND list_position(['orders', 'customer', 'part', 'supplier', 'nation', 'events', 'lineitem'], a.source_ref)
+   < list_position(['orders', 'customer', 'part', 'supplier', 'nation', 'events', 'lineitem'], b.source_ref)
 GROUP BY 1, 2""",
 )
 def column_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,6 +187,27 @@ def column_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_graph.overlaps(values).select(label("left"), label("right"), "overlap")
 
 
+@query(
+    "overlap_values",
+    counts_sql(ALL)
+    + """ SELECT a.column_name AS left_column, b.column_name AS right_column, a.value
+FROM counts a JOIN counts b ON a.value = b.value AND a.value <> ''
+WHERE (a.column_name, b.column_name) IN (('c_nationkey', 'n_nationkey'), ('o_custkey', 'c_custkey'), ('p_size', 'l_linenumber'))""",
+)
+def overlap_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All values that both columns hold, not those of a sample."""
+    tables = sources(spark, sf_dir)
+    place = {n: (i, p) for i, t in enumerate(tables) for p, n in enumerate(t.columns)}
+    wanted = [("c_nationkey", "n_nationkey"), ("o_custkey", "c_custkey"), ("p_size", "l_linenumber")]
+    struct = "struct<source:int,position:int>"
+    pairs = spark.createDataFrame(
+        [(place[a], place[b], a, b) for a, b in wanted], f"left {struct}, right {struct}, left_column string, right_column string"
+    )
+    values = profiling.value_counts(tables).where("value <> ''").select(F.struct("source", "position").alias("column_id"), "value")
+    found = source_graph.shared_values(values, pairs)
+    return found.join(pairs, ["left", "right"]).select("left_column", "right_column", "value")
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = sources(spark, sf_dir)
     # Written between the stages, as the workflow does: both are read several times.

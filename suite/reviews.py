@@ -7,12 +7,13 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harmonia.functions import text
 from harmonia.functions.keys import stable_id
 from harmonia.functions.matching import best_alias_score, levenshtein_score
 from harmonia.operators import matching, profiling, registry, review
 from harmonia.session import cut_lineage
 from suite import query
-from suite.profiles import sources
+from suite.profiles import source, sources
 from suite.sqltext import norm
 from suite.views import read
 
@@ -115,6 +116,27 @@ def value_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "value_items",
+    """
+WITH c AS (SELECT p_type AS v, count(*) AS n, min(p_partkey) AS f FROM part GROUP BY 1
+           UNION ALL SELECT p_name, count(*), min(p_partkey) FROM part GROUP BY 1)
+SELECT v AS source_value, n AS count, trim(upper(regexp_replace(v, '[^A-Za-z0-9]+', '_', 'g')), '_') AS concept FROM c
+""",
+)
+def all_value_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value of two mapped columns, however rare, has its item."""
+    table = source(spark, sf_dir, "part")
+    counts = cut_lineage(profiling.value_counts([table]))
+    profiles = profiling.profile(spark, [table], counts)
+    groups = spark.createDataFrame(
+        [("part", c, "visite_sante_travail", "type_visite_concept_id", "normalize_visit_type") for c in ("p_type", "p_name")],
+        "source_ref string, source_column string, entity string, target_field string, transform string",
+    )
+    items = matching.value_items(groups, cut_lineage(profiles.columns), counts, profiles.sources)
+    return items.select("source_value", "count", text.normalize_upper(F.col("source_value")).alias("concept"))
+
+
 @query(
     "review_values",
     f"""
@@ -123,7 +145,7 @@ d AS (SELECT p_brand, p_type, max(p_partkey) AS position,
              arg_max(CASE p_size % 4 WHEN 0 THEN 'approve' WHEN 1 THEN 'correct' WHEN 2 THEN 'reject' ELSE 'later' END, p_partkey)
                FILTER (p_size % 4 < 3) AS action,
              arg_max(CASE WHEN p_size % 4 = 1 THEN 'CORRECTED_' || p_size ELSE '' END, p_partkey) FILTER (p_size % 4 < 3) AS target
-      FROM part WHERE p_retailprice < 1200 GROUP BY 1, 2)
+      FROM part GROUP BY 1, 2)
 SELECT i.source_column, i.source_value, i.count,
        CASE WHEN action IN ('approve', 'correct') AND target <> '' THEN target ELSE i.source_value END AS target_value,
        CASE WHEN action IN ('approve', 'correct') THEN 'validated_by_human_review' WHEN action = 'reject' THEN 'rejected'
@@ -133,8 +155,8 @@ FROM i LEFT JOIN d ON d.p_brand = i.source_column AND d.p_type = i.source_value
 )
 def review_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     form = F.col("p_size") % 4
-    decisions = read(spark, sf_dir, "part").where("p_retailprice < 1200").select(
-        F.col("p_partkey").cast("int").alias("position"), F.lit("").alias("id"),
+    decisions = read(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("bigint").alias("position"), F.lit("").alias("id"),
         F.when(form == 0, "approve").when(form == 1, "correct").when(form == 2, "reject").otherwise("later").alias("action"),
         F.lit("part").alias("source_ref"), F.col("p_brand").alias("source_column"), F.lit("visite_sante_travail").alias("entity"),
         F.lit("type_visite_concept_id").alias("target_field"), F.col("p_type").alias("source_value"),
@@ -190,7 +212,7 @@ def review_join_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     action = F.when(F.col("o_orderpriority") == "1-URGENT", "approve").when(F.col("o_orderpriority") == "5-LOW", "reject").otherwise("wait")
     decisions = read(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").cast("int").alias("position"), stable_id(F.col("o_custkey").cast("string")).alias("id"),
+        F.col("o_orderkey").cast("bigint").alias("position"), stable_id(F.col("o_custkey").cast("string")).alias("id"),
         action.alias("action"), F.lit("suite").alias("reviewer"), F.lit("").alias("reason"),
     )
     return review.decide_rules(rules, decisions).select("c_custkey", "status")
@@ -227,13 +249,13 @@ def entries(parts: DataFrame, stamp: datetime) -> DataFrame:
 
 
 REGISTRY_SQL = """
-WITH o AS (SELECT p_brand, p_type, count(*) AS n, max(p_name) AS r FROM part WHERE p_size < 12 GROUP BY 1, 2),
-l AS (SELECT p_brand, p_type, count(*) AS n, max(p_name) AS r FROM part WHERE p_size > 45 GROUP BY 1, 2)"""
+WITH o AS (SELECT p_brand, p_type, count(*) AS n, max(p_name) AS r FROM part WHERE p_partkey % 3 < 2 GROUP BY 1, 2),
+l AS (SELECT p_brand, p_type, count(*) AS n, max(p_name) AS r FROM part WHERE p_partkey % 3 > 0 GROUP BY 1, 2)"""
 
 
 def both_registries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     parts = read(spark, sf_dir, "part")
-    return entries(parts.where("p_size < 12"), datetime(2025, 1, 1)), entries(parts.where("p_size > 45"), datetime(2026, 1, 1))
+    return entries(parts.where("p_partkey % 3 < 2"), datetime(2025, 1, 1)), entries(parts.where("p_partkey % 3 > 0"), datetime(2026, 1, 1))
 
 
 @query(

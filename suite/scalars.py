@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harmonia import fixed_values as fixed
 from harmonia.functions import keys, text, values
 from harmonia.operators.matching import map_values
 from harmonia.operators.profiling import infer_entities, infer_sensitivity
@@ -283,9 +284,37 @@ def sensitivity_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("entity_inference")
+def entity_sql(file: str, names: str) -> str:
+    """Entities of a file name and its column names, from the fixed words."""
+    hints = dict(fixed.FILE_HINTS)
+    scored = []
+    for entity in fixed.ENTITIES:
+        points = [f"CASE WHEN contains({file}, '{text.plain_normalize(h)}') THEN {fixed.HINT_POINTS} ELSE 0 END" for h in hints[entity]]
+        points += [
+            f"CASE WHEN regexp_matches({names}, '{'|'.join(map(text.plain_normalize, f.aliases))}') THEN {fixed.ALIAS_POINTS} ELSE 0 END"
+            for f in fixed.TARGET_FIELDS
+            if f.entity == entity
+        ]
+        scored.append(f"{{'minus': -({' + '.join(points)}), 'entity': '{entity}'}}")
+    ranked = (
+        f"array_to_string(list_transform(list_filter(list_sort([{', '.join(scored)}]), lambda x: x.minus <= -{fixed.ENTITY_MIN_POINTS}), "
+        "lambda x: x.entity), ',')"
+    )
+    shortcuts = " ".join(f"WHEN contains({file}, '{word}') THEN '{','.join(entities)}'" for word, entities in fixed.FILE_SHORTCUTS)
+    return f"CASE {shortcuts} ELSE {ranked} END"
+
+
+@query(
+    "entity_inference",
+    f"""
+WITH named AS (SELECT p_partkey, {norm("p_brand || CASE p_size % 3 WHEN 0 THEN ' poste.csv' WHEN 1 THEN ' salaries.csv' ELSE '.csv' END")} AS file,
+       {norm('p_name')} || ' ' || {norm('p_type')} || ' visite clepers site' AS names FROM part)
+SELECT p_partkey, {entity_sql('file', 'names')} AS entities FROM named
+""",
+)
 def entity_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By word of the file name where one holds, else by points of hints and aliases."""
     names = F.concat_ws(" ", text.normalize(F.col("p_name")), text.normalize(F.col("p_type")), F.lit("visite clepers site"))
-    return read(spark, sf_dir, "part").select(
-        "p_partkey", F.concat_ws(",", infer_entities(F.concat("p_brand", F.lit(" poste.csv")), names)).alias("entities")
-    )
+    form = F.col("p_size") % 3
+    file = F.concat("p_brand", F.when(form == 0, " poste.csv").when(form == 1, " salaries.csv").otherwise(".csv"))
+    return read(spark, sf_dir, "part").select("p_partkey", F.concat_ws(",", infer_entities(file, names)).alias("entities"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from harmonia.operators import key_resolution
 from harmonia.operators.key_resolution import JoinContext, Rule
-from harmonia.operators.skew import last_row_wins
+from harmonia.operators.skew import join_unique, last_row_wins
 from harmonia.operators.standard_tables import SPEC_BY_NAME, EntityMap, Settings, build_table, public_columns, resolution_usage
 from harmonia.sources.exports import SourceTable
 from suite import query
@@ -197,6 +197,21 @@ def resolve_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.resolve(orders.df, orders, "etablissement_id", "o_orderstatus", "site").select("ordinal", "site", "site_resolved")
 
 
+@query(
+    "resolve_keys_hot",
+    """
+SELECT user_id AS k, event_id, CASE WHEN n = 1 THEN CAST(user_id AS VARCHAR) END AS resolved
+FROM events LEFT JOIN (SELECT c_custkey, count(*) AS n FROM customer GROUP BY 1) ON c_custkey = user_id
+""",
+)
+def resolve_keys_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every key with ten events or more counts as hot, so the split join runs at any scale."""
+    events = read(spark, sf_dir, "events").select(F.col("user_id").alias("k"), "event_id")
+    index = key_resolution.unique_index(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), "k")
+    joined = join_unique(events, index.withColumn("resolved", F.col("k").cast("string")), "k", min_rows=10)
+    return joined.select("k", "event_id", "resolved")
+
+
 @query(
     "resolution_usage",
     """

@@ -23,7 +23,7 @@ def test_join_unique_with_a_hot_key(spark):
         spark.createDataFrame([("hot", 2)], "k string, r int"))
     assert {r["k"] for r in hot_keys(left, "k", min_rows=100).collect()} == {"hot", ""}
     for how in ("left", "inner", "left_semi"):
-        got = join_unique(left, right, "k", how, min_rows=100, salts=7)
+        got = join_unique(left, right, "k", how, min_rows=100)
         want = left.join(right, "k", how)
         assert got.columns == want.columns
         assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
