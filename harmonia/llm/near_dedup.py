@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harmonia.llm import bytetext as bt
@@ -18,10 +18,11 @@ SIMILAR_PERCENT = 75
 BANDS, BAND_ROWS = 32, 4
 MINIMA = BANDS * BAND_ROWS
 # A pair of similarity 0.75 agrees in 96 of 128 minima (deviation 4.9); fewer than
-# 64 lie 6.5 deviations below, so the signature test loses none in practice.
-LEAST_AGREEING = 64
-# Buckets of up to so many texts are compared in full; larger ones go another way.
+# 72 lie 4.9 deviations below: one such pair in two million.
+LEAST_AGREEING = 72
+# Buckets of up to so many texts are compared in full; larger ones in blocks of BLOCK.
 FULL_BUCKET = 32
+BLOCK = 256
 
 _FACTORS, _ADDENDS = bt.constants(MINIMA, 211), bt.constants(MINIMA, 223)
 _BAND = bt.constants(BANDS * (BAND_ROWS + 1), 227).reshape(BANDS, BAND_ROWS + 1)
@@ -171,24 +172,84 @@ def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
     return labelled.where("ca <> cb").select("a", "b")
 
 
-def _crowded_pairs(crowded: DataFrame, bands: DataFrame, components: DataFrame) -> DataFrame:
-    """Pairs of large buckets that the first links have not joined.
+def _block_links(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """Links between the visitors and the homes of one block that join different components.
 
-    A bucket of one component is done.  The members of the others meet again
-    where they share a second band, which similar texts do (all but 1 in 10,000)
-    and texts with one common passage seldom do; there, all pairs of different
-    components are formed.
+    A pair is looked at in the first band that it agrees in, so in one bucket
+    only, and its sets are compared only while no other link joins the two.
     """
-    held = _labelled(crowded.select("key", "rep"), "rep", components, "part")
-    mixed = held.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
-    split = (
-        held.join(mixed, "key").join(bands.withColumnRenamed("key", "other"), "rep").where("other > key")
-        .select(F.xxhash64("key", "other").alias("key"), "rep", "part").distinct()
+
+    def links(block: pa.Table) -> pa.Table:
+        rep, part = (block.column(n).to_numpy() for n in ("rep", "part"))
+        visits, band = block.column("visits").to_numpy(zero_copy_only=False), block.column("band")[0].as_py()
+        bands = np.array(block.column("bands").to_pylist(), np.int64).reshape(-1, BANDS)
+        signature = np.frombuffer(b"".join(block.column("signature").to_pylist()), np.uint8).reshape(-1, MINIMA)
+        text = block.column("text")
+        homes, sets, parent = np.flatnonzero(~visits), {}, {}
+
+        def shingles(k: int) -> np.ndarray:
+            if k not in sets:
+                raw = np.frombuffer(text[k].as_py().encode(), np.uint8)
+                sets[k] = shingle_sets(raw, np.array([0, len(raw)]))[0]
+            return sets[k]
+
+        def root(c: int) -> int:
+            while parent.get(c, c) != c:
+                c = parent[c]
+            return c
+
+        found = []
+        for v in np.flatnonzero(visits).tolist():
+            likely = homes[
+                ((signature[homes] == signature[v]).sum(axis=1) >= LEAST_AGREEING) & (part[homes] != part[v])
+                & ((bands[homes] == bands[v]).argmax(axis=1) == band)
+            ]
+            for h in likely.tolist():
+                x, y = root(int(part[v])), root(int(part[h]))
+                if x == y:
+                    continue
+                both = np.concatenate([shingles(v), shingles(h)])
+                both.sort()
+                shared = int((both[1:] == both[:-1]).sum())
+                if 100 * shared >= percent * (len(both) - shared):
+                    parent[max(x, y)] = min(x, y)
+                    found.append((int(rep[v]), int(rep[h])))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return links
+
+
+def _crowded_links(crowded: DataFrame, reps: DataFrame, texts: DataFrame, components: DataFrame, percent: int) -> DataFrame:
+    """Links of large buckets that other links have not implied yet.
+
+    A bucket of one component is done.  Of the others, the members outside the
+    bucket's largest component visit every block of the bucket, a block of
+    visitors at a time: rows grow with members and visits, not with pairs.
+    """
+    held = _labelled(crowded.select("key", "band", "rep"), "rep", components, "part")
+    sizes = held.groupBy("key", "part").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("key").agg(
+        F.max(F.struct("n", (-F.col("part")).alias("minus"))).alias("top"), F.sum("n").alias("n")
+    ).where("n > top.n").select(
+        "key", (-F.col("top.minus")).alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("home_blocks"),
+        F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("visit_blocks"),
+    )
+    held = held.join(mixed, "key")
+
+    def nth(blocks: str, salt: int) -> Column:
+        return F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(blocks)).cast("int")
+
+    def every(blocks: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+
+    columns = ["key", "band", "rep", "part"]
+    homes = held.select(*columns, F.lit(False).alias("visits"), nth("home_blocks", 1).alias("home"), every("visit_blocks").alias("visit"))
+    visitors = held.where("part <> main").select(
+        *columns, F.lit(True).alias("visits"), every("home_blocks").alias("home"), nth("visit_blocks", 2).alias("visit")
     )
-    sizes = split.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
-    left = split.join(sizes, "key")
-    right = left.select("key", F.col("rep").alias("b"), F.col("part").alias("other_part"))
-    return left.withColumnRenamed("rep", "a").join(right, "key").where("a < b AND part <> other_part").select("a", "b").distinct()
+    marks = reps.select(F.col("doc_id").alias("rep"), "bands", "signature")
+    rows = homes.unionByName(visitors).join(marks, "rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    return rows.groupBy("key", "home", "visit").applyInArrow(_block_links(percent), "a long, b long")
 
 
 def near_dedup(docs: DataFrame, *, percent: int = SIMILAR_PERCENT) -> DataFrame:
@@ -200,8 +261,8 @@ def near_dedup(docs: DataFrame, *, percent: int = SIMILAR_PERCENT) -> DataFrame:
        to 32 classes, the pairs with the bucket's least class in a larger one.
     3. Signatures, then full sets, confirm the pairs of each class with its least
        and its most similar candidate; components follow.  Only pairs between
-       different components are left, and all of these are confirmed likewise,
-       those of large buckets included.
+       different components are left, and all of these are confirmed likewise;
+       those of large buckets are compared in blocks.
 
     Texts without words, and NULL texts, have ``n_shingles`` 0 and their own
     component.  A NULL ``doc_id`` is linked with nothing, has a NULL component
@@ -216,9 +277,9 @@ def near_dedup(docs: DataFrame, *, percent: int = SIMILAR_PERCENT) -> DataFrame:
     digest = ["set_hi", "set_lo", "n_shingles"]
     classes = scratch.keep(filled.groupBy(*digest).agg(F.min("doc_id").alias("rep")))
     reps = filled.join(classes.withColumnRenamed("rep", "doc_id"), [*digest, "doc_id"], "left_semi").dropDuplicates([*digest, "doc_id"])
-    bands = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
+    bands = reps.select(F.col("doc_id").alias("rep"), F.posexplode("bands").alias("band", "key"))
     sizes = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).where("n > 1")
-    shared = scratch.keep(bands.join(sizes, "key").select("key", "rep", "n", "leader"))
+    shared = scratch.keep(bands.join(sizes, "key").select("key", "band", "rep", "n", "leader"))
     crowded = shared.where(F.col("n") > FULL_BUCKET)
     candidates = _ordered(
         _pairs_of_lists(shared.where(F.col("n") <= FULL_BUCKET)).unionByName(
@@ -237,12 +298,14 @@ def near_dedup(docs: DataFrame, *, percent: int = SIMILAR_PERCENT) -> DataFrame:
     edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     components = scratch.keep(connected_components(edges, scratch))
 
-    rest = _apart(likely, components)
-    more = _likely(_crowded_pairs(crowded, shared.select("rep", "key"), components), reps).select("a", "b")
-    found = scratch.keep(_confirmed(rest.unionByName(more).distinct(), texts, percent))
-    if not found.isEmpty():
-        edges = edges.unionByName(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        components = scratch.keep(connected_components(edges, scratch))
+    for more in (
+        lambda: _confirmed(_apart(likely, components), texts, percent),
+        lambda: _crowded_links(crowded, reps, texts, components, percent),
+    ):
+        found = scratch.keep(more())
+        if not found.isEmpty():
+            edges = edges.unionByName(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
+            components = scratch.keep(connected_components(edges, scratch))
 
     final = scratch.keep(_labelled(classes, "rep", components, "component_id").drop("rep"))
     component = F.coalesce("component_id", "doc_id")
