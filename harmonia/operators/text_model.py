@@ -1,8 +1,8 @@
 """Nearest-centroid classifier over TF-IDF character n-grams, in long form.
 
-A vector is rows of (document, token, weight).  Documents are shuffled once, as
-whole texts, before they are cut into n-grams; counting and normalising then
-stay inside their partition.  Tokens are joined with the model, which has one
+A vector is rows of (document, token, weight).  Long texts are counted where they
+are read; short records with several features are shuffled once, before they are
+cut into n-grams.  Tokens are joined with the model, which has one
 row per token, and common tokens are salted by their known document frequency.
 """
 
@@ -13,16 +13,18 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from harmonia import fixed_values as fixed
+from harmonia.functions import ngram_counts
 from harmonia.functions.matching import target_type_compatible
-from harmonia.functions.ngrams import ngrams_of, weighted_list_tokens, weighted_tokens
+from harmonia.functions.ngrams import weighted_list_tokens, weighted_tokens
 from harmonia.functions.text import normalize, text
 from harmonia.functions.values import suggestion_status, value_mapping_label
 from harmonia.operators.matching import target_fields
 from harmonia.operators.skew import hot_counts, join_unique
 from harmonia.plans.mapping_document import Mapping
-from harmonia.session import cut_lineage
+from harmonia.session import written
 
 ID = "record_id"
 
@@ -128,17 +130,22 @@ def token_counts(records: DataFrame, features: Column, *keep: str) -> DataFrame:
     return exploded.groupBy(ID, *keep, F.col("_f.token").alias("token")).agg(F.sum("_f.weight").alias("n"))
 
 
-def text_token_counts(records: DataFrame, column: str, *keep: str, prefix: str = "text") -> DataFrame:
-    """`token_counts` of one long text per record: the text itself and its n-grams, each once.
+def text_token_counts(records: DataFrame, column: str, *keep: str) -> DataFrame:
+    """`token_counts` of one long text per record: its n-grams, and a digest that stands for the whole text.
 
-    Texts are normalised after the shuffle, once, and tokens get their prefix
-    after the explode, inside generated code.
+    A record is one row here, so its counts need no shuffle: texts are normalised
+    by the JVM and counted in Arrow batches, the longest piece by piece.  Tokens
+    carry no prefix, as a model has one text column.
     """
-    compact = _spread(records).select(ID, *keep, normalize(text(F.col(column))).alias("_compact")).where("_compact <> ''")
-    pieces = F.concat(F.array("_compact"), ngrams_of(F.col("_compact")))
-    exploded = compact.select(ID, *keep, F.posexplode(pieces).alias("_at", "_piece"))
-    start = F.when(F.col("_at") == 0, f"{prefix}:").otherwise(f"{prefix}:ngram:")
-    return exploded.groupBy(ID, *keep, F.concat(start, "_piece").alias("token")).agg(F.count("*").alias("n"))
+    compact = records.select(ID, *keep, normalize(text(F.col(column))).alias("_compact")).where("_compact <> ''")
+    kept = compact.schema.fields[:-1]
+    token = [T.StructField("token", T.StringType()), T.StructField("n", T.LongType())]
+    return compact.mapInArrow(ngram_counts.counter(len(kept)), T.StructType([*kept, *token]))
+
+
+def written_counts(counts: DataFrame) -> DataFrame:
+    """Counts written once to the shared folder, for the three that read them: frequency, vectors and predictions."""
+    return written(counts)
 
 
 def document_frequency(counts: DataFrame, examples: Column) -> DataFrame:
@@ -194,10 +201,10 @@ def train(records: DataFrame, counts: DataFrame, *, materialize: bool = False) -
 
     ``counts`` are their token counts, with ``expected`` kept.  With
     ``materialize`` the token table, the label means and the model are
-    checkpointed, since each is read more than once.  The counts are not:
-    cutting texts into n-grams again costs less than writing ten times their size.
+    written, since each is read more than once.  The counts are not: where they
+    serve predictions too, the caller writes them (`written_counts`).
     """
-    keep = cut_lineage if materialize else lambda df: df
+    keep = written if materialize else lambda df: df
     labels = records.groupBy(F.col("expected").alias("label")).agg(F.count("*").alias("examples_count"))
     tokens = keep(document_frequency(counts, records.agg(F.count("*")).scalar()))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from harmonia.operators import matching, profiling, text_model
 from harmonia.plans.mapping_document import assemble
-from harmonia.session import cut_lineage
+from harmonia.session import cut_lineage, written
 from suite import query
 from suite.profiles import sources
 from suite.sqltext import norm
@@ -27,9 +27,11 @@ def counts(docs: DataFrame, *keep: str) -> DataFrame:
     return text_model.text_token_counts(docs, "text", *keep)
 
 
-def model(spark: SparkSession, sf_dir: str) -> text_model.Model:
+def learned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, text_model.Model]:
+    """Documents, their counts (written once) and the model."""
     docs = documents(spark, sf_dir)
-    return text_model.train(docs, counts(docs, "expected"), materialize=True)
+    held = text_model.written_counts(counts(docs, "expected"))
+    return docs, held, text_model.train(docs, held, materialize=True)
 
 
 # SQL cuts texts into pieces of 200 characters with an overlap of four, then every
@@ -91,9 +93,10 @@ def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def tfidf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    tokens = cut_lineage(text_model.document_frequency(counts(docs), docs.agg(F.count("*")).scalar()))
+    held = text_model.written_counts(counts(docs))
+    tokens = written(text_model.document_frequency(held, docs.agg(F.count("*")).scalar()))
     weight = F.col("weight")
-    return text_model.vectors(counts(docs), tokens).groupBy(F.col("record_id").alias("doc_id")).agg(
+    return text_model.vectors(held, tokens).groupBy(F.col("record_id").alias("doc_id")).agg(
         F.count("*").alias("tokens"), F.round(F.sum(weight), 4).alias("total"), F.round(F.max(weight), 6).alias("heaviest"),
         F.round(F.sqrt(F.sum(weight * weight)), 5).alias("length"),
     )
@@ -106,7 +109,7 @@ def tfidf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def centroid_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     weight = F.col("weight")
-    return model(spark, sf_dir).centroids().groupBy("label").agg(
+    return learned(spark, sf_dir)[2].centroids().groupBy("label").agg(
         F.count("*").alias("tokens"), F.round(F.sum(weight), 3).alias("total"), F.round(F.max(weight), 6).alias("heaviest"),
         F.round(F.sqrt(F.sum(weight * weight)), 5).alias("length"),
     )
@@ -114,8 +117,8 @@ def centroid_train(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("centroid_predict", SCORES_SQL + " SELECT doc_id, rank, label, score FROM ranked WHERE rank <= 3")
 def centroid_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    found = text_model.predict(docs, counts(docs), model(spark, sf_dir), 3)
+    docs, held, model = learned(spark, sf_dir)
+    found = text_model.predict(docs, held, model, 3)
     return found.select(
         F.col("record_id").alias("doc_id"), F.col("rank").cast("bigint").alias("rank"), "label", "score"
     )
@@ -129,8 +132,8 @@ def centroid_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
        0.0 AS blocked_s4_recall, CAST(0 AS BIGINT) AS blocked_s4_examples FROM ranked""",
 )
 def centroid_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    predicted = text_model.predict(docs, counts(docs), model(spark, sf_dir), 3, "expected")
+    docs, held, model = learned(spark, sf_dir)
+    predicted = text_model.predict(docs, held, model, 3, "expected")
     return text_model.evaluate(predicted, 3)
 
 
@@ -168,6 +171,6 @@ def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles, mapping = mapped_catalogue(spark, sf_dir)
     records = cut_lineage(text_model.column_records(text_model.learning_records(mapping, profiles.columns)))
     features = text_model.token_counts(records, text_model.column_features(), "expected")
-    learned = text_model.train(records, features, materialize=True)
-    found = text_model.suggest(profiles.columns, profiles.sources, learned, min_score=0.2)
+    model = text_model.train(records, features, materialize=True)
+    found = text_model.suggest(profiles.columns, profiles.sources, model, min_score=0.2)
     return found.select("source_ref", "source_column", "candidate_entity", "rank", "target", "score", "status")
