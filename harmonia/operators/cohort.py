@@ -8,7 +8,7 @@ that table, not one job per step.
 
 from __future__ import annotations
 
-from collections.abc import Collection, Mapping
+from collections.abc import Callable, Collection, Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
@@ -329,11 +329,22 @@ class CohortResult:
     diagnostics: DataFrame
     summary: DataFrame
     included: DataFrame
+    recount: Callable[[DataFrame], DataFrame]
+    assemble: Callable[[DataFrame, DataFrame], CohortResult]
 
     def save(self, folder: str) -> None:
-        """Write the parts of the result as tables of a folder."""
+        """Write the parts of the result as tables of a folder.
+
+        Workers and the row of counts are written first, each in one pass, and
+        the others are made of what was written.
+        """
+        spark = self.workers.sparkSession
+        write_artifacts({"workers": self.workers}, folder)
+        workers = spark.read.schema(self.workers.schema).parquet(f"{folder}/workers")
+        write_artifacts({"counts": self.recount(workers)}, folder)
+        whole = self.assemble(workers, spark.read.schema(self.counts.schema).parquet(f"{folder}/counts"))
         parts = ("steps", "events", "sequences", "availability", "diagnostics", "summary", "included")
-        write_artifacts({name: getattr(self, name) for name in parts}, folder)
+        write_artifacts({name: getattr(whole, name) for name in parts}, folder)
 
 
 def worker_flags(
@@ -374,8 +385,8 @@ def evaluate_cohort(
 
     ``tables`` holds the tables that exist; a needed table that is not in it is
     reported and ends the evaluation with an empty inclusion.  With
-    ``materialize`` the worker table is checkpointed, so that reading several
-    parts of the result computes it once.
+    ``materialize`` the worker table and the row of counts are written, so that
+    reading several parts of the result computes them once.
     """
     if not isinstance(definition, CohortDefinition):
         definition = CohortDefinition.from_dict(definition)
@@ -418,129 +429,134 @@ def evaluate_cohort(
     for name in event_columns.values():
         aggregates.append(F.coalesce(F.sum(name), F.lit(0)).cast("bigint").alias(name))
         aggregates.append(F.count_if(F.col(name) > 0).alias(f"workers_{name}"))
-    # Row counts of the needed tables ride along as scalar sub-queries; Parquet
-    # answers them from its footers.
-    counts = workers.agg(*aggregates).select(
-        "*", *[tables[t].agg(F.count("*")).scalar().alias(f"rows_{t}") for t in required if t in tables]
-    )
+    def recount(workers: DataFrame) -> DataFrame:
+        # Row counts of the needed tables ride along as scalar sub-queries; Parquet
+        # answers them from its footers.
+        return workers.agg(*aggregates).select(
+            "*", *[tables[t].agg(F.count("*")).scalar().alias(f"rows_{t}") for t in required if t in tables]
+        )
 
-    last = len(passes) - 1
-    no_int, no_text = F.lit(None).cast("bigint"), F.lit(None).cast("string")
-    step_rows = [
-        _row(
-            ord=F.lit(0), id=F.lit("source_population"), label=F.lit("Travailleurs source"),
-            input_count=no_int, output_count=F.col("step_0"), excluded_count=F.lit(0).cast("bigint"),
-            matched_pairs_count=no_int,
+    def assemble(workers: DataFrame, counts: DataFrame) -> CohortResult:
+        last = len(passes) - 1
+        no_int, no_text = F.lit(None).cast("bigint"), F.lit(None).cast("string")
+        step_rows = [
+            _row(
+                ord=F.lit(0), id=F.lit("source_population"), label=F.lit("Travailleurs source"),
+                input_count=no_int, output_count=F.col("step_0"), excluded_count=F.lit(0).cast("bigint"),
+                matched_pairs_count=no_int,
+            )
+        ]
+        named = [*static, *[(f"longitudinal:{s.id}", s.label) for s in sequences]]
+        for i, (step, label) in enumerate(named, start=1):
+            before, after = F.col(f"step_{i - 1}"), F.col(f"step_{i}")
+            pairs = F.col(f"pairs_{i - 1 - len(static)}") if i > len(static) else no_int
+            step_rows.append(
+                _row(ord=F.lit(i), id=F.lit(step), label=F.lit(label), input_count=before, output_count=after,
+                     excluded_count=before - after, matched_pairs_count=pairs)
+            )
+        steps = counts.select(F.inline(F.array(*step_rows)))
+
+        event_rows = [
+            _row(id=F.lit(e.name), table=F.lit(e.table), date_field=F.lit(e.date_field),
+                 records_count=F.col(event_columns[e.name]), workers_count=F.col(f"workers_{event_columns[e.name]}"))
+            for e in active.events
+            if event_columns
+        ]
+        events = _rows(counts, event_rows, "id string, table string, date_field string, records_count bigint, workers_count bigint")
+        sequence_rows = [
+            _row(ord=F.lit(i), id=F.lit(s.id), label=F.lit(s.label), first_event=F.lit(s.first), then_event=F.lit(s.then),
+                 relation=F.lit(s.relation), min_days=F.lit(s.min_days).cast("int"), max_days=F.lit(s.max_days).cast("int"),
+                 matched_pairs_count=F.col(f"pairs_{i}"), matched_workers_count=F.col(f"step_{1 + len(static) + i}"))
+            for i, s in enumerate(sequences)
+        ]
+        sequence_df = _rows(
+            counts, sequence_rows,
+            "ord int, id string, label string, first_event string, then_event string, relation string, "
+            "min_days int, max_days int, matched_pairs_count bigint, matched_workers_count bigint",
         )
-    ]
-    named = [*static, *[(f"longitudinal:{s.id}", s.label) for s in sequences]]
-    for i, (step, label) in enumerate(named, start=1):
-        before, after = F.col(f"step_{i - 1}"), F.col(f"step_{i}")
-        pairs = F.col(f"pairs_{i - 1 - len(static)}") if i > len(static) else no_int
-        step_rows.append(
-            _row(ord=F.lit(i), id=F.lit(step), label=F.lit(label), input_count=before, output_count=after,
-                 excluded_count=before - after, matched_pairs_count=pairs)
+        availability = counts.select(
+            F.inline(F.array(*[
+                _row(table=F.lit(t), status=F.lit("available" if t in tables else "missing"),
+                     row_count=F.col(f"rows_{t}") if t in tables else F.lit(0).cast("bigint"))
+                for t in required
+            ]))
         )
-    steps = counts.select(F.inline(F.array(*step_rows)))
-
-    event_rows = [
-        _row(id=F.lit(e.name), table=F.lit(e.table), date_field=F.lit(e.date_field),
-             records_count=F.col(event_columns[e.name]), workers_count=F.col(f"workers_{event_columns[e.name]}"))
-        for e in active.events
-        if event_columns
-    ]
-    events = _rows(counts, event_rows, "id string, table string, date_field string, records_count bigint, workers_count bigint")
-    sequence_rows = [
-        _row(ord=F.lit(i), id=F.lit(s.id), label=F.lit(s.label), first_event=F.lit(s.first), then_event=F.lit(s.then),
-             relation=F.lit(s.relation), min_days=F.lit(s.min_days).cast("int"), max_days=F.lit(s.max_days).cast("int"),
-             matched_pairs_count=F.col(f"pairs_{i}"), matched_workers_count=F.col(f"step_{1 + len(static) + i}"))
-        for i, s in enumerate(sequences)
-    ]
-    sequence_df = _rows(
-        counts, sequence_rows,
-        "ord int, id string, label string, first_event string, then_event string, relation string, "
-        "min_days int, max_days int, matched_pairs_count bigint, matched_workers_count bigint",
-    )
-    availability = counts.select(
-        F.inline(F.array(*[
-            _row(table=F.lit(t), status=F.lit("available" if t in tables else "missing"),
-                 row_count=F.col(f"rows_{t}") if t in tables else F.lit(0).cast("bigint"))
-            for t in required
-        ]))
-    )
 
-    def issue(severity: str, code: str, present: Column, *, table: Any = None, field: Any = None,
-              subject: Any = None, message: str = "") -> Column:
-        return F.when(
-            present,
-            _row(severity=F.lit(severity), code=F.lit(code), table=F.lit(table).cast("string"),
-                 field=F.lit(field).cast("string"), subject=F.lit(subject).cast("string"), message=F.lit(message)),
+        def issue(severity: str, code: str, present: Column, *, table: Any = None, field: Any = None,
+                  subject: Any = None, message: str = "") -> Column:
+            return F.when(
+                present,
+                _row(severity=F.lit(severity), code=F.lit(code), table=F.lit(table).cast("string"),
+                     field=F.lit(field).cast("string"), subject=F.lit(subject).cast("string"), message=F.lit(message)),
+            )
+
+        issues = [
+            issue("blocking", "missing_table", F.lit(True), table=t, message=f"Required table is missing: {t}")
+            for t in missing
+        ]
+        if not missing:
+            for table, names in fields.items():
+                rows = F.col(f"rows_{table}")
+                issues.append(issue("warning", "empty_table", rows == 0, table=table, message=f"Table is empty: {table}"))
+                issues += [
+                    issue("blocking", "missing_field", rows > 0, table=table, field=name,
+                          message=f"Required field is missing: {table}.{name}")
+                    for name in names
+                    if name not in reader.types(table)
+                ]
+        issues += [
+            issue("warning", "empty_event", F.col(event_columns[e.name]) == 0, table=e.table, subject=e.name,
+                  message=f"No record for event {e.name}")
+            for e in active.events
+            if event_columns
+        ]
+        issues += [
+            issue("warning", "temporal_no_match", F.col(f"pairs_{i}") == 0, subject=s.id,
+                  message=f"No pair of records satisfies sequence {s.id}")
+            for i, s in enumerate(sequences)
+        ]
+        issues += [
+            issue("info", "unlinked_date_field", F.lit(True), subject=name,
+                  message=f"Date field of event {name} is read from the event's own row")
+            for name in active.unknown_link_prefixes()
+        ]
+        found = F.filter(F.array(*issues), lambda d: d.isNotNull()) if issues else None
+        diagnostics = _rows(
+            counts, found if found is not None else [],
+            "severity string, code string, table string, field string, subject string, message string",
         )
 
-    issues = [
-        issue("blocking", "missing_table", F.lit(True), table=t, message=f"Required table is missing: {t}")
-        for t in missing
-    ]
-    if not missing:
-        for table, names in fields.items():
-            rows = F.col(f"rows_{table}")
-            issues.append(issue("warning", "empty_table", rows == 0, table=table, message=f"Table is empty: {table}"))
-            issues += [
-                issue("blocking", "missing_field", rows > 0, table=table, field=name,
-                      message=f"Required field is missing: {table}.{name}")
-                for name in names
-                if name not in reader.types(table)
-            ]
-    issues += [
-        issue("warning", "empty_event", F.col(event_columns[e.name]) == 0, table=e.table, subject=e.name,
-              message=f"No record for event {e.name}")
-        for e in active.events
-        if event_columns
-    ]
-    issues += [
-        issue("warning", "temporal_no_match", F.col(f"pairs_{i}") == 0, subject=s.id,
-              message=f"No pair of records satisfies sequence {s.id}")
-        for i, s in enumerate(sequences)
-    ]
-    issues += [
-        issue("info", "unlinked_date_field", F.lit(True), subject=name,
-              message=f"Date field of event {name} is read from the event's own row")
-        for name in active.unknown_link_prefixes()
-    ]
-    found = F.filter(F.array(*issues), lambda d: d.isNotNull()) if issues else None
-    diagnostics = _rows(
-        counts, found if found is not None else [],
-        "severity string, code string, table string, field string, subject string, message string",
-    )
+        def severity_count(severity: str) -> Column:
+            if found is None:
+                return F.lit(0).cast("bigint")
+            return F.size(F.filter(found, lambda d: d["severity"] == severity)).cast("bigint")
+
+        included_count = F.lit(0).cast("bigint") if missing else F.col(f"step_{last}")
+        summary = counts.select(
+            F.lit(definition.name).alias("cohort_name"),
+            F.lit(definition.schema_version).alias("schema_version"),
+            F.when(severity_count("blocking") > 0, "not_feasible")
+            .when((F.col("step_0") > 0) & (included_count == 0), "feasible_empty")
+            .otherwise("feasible")
+            .alias("feasibility_status"),
+            F.col("step_0").alias("source_population_count"),
+            included_count.alias("included_count"),
+            (F.col("step_0") - included_count).alias("excluded_count"),
+            F.lit(",".join(required)).alias("required_tables"),
+            F.lit(",".join(missing)).alias("missing_tables"),
+            F.lit(len(definition.sequences)).cast("bigint").alias("longitudinal_sequences_count"),
+            severity_count("blocking").alias("blocking_diagnostics_count"),
+            severity_count("warning").alias("warning_diagnostics_count"),
+            (severity_count("blocking") + severity_count("warning")).alias("diagnostics_count"),
+        )
+        included = workers.where(F.lit(False) if missing else passes[-1]).select("travailleur_id").orderBy("travailleur_id")
+        return CohortResult(
+            definition, required, missing, workers, counts, steps, events, sequence_df, availability,
+            diagnostics, summary, included, recount, assemble,
+        )
 
-    def severity_count(severity: str) -> Column:
-        if found is None:
-            return F.lit(0).cast("bigint")
-        return F.size(F.filter(found, lambda d: d["severity"] == severity)).cast("bigint")
-
-    included_count = F.lit(0).cast("bigint") if missing else F.col(f"step_{last}")
-    summary = counts.select(
-        F.lit(definition.name).alias("cohort_name"),
-        F.lit(definition.schema_version).alias("schema_version"),
-        F.when(severity_count("blocking") > 0, "not_feasible")
-        .when((F.col("step_0") > 0) & (included_count == 0), "feasible_empty")
-        .otherwise("feasible")
-        .alias("feasibility_status"),
-        F.col("step_0").alias("source_population_count"),
-        included_count.alias("included_count"),
-        (F.col("step_0") - included_count).alias("excluded_count"),
-        F.lit(",".join(required)).alias("required_tables"),
-        F.lit(",".join(missing)).alias("missing_tables"),
-        F.lit(len(definition.sequences)).cast("bigint").alias("longitudinal_sequences_count"),
-        severity_count("blocking").alias("blocking_diagnostics_count"),
-        severity_count("warning").alias("warning_diagnostics_count"),
-        (severity_count("blocking") + severity_count("warning")).alias("diagnostics_count"),
-    )
-    included = workers.where(F.lit(False) if missing else passes[-1]).select("travailleur_id").orderBy("travailleur_id")
-    return CohortResult(
-        definition, required, missing, workers, counts, steps, events, sequence_df, availability,
-        diagnostics, summary, included,
-    )
+    counts = recount(workers)
+    return assemble(workers, cut_lineage(counts) if materialize else counts)
 
 
 def _row(**columns: Column) -> Column:

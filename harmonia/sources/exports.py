@@ -17,7 +17,6 @@ from pyspark.sql import types as T
 
 DELIMITERS = (",", ";", "\t", "|")
 SHEET_SEPARATOR = "#"
-SAMPLE_LINES = 64
 # Bytes that Windows-1252 leaves undefined; a file that holds one is Latin-1.
 UNDEFINED_1252 = "81|8D|8F|90|9D"
 
@@ -96,33 +95,50 @@ def list_sources(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
 
 
 # --- CSV -----------------------------------------------------------------------------------------
-def _traits(lines: DataFrame) -> tuple[str, bool]:
-    """Encoding, and whether some quoted cell spans lines: one distributed pass over the bytes."""
+Range = tuple[int, int]
+
+
+def _traits(lines: DataFrame) -> tuple[str, bool, dict[str, Range]]:
+    """Encoding, whether some quoted cell spans lines, and how often each delimiter stands on a line.
+
+    One distributed pass over all bytes.  Delimiters count outside quotes, at
+    least and at most, over the lines whose quotes are even.
+    """
     raw = F.col("value").cast("binary")
+    even = F.pmod(F.length(F.regexp_replace("value", '[^"]', "")), F.lit(2)) == 0
+    bare = F.when(even & (F.col("value") != ""), F.regexp_replace("value", '"[^"]*"', ""))
+    counts = [F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit(""))) for d in DELIMITERS]
     row = lines.agg(
         F.coalesce(F.bool_and(F.is_valid_utf8("value")), F.lit(True)).alias("utf8"),
         F.coalesce(F.bool_or(F.hex(raw).rlike(f"^(..)*({UNDEFINED_1252})")), F.lit(False)).alias("undefined"),
-        F.coalesce(
-            F.bool_or(F.pmod(F.length(F.regexp_replace("value", '[^"]', "")), F.lit(2)) == 1), F.lit(False)
-        ).alias("spans"),
+        F.coalesce(F.bool_or(~even), F.lit(False)).alias("spans"),
+        *[f(n).alias(f"{name}_{i}") for i, n in enumerate(counts) for name, f in (("least", F.min), ("most", F.max))],
     ).first()
     encoding = "utf-8" if row["utf8"] else "latin-1" if row["undefined"] else "cp1252"
-    return encoding, row["spans"]
+    ranges = {d: (row[f"least_{i}"], row[f"most_{i}"]) for i, d in enumerate(DELIMITERS) if row[f"least_{i}"] is not None}
+    return encoding, row["spans"], ranges
 
 
-def choose_delimiter(lines: list[str]) -> str:
-    """The delimiter found equally often, and most often, on every sample line."""
+def pick_delimiter(ranges: dict[str, Range], header: str) -> str:
+    """The delimiter found equally often, and most often, on every line; else the header's most frequent one."""
     best, best_count = ",", 0
-    for delimiter in DELIMITERS:
-        counts = {len(next(csv.reader([line], delimiter=delimiter), [])) - 1 for line in lines}
-        if len(counts) == 1 and (count := counts.pop()) > best_count:
-            best, best_count = delimiter, count
-    if best_count == 0 and lines:
-        header = lines[0]
-        best = max(DELIMITERS, key=header.count) if any(d in header for d in DELIMITERS) else ","
+    for delimiter, (least, most) in ranges.items():
+        if least == most and least > best_count:
+            best, best_count = delimiter, least
+    if best_count == 0 and any(d in header for d in DELIMITERS):
+        best = max(DELIMITERS, key=header.count)
     return best
 
 
+def choose_delimiter(lines: list[str]) -> str:
+    """`pick_delimiter` for lines at hand."""
+    ranges = {}
+    for delimiter in DELIMITERS if lines else ():
+        counts = [len(next(csv.reader([line], delimiter=delimiter), [])) - 1 for line in lines]
+        ranges[delimiter] = (min(counts), max(counts))
+    return pick_delimiter(ranges, lines[0] if lines else "")
+
+
 def _decode_1252(cell: Column) -> Column:
     """Windows-1252 text that was read as Latin-1: only the range 0x80-0x9F differs."""
     codes = [c for c in range(0x80, 0xA0) if bytes([c]).decode("cp1252", "ignore")]
@@ -132,14 +148,13 @@ def _decode_1252(cell: Column) -> Column:
 def read_csv_source(spark: SparkSession, path: str, source_ref: str) -> tuple[tuple[str, ...], DataFrame]:
     """Header names and the raw rows: ``_block`` and ``_position`` give their place in the file."""
     lines = spark.read.text(path)
-    encoding, spans_lines = _traits(lines)
-    sample = lines.where(F.col("value") != "").limit(SAMPLE_LINES).select(F.col("value").cast("binary")).collect()
-    decoded = [bytes(row[0]).decode("utf-8-sig" if encoding == "utf-8" else encoding) for row in sample]
-    if not decoded:
+    encoding, spans_lines, ranges = _traits(lines)
+    first = lines.where(F.col("value") != "").select(F.col("value").cast("binary")).head(1)
+    if not first:
         return (), spark.createDataFrame([], "_file string, _block bigint, _position bigint")
-    whole = [line for line in decoded if line.count('"') % 2 == 0]
-    delimiter = choose_delimiter(whole or decoded[:1])
-    header = next(csv.reader([decoded[0]], delimiter=delimiter))
+    header_line = bytes(first[0][0]).decode("utf-8-sig" if encoding == "utf-8" else encoding)
+    delimiter = pick_delimiter(ranges, header_line)
+    header = next(csv.reader([header_line], delimiter=delimiter))
     raw = spark.read.csv(
         path,
         schema=T.StructType([T.StructField(f"h_{i}", T.StringType()) for i in range(len(header))]),
