@@ -24,6 +24,11 @@ def name_ratio(left: Column, right: Column) -> Column:
     return pandas_udf(ratios, DoubleType())(left, right)
 
 
+def edit_ratio(left: Column, right: Column) -> Column:
+    """1 less the edit distance over the longer length: a ratio without Python."""
+    return F.lit(1.0) - F.levenshtein(left, right) / F.greatest(F.length(left), F.length(right), F.lit(1))
+
+
 def best_ratio(name: Column, others: Column) -> Column:
     """Best ratio of a name with any of the others; 0 without others."""
 

@@ -7,6 +7,7 @@ taken from the few distinct column sets of the catalogue, never from values.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -75,7 +76,8 @@ def exact_values(columns: DataFrame, sources: DataFrame, counts: DataFrame) -> D
 
 
 def join_candidates(
-    columns: DataFrame, sources: DataFrame, counts: DataFrame | None = None
+    columns: DataFrame, sources: DataFrame, counts: DataFrame | None = None,
+    score_names: Callable[[Column, Column], Column] = name_ratio,
 ) -> DataFrame:
     """Candidate joins with a confidence of at least 0.72.
 
@@ -111,7 +113,7 @@ def join_candidates(
         # Names are compared only where the overlap alone can still reach the threshold.
         found.where(reachable >= fixed.JOIN_KEEP_THRESHOLD - 0.001)
         .withColumn("_ratio", ratio)
-        .withColumn("_names", name_ratio("left_normalized", "right_normalized"))
+        .withColumn("_names", score_names(F.col("left_normalized"), F.col("right_normalized")))
         .withColumn(
             "confidence_score",
             F.bround(

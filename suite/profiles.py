@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harmonia.operators import profiling, source_graph
-from harmonia.session import cut_lineage
 from harmonia.sources.exports import SourceTable
 from suite import query
 from suite.views import read
@@ -208,38 +207,6 @@ def overlap_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(pairs, ["left", "right"]).select("left_column", "right_column", "value")
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = sources(spark, sf_dir)
-    # Written between the stages, as the workflow does: both are read several times.
-    counts = cut_lineage(profiling.value_counts(tables))
-    profiles = profiling.profile(spark, tables, counts)
-    # Numbered keys are profiled as numbers; as keys of these tables they are identifiers.
-    columns = profiles.columns.withColumn(
-        "inferred_type", F.when(F.col("column").rlike("key$|user_id"), "identifier").otherwise(F.col("inferred_type"))
-    )
-    return source_graph.join_candidates(cut_lineage(columns), cut_lineage(profiles.sources), counts)
-
-
-@query("join_candidates")
-def join_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = candidates(spark, sf_dir)
-    return found.select(
-        F.col("left.source_ref").alias("left_file"), F.col("left.column").alias("left_column"),
-        F.col("right.source_ref").alias("right_file"), F.col("right.column").alias("right_column"),
-        "overlap_ratio", "confidence_score", "status",
-    )
-
-
-@query("join_rules")
-def join_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = source_graph.join_rules(candidates(spark, sf_dir))
-    return rules.select(
-        "id", "key_role", "join_type", "cardinality", "status",
-        F.col("primary.source_ref").alias("primary_file"), F.col("primary.column").alias("primary_column"),
-        F.col("foreign.source_ref").alias("foreign_file"), F.col("foreign.column").alias("foreign_column"),
-    )
-
-
 @query(
     "key_uniqueness",
     """

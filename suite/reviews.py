@@ -13,7 +13,7 @@ from harmonia.functions.matching import best_alias_score, levenshtein_score
 from harmonia.operators import matching, profiling, registry, review
 from harmonia.session import cut_lineage
 from suite import query
-from suite.profiles import source, sources
+from suite.profiles import source
 from suite.sqltext import norm
 from suite.views import read
 
@@ -85,17 +85,6 @@ def name_scores_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select("p_name", "parts", F.round(best_alias_score(normalize(F.col("p_name")), aliases), 6).alias("score"))
 
 
-@query("schema_match")
-def schema_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns of the given tables, read as exports of visits and workers, against the target model."""
-    profiles = profiling.profile(spark, sources(spark, sf_dir))
-    columns = cut_lineage(profiles.columns)
-    entities = F.when(F.col("source_ref").isin("orders", "events"), F.array(F.lit("visite_sante_travail"), F.lit("arret_travail")))
-    held = profiles.sources.withColumn("inferred_entities", entities.otherwise(F.array(F.lit("travailleur"), F.lit("etablissement"))))
-    proposals = matching.propose_mappings(columns, cut_lineage(held))
-    return proposals.select("source_ref", "source_column", "entity", "target_field", "confidence_score", "status")
-
-
 # --- review ---------------------------------------------------------------------------------------
 # Values: brands and types of parts.  Earlier results and decisions come from sizes and prices.
 ITEMS_SQL = """
