@@ -76,7 +76,53 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op5_pii")
+# Position of each match: what lies between matches, and the matches before.  Kinds that look around themselves
+# match one character more on either side in SQL, which is taken off again.
+def _spans_sql(k: int, kind: str, pattern: str, confirm: str, around: str = "", context: str = "") -> str:
+    low = f"CASE WHEN regexp_matches(m, '^{around}') THEN 1 ELSE 0 END" if around else "0"
+    high = f"CASE WHEN regexp_matches(m, '{around}$') THEN 1 ELSE 0 END" if around else "0"
+    near = f"AND regexp_matches(lower(substr(t, greatest(start - 39, 1), least(start, 40))), '{context}')" if context else ""
+    return f"""
+SELECT doc_id, {k} AS k, '{kind}' AS kind, start, stop FROM (
+  SELECT doc_id, t, stop - length(m) + {low} AS start, stop - {high} AS stop, trim(m, '"'' ,;:()') AS m,
+         regexp_replace(m, '[^0-9]', '', 'g') AS d FROM (
+    SELECT *, CAST(sum(gap + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS stop FROM (
+      SELECT doc_id, t, unnest(m) AS m, unnest(list_transform(s[1:len(m)], lambda x: length(x))) AS gap,
+             unnest(range(1, len(m) + 1)) AS i
+      FROM (SELECT *, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS s FROM docs)
+      WHERE len(m) > 0)))
+WHERE {confirm} {near}"""
+
+
+_LUHN = """list_sum(list_transform(range(1, length(d) + 1), lambda i:
+  (CASE WHEN i % 2 = 1 THEN CAST(substr(d, length(d) - i + 1, 1) AS INT)
+        ELSE CAST(substr('0246813579', CAST(substr(d, length(d) - i + 1, 1) AS INT) + 1, 1) AS INT) END))) % 10 = 0"""
+_MOD97 = """list_reduce(list_prepend(0, list_transform(
+  range(1, length(replace(m, ' ', '')) + 1), lambda i: strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    substr(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4), CAST(i AS INT), 1)) - 1)),
+  lambda a, x: CASE WHEN x < 10 THEN (a * 10 + x) % 97 ELSE (a * 100 + x) % 97 END) = 1"""
+PII_SQL = "WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), spans AS (" + " UNION ALL ".join([
+    _spans_sql(1, "email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    _spans_sql(2, "ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+               "NOT list_contains(list_transform(string_split(m, '.'), lambda x: coalesce(TRY_CAST(x AS HUGEINT), 999) > 255), true)"),
+    _spans_sql(3, "card", r"[0-9](?:[\x20-]?[0-9])+", f"length(d) BETWEEN 13 AND 19 AND {_LUHN}"),
+    _spans_sql(4, "phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(d) BETWEEN 9 AND 15"),
+    _spans_sql(5, "iban", r"(?:^|[^A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?:[^A-Za-z0-9]|$)", _MOD97, "[^A-Za-z0-9]"),
+    _spans_sql(6, "ssn", r"(?:^|[^0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?:[^0-9-]|$)", "true", "[^0-9-]",
+               "ssn|social security|insurance|tax id"),
+    _spans_sql(7, "secret", r"(?:^|[^A-Za-z0-9_])[A-Fa-f0-9]{32,128}(?:[^A-Za-z0-9_]|$)", "true", "[^A-Za-z0-9_]",
+               "token|key|secret|password|passwd|credential"),
+]) + """),
+joined AS (SELECT doc_id, count(*) FILTER (k = 1) AS n_email, count(*) FILTER (k = 2) AS n_ip, count(*) FILTER (k = 3) AS n_card,
+       count(*) FILTER (k = 4) AS n_phone, count(*) AS n_spans,
+       string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY k, start) FILTER (k <= 4) AS base,
+       string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY k, start) AS spans FROM spans GROUP BY 1)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
+       coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(n_spans, 0) AS n_spans FROM docs LEFT JOIN joined USING (doc_id)"""
+
+
+@query("op5_pii", PII_SQL)
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
