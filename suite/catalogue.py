@@ -5,13 +5,16 @@ Names are compared by edit distance here, which SQL can say too.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harmonia import fixed_values as fixed
 from harmonia.functions.matching import edit_ratio, levenshtein_score
 from harmonia.functions.text import plain_normalize
-from harmonia.operators import matching, profiling, source_graph
+from harmonia.operators import matching, profiling, quality, source_graph
+from harmonia.plans.mapping_document import Mapping, assemble
 from harmonia.session import cut_lineage
 from harmonia.sources.exports import SourceTable
 from suite import query
@@ -246,3 +249,79 @@ def join_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("primary.source_ref").alias("primary_file"), F.col("primary.column").alias("primary_column"),
         F.col("foreign.source_ref").alias("foreign_file"), F.col("foreign.column").alias("foreign_column"),
     )
+
+
+# --- the draft mapping and its quality rules ------------------------------------------------------------
+REQUIRED = ", ".join(
+    f"({i}, '{e}', {p}, '{f}')" for i, (e, names) in enumerate(fixed.REQUIRED_FIELDS.items()) for p, f in enumerate(names)
+)
+DRAFT_SQL = f"""
+WITH proposals AS ({MATCH_SQL}), rules AS ({RULES_SQL}),
+required(ord, entity, position, target_field) AS (VALUES {REQUIRED}),
+automatic AS (SELECT * FROM proposals WHERE status = '{fixed.AUTO}'),
+ranked AS (SELECT entity, source_ref, row_number() OVER (PARTITION BY entity ORDER BY score DESC, source_ref) AS r FROM (
+    SELECT a.entity, source_ref, round_even(count(r.target_field) * 5.0 + count(DISTINCT a.target_field)
+           + CAST(sum(CAST(confidence_score AS DECIMAL(12, 3))) AS DOUBLE), 3) AS score
+    FROM automatic a LEFT JOIN required r USING (entity, target_field) GROUP BY 1, 2)),
+fields AS (SELECT a.* FROM automatic a JOIN ranked USING (entity, source_ref) WHERE r = 1),
+gaps AS (SELECT r.entity, coalesce(string_agg(r.target_field, ', ' ORDER BY r.position) FILTER (f.entity IS NULL), '') AS missing
+         FROM required r LEFT JOIN fields f USING (entity, target_field) GROUP BY 1),
+n AS (SELECT (SELECT count(*) FROM proposals WHERE status = '{fixed.TO_REVIEW}') AS waiting, (SELECT count(*) FROM rules) AS made,
+             (SELECT count(*) FROM rules WHERE status = '{fixed.TO_REVIEW}') AS undecided)"""
+
+
+def rule_sql(rule: str, failed: str, severity: str, bad: str, good: str, table: str) -> str:
+    return (
+        f"SELECT {rule} AS rule, CASE WHEN {failed} THEN '{severity}' ELSE 'info' END AS severity, "
+        f"CASE WHEN {failed} THEN 'failed' ELSE 'passed' END AS status, CASE WHEN {failed} THEN {bad} ELSE {good} END AS message FROM {table}"
+    )
+
+
+def draft(spark: SparkSession, sf_dir: str) -> Mapping:
+    profiles, counts = profiled(spark, sf_dir)
+    proposals = cut_lineage(matching.propose_mappings(profiles.columns, profiles.sources, levenshtein_score, counts))
+    found = cut_lineage(source_graph.join_candidates(profiles.columns, profiles.sources, counts, edit_ratio))
+    return assemble(
+        profiles, proposals, matching.blocked_columns(profiles.columns), found, source_graph.join_rules(found),
+        source_system="suite", schema_version="v0", counts=counts,
+    )
+
+
+@query(
+    "quality_rules",
+    DRAFT_SQL + " " + " UNION ALL ".join([
+        rule_sql("'required_mapping:' || entity", "missing <> ''", "bloquant", "'Missing required fields: ' || missing",
+                 "'All required fields are mapped.'", "gaps"),
+        rule_sql("DISTINCT 'mapping_source_columns:' || entity", "false", "bloquant", "''",
+                 "'All mapped columns exist in ' || source_ref || '.'", "fields"),
+        rule_sql("'review_queue:pending_mapping_proposals'", "waiting > 0", "alerte",
+                 "waiting || ' mapping proposals require human review.'", "'No column mapping proposal is pending review.'", "n"),
+        rule_sql("'source_graph:join_candidates'", "made = 0", "alerte", "'No join candidate detected between exports.'",
+                 "made || ' join candidates detected between exports.'", "n"),
+        rule_sql("'source_graph:explicit_join_rules'", "undecided > 0", "alerte",
+                 "made || ' explicit join rules generated; ' || undecided || ' require review.'",
+                 "made || ' explicit join rules generated.'", "n"),
+    ]),
+)
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules over the draft mapping: required fields, mapped columns, pending proposals, candidates, rules."""
+    mapping = draft(spark, sf_dir)
+    parts = [
+        quality.required_mappings(mapping), quality.mapped_source_columns(mapping, {t.source_ref: t for t in exports(spark, sf_dir)}),
+        quality.pending_columns(mapping), quality.candidate_count(mapping), quality.pending_rules(mapping),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    "review_queue_columns",
+    DRAFT_SQL + f" SELECT source_ref, source_column, entity, target_field, confidence_score FROM proposals WHERE status = '{fixed.TO_REVIEW}'",
+)
+def review_queue_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return draft(spark, sf_dir).review_queue.select("source_ref", "source_column", "entity", "target_field", "confidence_score")
+
+
+@query("mapped_fields", DRAFT_SQL + " SELECT entity, target_field, source_ref, source_column, confidence_score FROM fields")
+def mapped_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of the draft: the automatic proposals of the source chosen for each entity."""
+    return draft(spark, sf_dir).fields.select("entity", "target_field", "source_ref", "source_column", "confidence_score")
