@@ -61,5 +61,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
+        begun = len(Scratch.opened)
         docs = scratch.keep(stage(spark, docs, sf_dir))
+        # What the stage and the one before have written is read no more.
+        scratch.clear(docs)
+        for used in Scratch.opened[begun:]:
+            used.clear()
+        del Scratch.opened[begun:]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -308,6 +308,7 @@ def near_dedup(docs: DataFrame, *, percent: int = SIMILAR_PERCENT) -> DataFrame:
             components = scratch.keep(connected_components(edges, scratch))
 
     final = scratch.keep(_labelled(classes, "rep", components, "component_id").drop("rep"))
+    scratch.clear(marks, final)
     component = F.coalesce("component_id", "doc_id")
     return marks.select("doc_id", *digest).join(final, digest, "left").select(
         "doc_id", "n_shingles",

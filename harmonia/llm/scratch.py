@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,13 +14,19 @@ class Scratch:
     """Writes tables as Parquet below ``spark.checkpoint.dir`` and reads them back.
 
     A kept table has no lineage: a lost executor costs a re-read of files, not
-    the work before them.  ``drop`` removes a table that nothing reads any more.
+    the work before them.  ``clear`` removes the tables that nothing reads any
+    more; those that a returned DataFrame still reads stay, and whoever has
+    written that DataFrame may clear all of them (``opened`` lists every folder).
     """
 
+    opened: ClassVar[list[Scratch]] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        self.tables: list[tuple[DataFrame, str]] = []
+        Scratch.opened.append(self)
 
     def keep(self, df: DataFrame) -> DataFrame:
         return self.kept(df)[0]
@@ -29,9 +36,18 @@ class Scratch:
         self.count += 1
         path = f"{self.root}/{self.count}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path), path
+        found = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((found, path))
+        return found, path
 
     def drop(self, path: str) -> None:
         jvm = self.spark._jvm
         folder = jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        self.tables = [(df, held) for df, held in self.tables if held != path]
+
+    def clear(self, *still_read: DataFrame) -> None:
+        """Drops all tables but those given."""
+        for df, path in list(self.tables):
+            if not any(df is kept for kept in still_read):
+                self.drop(path)
