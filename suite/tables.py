@@ -58,6 +58,26 @@ RULES = [
 ]
 
 
+def rule_table(spark: SparkSession) -> DataFrame:
+    """The rules as the source graph writes them, worst first, with two that may not resolve keys.
+
+    Were the undecided or the many-to-many rule used, orders would get the keys of customers as sites.
+    """
+    usable = [(r, "auto_validable", "one_to_many") for r in reversed(RULES)]
+    tempting = Rule("r0", "etablissement_id", "customer", "c_custkey", "orders", "o_site", 1.0, 0.99)
+    barred = [(tempting, "a_revoir", "one_to_many"), (tempting, "auto_validable", "many_to_many")]
+    side = "struct<source_ref:string,column:string,uniqueness_ratio:double>"
+    return spark.createDataFrame(
+        [
+            (r.id, r.key_role, status, "primary_foreign_key", cardinality, r.confidence,
+             (r.primary_source, r.primary_column, r.primary_uniqueness), (r.foreign_source, r.foreign_column, 0.5))
+            for r, status, cardinality in usable + barred
+        ],
+        "id string, key_role string, status string, join_type string, cardinality string, confidence_score double, "
+        f"primary {side}, foreign {side}",
+    )
+
+
 def source(spark: SparkSession, sf_dir: str, name: str) -> SourceTable:
     table, columns, order = SOURCES[name]
     df = read(spark, sf_dir, table).selectExpr(*columns)
@@ -65,7 +85,7 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> SourceTable:
 
 
 def context(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> JoinContext:
-    return JoinContext({n: source(spark, sf_dir, n) for n in names or SOURCES}, RULES)
+    return JoinContext.build({n: source(spark, sf_dir, n) for n in names or SOURCES}, rule_table(spark))
 
 
 def build(spark: SparkSession, sf_dir: str, entity: str) -> DataFrame:
