@@ -107,7 +107,7 @@ def test_passages_shared_across_documents(spark, docs, pairs):
         own = fx.alphanumeric_words(text[r.doc_id])[r.start_word:r.end_word]
         other = fx.alphanumeric_words(text[r.other_id])[r.other_start_word:r.other_end_word]
         assert len(own) == r.end_word - r.start_word and len(other) == r.other_end_word - r.other_start_word
-        assert r.n_match >= 0.8 * max(len(own), len(other)) and min(len(own), len(other)) >= substring_dedup.PASSAGE_WORDS
+        assert r.n_match >= substring_dedup.IDENTITY * max(len(own), len(other)) and min(len(own), len(other)) >= substring_dedup.PASSAGE_WORDS
 
 
 def test_chains_against_all_chains():
