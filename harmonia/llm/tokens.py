@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -11,6 +12,8 @@ from harmonia.llm import bytetext as bt
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 END_ID = 0
+# Pieces given to the library at once: what it returns takes over a kilobyte each.
+ENCODED_AT_ONCE = 4096
 # Pieces a worker remembers before it starts afresh (about 40 bytes each).
 REMEMBERED = 1_500_000
 
@@ -30,12 +33,32 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def word_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pieces of a tokenizer that drops white space: words."""
-    return bt.find_words(data, offsets, bt.NOT_SPACE)
+# Letters and digits of ASCII, and marks that never share a token with the one before.
+_ALNUM = np.zeros(256, dtype=bool)
+_ALNUM[[ord(c) for c in "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = True
+_MARK = np.zeros(256, dtype=bool)
+_MARK[[ord(c) for c in ".,;:!?"]] = True
 
+Pieces = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-def spaced_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def _marks_apart(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Pieces:
+    """Cuts pieces once more between an ASCII letter or digit and the mark after it: both tokenizers do."""
+    cut = np.zeros(len(data), dtype=bool)
+    cut[1:] = _MARK[data[1:]] & _ALNUM[data[:-1]]
+    cut[offsets[offsets < len(data)]] = False
+    inner = np.flatnonzero(cut)
+    starts = np.sort(np.concatenate([starts, inner]))
+    return starts, np.sort(np.concatenate([ends, inner])), np.searchsorted(starts, offsets)
+
+
+def word_pieces(data: np.ndarray, offsets: np.ndarray) -> Pieces:
+    """Pieces of a tokenizer that drops white space: words, and the marks after them."""
+    starts, ends, _ = bt.find_words(data, offsets, bt.NOT_SPACE)
+    return _marks_apart(data, offsets, starts, ends)
+
+
+def spaced_pieces(data: np.ndarray, offsets: np.ndarray) -> Pieces:
     """Pieces of a tokenizer that keeps white space with the word after it.
 
     A text is cut before one white-space byte that stands between two characters
@@ -55,17 +78,18 @@ def spaced_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
         cut[at[at < n]] = False
     cut[filled] = True
     starts = np.flatnonzero(cut)
-    return starts, np.append(starts[1:], n), np.searchsorted(starts, offsets)
+    return _marks_apart(data, offsets, starts, np.append(starts[1:], n))
 
 
 class PieceEncoder:
     """Ids of whole texts, piece by piece; ids of distinct pieces are remembered by a 64-bit hash."""
 
-    def __init__(self, path: str, pieces):
+    def __init__(self, path: str, pieces: Callable[[np.ndarray, np.ndarray], Pieces], lower: bool = False):
+        """``lower``: the tokenizer lower-cases, so pieces that differ in that are one."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.pieces = Tokenizer.from_file(path), pieces
+        self.tokenizer, self.pieces, self.lower = Tokenizer.from_file(path), pieces, lower
         self.forget()
 
     def forget(self) -> None:
@@ -73,7 +97,11 @@ class PieceEncoder:
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = [
+            e.ids
+            for a in range(0, len(texts), ENCODED_AT_ONCE)
+            for e in self.tokenizer.encode_batch_fast(texts[a:a + ENCODED_AT_ONCE], add_special_tokens=False)
+        ]
         counts = np.array([len(x) for x in found], np.int64)
         new = np.fromiter((i for x in found for i in x), np.uint32, int(counts.sum()))
         while self.used + len(new) > len(self.ids):
@@ -91,7 +119,8 @@ class PieceEncoder:
         starts, ends, bounds = self.pieces(data, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        keys, example, which = np.unique(bt.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        hashes = bt.word_hashes(bt.LOWER[data] if self.lower else data, starts, ends)
+        keys, example, which = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) > REMEMBERED:
             self.forget()
         at = np.searchsorted(self.keys, keys)
@@ -114,7 +143,7 @@ class PieceEncoder:
 @lru_cache(maxsize=2)
 def encoder(path: str, spaced: bool) -> PieceEncoder:
     """One encoder per worker process."""
-    return PieceEncoder(path, spaced_pieces if spaced else word_pieces)
+    return PieceEncoder(path, spaced_pieces) if spaced else PieceEncoder(path, word_pieces, lower=True)
 
 
 def with_ends(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
