@@ -133,11 +133,11 @@ def token_counts(records: DataFrame, features: Column, *keep: str) -> DataFrame:
 def text_token_counts(records: DataFrame, column: str, *keep: str) -> DataFrame:
     """`token_counts` of one long text per record: its n-grams, and a digest that stands for the whole text.
 
-    A record is one row here, so its counts need no shuffle: texts are normalised
+    Texts are spread once, since a few files would be a few tasks; then they are normalised
     by the JVM and counted in Arrow batches, the longest piece by piece.  Tokens
     carry no prefix, as a model has one text column.
     """
-    compact = records.select(ID, *keep, normalize(text(F.col(column))).alias("_compact")).where("_compact <> ''")
+    compact = _spread(records).select(ID, *keep, normalize(text(F.col(column))).alias("_compact")).where("_compact <> ''")
     kept = compact.schema.fields[:-1]
     token = [T.StructField("token", T.StringType()), T.StructField("n", T.LongType())]
     return compact.mapInArrow(ngram_counts.counter(len(kept)), T.StructType([*kept, *token]))
