@@ -125,6 +125,56 @@ def test_chains_against_all_chains():
         assert abs(substring_dedup.SEED_WORDS * len(path) - cost - best) < 1e-9
 
 
+def covered(rows, docs: dict[int, list[str]]) -> dict[int, set[int]]:
+    """The words of each document that its passages hold, every passage checked."""
+    held: dict[int, set[int]] = {}
+    for r in rows:
+        own, other = docs[r.doc_id][r.start_word:r.end_word], docs[r.other_id][r.other_start_word:r.other_end_word]
+        assert len(own) == r.end_word - r.start_word and len(other) == r.other_end_word - r.other_start_word
+        assert r.n_match >= substring_dedup.IDENTITY * max(len(own), len(other)) and min(len(own), len(other)) >= substring_dedup.PASSAGE_WORDS
+        held.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    return held
+
+
+def test_two_passages_with_other_text_between(spark):
+    """Both of two exact passages are found, whatever lies between them."""
+    rng, docs, expected = random.Random(12), {}, {}
+    word = lambda: f"v{rng.randrange(10**6)}"
+    for words, gap in [(60, 30), (60, 60), (60, 100), (60, 150), (60, 250), (100, 150), (300, 500)] * 5:
+        first, second = ([word() for _ in range(words)] for _ in range(2))
+        for other in (False, True):
+            i = len(docs) + 1
+            docs[i] = [word() for _ in range(9)] + first + [word() for _ in range(gap + 5 * other)] + second + [word() for _ in range(9)]
+        expected[i] = {*range(9, 9 + words), *range(14 + words + gap, 14 + 2 * words + gap)}
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    found = covered(substring_dedup.repeated_passages(table).collect(), docs)
+    assert {i for i in expected if not expected[i] <= found.get(i, set())} == set()
+
+
+def test_longest_parts_against_all_parts():
+    rng = random.Random(13)
+    for _ in range(200):
+        parts = [(3, 3, 3), (5, 5, 5)]
+        for _ in range(rng.randrange(6)):
+            on, back, n, m = rng.randrange(12), rng.randrange(12), rng.randrange(40), rng.randrange(40)
+            parts += [(on, on, on), (n, m, rng.randrange(min(n, m) + 1)), (back, back, back), (5, 5, 5)]
+        parts.append((2, 2, 2))
+
+        def passing(low, high, parts=parts):
+            for a in range(low, high):
+                for b in range(a + 1, high + 1):
+                    n, m, same = (sum(p[k] for p in parts[a:b]) for k in range(3))
+                    if a % 4 != 3 and b % 4 != 0 and min(n, m) >= 20 and 4 * same >= 3 * max(n, m):
+                        yield min(n, m), a, b
+
+        found, low = substring_dedup.longest_parts(parts, 20, 0.75), 0
+        assert max((n for n, _, _ in passing(0, len(parts))), default=0) == max(
+            (min(sum(p[k] for p in parts[a:b]) for k in range(2)) for a, b in found), default=0)
+        for a, b in [*sorted(found), (len(parts), len(parts))]:
+            assert a >= low and not list(passing(low, a)) and (a == b or any((x, y) == (a, b) for _, x, y in passing(a, b)))
+            low = b
+
+
 # --- 4 ---------------------------------------------------------------------------------------------
 def test_quality_base_and_verdict(spark, docs, pairs):
     labels = spark.createDataFrame([(k, int(k % 3 > 0), 0, "x") for k in range(1, 24)] + [(None, 1, 0, "x"), (3, None, 0, "x")],
