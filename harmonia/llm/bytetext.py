@@ -118,6 +118,15 @@ def gram_hashes(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.nd
     return mix(value[at] + np.uint64(size)), at
 
 
+def long_gram_hashes(words: np.ndarray, bounds: np.ndarray, size: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``size`` words (64 at most) that begin at the places ``at`` and end in the same text, and these places."""
+    at = at[at + size <= bounds[np.searchsorted(bounds, at, side="right")]]
+    value = np.zeros(len(at), np.uint64)
+    for k in range(size):
+        value += words[at + k] * _ORDER[k]
+    return mix(value + np.uint64(size)), at
+
+
 def span_counts(at: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """How many of the sorted positions ``at`` lie in each text."""
     return np.diff(np.searchsorted(at, bounds))

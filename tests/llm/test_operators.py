@@ -175,6 +175,21 @@ def test_longest_parts_against_all_parts():
             low = b
 
 
+def test_passage_whose_fragments_stand_in_earlier_documents(spark):
+    """Holders of a passage meet although each of its pieces occurs first elsewhere."""
+    rng, docs, expected = random.Random(14), {}, {}
+    word = lambda: f"v{rng.randrange(10**6)}"
+    for pieces in [2, 3, 4] * 10:
+        passage, n = [word() for _ in range(60)], 60 // pieces
+        held = [passage[k * n:(k + 1) * n] for k in range(pieces)] + [passage] * 3
+        for piece in held:
+            docs[len(docs) + 1] = [word() for _ in range(30)] + piece + [word() for _ in range(30)]
+        expected |= {len(docs) - k: set(range(30, 90)) for k in range(2)}
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    found = covered(substring_dedup.repeated_passages(table).collect(), docs)
+    assert {i for i in expected if not expected[i] <= found.get(i, set())} == set()
+
+
 # --- 4 ---------------------------------------------------------------------------------------------
 def test_quality_base_and_verdict(spark, docs, pairs):
     labels = spark.createDataFrame([(k, int(k % 3 > 0), 0, "x") for k in range(1, 24)] + [(None, 1, 0, "x"), (3, None, 0, "x")],
