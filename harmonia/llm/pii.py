@@ -60,8 +60,9 @@ class Kind:
     """A kind of personal data.
 
     ``score`` is what a confirmed span has by itself; one of the ``context``
-    words in the CONTEXT_CHARS characters before it adds CONTEXT_GAIN.  Spans
-    below LEAST_SCORE are dropped, but never those of ``base`` kinds.
+    words in the CONTEXT_CHARS characters before it, or for kinds that are not
+    ``base`` after it, adds CONTEXT_GAIN.  Spans below LEAST_SCORE are dropped,
+    but never those of ``base`` kinds.
     """
 
     name: str
@@ -72,6 +73,18 @@ class Kind:
     base: bool = True
 
 
+# Length of an account number by country (the registry of ISO 13616).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+# A country's number ends at its length, whatever follows it; else the longest run that stops before such a number is tried.
+_IBAN_KNOWN = "|".join(
+    f"(?:{'|'.join(codes.split())})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{length - 4}}}" for length, codes in IBAN_LENGTHS.items()
+)
+
 # Runs are scanned once: a run that fails from its first character fails from
 # every later one, so a match may begin only at a run's start or after the match
 # before.  Possessive repeats accept the same texts without deep recursion.
@@ -82,7 +95,7 @@ KINDS = (
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", _card, 0.7, "card|visa|credit|payment|tarjeta|carte|karte"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", _phone, 0.7,
          "phone|call|tel|mobile|fax|whatsapp"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", _mod97, 0.8,
+    Kind("iban", rf"(?<![A-Za-z0-9])(?:{_IBAN_KNOWN}|[A-Z]{{2}}[0-9]{{2}}(?:(?:\x20(?!(?:{_IBAN_KNOWN})(?![A-Za-z0-9])))?[A-Z0-9]){{11,30}})(?![A-Za-z0-9])", _mod97, 0.8,
          "iban|account|konto|cuenta|compte", base=False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", _always, 0.3,
          "ssn|social security|insurance|tax id", base=False),
@@ -117,7 +130,11 @@ def _spans(text: Column, found: Column, kind: Kind) -> Column:
     def scored(m: Column) -> Column:
         start = m["span"]["start"]
         before = F.lower(F.substring(text, F.greatest(start - CONTEXT_CHARS + 1, F.lit(1)), F.least(start, F.lit(CONTEXT_CHARS))))
-        gain = F.when(before.rlike(f"(?:{kind.context})"), CONTEXT_GAIN).otherwise(0.0)
+        near = before.rlike(f"(?:{kind.context})")
+        if not kind.base:
+            after = F.lower(F.substring(text, m["span"]["end"] + 1, F.lit(CONTEXT_CHARS)))
+            near = near | after.rlike(f"(?:{kind.context})")
+        gain = F.when(near, CONTEXT_GAIN).otherwise(0.0)
         return F.struct(
             F.lit(kind.name).alias("kind"), start.alias("start"), m["span"]["end"].alias("end"),
             F.least(F.lit(1.0), F.lit(kind.score) + gain).alias("score"),

@@ -237,6 +237,19 @@ def test_personal_data(spark, pairs):
     assert pii.redact(table).columns == table.columns
 
 
+def test_account_numbers_before_other_capitals_and_context_after(spark):
+    texts = {
+        1: "DE89370400440532013000 BIC COBADEFF", 2: "DE89 3704 0044 0532 0130 00 EUR 500", 3: "GB82 WEST 1234 5698 7654 32 AND MORE",
+        4: "NO93 8601 1117 947 DE89370400440532013000", 5: "DE88370400440532013000 BIC COBADEFF", 6: "123-45-6789 (SSN)", 7: "123-45-6789 (no)",
+        8: f"{'ab' * 16} is the API token", 9: "DE89 3704 0044 0532 013 GB82 WEST 1234 5698 7654 32",
+    }
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.find_pii(table).collect()}
+    assert spans == {1: "iban:0:22", 2: "iban:0:27", 3: "iban:0:27", 4: "iban:0:18,iban:19:41", 5: "", 6: "ssn:0:11", 7: "", 8: "secret:0:32", 9: "iban:24:51"}
+    redacted = {r.doc_id: r.text for r in pii.redact(table).collect()}
+    assert redacted[1] == "[IBAN] BIC COBADEFF" and redacted[2] == "[IBAN] EUR 500"
+
+
 # --- 6 ---------------------------------------------------------------------------------------------
 def test_language(spark, pairs):
     rng = random.Random(3)
