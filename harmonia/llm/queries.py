@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from harmonia.llm import (
-    decontamination, language, near_dedup, packing, pii, quality, sharding, substring_dedup, token_counts, token_files,
+    decontamination, exact_dedup, language, near_dedup, packing, pii, quality, resampling, sharding, substring_dedup,
+    token_counts, token_files,
 )
 from harmonia.llm.scratch import Scratch
 
@@ -164,3 +165,53 @@ FROM docs LEFT JOIN sizes USING (doc_id) JOIN parts USING (doc_id)
 )
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
+# Checksums byte by byte over the distinct features; the table of single bytes comes from the reflected polynomial.
+@query(
+    "op11_resampling",
+    f"""
+WITH steps AS (SELECT list_transform(range(0, 256), lambda b: list_reduce(list_prepend(b, range(1, 9)),
+                 lambda r, k: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END)) AS step),
+texts AS (SELECT true AS raw, doc_id, text FROM documents UNION ALL SELECT false, item_id, text FROM benchmark),
+words AS (SELECT raw, doc_id, regexp_extract_all({LOWER.format('text')}, '{ALPHANUMERIC}') AS w FROM texts),
+features AS (
+  SELECT raw, doc_id, unnest(w) AS g FROM words UNION ALL
+  SELECT raw, doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words),
+buckets AS (SELECT g, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, strlen(g)),
+                lambda i: ('0x' || substr(h, 2 * CAST(i AS INT) + 1, 2))::BIGINT)),
+              lambda r, b: xor(r // 256, step[CAST(xor(r % 256, b) AS INT) + 1])), 4294967295) % 10000 AS bucket
+            FROM (SELECT DISTINCT g, hex(encode(g)) AS h FROM features), steps),
+counts AS (SELECT bucket, count(*) FILTER (raw) AS s, count(*) FILTER (NOT raw) AS t FROM features JOIN buckets USING (g) GROUP BY 1),
+totals AS (SELECT coalesce(sum(s), 0) AS ss, coalesce(sum(t), 0) AS tt FROM counts),
+gains AS (SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) * (ss + 10000) AS DOUBLE) / CAST((s + 1) * (tt + 10000) AS DOUBLE))) AS BIGINT) AS gain
+          FROM counts, totals),
+sums AS (SELECT doc_id, count(*) AS n_features, sum(gain) AS total
+         FROM features JOIN buckets USING (g) JOIN gains USING (bucket) WHERE raw GROUP BY 1),
+weighed AS (SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_features, 0) AS n_features,
+                   CAST(coalesce(floor(CAST(total AS DOUBLE) / n_features), 0) AS BIGINT) AS weight,
+                   ('0x' || substr(sha256('7:' || d.doc_id), 1, 8))::BIGINT AS h
+            FROM (SELECT * FROM words WHERE raw) d LEFT JOIN sums USING (doc_id)),
+scored AS (SELECT doc_id, n_words, n_features, weight,
+                  weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM weighed),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+""",
+)
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op12_exact_dedup",
+    """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+""",
+)
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = exact_dedup.DigestIndex(spark, f"{Scratch(spark, 'digest-index').root}/index")
+    found = exact_dedup.deduplicate(table(spark, sf_dir, "documents"), index, "documents")
+    index.close()
+    return found
