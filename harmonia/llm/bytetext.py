@@ -66,6 +66,16 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[in
         low = high
 
 
+def word_border(data: np.ndarray, at: int, table: np.ndarray, step: int = 1 << 16) -> int:
+    """The first place from ``at`` on that is outside ``table``, or the end; only the bytes up to it are looked at."""
+    while at < len(data):
+        outside = np.flatnonzero(~table[data[at:at + step]])
+        if len(outside):
+            return at + int(outside[0])
+        at += step
+    return len(data)
+
+
 def find_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of the runs of ``table`` bytes, and each text's first word number.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from harmonia.llm import (
-    decontamination, exact_dedup, language, near_dedup, packing, pii, quality, resampling, sharding, substring_dedup,
+    decontamination, divergence, exact_dedup, language, near_dedup, packing, pii, quality, resampling, sharding, substring_dedup,
     token_counts, token_files,
 )
 from harmonia.llm.scratch import Scratch
@@ -215,3 +215,33 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.deduplicate(table(spark, sf_dir, "documents"), index, "documents")
     index.close()
     return found
+
+
+@query(
+    "op13_divergence",
+    f"""
+WITH docs AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                     regexp_extract_all({LOWER.format('text')}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+seen AS (SELECT i, lang, source, unnest(w) AS term FROM docs),
+terms AS (SELECT lang, term, count(*) AS n FROM seen GROUP BY 1, 2 HAVING count(DISTINCT i) >= 30),
+own AS (SELECT lang, source, term, count(*) AS n FROM seen JOIN terms USING (lang, term) GROUP BY 1, 2, 3),
+pairs AS (SELECT DISTINCT lang, source FROM docs),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM terms GROUP BY 1),
+totals AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM pairs LEFT JOIN own USING (lang, source) GROUP BY 1, 2),
+cells AS (SELECT lang, source, term, coalesce(own.n, 0) AS n,
+                 1 + 1000000000::HUGEINT * (coalesce(own.n, 0) + 5) // (t.total + 5 * v) AS p,
+                 1 + 1000000000::HUGEINT * (terms.n + 5) // (langs.total + 5 * v) AS q
+          FROM totals t JOIN langs USING (lang) JOIN terms USING (lang) LEFT JOIN own USING (lang, source, term)),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+          FROM cells a JOIN cells b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM pairs a JOIN pairs b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN apart ON apart.lang = a.lang AND apart.source = a.source AND apart.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM cells WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM found)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+""",
+)
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))

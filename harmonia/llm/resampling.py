@@ -22,6 +22,9 @@ SEED = 7
 # Rows that one list of ranks may make.
 RANKS_AT_ONCE = 100_000
 
+# Word bytes before lower-casing.
+_WORD = bt.ALPHANUMERIC[bt.LOWER]
+
 _SCORED = "doc_id long, n_words long, n_features long, weight long, score long"
 
 
@@ -36,13 +39,7 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, limit: int) -> Iterator[tuple
         return
     low, repeated = 0, False
     while low < len(data):
-        high = min(len(data), low + limit)
-        while high < len(data):
-            outside = np.flatnonzero(~bt.ALPHANUMERIC[bt.LOWER[data[high:high + limit]]])
-            if len(outside):
-                high += int(outside[0])
-                break
-            high = min(len(data), high + limit)
+        high = bt.word_border(data, low + limit, _WORD)
         piece = bt.LOWER[data[low:high]]
         yield piece, np.array([0, len(piece)]), repeated
         if high == len(data):
