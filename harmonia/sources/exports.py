@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from harmonia.sources.csv_records import join_pieces, read_records
+
 DELIMITERS = (",", ";", "\t", "|")
 SHEET_SEPARATOR = "#"
 # Bytes that Windows-1252 leaves undefined; a file that holds one is Latin-1.
@@ -78,7 +80,7 @@ def cell_text(data_type: T.DataType, cell: Column) -> Column:
 
 # --- listing -----------------------------------------------------------------------------------
 def list_sources(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
-    """(source_ref, format) of the CSV and Parquet exports in a folder, by name."""
+    """(source_ref, format) of the CSV and Parquet exports in a folder, by name; either may be a folder of part files."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
     files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
@@ -87,7 +89,7 @@ def list_sources(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
         name = status.getPath().getName()
         if name.startswith(("~$", ".", "_")):
             continue
-        if name.lower().endswith(".csv") and status.isFile():
+        if name.lower().endswith(".csv"):
             found.append((name, "csv"))
         elif name.lower().endswith(".parquet"):
             found.append((name, "parquet"))
@@ -99,24 +101,26 @@ Range = tuple[int, int]
 
 
 def _traits(lines: DataFrame) -> tuple[str, bool, dict[str, Range]]:
-    """Encoding, whether some quoted cell spans lines, and how often each delimiter stands on a line.
+    """Encoding, whether quotes may join lines, and how often each delimiter stands on a line.
 
     One distributed pass over all bytes.  Delimiters count outside quotes, at
-    least and at most, over the lines whose quotes are even.
+    least and at most, over the lines whose quotes are even.  A line is plain if
+    all its quotes belong to cells that are quoted from end to end.
     """
     raw = F.col("value").cast("binary")
     even = F.pmod(F.length(F.regexp_replace("value", '[^"]', "")), F.lit(2)) == 0
     bare = F.when(even & (F.col("value") != ""), F.regexp_replace("value", '"[^"]*"', ""))
     counts = [F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit(""))) for d in DELIMITERS]
+    plain = ~F.regexp_replace("value", r'(?<![^,;\t|])"(?:[^"]|"")*+"(?![^,;\t|])', "").contains('"')
     row = lines.agg(
         F.coalesce(F.bool_and(F.is_valid_utf8("value")), F.lit(True)).alias("utf8"),
         F.coalesce(F.bool_or(F.hex(raw).rlike(f"^(..)*({UNDEFINED_1252})")), F.lit(False)).alias("undefined"),
-        F.coalesce(F.bool_or(~even), F.lit(False)).alias("spans"),
+        F.coalesce(F.bool_or(~plain), F.lit(False)).alias("joined"),
         *[f(n).alias(f"{name}_{i}") for i, n in enumerate(counts) for name, f in (("least", F.min), ("most", F.max))],
     ).first()
     encoding = "utf-8" if row["utf8"] else "latin-1" if row["undefined"] else "cp1252"
     ranges = {d: (row[f"least_{i}"], row[f"most_{i}"]) for i, d in enumerate(DELIMITERS) if row[f"least_{i}"] is not None}
-    return encoding, row["spans"], ranges
+    return encoding, row["joined"], ranges
 
 
 def pick_delimiter(ranges: dict[str, Range], header: str) -> str:
@@ -145,38 +149,96 @@ def _decode_1252(cell: Column) -> Column:
     return F.translate(cell, "".join(map(chr, codes)), bytes(codes).decode("cp1252"))
 
 
-def read_csv_source(spark: SparkSession, path: str, source_ref: str) -> tuple[tuple[str, ...], DataFrame]:
-    """Header names and the raw rows: ``_block`` and ``_position`` give their place in the file."""
-    lines = spark.read.text(path)
-    encoding, spans_lines, ranges = _traits(lines)
-    first = lines.where(F.col("value") != "").select(F.col("value").cast("binary")).head(1)
+HEADER_LINES = 64
+
+
+@dataclass(frozen=True)
+class CsvDialect:
+    """What the lines of a file have shown: names, delimiter, encoding, and whether records may span lines."""
+
+    header: tuple[str, ...]
+    delimiter: str
+    encoding: str
+    joined: bool
+
+    @property
+    def names(self) -> tuple[str, ...]:
+        """A repeated header keeps its first place and its last value."""
+        return tuple(dict.fromkeys(self.header))
+
+    @property
+    def schema(self) -> T.StructType:
+        return T.StructType([T.StructField(f"h_{i}", T.StringType()) for i in range(len(self.header))])
+
+    def cells(self, prefix: str = "") -> list[Column]:
+        last = {name: i for i, name in enumerate(self.header)}
+        return [F.coalesce(F.col(f"{prefix}h_{last[name]}"), F.lit("")).alias(f"c_{i}") for i, name in enumerate(self.names)]
+
+
+def csv_dialect(lines: DataFrame) -> CsvDialect | None:
+    encoding, joined, ranges = _traits(lines)
+    first = lines.where(F.col("value") != "").select(F.col("value").cast("binary")).head(HEADER_LINES)
     if not first:
-        return (), spark.createDataFrame([], "_file string, _block bigint, _position bigint")
-    header_line = bytes(first[0][0]).decode("utf-8-sig" if encoding == "utf-8" else encoding)
-    delimiter = pick_delimiter(ranges, header_line)
-    header = next(csv.reader([header_line], delimiter=delimiter))
-    raw = spark.read.csv(
-        path,
-        schema=T.StructType([T.StructField(f"h_{i}", T.StringType()) for i in range(len(header))]),
-        header=True, sep=delimiter, quote='"', escape='"', multiLine=spans_lines, enforceSchema=True,
-        encoding="UTF-8" if encoding == "utf-8" else "ISO-8859-1",
-    )
-    # A repeated header keeps its first place and its last value.
-    names = tuple(dict.fromkeys(header))
-    last = {name: i for i, name in enumerate(header)}
+        return None
+    head = [bytes(row[0]).decode("utf-8-sig" if encoding == "utf-8" else encoding, "replace") for row in first]
+    delimiter = pick_delimiter(ranges, head[0])
+    header = next(csv.reader([f"{line}\n" for line in head], delimiter=delimiter))
+    return CsvDialect(tuple(header), delimiter, encoding, joined)
+
 
-    def cell(name: str) -> Column:
-        text = F.coalesce(F.col(f"h_{last[name]}"), F.lit(""))
-        return _decode_1252(text) if encoding == "cp1252" else text
+def read_csv_source(spark: SparkSession, path: str, dialect: CsvDialect) -> DataFrame:
+    """The raw rows; ``_block`` and ``_position`` give their place in ``_file``.
 
-    return names, raw.select(
+    Files whose quotes close on their line are read as Spark reads them.  Of the
+    others the lines are joined first, split by split; ``_piece`` is set on rows
+    that are a piece of a record over a border, whose text is in ``_record``.
+    """
+    if dialect.joined:
+        place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+        lines = spark.read.text(path).select(*place, F.col("value").cast("binary").alias("line"))
+        return _parsed(read_records(lines, dialect.delimiter, dialect.encoding), dialect)
+    raw = spark.read.csv(
+        path, schema=dialect.schema, header=True, sep=dialect.delimiter, quote='"', escape='"', enforceSchema=True,
+        encoding="UTF-8" if dialect.encoding == "utf-8" else "ISO-8859-1",
+    )
+    cells = dialect.cells()
+    if dialect.encoding == "cp1252":
+        cells = [_decode_1252(cell).alias(f"c_{i}") for i, cell in enumerate(cells)]
+    return raw.select(
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_position"),
-        *[cell(name).alias(f"c_{i}") for i, name in enumerate(names)],
+        *cells,
+    )
+
+
+def _parsed(records: DataFrame, dialect: CsvDialect) -> DataFrame:
+    whole = F.when(F.col("piece").isNull(), F.col("record"))
+    cells = F.from_csv(whole, dialect.schema.simpleString()[len("struct<"):-1].replace(":", " "), {"sep": dialect.delimiter, "quote": '"', "escape": '"'})
+    return records.withColumn("cells", cells).select(
+        F.col("file").alias("_file"), F.col("block").alias("_block"), F.col("position").alias("_position"), F.col("piece").alias("_piece"),
+        F.when(F.col("piece").isNotNull(), F.col("record")).alias("_record"), *dialect.cells("cells."),
     )
 
 
+def land_csv(spark: SparkSession, path: str, target: str) -> tuple[str, ...]:
+    """Writes the rows of a CSV export to ``target`` and returns its column names."""
+    dialect = csv_dialect(spark.read.text(path))
+    if dialect is None:
+        spark.createDataFrame([], "_file string, _block bigint, _position bigint").write.mode("overwrite").parquet(target)
+        return ()
+    read_csv_source(spark, path, dialect).write.mode("overwrite").parquet(target)
+    if dialect.joined:
+        # Pieces of records over borders: two a split at most, added as whole rows.
+        pieces = spark.read.parquet(target).where("_piece IS NOT NULL").select(
+            F.col("_file").alias("file"), F.col("_block").alias("block"), F.col("_position").alias("position"),
+            F.col("_piece").alias("piece"), F.col("_record").alias("record"),
+        )
+        joined = join_pieces(pieces).withColumn("piece", F.lit(None).cast("bigint"))
+        _parsed(joined, dialect).write.mode("append").parquet(target)
+    return dialect.names
+
+
 def read_parquet_source(spark: SparkSession, path: str) -> tuple[tuple[str, ...], DataFrame]:
     df = spark.read.parquet(path)
     cells = [cell_text(df.schema[n].dataType, F.col(f"`{n}`")).alias(f"c_{i}") for i, n in enumerate(df.columns)]
@@ -190,6 +252,12 @@ def read_parquet_source(spark: SparkSession, path: str) -> tuple[tuple[str, ...]
 CATALOGUE_SCHEMA = "source_ref string, format string, sheet string, columns array<string>, position int"
 
 
+def whole_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Landed rows without the pieces that were joined to other rows."""
+    rows = spark.read.parquet(path)
+    return rows.where("_piece IS NULL") if "_piece" in rows.columns else rows
+
+
 @dataclass(frozen=True)
 class Bronze:
     """Landed sources of one folder."""
@@ -203,14 +271,15 @@ class Bronze:
         catalogue = []
         for position, (source_ref, format) in enumerate(list_sources(spark, exports_dir)):
             path = f"{exports_dir}/{source_ref}"
-            names, rows = (
-                read_csv_source(spark, path, source_ref) if format == "csv" else read_parquet_source(spark, path)
-            )
             target = f"{folder}/{source_ref}"
-            rows.write.mode("overwrite").parquet(f"{target}/rows")
+            if format == "csv":
+                names = land_csv(spark, path, f"{target}/rows")
+            else:
+                names, rows = read_parquet_source(spark, path)
+                rows.write.mode("overwrite").parquet(f"{target}/rows")
             # Rows before each file split, from the landed rows: one line per split.
             blocks = (
-                spark.read.parquet(f"{target}/rows")
+                whole_rows(spark, f"{target}/rows")
                 .groupBy("_file", "_block")
                 .agg(F.min("_position").alias("_first"), F.count("*").alias("_rows"))
             )
@@ -241,7 +310,7 @@ class Bronze:
 
     def _table(self, row: T.Row) -> SourceTable:
         target = f"{self.folder}/{row['source_ref']}"
-        rows = self.spark.read.parquet(f"{target}/rows")
+        rows = whole_rows(self.spark, f"{target}/rows")
         # One row per file split; Spark broadcasts it when it measures it as small.
         blocks = self.spark.read.parquet(f"{target}/blocks")
         cells = [f"c_{i}" for i in range(len(row["columns"]))]
