@@ -107,22 +107,14 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
-    """``1 + floor(PARTS * (count + ADDED) / (total + ADDED * terms))`` exactly, in three steps of long division."""
-    divisor = F.greatest(total + ADDED * terms, F.lit(1))
-    rest, found = count + ADDED, F.lit(0).cast("long")
-    for _ in range(3):
-        rest = rest * 1000
-        found = found * 1000 + F.floor(_quotient(rest, divisor))
-        rest = rest - _quotient(rest, divisor) * divisor
-    return (found + 1).cast("long")
-
-
-def _quotient(a: Column, b: Column) -> Column:
-    return F.call_function("div", a, b)
+    """``1 + floor(PARTS * (count + ADDED) / (total + ADDED * terms))``, exactly: products in 31 digits."""
+    divisor = F.greatest(total + ADDED * terms, F.lit(1)).cast("decimal(20,0)")
+    product = (count + ADDED).cast("decimal(20,0)") * F.lit(PARTS).cast("decimal(10,0)")
+    return F.call_function("div", product, divisor) + 1
 
 
 def _shares(count: np.ndarray, total: np.ndarray, terms: int) -> np.ndarray:
-    """``share`` over arrays."""
+    """``share`` over arrays, in three steps of long division that stay within 64 bits."""
     divisor = np.maximum(total + ADDED * terms, 1)
     rest, found = count + ADDED, np.zeros_like(count)
     for _ in range(3):
@@ -131,13 +123,21 @@ def _shares(count: np.ndarray, total: np.ndarray, terms: int) -> np.ndarray:
     return found + 1
 
 
-def _block_distances(block: pa.Table) -> pa.Table:
+def _block_distances(tile: int) -> Callable[[pa.Table], pa.Table]:
     """What the terms of one block add to the distance of every two sources of two tiles (or of one with itself).
 
     Terms that neither of two sources has add the same each, so these are taken
     together: all V terms in block 0, and the difference to that for each term
     of the block.
     """
+
+    def distances(block: pa.Table) -> pa.Table:
+        return _distances(block, tile)
+
+    return distances
+
+
+def _distances(block: pa.Table, tile: int) -> pa.Table:
     lang, number, lo, hi = (block.column(c)[0].as_py() for c in ("lang", "block", "lo", "hi"))
     terms = int(block.column("terms")[0].as_py())
     place, n, total = (block.column(c).to_numpy() for c in ("place", "n", "total"))
@@ -149,7 +149,7 @@ def _block_distances(block: pa.Table) -> pa.Table:
     code = code.indices.to_numpy() if isinstance(code, pa.DictionaryArray) else code.chunk(0).indices.to_numpy()
     order = np.argsort(code, kind="stable")
     code, row, n = code[order], row[counted][order], n[counted][order]
-    left, right = np.flatnonzero(held // TILE == lo), np.flatnonzero(held // TILE == hi)
+    left, right = np.flatnonzero(held // tile == lo), np.flatnonzero(held // tile == hi)
     base = np.abs(zero[left][:, None] - zero[right][None, :])
     added = base * (terms if number == 0 else 0)
     for low in range(0, int(code[-1]) + 1 if len(code) else 0, TERMS_AT_ONCE):
@@ -192,7 +192,7 @@ def _source_distances(kept: DataFrame, groups: DataFrame) -> DataFrame:
     rows = rows.select(
         "lang", "source", "place", "total", "terms", "term", "n", "block", F.least(tile, other).alias("lo"), F.greatest(tile, other).alias("hi")
     )
-    found = rows.groupBy("lang", "block", "lo", "hi").applyInArrow(_block_distances, "lang string, source string, item string, value long")
+    found = rows.groupBy("lang", "block", "lo", "hi").applyInArrow(_block_distances(TILE), "lang string, source string, item string, value long")
     half = found.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     return half.unionByName(half.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "value"))
 

@@ -19,10 +19,10 @@ def test_against_sql(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
-@pytest.mark.parametrize("name", ["op1_sharding", "op5_pii"])
+@pytest.mark.parametrize("name", ["op1_sharding", "op5_pii", "op12_exact_dedup"])
 def test_native_plans(spark, name):
     plan = queries.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     for operator in ("Python", "Arrow", "CartesianProduct", "BroadcastNestedLoopJoin"):
