@@ -19,7 +19,6 @@ _SHIFT = 27  # BASE ** 5 < 2 ** 27
 _DIGIT = np.zeros(256, np.int64)
 _DIGIT[ord("0"):ord("9") + 1] = np.arange(1, 11)
 _DIGIT[ord("a"):ord("z") + 1] = np.arange(11, 37)
-_CHARACTER = np.frombuffer(b"\0" + b"0123456789" + b"abcdefghijklmnopqrstuvwxyz", np.uint8)
 
 
 def _codes(digits: np.ndarray, ends: np.ndarray, starts: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -60,50 +59,101 @@ def _of_one(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes, counts
 
 
-def _texts(codes: np.ndarray) -> pa.Array:
-    """N-grams of codes."""
-    longest = max(NGRAM_SIZES)
-    letters, left = np.zeros((len(codes), longest), np.uint8), codes.copy()
-    for k in range(longest - 1, -1, -1):
-        letters[:, k] = _CHARACTER[left % BASE]
-        left //= BASE
-    filled = letters != 0
-    offsets = np.concatenate([[0], np.cumsum(filled.sum(axis=1))]).astype(np.int32)
-    return pa.StringArray.from_buffers(len(codes), pa.py_buffer(offsets), pa.py_buffer(letters[filled]))
+def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
 
 
-def counter(kept: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts for batches of ``kept`` columns and a normalised text: the columns, token and n."""
+def packer(kept: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One row for every text of batches of ``kept`` columns and a normalised text: the columns, codes, n and digest.
 
-    def rows(batch: pa.RecordBatch, at: np.ndarray, tokens: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-        columns = [batch.column(k).take(pa.array(at)) for k in range(kept)]
-        return pa.record_batch([*columns, tokens, pa.array(n.astype(np.int64))], names=[*batch.schema.names[:kept], "token", "n"])
+    A text below the smallest size has one code, its own.
+    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batch: pa.RecordBatch, low: int, high: int, codes: pa.Array, n: pa.Array, marks: list[bytes]) -> pa.RecordBatch:
+        columns = [batch.column(k).slice(low, high - low) for k in range(kept)]
+        return pa.record_batch(
+            [*columns, codes, n, pa.array(marks, pa.binary())], names=[*batch.schema.names[:kept], "codes", "n", "digest"]
+        )
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = pc.fill_null(batch.column(kept).cast(pa.large_string()), "")
             if not len(column):
                 continue
             offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
             data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-            lengths, low = np.diff(offsets), 0
-            # The text itself: as it is below the smallest size, and by a digest in any case.
-            short = np.flatnonzero((lengths > 0) & (lengths < min(NGRAM_SIZES)))
-            if len(short):
-                yield rows(batch, short, column.take(pa.array(short)).cast(pa.string()), np.ones(len(short)))
-            filled = np.flatnonzero(lengths)
-            marks = ["=" + hashlib.sha256(data[offsets[k]:offsets[k + 1]]).hexdigest() for k in filled]
-            yield rows(batch, filled, pa.array(marks, pa.string()), np.ones(len(filled)))
+            low = 0
             while low < len(column):
                 high = int(np.searchsorted(offsets, offsets[low] + PIECE_CHARS, side="right")) - 1
                 high = min(len(column), max(high, low + 1))
-                part = data[offsets[low]:offsets[high]]
+                part, bounds = data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low]
                 if len(part) > PIECE_CHARS:
                     codes, n = _of_one(part)
-                    at = np.zeros(len(codes), np.int64)
+                    owner = np.zeros(len(codes), np.int64)
                 else:
-                    at, codes, n = _of_many(part, offsets[low:high + 1] - offsets[low])
-                yield rows(batch, at + low, _texts(codes), n)
+                    owner, codes, n = _of_many(part, bounds)
+                    short = np.flatnonzero((np.diff(bounds) > 0) & (np.diff(bounds) < min(NGRAM_SIZES)))
+                    own = [sum(int(_DIGIT[b]) * BASE**k for k, b in enumerate(part[bounds[i]:bounds[i + 1]][::-1])) for i in short]
+                    order = np.argsort(np.concatenate([owner, short]), kind="stable")
+                    owner = np.concatenate([owner, short])[order]
+                    codes = np.concatenate([codes, np.array(own, np.int64)])[order]
+                    n = np.concatenate([n, np.ones(len(short), np.int64)])[order]
+                lengths = np.bincount(owner, minlength=high - low)
+                marks = [hashlib.sha256(data[offsets[k]:offsets[k + 1]]).digest() for k in range(low, high)]
+                yield rows(batch, low, high, _lists(codes, lengths), _lists(n, lengths), marks)
                 low = high
 
-    return count
+    return pack
+
+
+# Distinct codes that a task counts before it passes them on.
+HELD_CODES = 1 << 22
+
+
+def count_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many rows of a task each code of a list column stands."""
+    codes, n = np.zeros(0, np.int32), np.zeros(0, np.int64)
+    waiting, size = [], 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        new, count = np.unique(np.concatenate(waiting), return_counts=True)
+        found, place = np.unique(np.concatenate([codes, new]), return_inverse=True)
+        return found, np.bincount(place, weights=np.concatenate([n, count]), minlength=len(found)).astype(np.int64)
+
+    def rows() -> pa.RecordBatch:
+        return pa.record_batch({"code": pa.array(codes, pa.int32()), "df": pa.array(n, pa.int64())})
+
+    for batch in batches:
+        flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+        waiting.append(flat)
+        size += len(flat)
+        if size > HELD_CODES:
+            codes, n = merged()
+            waiting, size = [], 0
+            if len(codes) > HELD_CODES:
+                yield rows()
+                codes, n = codes[:0], n[:0]
+    if waiting:
+        codes, n = merged()
+    yield rows()
+
+
+def splitter(codes_at: int, n_at: int, blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each row's codes and counts by the remainder of the code: a row for every block that the row has codes of."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(codes_at)
+            codes = lists.flatten().to_numpy(zero_copy_only=False)
+            n = batch.column(n_at).flatten().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            key = owner * blocks + codes % blocks
+            order = np.argsort(key, kind="stable")
+            cell, lengths = np.unique(key[order], return_counts=True)
+            at = pa.array(cell // blocks)
+            columns = [batch.column(k).take(at) for k in range(batch.num_columns)]
+            columns[codes_at], columns[n_at] = _lists(codes[order], lengths), _lists(n[order], lengths)
+            yield pa.record_batch([*columns, pa.array((cell % blocks).astype(np.int32))], names=[*batch.schema.names, "block"])
+
+    return split

@@ -1,8 +1,8 @@
-"""Nearest-centroid classifier over TF-IDF character n-grams, in long form.
+"""Nearest-centroid classifier over TF-IDF character n-grams of records with several features.
 
-A vector is rows of (document, token, weight).  Long texts are counted where they
-are read; short records with several features are shuffled once, before they are
-cut into n-grams.  Tokens are joined with the model, which has one
+A vector is rows of (record, token, weight): records are the columns of a
+catalogue, short and with weighted features of several kinds.  Whole texts are
+packed instead (`text_vectors`).  Tokens are joined with the model, which has one
 row per token, and common tokens are salted by their known document frequency.
 """
 
@@ -13,10 +13,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from harmonia import fixed_values as fixed
-from harmonia.functions import ngram_counts
 from harmonia.functions.matching import target_type_compatible
 from harmonia.functions.ngrams import weighted_list_tokens, weighted_tokens
 from harmonia.functions.text import normalize, text
@@ -130,24 +128,6 @@ def token_counts(records: DataFrame, features: Column, *keep: str) -> DataFrame:
     return exploded.groupBy(ID, *keep, F.col("_f.token").alias("token")).agg(F.sum("_f.weight").alias("n"))
 
 
-def text_token_counts(records: DataFrame, column: str, *keep: str) -> DataFrame:
-    """`token_counts` of one long text per record: its n-grams, and a digest that stands for the whole text.
-
-    Texts are spread once, since a few files would be a few tasks; then they are normalised
-    by the JVM and counted in Arrow batches, the longest piece by piece.  Tokens
-    carry no prefix, as a model has one text column.
-    """
-    compact = _spread(records).select(ID, *keep, normalize(text(F.col(column))).alias("_compact")).where("_compact <> ''")
-    kept = compact.schema.fields[:-1]
-    token = [T.StructField("token", T.StringType()), T.StructField("n", T.LongType())]
-    return compact.mapInArrow(ngram_counts.counter(len(kept)), T.StructType([*kept, *token]))
-
-
-def written_counts(counts: DataFrame) -> DataFrame:
-    """Counts written once to the shared folder, for the three that read them: frequency, vectors and predictions."""
-    return written(counts)
-
-
 def document_frequency(counts: DataFrame, examples: Column) -> DataFrame:
     """(token, df, idf); ``examples`` is the number of records."""
     frequency = counts.groupBy("token").agg(F.count("*").alias("df"))
@@ -201,8 +181,7 @@ def train(records: DataFrame, counts: DataFrame, *, materialize: bool = False) -
 
     ``counts`` are their token counts, with ``expected`` kept.  With
     ``materialize`` the token table, the label means and the model are
-    written, since each is read more than once.  The counts are not: where they
-    serve predictions too, the caller writes them (`written_counts`).
+    written, since each is read more than once.
     """
     keep = written if materialize else lambda df: df
     labels = records.groupBy(F.col("expected").alias("label")).agg(F.count("*").alias("examples_count"))

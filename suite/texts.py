@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harmonia.operators import matching, profiling, text_model
+from harmonia.operators import matching, profiling, text_model, text_vectors
 from harmonia.plans.mapping_document import assemble
 from harmonia.session import cut_lineage, written
 from suite import query
@@ -23,15 +23,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def counts(docs: DataFrame, *keep: str) -> DataFrame:
-    """Token counts of whole documents."""
-    return text_model.text_token_counts(docs, "text", *keep)
+    """N-gram counts of whole documents, written once."""
+    return written(text_vectors.packed_counts(docs, "text", *keep))
 
 
-def learned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, text_model.Model]:
-    """Documents, their counts (written once) and the model."""
+def learned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, text_vectors.TextModel]:
+    """Documents, their counts and the model."""
     docs = documents(spark, sf_dir)
-    held = text_model.written_counts(counts(docs, "expected"))
-    return docs, held, text_model.train(docs, held, materialize=True)
+    held = counts(docs, "expected")
+    return docs, held, text_vectors.train(docs, held)
 
 
 # SQL cuts texts into pieces of 200 characters with an overlap of four, then every
@@ -74,15 +74,19 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC,
     COUNTS_SQL + " SELECT doc_id, count(*) AS tokens, CAST(sum(n) AS BIGINT) AS occurrences, max(n) AS most FROM counts GROUP BY 1",
 )
 def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts(documents(spark, sf_dir)).groupBy(F.col("record_id").alias("doc_id")).agg(
-        F.count("*").alias("tokens"), F.sum("n").alias("occurrences"), F.max("n").alias("most")
+    packed = text_vectors.packed_counts(documents(spark, sf_dir), "text")
+    # The text itself is a token too, found once.
+    return packed.select(
+        F.col("record_id").alias("doc_id"), (F.size("codes") + 1).cast("bigint").alias("tokens"),
+        (F.aggregate("n", F.lit(0).cast("bigint"), lambda total, n: total + n) + 1).alias("occurrences"),
+        F.coalesce(F.array_max("n"), F.lit(1)).cast("bigint").alias("most"),
     )
 
 
 @query("document_frequency", COUNTS_SQL + " SELECT df, idf, count(*) AS tokens FROM idf GROUP BY 1, 2")
 def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    tokens = text_model.document_frequency(counts(docs), docs.agg(F.count("*")).scalar())
+    tokens = text_vectors.document_frequency(counts(docs), docs.count())
     return tokens.groupBy("df", "idf").agg(F.count("*").alias("tokens"))
 
 
@@ -93,10 +97,11 @@ def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def tfidf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    held = text_model.written_counts(counts(docs))
-    tokens = written(text_model.document_frequency(held, docs.agg(F.count("*")).scalar()))
+    held = counts(docs)
+    tokens = written(text_vectors.document_frequency(held, docs.count()))
     weight = F.col("weight")
-    return text_model.vectors(held, tokens).groupBy(F.col("record_id").alias("doc_id")).agg(
+    found = text_vectors.Weighed(held, tokens).vectors().select("record_id", F.explode("weights").alias("weight"))
+    return found.groupBy(F.col("record_id").alias("doc_id")).agg(
         F.count("*").alias("tokens"), F.round(F.sum(weight), 4).alias("total"), F.round(F.max(weight), 6).alias("heaviest"),
         F.round(F.sqrt(F.sum(weight * weight)), 5).alias("length"),
     )
@@ -109,7 +114,7 @@ def tfidf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def centroid_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     weight = F.col("weight")
-    return learned(spark, sf_dir)[2].centroids().groupBy("label").agg(
+    return learned(spark, sf_dir)[2].centroids.groupBy("label").agg(
         F.count("*").alias("tokens"), F.round(F.sum(weight), 3).alias("total"), F.round(F.max(weight), 6).alias("heaviest"),
         F.round(F.sqrt(F.sum(weight * weight)), 5).alias("length"),
     )
@@ -118,7 +123,7 @@ def centroid_train(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("centroid_predict", SCORES_SQL + " SELECT doc_id, rank, label, score FROM ranked WHERE rank <= 3")
 def centroid_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held, model = learned(spark, sf_dir)
-    found = text_model.predict(docs, held, model, 3)
+    found = text_vectors.predict(docs, held, model, 3)
     return found.select(
         F.col("record_id").alias("doc_id"), F.col("rank").cast("bigint").alias("rank"), "label", "score"
     )
@@ -133,7 +138,7 @@ def centroid_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def centroid_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held, model = learned(spark, sf_dir)
-    predicted = text_model.predict(docs, held, model, 3, "expected")
+    predicted = text_vectors.predict(docs, held, model, 3, "expected")
     return text_model.evaluate(predicted, 3)
 
 

@@ -5,12 +5,13 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from harmonia import fixed_values as fixed
 from harmonia.functions.matching import best_alias_score, name_ratio
 from harmonia.functions.ngrams import char_ngrams, weighted_tokens
-from harmonia.operators import key_resolution, profiling, quality, source_graph, text_model
+from harmonia.operators import key_resolution, profiling, quality, source_graph, text_model, text_vectors
 from harmonia.operators.skew import hot_keys, join_unique, last_row_wins
 from harmonia.sources.exports import SourceTable
 
@@ -103,13 +104,17 @@ def test_ngrams(spark):
     assert weighted[0][0] == [] and [tuple(x) for x in weighted[3][0]] == [("p:abc", 3), ("p:ngram:abc", 3)]
 
 
-def test_model_matches_plain_python(spark):
+@pytest.mark.parametrize(("block", "group"), [(1_000_000, 4_000_000), (40, 30)])
+def test_model_matches_plain_python(spark, tmp_path, monkeypatch, block, group):
     rng = random.Random(11)
     texts = [("".join(rng.choice("abcd" if i % 3 else "cdef") for _ in range(rng.randrange(0, 30))), "XYZ"[i % 3]) for i in range(40)]
     docs = spark.createDataFrame([(i, t, label) for i, (t, label) in enumerate(texts)], "record_id int, text string, expected string")
-    counts = text_model.text_token_counts(docs, "text", "expected")
-    model = text_model.train(docs, counts, materialize=True)
-    got = text_model.predict(docs, text_model.text_token_counts(docs, "text"), model, 3, "expected")
+    monkeypatch.setattr(text_vectors, "BLOCK_TOKENS", block)
+    monkeypatch.setattr(text_vectors, "GROUP_CODES", group)
+    counts = text_vectors.packed_counts(docs, "text", "expected").cache()
+    text_vectors.train(docs, counts).save(str(tmp_path / "model"))
+    model = text_vectors.TextModel.load(spark, str(tmp_path / "model"))
+    got = text_vectors.predict(docs, text_vectors.packed_counts(docs, "text"), model, 3, "expected")
 
     tokens = [py_tokens(t) for t, _ in texts]
     df = Counter(k for c in tokens for k in c)
