@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from harmonia import fixed_values as fixed
 from harmonia.functions.matching import best_alias_score, type_score, value_evidence
-from harmonia.functions.text import normalize, plain_normalize, text
+from harmonia.functions.text import plain_normalize
 from harmonia.functions.values import apply_transform_column, value_mapping_status, values_are_boolean_like
+from harmonia.operators.profiling import BOOLEAN, ValueCounts
 from harmonia.session import small_table
 
 PROPOSAL_KEY = ("source_ref", "source_column", "entity", "target_field")
@@ -51,16 +52,15 @@ def field_scores(columns: DataFrame, sources: DataFrame, score_name=best_alias_s
     return scored.withColumn("confidence_score", confidence).where(F.col("confidence_score") > fixed.DISCARD_THRESHOLD)
 
 
-def boolean_columns(counts: DataFrame) -> DataFrame:
+def boolean_columns(counts: ValueCounts) -> DataFrame:
     """Whether every value of a column reads as yes or no: (source_position, position, all_boolean)."""
-    value = F.col("value")
-    return counts.groupBy(F.col("source").alias("source_position"), "position").agg(
-        F.bool_and((text(value) == "") | normalize(value).isin(fixed.BOOLEAN_LIKE)).alias("all_boolean")
+    return counts.facts().groupBy(F.col("source").alias("source_position"), "position").agg(
+        F.bool_and(F.col("flags").bitwiseAND(BOOLEAN) != 0).alias("all_boolean")
     )
 
 
 def propose_mappings(
-    columns: DataFrame, sources: DataFrame, score_name=best_alias_score, counts: DataFrame | None = None
+    columns: DataFrame, sources: DataFrame, score_name=best_alias_score, counts: ValueCounts | None = None
 ) -> DataFrame:
     """The best field per column and entity, then the best column per source, entity and field.
 
@@ -138,7 +138,7 @@ def value_groups(mapped: DataFrame) -> DataFrame:
     return mapped.where(F.col("transform").isin(*fixed.VALUE_TRANSFORMS)).select(*VALUE_GROUP)
 
 
-def value_items(groups: DataFrame, columns: DataFrame, counts: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
+def value_items(groups: DataFrame, columns: DataFrame, counts: ValueCounts | None = None, sources: DataFrame | None = None) -> DataFrame:
     """Concept and status of each value of the mapped columns, the most frequent first.
 
     With ``counts`` (value counts by source and position, and the ``sources``
@@ -155,7 +155,7 @@ def value_items(groups: DataFrame, columns: DataFrame, counts: DataFrame | None
         sources.select("source_ref", F.col("source_position").alias("source")), "source_ref"
     )
     wanted = named.join(groups.select(*key).distinct(), key, "left_semi")
-    values = counts.where("value <> ''").join(wanted, ["source", "position"])
+    values = counts.restored(counts.rows.where("value <> ''").join(wanted, ["source", "position"]))
     place = Window.partitionBy("source", "position").orderBy(F.desc("n"), "first_ordinal")
     ranked = values.select(
         *key, (F.row_number().over(place) - 1).alias("rank"), F.col("value").alias("source_value"), F.col("n").alias("count")

@@ -2,8 +2,9 @@
 
 The data-sized work is one aggregate per cell value (source, column, value).
 It is combined before the shuffle, so a value that fills a third of all cells
-is one row per task.  Everything after it reads distinct values, and the
-ranked lists use per-partition limits before their own small shuffle.
+is one row per task, and a long value goes by a digest.  Everything after it
+reads distinct values; the ranked lists use per-partition limits before their own
+small shuffle, and only the few long values they keep are read again.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from harmonia import fixed_values as fixed
 from harmonia.functions.text import normalize, plain_normalize
 from harmonia.functions.values import is_code, is_date, is_number, is_year
-from harmonia.session import small_table
+from harmonia.session import parallel, small_table, written
 from harmonia.sources.exports import SourceTable
 
 PROFILE_SCHEMA = (
@@ -105,13 +106,20 @@ def infer_type(
 
 
 # --- cells ----------------------------------------------------------------------------------------
+# Longer values are grouped by their first HEAD characters and a digest; their text stays in the source.
+HEAD = 64
+
+FILLED, YEAR, DATE, NUMBER, CODE, BOOLEAN = (1 << k for k in range(6))
+TESTS = {"year": YEAR, "date": DATE, "number": NUMBER, "code": CODE}
+
+
 def cells(tables: Iterable[SourceTable]) -> DataFrame:
     """Long form of sources: (source, position, value, ordinal)."""
     parts = []
     for index, table in enumerate(tables):
         names = [f"c_{i}" for i in range(len(table.columns))]
         if names:
-            long = table.df.unpivot(["ordinal"], names, "_name", "value")
+            long = parallel(table.df).unpivot(["ordinal"], names, "_name", "value")
             parts.append(
                 long.select(
                     F.lit(index).alias("source"),
@@ -122,54 +130,123 @@ def cells(tables: Iterable[SourceTable]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def value_counts(tables: Iterable[SourceTable]) -> DataFrame:
-    """Per source, column and value: number of cells and the first row that has it."""
-    return cells(tables).groupBy("source", "position", "value").agg(
-        F.count("*").alias("n"), F.min("ordinal").alias("first_ordinal")
+def _is_long(value: Column) -> Column:
+    return F.length(value) > HEAD
+
+
+def _flags(value: Column) -> Column:
+    """What holds for a value, as bits."""
+    bare = stripped(value)
+    tests = [
+        (bare != "", FILLED), (is_year(bare), YEAR), (is_date(bare), DATE), (is_number(bare), NUMBER), (is_code(bare), CODE),
+        ((value == "") | normalize(value).isin(fixed.BOOLEAN_LIKE), BOOLEAN),
+    ]
+    return reduce(Column.__add__, [F.when(test, bit).otherwise(0) for test, bit in tests])
+
+
+def _key(value: Column) -> tuple[Column, Column]:
+    """128 bits that stand for a text."""
+    return F.xxhash64(value), F.xxhash64(F.lit(1), value)
+
+
+@dataclass(frozen=True)
+class ValueCounts:
+    """Distinct values of every column of some sources.
+
+    ``rows``: source, position, value, digest, n, first_ordinal and what is known
+    of long values.  Of a long value ``value`` is the head; its text is read
+    from ``long_cells`` (source, position, ordinal, value), a scan of the sources.
+    """
+
+    rows: DataFrame
+    long_cells: DataFrame
+
+    def written(self) -> ValueCounts:
+        """The rows written once, for the several steps that read them."""
+        return ValueCounts(written(self.rows), self.long_cells)
+
+    def facts(self) -> DataFrame:
+        """Rows with flags, and with keys of the bare and of the normalised text."""
+        value, short = F.col("value"), F.col("digest").isNull()
+        bare = stripped(value)
+        plain = [_flags(value), *_key(bare), *_key(normalize(bare))]
+        names = ("flags", "bare_hi", "bare_lo", "norm_hi", "norm_lo")
+        return self.rows.select(
+            "source", "position", "value", "n", *(F.when(short, x).otherwise(F.col(f"long_{n}")).alias(n) for x, n in zip(plain, names, strict=True))
+        )
+
+    def restored(self, rows: DataFrame | None = None) -> DataFrame:
+        """``rows`` (all by default) with the whole text of long values, read where each first stands."""
+        rows = self.rows if rows is None else rows
+        extra = [c for c in rows.columns if c.startswith("long_")] + ["digest"]
+        place = [F.col("c.source") == F.col("r.source"), F.col("c.position") == F.col("r.position"), F.col("c.ordinal") == F.col("r.first_ordinal")]
+        held = [c for c in rows.columns if c not in extra]
+        long = rows.where("digest IS NOT NULL").alias("r").join(self.long_cells.alias("c"), reduce(Column.__and__, place))
+        whole = long.select(*(F.col("c.value" if c == "value" else f"r.{c}") for c in held))
+        return rows.where("digest IS NULL").select(*held).unionByName(whole)
+
+
+def value_counts(tables: Iterable[SourceTable]) -> ValueCounts:
+    """Per source, column and value: number of cells and the first row that has it.
+
+    No long text is shuffled: its head, a digest and a few numbers stand for it.
+    """
+    every = cells(list(tables))
+    value = F.col("value")
+    bare = stripped(value)
+    long = _is_long(value)
+    facts = {
+        "flags": _flags(value), "bare_hi": _key(bare)[0], "bare_lo": _key(bare)[1],
+        "norm_hi": _key(normalize(bare))[0], "norm_lo": _key(normalize(bare))[1],
+    }
+    marked = every.select(
+        "source", "position", "ordinal", F.when(long, F.substring(value, 1, HEAD)).otherwise(value).alias("value"),
+        F.when(long, F.unhex(F.md5(value))).alias("digest"), *(F.when(long, x).alias(f"long_{name}") for name, x in facts.items()),
     )
+    rows = marked.groupBy("source", "position", "value", "digest").agg(
+        F.count("*").alias("n"), F.min("ordinal").alias("first_ordinal"), *(F.max(f"long_{name}").alias(f"long_{name}") for name in facts)
+    )
+    return ValueCounts(rows, every.where(long))
 
 
-def ranked_values(counts: DataFrame, order: list[Column], limit: int) -> DataFrame:
+def ranked_values(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:
     """The first ``limit`` non-empty values of every column in the given order."""
     window = Window.partitionBy("source", "position").orderBy(*order)
-    return (
-        counts.where(F.col("value") != "")
-        .withColumn("rank", F.row_number().over(window))
-        .where(F.col("rank") <= limit)
-    )
+    return rows.where(F.col("value") != "").withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= limit)
 
 
-def top_values(counts: DataFrame, limit: int = fixed.TOP_VALUES_LIMIT) -> DataFrame:
-    return ranked_values(counts, [F.desc("n"), F.asc("first_ordinal"), F.asc("value")], limit)
+def top_values(counts: ValueCounts, limit: int = fixed.TOP_VALUES_LIMIT) -> DataFrame:
+    return counts.restored(ranked_values(counts.rows, [F.desc("n"), F.asc("first_ordinal")], limit))
 
 
-def first_examples(counts: DataFrame, limit: int = fixed.EXAMPLES_LIMIT) -> DataFrame:
-    return ranked_values(counts, [F.asc("first_ordinal"), F.asc("value")], limit)
+def first_examples(counts: ValueCounts, limit: int = fixed.EXAMPLES_LIMIT) -> DataFrame:
+    return counts.restored(ranked_values(counts.rows, [F.asc("first_ordinal")], limit))
 
 
-def value_sample(counts: DataFrame, limit: int = fixed.VALUE_SAMPLE_LIMIT) -> DataFrame:
-    return ranked_values(counts, [F.asc("value")], limit)
+def value_sample(counts: ValueCounts, limit: int = fixed.VALUE_SAMPLE_LIMIT) -> DataFrame:
+    """The smallest values.  Texts are read of those whose heads are among the smallest, then they are compared."""
+    by_head = Window.partitionBy("source", "position").orderBy("value")
+    near = counts.rows.where(F.col("value") != "").withColumn("_near", F.rank().over(by_head)).where(F.col("_near") <= limit)
+    return ranked_values(counts.restored(near).drop("_near"), [F.asc("value")], limit)
 
 
-def column_statistics(counts: DataFrame) -> DataFrame:
+def column_statistics(counts: ValueCounts) -> DataFrame:
     """One row per column from its value counts."""
-    value = F.col("value")
-    bare = stripped(value)
-    filled = bare != ""
+    filled = F.col("flags").bitwiseAND(FILLED) != 0
+
+    def all_present(bit: int) -> Column:
+        return F.coalesce(F.bool_and(F.when(filled, F.col("flags").bitwiseAND(bit) != 0)), F.lit(True))
 
-    def all_present(test: Column) -> Column:
-        return F.coalesce(F.bool_and(F.when(filled, test)), F.lit(True))
+    def distinct(name: str) -> Column:
+        return F.count_distinct(F.when(filled, F.col(f"{name}_hi")), F.when(filled, F.col(f"{name}_lo")))
 
-    return counts.groupBy("source", "position").agg(
+    return counts.facts().groupBy("source", "position").agg(
         F.sum("n").alias("row_count"),
         F.coalesce(F.sum(F.when(filled, F.col("n"))), F.lit(0)).alias("present"),
-        F.count(F.when(value != "", value)).alias("distinct_count"),
-        F.count_distinct(F.when(filled, bare)).alias("distinct_bare"),
-        F.count_distinct(F.when(filled, normalize(bare))).alias("distinct_normalized"),
-        all_present(is_year(bare)).alias("all_year"),
-        all_present(is_date(bare)).alias("all_date"),
-        all_present(is_number(bare)).alias("all_number"),
-        all_present(is_code(bare)).alias("all_code"),
+        F.count(F.when(F.col("value") != "", F.lit(1))).alias("distinct_count"),
+        distinct("bare").alias("distinct_bare"),
+        distinct("norm").alias("distinct_normalized"),
+        *(all_present(bit).alias(f"all_{name}") for name, bit in TESTS.items()),
     )
 
 
@@ -181,8 +258,11 @@ class Profiles:
     columns: DataFrame
     sources: DataFrame
 
+    def written(self) -> Profiles:
+        return Profiles(written(self.columns), written(self.sources))
+
 
-def profile(spark: SparkSession, tables: Iterable[SourceTable], counts: DataFrame | None = None) -> Profiles:
+def profile(spark: SparkSession, tables: Iterable[SourceTable], counts: ValueCounts | None = None) -> Profiles:
     """Profile every column of every source; ``counts`` are their value counts, if already written."""
     tables = list(tables)
     listed = [
@@ -221,7 +301,7 @@ def profile(spark: SparkSession, tables: Iterable[SourceTable], counts: DataFram
     return Profiles(columns, sources)
 
 
-def column_profiles(counts: DataFrame, names: DataFrame) -> DataFrame:
+def column_profiles(counts: ValueCounts, names: DataFrame) -> DataFrame:
     """Profiles from value counts; ``names`` gives source_ref and column name of each column."""
     ranked = [
         df.select("source", "position", F.lit(kind).alias("kind"), F.struct("rank", "value", F.col("n").alias("count")).alias("item"))

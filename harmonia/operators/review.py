@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from harmonia import fixed_values as fixed
 from harmonia.operators.matching import VALUE_GROUP, group_status, value_groups, value_items
 from harmonia.operators.skew import join_unique
+from harmonia.operators.profiling import ValueCounts
 from harmonia.plans.mapping_document import (
     Mapping,
     changed,
@@ -69,7 +70,7 @@ class Reviewed:
 
 def apply_decisions(
     mapping: Mapping, decisions: Decisions, columns: DataFrame, *, drop_rejected: bool = False,
-    counts: DataFrame | None = None, sources: DataFrame | None = None,
+    counts: ValueCounts | None = None, sources: DataFrame | None = None,
 ) -> Reviewed:
     """The reviewed document.
 

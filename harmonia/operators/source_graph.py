@@ -1,8 +1,9 @@
 """Which columns of which sources hold the same keys, and in which direction they join.
 
 Overlaps come from an inverted index: value -> set of columns that hold it.
-Values with the same column set are counted together first, so the pairs are
-taken from the few distinct column sets of the catalogue, never from values.
+Values with the same column set are counted together first.  Join candidates
+need a large share of the smaller column, so its rarest values tell which
+columns can be its partners, and only these pairs are counted.
 """
 
 from __future__ import annotations
@@ -10,13 +11,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harmonia import fixed_values as fixed
 from harmonia.functions.keys import stable_id
 from harmonia.functions.matching import name_ratio, uniqueness_ratio
 from harmonia.functions.text import normalize_key
+from harmonia.operators.profiling import ValueCounts
+from harmonia.session import written
 
 SIDE = ("source_ref", "column", "row_count", "distinct_count", "uniqueness_ratio", "inferred_entities")
 
@@ -35,48 +38,97 @@ def joinable_columns(columns: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
+# Hashes of values are dealt to so many parts, so that a share of a column's values can be chosen without ranking them.
+PARTS = 64
+
+
+def distinct_values(counts: ValueCounts) -> DataFrame:
+    """Distinct (column_id, value) of all columns.  A long value goes by its head and digest, which no short one equals."""
+    held = counts.rows.where(F.col("value") != "")
+    return held.select(F.struct("source", "position").alias("column_id"), F.concat("value", F.coalesce(F.hex("digest"), F.lit(""))).alias("value"))
+
+
 def column_sets(values: DataFrame) -> DataFrame:
-    """Number of values per distinct set of columns; ``values`` holds distinct (column_id, value)."""
+    """Values held by several columns, as (columns, part, n): how many of each set of columns, by part of their hash."""
     return (
         values.groupBy("value")
         .agg(F.array_sort(F.collect_set("column_id")).alias("columns"))
         .where(F.size("columns") > 1)
-        .groupBy("columns")
+        .groupBy("columns", F.pmod(F.xxhash64("value"), F.lit(PARTS)).cast("int").alias("part"))
         .agg(F.count("*").alias("n"))
     )
 
 
 def overlaps(values: DataFrame) -> DataFrame:
-    """(left, right, overlap) of columns of different sources; ids are (source, position) structs."""
-    pairs = (
-        column_sets(values)
-        .select("n", "columns", F.posexplode("columns").alias("at", "left"))
-        .select("n", "left", F.explode(F.slice("columns", F.col("at") + 2, F.size("columns"))).alias("right"))
+    """(left, right, overlap) of all columns of different sources that share a value; ids are (source, position) structs."""
+    sets = column_sets(values).groupBy("columns").agg(F.sum("n").alias("n"))
+    pairs = sets.select("n", "columns", F.posexplode("columns").alias("at", "left")).select(
+        "n", "left", F.explode(F.slice("columns", F.col("at") + 2, F.size("columns"))).alias("right")
     )
+    return _of_two_sources(pairs).groupBy("left", "right").agg(F.sum("n").alias("overlap"))
+
+
+def _of_two_sources(pairs: DataFrame) -> DataFrame:
+    return pairs.where(F.col("left.source") != F.col("right.source"))
+
+
+def likely_overlaps(values: DataFrame, least_ratio: float) -> DataFrame:
+    """``overlaps`` of at least ``least_ratio`` of the smaller column's values.
+
+    If so many of its values are held by the other column, then one of any
+    ``1 + (1 - least_ratio) * size`` of them is.  The rarest are taken, those
+    that the fewest columns hold: mostly values of the column alone, which pair
+    it with nothing.  Only columns that meet there are pairs, and these are
+    counted in full.
+    """
+    sizes = written(values.groupBy("column_id").agg(F.count("*").alias("size")))
+    sets = written(column_sets(values))
+    member = sets.select("columns", "part", "n", F.size("columns").alias("holders"), F.explode("columns").alias("column_id"))
+    cells = member.groupBy("column_id", "holders", "part").agg(F.sum("n").alias("n"))
+    alone = sizes.join(cells.groupBy("column_id").agg(F.sum("n").alias("shared")), "column_id").select(
+        "column_id", (F.col("size") - F.col("shared")).alias("alone"), (F.floor((1 - least_ratio) * F.col("size") + 1e-9) + 1).alias("needed")
+    )
+    before = Window.partitionBy("column_id").orderBy("holders", "part").rowsBetween(Window.unboundedPreceding, -1)
+    rarest = (
+        cells.join(alone, "column_id")
+        .withColumn("before", F.col("alone") + F.coalesce(F.sum("n").over(before), F.lit(0)))
+        .where("before < needed")
+        .select("column_id", "holders", "part")
+    )
+    met = member.join(rarest, ["column_id", "holders", "part"]).select(F.col("column_id").alias("small"), "columns").distinct()
+    pairs = met.select("small", F.explode("columns").alias("large")).where("small.source <> large.source").distinct()
+    small = sizes.select(F.col("column_id").alias("small"), F.col("size").alias("small_size"))
+    large = sizes.select(F.col("column_id").alias("large"), F.col("size").alias("large_size"))
+    pairs = pairs.join(small, "small").join(large, "large").where("small_size <= large_size").select(
+        F.least("small", "large").alias("left"), F.greatest("small", "large").alias("right"), "small_size"
+    ).distinct()
+    counted = sets.groupBy("columns").agg(F.sum("n").alias("n")).select("columns", "n", F.explode("columns").alias("left"))
+    both = counted.join(pairs, "left").where(F.array_contains("columns", F.col("right")))
     return (
-        pairs.where(F.col("left.source") != F.col("right.source"))
-        .groupBy("left", "right")
-        .agg(F.sum("n").alias("overlap"))
+        both.groupBy("left", "right", "small_size").agg(F.sum("n").alias("overlap"))
+        .where(F.col("overlap") >= least_ratio * F.col("small_size") - 1e-9).select("left", "right", "overlap")
     )
 
 
 def shared_values(values: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(left, right, value) of every value that both columns of a pair hold; a long table."""
-    left = values.select(F.col("column_id").alias("left"), "value")
-    right = values.select(F.col("column_id").alias("right"), "value")
-    return pairs.select("left", "right").join(left, "left").join(right, ["right", "value"]).select("left", "right", "value")
+    """(left, right, value) of every value that both columns of a pair hold; a long table.
+
+    Values that no pair asks for are left out before the join.
+    """
+    wanted = pairs.select("left", "right").distinct()
+    left = values.withColumnRenamed("column_id", "left").join(wanted, "left")
+    right = values.withColumnRenamed("column_id", "right").join(wanted.select("right").distinct(), "right", "left_semi")
+    return left.join(right, ["right", "value"]).select("left", "right", "value")
 
 
-def exact_values(columns: DataFrame, sources: DataFrame, counts: DataFrame) -> DataFrame:
+def exact_values(columns: DataFrame, sources: DataFrame, counts: ValueCounts) -> DataFrame:
     """Distinct (column_id, value) of the joinable columns, from the value counts."""
-    keys = joinable_columns(columns, sources).select(F.col("source_position").alias("source"), "position")
-    return counts.where(F.col("value") != "").join(keys, ["source", "position"]).select(
-        F.struct("source", "position").alias("column_id"), "value"
-    )
+    keys = joinable_columns(columns, sources).select(F.struct(F.col("source_position").alias("source"), "position").alias("column_id"))
+    return distinct_values(counts).join(keys, "column_id", "left_semi")
 
 
 def join_candidates(
-    columns: DataFrame, sources: DataFrame, counts: DataFrame | None = None,
+    columns: DataFrame, sources: DataFrame, counts: ValueCounts | None = None,
     score_names: Callable[[Column, Column], Column] = name_ratio,
 ) -> DataFrame:
     """Candidate joins with a confidence of at least 0.72.
@@ -102,17 +154,16 @@ def join_candidates(
     def named(prefix: str) -> DataFrame:
         return side.select(*[F.col(c).alias(f"{prefix}_{c}") for c in side.columns])
 
+    # What the names and types can add at most; below the rest the overlap alone is too small.
+    least_ratio = (fixed.JOIN_KEEP_THRESHOLD - 0.001 - fixed.RATIO_WEIGHT - fixed.SAME_TYPE_BONUS) / fixed.OVERLAP_WEIGHT
     found = (
-        overlaps(values)
+        likely_overlaps(values, least_ratio)
         .join(named("left"), F.col("left") == F.col("left_id"))
         .join(named("right"), F.col("right") == F.col("right_id"))
     )
     ratio = F.col("overlap") / F.least("left_size", "right_size")
-    reachable = ratio * fixed.OVERLAP_WEIGHT + fixed.RATIO_WEIGHT + fixed.SAME_TYPE_BONUS
     scored = (
-        # Names are compared only where the overlap alone can still reach the threshold.
-        found.where(reachable >= fixed.JOIN_KEEP_THRESHOLD - 0.001)
-        .withColumn("_ratio", ratio)
+        found.withColumn("_ratio", ratio)
         .withColumn("_names", score_names(F.col("left_normalized"), F.col("right_normalized")))
         .withColumn(
             "confidence_score",

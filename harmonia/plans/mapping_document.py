@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from harmonia import fixed_values as fixed
 from harmonia.functions.keys import stable_id
 from harmonia.operators.matching import VALUE_GROUP, entity_sources, group_status, value_groups, value_items
-from harmonia.operators.profiling import Profiles
+from harmonia.operators.profiling import Profiles, ValueCounts
 from harmonia.operators.standard_tables import EntityMap
 from harmonia.sources.artifacts import path_exists
 
@@ -88,7 +88,7 @@ class Mapping:
 
 def assemble(
     profiles: Profiles, proposals: DataFrame, blocked: DataFrame, candidates: DataFrame, rules: DataFrame,
-    *, source_system: str, schema_version: str, mapping_version: str = "0.1.0-draft", counts: DataFrame | None = None,
+    *, source_system: str, schema_version: str, mapping_version: str = "0.1.0-draft", counts: ValueCounts | None = None,
 ) -> Mapping:
     """The draft document from proposals, blocked columns and the source graph.
 

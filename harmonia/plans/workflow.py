@@ -37,6 +37,12 @@ def read_profiles(spark: SparkSession, workdir: str) -> profiling.Profiles:
     )
 
 
+def read_counts(spark: SparkSession, workdir: str) -> profiling.ValueCounts:
+    """Written value counts; the texts of long values are those of the landed sources."""
+    sources = Bronze(spark, f"{workdir}/bronze").sources()
+    return replace(profiling.value_counts(sources.values()), rows=spark.read.parquet(f"{workdir}/value_counts"))
+
+
 def propose(
     spark: SparkSession, exports_dir: str, workdir: str, *, source_system: str, schema_version: str,
     registry_dir: str | None = None, exact_overlap: bool = True, model: text_model.Model | None = None,
@@ -53,8 +59,8 @@ def propose(
     # The one data-sized shuffle of this run, written once and read by everything below.
     counts = None
     if any(table.columns for table in sources.values()):
-        write_artifacts({"value_counts": profiling.value_counts(sources.values())}, workdir)
-        counts = spark.read.parquet(f"{workdir}/value_counts")
+        write_artifacts({"value_counts": profiling.value_counts(sources.values()).rows}, workdir)
+        counts = read_counts(spark, workdir)
     made = profiling.profile(spark, sources.values(), counts)
     write_artifacts({"profile_columns": made.columns, "profile_sources": made.sources}, workdir)
     profiles = read_profiles(spark, workdir)
@@ -111,10 +117,9 @@ def apply_review(
     """Apply decisions to the current mapping, learn from them, and rewrite mapping and queue."""
     base = review_base(spark, workdir)
     profiles = read_profiles(spark, workdir)
-    written = f"{workdir}/value_counts"
     reviewed = review.apply_decisions(
         base, decisions, profiles.columns, drop_rejected=drop_rejected,
-        counts=spark.read.parquet(written) if path_exists(spark, written) else None, sources=profiles.sources,
+        counts=read_counts(spark, workdir) if path_exists(spark, f"{workdir}/value_counts") else None, sources=profiles.sources,
     )
     if registry_dir:
         learned = registry.learned_entries(base, decisions, now or datetime.now(timezone.utc))

@@ -63,6 +63,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parallel(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many tasks as there are cores; a table of many files or row groups stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A table of fixed values or catalogue metadata, broadcast where its size is within the bound."""
     table = spark.createDataFrame(rows, schema)

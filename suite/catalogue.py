@@ -59,13 +59,11 @@ def exports(spark: SparkSession, sf_dir: str) -> list[SourceTable]:
     return tables
 
 
-def profiled(spark: SparkSession, sf_dir: str) -> tuple[profiling.Profiles, DataFrame]:
+def profiled(spark: SparkSession, sf_dir: str) -> tuple[profiling.Profiles, profiling.ValueCounts]:
     tables = exports(spark, sf_dir)
     # Written between the stages, as the workflow does: both are read several times.
-    counts = cut_lineage(profiling.value_counts(tables))
-    made = profiling.profile(spark, tables, counts)
-    columns = cut_lineage(made.columns)
-    return profiling.Profiles(columns, cut_lineage(profiling.profile(spark, tables, counts).sources)), counts
+    counts = profiling.value_counts(tables).written()
+    return profiling.profile(spark, tables, counts).written(), counts
 
 
 # --- SQL --------------------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harmonia import fixed_values as fixed
 from harmonia.operators import profiling, source_graph
 from harmonia.sources.exports import SourceTable
 from suite import query
@@ -90,22 +91,34 @@ SELECT source_ref, column_name, regexp_replace(lower(column_name), '[^a-z0-9]+',
        bool_and(TRY_CAST(value AS DOUBLE) IS NOT NULL) AS numbers,
        bool_and(regexp_matches(value, '^[0-9]{2,4}[a-zA-Z]?$')) AS codes,
        count(DISTINCT regexp_replace(lower(value), '[^a-z0-9]+', '', 'g')) AS distinct_normalized
-FROM counts GROUP BY 1, 2)
-SELECT source_ref, column_name, normalized, row_count, completeness, distinct_count,
+FROM counts GROUP BY 1, 2),
+places AS (SELECT *, row_number() OVER (PARTITION BY source_ref, column_name ORDER BY first_ordinal) AS f,
+       row_number() OVER (PARTITION BY source_ref, column_name ORDER BY n DESC, first_ordinal) AS t,
+       row_number() OVER (PARTITION BY source_ref, column_name ORDER BY value) AS s FROM counts WHERE value <> ''),
+lists AS (SELECT source_ref, column_name, string_agg(value, '|' ORDER BY f) FILTER (f <= 3) AS examples,
+       string_agg(value, '|' ORDER BY s) FILTER (s <= 20) AS value_sample,
+       string_agg(value || ':' || n, '|' ORDER BY t) FILTER (t <= 8) AS top_values FROM places GROUP BY 1, 2)
+SELECT source_ref, column_name, normalized, coalesce(examples, '') AS examples, coalesce(value_sample, '') AS value_sample,
+       coalesce(top_values, '') AS top_values, row_count, completeness, distinct_count,
        CASE WHEN contains(normalized, 'date') OR contains(normalized, 'debut') OR contains(normalized, 'fin') THEN 'date'
             WHEN contains(normalized, 'id') AND distinct_count >= greatest(1, floor(row_count * 0.7)) THEN 'identifier'
             WHEN years THEN 'year' WHEN numbers THEN 'numeric' WHEN codes THEN 'code'
             WHEN distinct_normalized <= greatest(8, floor(row_count * 0.6)) THEN 'categorical' ELSE 'text' END AS inferred_type,
-       CASE WHEN regexp_matches(normalized, 'nom|mail|tel|adresse|nir|ins|siret|siren|commentaire|adherent|courrier|pdf|note|cr') THEN 'S4'
-            WHEN contains(source_ref || normalized, 'ut') OR contains(source_ref || normalized, 'sal') THEN 'S2' ELSE 'S1' END AS sensitivity
-FROM tests
+       CASE WHEN regexp_matches(normalized, '"""
+    + "|".join(fixed.S4_COLUMN_TOKENS) + """') THEN 'S4'
+            WHEN regexp_matches(normalized, '""" + "|".join(fixed.S2_COLUMN_TOKENS) + """') THEN 'S2'
+            WHEN regexp_matches(source_ref || normalized, '""" + "|".join(fixed.S3_CONTEXT_TOKENS) + """') THEN 'S3'
+            WHEN regexp_matches(source_ref || normalized, '""" + "|".join(fixed.S2_CONTEXT_TOKENS) + """') THEN 'S2' ELSE 'S1' END AS sensitivity
+FROM tests LEFT JOIN lists USING (source_ref, column_name)
 """,
 )
 def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = profiling.profile(spark, sources(spark, sf_dir)).columns
+    tables = sources(spark, sf_dir)
+    columns = profiling.profile(spark, tables, profiling.value_counts(tables).written()).columns
     return columns.select(
         "source_ref", F.col("column").alias("column_name"), "normalized", "row_count", "completeness", "distinct_count",
-        "inferred_type", "sensitivity",
+        "inferred_type", "sensitivity", F.array_join("examples", "|").alias("examples"), F.array_join("value_sample", "|").alias("value_sample"),
+        F.array_join(F.transform("top_values", lambda v: F.concat_ws(":", v["value"], v["count"].cast("string"))), "|").alias("top_values"),
     )
 
 
@@ -181,29 +194,32 @@ def column_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = F.concat_ws(".", F.col(f"{side}.source").cast("string"), F.col(f"{side}.position").cast("string"))
         return F.element_at(labels, key).alias(f"{side}_column")
 
-    counts = profiling.value_counts(tables).where("value <> ''")
-    values = counts.select(F.struct("source", "position").alias("column_id"), "value")
+    values = source_graph.distinct_values(profiling.value_counts(tables))
     return source_graph.overlaps(values).select(label("left"), label("right"), "overlap")
 
 
+WANTED = [("c_nationkey", "n_nationkey"), ("o_custkey", "c_custkey"), ("p_size", "l_linenumber")]
+
+
 @query(
     "overlap_values",
-    counts_sql(ALL)
-    + """ SELECT a.column_name AS left_column, b.column_name AS right_column, a.value
-FROM counts a JOIN counts b ON a.value = b.value AND a.value <> ''
-WHERE (a.column_name, b.column_name) IN (('c_nationkey', 'n_nationkey'), ('o_custkey', 'c_custkey'), ('p_size', 'l_linenumber'))""",
+    " UNION ALL ".join(
+        f"SELECT '{a}' AS left_column, '{b}' AS right_column, value FROM (SELECT CAST({a} AS VARCHAR) AS value FROM {left} "
+        f"INTERSECT SELECT CAST({b} AS VARCHAR) FROM {right}) WHERE value <> ''"
+        for a, b in WANTED
+        for left in PROFILED if a in PROFILED[left][0]
+        for right in PROFILED if b in PROFILED[right][0]
+    ),
 )
 def overlap_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All values that both columns hold, not those of a sample."""
-    tables = sources(spark, sf_dir)
+    tables = sources(spark, sf_dir, [n for n in PROFILED if any(c in PROFILED[n][0] for pair in WANTED for c in pair)])
     place = {n: (i, p) for i, t in enumerate(tables) for p, n in enumerate(t.columns)}
-    wanted = [("c_nationkey", "n_nationkey"), ("o_custkey", "c_custkey"), ("p_size", "l_linenumber")]
     struct = "struct<source:int,position:int>"
     pairs = spark.createDataFrame(
-        [(place[a], place[b], a, b) for a, b in wanted], f"left {struct}, right {struct}, left_column string, right_column string"
+        [(place[a], place[b], a, b) for a, b in WANTED], f"left {struct}, right {struct}, left_column string, right_column string"
     )
-    values = profiling.value_counts(tables).where("value <> ''").select(F.struct("source", "position").alias("column_id"), "value")
-    found = source_graph.shared_values(values, pairs)
+    found = source_graph.shared_values(source_graph.distinct_values(profiling.value_counts(tables)), pairs)
     return found.join(pairs, ["left", "right"]).select("left_column", "right_column", "value")
 
 

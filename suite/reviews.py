@@ -116,7 +116,7 @@ SELECT v AS source_value, n AS count, trim(upper(regexp_replace(v, '[^A-Za-z0-9]
 def all_value_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every value of two mapped columns, however rare, has its item."""
     table = source(spark, sf_dir, "part")
-    counts = cut_lineage(profiling.value_counts([table]))
+    counts = profiling.value_counts([table]).written()
     profiles = profiling.profile(spark, [table], counts)
     groups = spark.createDataFrame(
         [("part", c, "visite_sante_travail", "type_visite_concept_id", "normalize_visit_type") for c in ("p_type", "p_name")],
