@@ -134,12 +134,15 @@ def _is_long(value: Column) -> Column:
     return F.length(value) > HEAD
 
 
-def _flags(value: Column) -> Column:
+def _digest(value: Column) -> Column:
+    return F.unhex(F.md5(value))
+
+
+def _flags(value: Column, bare: Column, normalized: Column) -> Column:
     """What holds for a value, as bits."""
-    bare = stripped(value)
     tests = [
         (bare != "", FILLED), (is_year(bare), YEAR), (is_date(bare), DATE), (is_number(bare), NUMBER), (is_code(bare), CODE),
-        ((value == "") | normalize(value).isin(fixed.BOOLEAN_LIKE), BOOLEAN),
+        ((value == "") | normalized.isin(fixed.BOOLEAN_LIKE), BOOLEAN),
     ]
     return reduce(Column.__add__, [F.when(test, bit).otherwise(0) for test, bit in tests])
 
@@ -149,38 +152,55 @@ def _key(value: Column) -> tuple[Column, Column]:
     return F.xxhash64(value), F.xxhash64(F.lit(1), value)
 
 
+def _facts(value: Column) -> list[Column]:
+    bare, normalized = stripped(value), normalize(value)
+    found = [_flags(value, bare, normalized), *_key(bare), *_key(normalized)]
+    return [x.alias(n) for x, n in zip(found, ("flags", "bare_hi", "bare_lo", "norm_hi", "norm_lo"), strict=True)]
+
+
 @dataclass(frozen=True)
 class ValueCounts:
     """Distinct values of every column of some sources.
 
-    ``rows``: source, position, value, digest, n, first_ordinal and what is known
-    of long values.  Of a long value ``value`` is the head; its text is read
-    from ``long_cells`` (source, position, ordinal, value), a scan of the sources.
+    ``rows``: source, position, value, digest, n, first_ordinal.  Of a long value
+    ``value`` is the head; its text is read from ``long_cells`` (source, position,
+    ordinal, value), a scan of the sources.
     """
 
     rows: DataFrame
     long_cells: DataFrame
+    # Written rows know whether any value is long; else the sources are not read again.
+    some_long: bool = True
 
     def written(self) -> ValueCounts:
         """The rows written once, for the several steps that read them."""
-        return ValueCounts(written(self.rows), self.long_cells)
+        return self.stored(written(self.rows))
+
+    def stored(self, rows: DataFrame) -> ValueCounts:
+        """These counts with their rows as a table that holds them."""
+        return ValueCounts(rows, self.long_cells, not rows.where("digest IS NOT NULL").isEmpty())
 
     def facts(self) -> DataFrame:
-        """Rows with flags, and with keys of the bare and of the normalised text."""
-        value, short = F.col("value"), F.col("digest").isNull()
-        bare = stripped(value)
-        plain = [_flags(value), *_key(bare), *_key(normalize(bare))]
-        names = ("flags", "bare_hi", "bare_lo", "norm_hi", "norm_lo")
-        return self.rows.select(
-            "source", "position", "value", "n", *(F.when(short, x).otherwise(F.col(f"long_{n}")).alias(n) for x, n in zip(plain, names, strict=True))
-        )
+        """(source, position, value, n) with flags, and keys of the bare and of the normalised text.
+
+        Those of long values are computed where the cells are read.
+        """
+        place = ["source", "position", "digest"]
+        short = self.rows.where("digest IS NULL").select("source", "position", "value", "n", *_facts(F.col("value")))
+        if not self.some_long:
+            return short
+        cells = self.long_cells.select("source", "position", _digest(F.col("value")).alias("digest"), *_facts(F.col("value")))
+        known = cells.groupBy(*place).agg(*(F.max(c).alias(c) for c in cells.columns if c not in place))
+        long = self.rows.where("digest IS NOT NULL").select(*place, "value", "n").join(known, place).drop("digest")
+        return short.unionByName(long)
 
     def restored(self, rows: DataFrame | None = None) -> DataFrame:
         """``rows`` (all by default) with the whole text of long values, read where each first stands."""
         rows = self.rows if rows is None else rows
-        extra = [c for c in rows.columns if c.startswith("long_")] + ["digest"]
+        if not self.some_long:
+            return rows.drop("digest")
         place = [F.col("c.source") == F.col("r.source"), F.col("c.position") == F.col("r.position"), F.col("c.ordinal") == F.col("r.first_ordinal")]
-        held = [c for c in rows.columns if c not in extra]
+        held = [c for c in rows.columns if c != "digest"]
         long = rows.where("digest IS NOT NULL").alias("r").join(self.long_cells.alias("c"), reduce(Column.__and__, place))
         whole = long.select(*(F.col("c.value" if c == "value" else f"r.{c}") for c in held))
         return rows.where("digest IS NULL").select(*held).unionByName(whole)
@@ -189,23 +209,16 @@ class ValueCounts:
 def value_counts(tables: Iterable[SourceTable]) -> ValueCounts:
     """Per source, column and value: number of cells and the first row that has it.
 
-    No long text is shuffled: its head, a digest and a few numbers stand for it.
+    No long text is shuffled: its head and a digest stand for it.
     """
     every = cells(list(tables))
     value = F.col("value")
-    bare = stripped(value)
     long = _is_long(value)
-    facts = {
-        "flags": _flags(value), "bare_hi": _key(bare)[0], "bare_lo": _key(bare)[1],
-        "norm_hi": _key(normalize(bare))[0], "norm_lo": _key(normalize(bare))[1],
-    }
     marked = every.select(
         "source", "position", "ordinal", F.when(long, F.substring(value, 1, HEAD)).otherwise(value).alias("value"),
-        F.when(long, F.unhex(F.md5(value))).alias("digest"), *(F.when(long, x).alias(f"long_{name}") for name, x in facts.items()),
-    )
-    rows = marked.groupBy("source", "position", "value", "digest").agg(
-        F.count("*").alias("n"), F.min("ordinal").alias("first_ordinal"), *(F.max(f"long_{name}").alias(f"long_{name}") for name in facts)
+        F.when(long, _digest(value)).alias("digest"),
     )
+    rows = marked.groupBy("source", "position", "value", "digest").agg(F.count("*").alias("n"), F.min("ordinal").alias("first_ordinal"))
     return ValueCounts(rows, every.where(long))
 
 

@@ -40,7 +40,7 @@ def read_profiles(spark: SparkSession, workdir: str) -> profiling.Profiles:
 def read_counts(spark: SparkSession, workdir: str) -> profiling.ValueCounts:
     """Written value counts; the texts of long values are those of the landed sources."""
     sources = Bronze(spark, f"{workdir}/bronze").sources()
-    return replace(profiling.value_counts(sources.values()), rows=spark.read.parquet(f"{workdir}/value_counts"))
+    return profiling.value_counts(sources.values()).stored(spark.read.parquet(f"{workdir}/value_counts"))
 
 
 def propose(

@@ -127,7 +127,7 @@ def ranked(spark: SparkSession, sf_dir: str, rank) -> DataFrame:
     names = F.create_map(
         *[F.lit(x) for i, t in enumerate(tables) for p, n in enumerate(t.columns) for x in (f"{i}.{p}", f"{t.source_ref}.{n}")]
     )
-    found = rank(profiling.value_counts(tables))
+    found = rank(profiling.value_counts(tables).written())
     return found.select(
         F.element_at(names, F.concat_ws(".", F.col("source").cast("string"), F.col("position").cast("string"))).alias("column_name"),
         "rank", "value", F.col("n").alias("count"),
@@ -167,7 +167,7 @@ FROM counts GROUP BY 1""",
 def column_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = sources(spark, sf_dir)
     names = F.array(*[F.lit(t.source_ref) for t in tables])
-    stats = profiling.column_statistics(profiling.value_counts(tables))
+    stats = profiling.column_statistics(profiling.value_counts(tables).written())
     return stats.groupBy(F.element_at(names, F.col("source") + 1).alias("source_ref")).agg(
         F.sum("row_count").alias("cells"), F.count("*").alias("columns"), F.sum("distinct_count").alias("distinct_values")
     )
@@ -246,7 +246,7 @@ def key_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.create_map(
         *[F.lit(x) for i, t in enumerate(tables) for p, n in enumerate(t.columns) for x in (f"{i}.{p}", f"{t.source_ref}.{n}")]
     )
-    stats = profiling.column_statistics(profiling.value_counts(tables))
+    stats = profiling.column_statistics(profiling.value_counts(tables).written())
     ratio = uniqueness_ratio(F.col("distinct_count"), F.col("row_count"))
     return stats.select(
         F.element_at(names, F.concat_ws(".", F.col("source").cast("string"), F.col("position").cast("string"))).alias("column_name"),

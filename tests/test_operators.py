@@ -180,3 +180,52 @@ def test_learning_from_reviewed_mapping(spark, tmp_path):
     again = propose(spark, str(exports), str(tmp_path / "again"), model=model, min_score=0.0, **SYSTEM)
     assert again.suggestions.count() == found.count()
     assert {r["kind"]: r["pending"] for r in again.queue.pending_counts().collect()}["column"] == 2
+
+
+# --- value counts and overlaps -----------------------------------------------------------------
+def long_source(spark):
+    """Short, long and equal-headed values; the long ones differ only at their ends."""
+    head = "h" * profiling.HEAD
+    values = ["", "a", "b", "a", head, head + "1", head + "2", head + "1", "  ", "oui" + " " * 80, "1" * 70, "É" * 65, "e" * 65, head + "0"]
+    return values, SourceTable("t", ("v",), spark.createDataFrame([(k + 1, v) for k, v in enumerate(values)], "ordinal long, c_0 string"))
+
+
+def test_long_values_have_their_text_back(spark):
+    values, table = long_source(spark)
+    counts = profiling.value_counts([table]).written()
+    assert counts.some_long and all(len(r["value"]) <= profiling.HEAD for r in counts.rows.collect())
+    n = Counter(v for v in values if v)
+    first = {v: values.index(v) + 1 for v in n}
+    assert sorted((r["value"], r["n"]) for r in counts.restored(counts.rows.where("value <> ''")).collect()) == sorted(n.items())
+    sample = profiling.value_sample(counts, 5).orderBy("rank").collect()
+    assert [r["value"] for r in sample] == sorted(n, key=lambda v: v.encode())[:5]
+    top = profiling.top_values(counts, 6).orderBy("rank").collect()
+    assert [r["value"] for r in top] == sorted(n, key=lambda v: (-n[v], first[v]))[:6]
+    stats = profiling.column_statistics(counts).first()
+    assert (stats["row_count"], stats["distinct_count"], stats["present"]) == (len(values), len(n), len([v for v in values if v.strip()]))
+    assert stats["distinct_normalized"] == len({v.lower().replace("é", "e").replace(" ", "") for v in n if v.strip()})
+
+
+def test_no_long_text_is_shuffled(spark):
+    _, table = long_source(spark)
+    plan = profiling.value_counts([table]).rows._jdf.queryExecution().optimizedPlan().toString()
+    keys = next(line for line in plan.splitlines() if "Aggregate" in line)
+    assert "digest" in keys and "max(" not in keys and "first(" not in keys
+
+
+def test_likely_overlaps_are_the_large_ones(spark):
+    rng = random.Random(8)
+    columns = {}
+    for k in range(24):
+        base = rng.randrange(4) * 1000
+        size = rng.choice([1, 3, 10, 40, 200])
+        columns[k % 5, k] = {f"v{base + x}" for x in rng.sample(range(260), size)} | ({"everywhere"} if k % 2 else set())
+    rows = [((s, p), v) for (s, p), held in columns.items() for v in held]
+    df = spark.createDataFrame(rows, "column_id struct<source:int,position:int>, value string")
+    for ratio in (0.3, 0.64, 0.9, 1.0):
+        got = {(tuple(r["left"]), tuple(r["right"])): r["overlap"] for r in source_graph.likely_overlaps(df, ratio).collect()}
+        want = {
+            (a, b): len(columns[a] & columns[b]) for a in columns for b in columns
+            if a < b and a[0] != b[0] and len(columns[a] & columns[b]) >= ratio * min(len(columns[a]), len(columns[b])) - 1e-9
+        }
+        assert got == want
