@@ -125,6 +125,29 @@ def test_chains_against_all_chains():
         assert abs(substring_dedup.SEED_WORDS * len(path) - cost - best) < 1e-9
 
 
+def test_one_diagonal_is_no_special_case(monkeypatch):
+    rng = random.Random(9)
+    for _ in range(60):
+        points = sorted({x for x in (rng.randrange(400) for _ in range(rng.randrange(1, 30)))})
+        matches = [(x, x + 7) for x in points]
+        assert substring_dedup._on_one_diagonal(matches) == substring_dedup._best_predecessors(matches)
+    general = substring_dedup.align
+    for seed in range(40):
+        words = np.random.default_rng(seed).integers(0, 50, 300).astype(np.uint64)
+        other = words.copy()
+        changed = np.random.default_rng(seed + 1000).integers(0, 300, seed * 3)
+        other[changed] = 99
+        seeds = [k for k in range(20, 280, 9) if (words[k:k + 5] == other[k:k + 5]).all()]
+        if len(seeds) < 2:
+            continue
+        found = substring_dedup.passages(words, other, seeds, seeds, 40, 0.75)
+        parts = general(words, other, seeds, seeds)
+        n, same = sum(p[0] for p in parts), sum(p[2] for p in parts)
+        start = seeds[0] - parts[0][0]
+        if n >= 40 and same >= 0.75 * n:
+            assert found == [(start, start + n, start, start + n, same)]
+
+
 def covered(rows, docs: dict[int, list[str]]) -> dict[int, set[int]]:
     """The words of each document that its passages hold, every passage checked."""
     held: dict[int, set[int]] = {}
@@ -214,6 +237,18 @@ def test_log_ratio_parts_good_from_junk(spark):
     assert all(r.kept for r in quality.quality(table, labels.where("quality > 1")).collect())
 
 
+def test_most_poor_and_trusted_rows_get_the_right_verdict(spark):
+    """On rows that set neither the target nor the threshold: both are fitted on every other label."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality IS NOT NULL").collect()
+    learnt = spark.createDataFrame([r for k, r in enumerate(sorted(labels)) if k % 2], labels[0].__fields__)
+    held = {r.doc_id: r.quality for k, r in enumerate(sorted(labels)) if not k % 2}
+    rows = [r for r in quality.quality(docs, learnt).collect() if r.doc_id in held and not r.base_failed]
+    for wanted in (0, 1):
+        own = [r for r in rows if held[r.doc_id] == wanted]
+        assert len(own) >= 10 and sum(r.kept == bool(wanted) for r in own) >= 0.9 * len(own)
+
+
 # --- 5 ---------------------------------------------------------------------------------------------
 PERSONAL = [
     "a@b.c_d@e.f x a@b@c.d", "1.2.3.4.5.6.7.8 256.1.1.1 01.002.3.255 1.2.3", "+5          +5 1234567890 + 12 +1 (017) 555-7713.",
