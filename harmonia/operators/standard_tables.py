@@ -303,7 +303,7 @@ NORMALIZED_COLUMNS = frozenset(
 )
 
 
-def _reader(spec: TableSpec, table: SourceTable, maps: Mapping[str, EntityMap], settings: Settings) -> RowReader:
+def row_reader(spec: TableSpec, table: SourceTable, maps: Mapping[str, EntityMap], settings: Settings) -> RowReader:
     own = dict(maps[spec.name].fields)
     if spec.fields_of:
         lent = maps.get(spec.fields_of)
@@ -311,7 +311,7 @@ def _reader(spec: TableSpec, table: SourceTable, maps: Mapping[str, EntityMap],
     return RowReader(table, own, settings)
 
 
-def _not_empty(columns: list[Column]) -> Column:
+def not_empty(columns: list[Column]) -> Column:
     condition = F.lit(True)
     for column in columns:
         condition = condition & (column != "")
@@ -327,15 +327,20 @@ def build_table(
         table, maps = empty, {**maps, spec.name: EntityMap("", {})}
     else:
         table = context.sources[maps[spec.name].source_ref]
-    r = _reader(spec, table, maps, settings)
+    r = row_reader(spec, table, maps, settings)
     frame = table.df
     if spec.worker:
         frame = context.resolve(frame, table, WORKER_ROLE, r.own.get("travailleur_id"), "_worker")
     if spec.site and not spec.site_after_filter:
         frame = context.resolve(frame, table, SITE_ROLE, r.own.get("etablissement_id"), "_site")
-    frame = frame.where(_not_empty(spec.required(r)))
+    frame = frame.where(not_empty(spec.required(r)))
     if spec.site_after_filter:
         frame = context.resolve(frame, table, SITE_ROLE, r.own.get("etablissement_id"), "_site")
+    return finish_table(spec, frame, r)
+
+
+def finish_table(spec: TableSpec, frame: DataFrame, r: RowReader) -> DataFrame:
+    """The table's columns from rows that have its keys and required values."""
     built = frame.select(
         *[column.alias(name) for name, column in spec.build(r).items()],
         F.lit(spec.level).alias("sensitivity_level"),
@@ -362,7 +367,7 @@ def resolution_usage(maps: Mapping[str, EntityMap], context: JoinContext, settin
         if spec.name not in maps:
             continue
         table = context.sources[maps[spec.name].source_ref]
-        r = _reader(spec, table, maps, settings)
+        r = row_reader(spec, table, maps, settings)
         roles = [(WORKER_ROLE, None)] if spec.worker else []
         if spec.site:
             roles.append((SITE_ROLE, spec if spec.site_after_filter else None))
@@ -370,7 +375,7 @@ def resolution_usage(maps: Mapping[str, EntityMap], context: JoinContext, settin
             source = table
             if after is not None:
                 kept = context.resolve(table.df, table, WORKER_ROLE, r.own.get("travailleur_id"), "_worker")
-                source = SourceTable(table.source_ref, table.columns, kept.where(_not_empty(after.required(r))))
+                source = SourceTable(table.source_ref, table.columns, kept.where(not_empty(after.required(r))))
             used = context.usage(source, role)
             if used is not None:
                 parts.append(used.select(F.lit(spec.name).alias("table"), "*"))

@@ -10,12 +10,12 @@ from dataclasses import dataclass, replace
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from harmonia.fixed_values import STRONG_SCORE
 from harmonia.operators import matching, profiling, quality, registry, review, source_graph, text_model
 from harmonia.operators.key_resolution import JoinContext
-from harmonia.operators.standard_tables import SPECS, Settings, build_tables, resolution_usage
+from harmonia.operators.standard_tables import Settings
+from harmonia.operators.table_run import run_tables
 from harmonia.plans.mapping_document import Mapping, ReviewQueue, assemble, review_queue
 from harmonia.sources.artifacts import path_exists, write_artifacts
 from harmonia.sources.exports import Bronze
@@ -138,25 +138,19 @@ class Transformed:
     tables: dict[str, DataFrame]
     quality: DataFrame
     usage: DataFrame
-    row_counts: DataFrame
+    losses: DataFrame
+
+    @property
+    def row_counts(self) -> DataFrame:
+        return self.losses.select("table", "row_count")
 
 
 def transform(spark: SparkSession, mapping: Mapping, bronze: Bronze, output: str, settings: Settings) -> Transformed:
     """Build and write the standard tables, then check them."""
     sources = bronze.sources()
     context = JoinContext.build(sources, mapping.join_rules)
-    maps = mapping.entity_maps()
-    write_artifacts(build_tables(spark, maps, context, settings), output)
-    tables = {spec.name: spark.read.parquet(f"{output}/{spec.name}") for spec in SPECS}
-    usage = resolution_usage(maps, context, settings)
-    if usage is None:
-        usage = spark.createDataFrame([], "table string, key_role string, attempted bigint, resolved bigint, missed bigint")
-    write_artifacts({"_usage": usage}, output)
-    usage = spark.read.parquet(f"{output}/_usage")
-    rules = quality.quality_rules(mapping, sources, tables, usage, context.index_diagnostics())
+    run = run_tables(spark, mapping.entity_maps(), context, settings, output)
+    write_artifacts({"_usage": run.usage, "_losses": run.losses}, output)
+    rules = quality.quality_rules(mapping, sources, run.tables, run.usage, context.index_diagnostics())
     write_artifacts({"_quality": rules}, output)
-    counts = None
-    for name, df in tables.items():
-        row = df.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("table"), "row_count")
-        counts = row if counts is None else counts.unionByName(row)
-    return Transformed(tables, spark.read.parquet(f"{output}/_quality"), usage, counts)
+    return Transformed(run.tables, spark.read.parquet(f"{output}/_quality"), run.usage, run.losses)
