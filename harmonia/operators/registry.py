@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,9 @@ from harmonia.functions.keys import stable_id
 from harmonia.functions.text import normalize, text
 from harmonia.operators.review import Decisions
 from harmonia.plans.mapping_document import Mapping, column_review_id
-from harmonia.sources.artifacts import path_exists
+
+SNAPSHOT = "snapshot-"
+ATTEMPTS = 100
 
 SCHEMA = (
     "id string, source_system string, schema_version string, source_column string, source_column_normalized string, "
@@ -26,31 +30,77 @@ def empty_registry(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], SCHEMA)
 
 
-def load_registry(spark: SparkSession, folder: str | None) -> DataFrame:
-    """The stored registry; the copy moved aside, where a save broke off between its two renames."""
-    for place in (folder, f"{folder}.old") if folder else ():
-        if path_exists(spark, place):
-            return spark.read.schema(SCHEMA).parquet(place)
-    return empty_registry(spark)
+def _path(spark: SparkSession, place: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(place)
+
+
+def snapshots(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the stored snapshots, oldest first."""
+    path = _path(spark, folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        return []
+    names = [status.getPath().getName() for status in store.listStatus(path)]
+    return sorted(int(n.removeprefix(SNAPSHOT)) for n in names if n.startswith(SNAPSHOT))
+
 
+def load_registry(spark: SparkSession, folder: str | None, number: int | None = None) -> DataFrame:
+    """A stored snapshot, the latest one by default; empty where there is none."""
+    held = snapshots(spark, folder) if folder else []
+    if not held and number is None:
+        return empty_registry(spark)
+    return spark.read.schema(SCHEMA).parquet(_snapshot(folder, held[-1] if number is None else number))
 
-def save_registry(registry: DataFrame, folder: str) -> None:
-    """Replace the stored registry: the new one is written beside it, then takes its place.
 
-    One copy at least is whole at any time: the old one is moved aside, not
-    deleted, until the new one has its name.
+def _snapshot(folder: str, number: int) -> str:
+    return f"{folder.rstrip('/')}/{SNAPSHOT}{number:08d}"
+
+
+def publish(registry: DataFrame, folder: str, number: int) -> bool:
+    """Stores ``registry`` as the snapshot of this number; False where another one has it already.
+
+    The snapshot is written aside and takes its name in one rename that never
+    replaces, so readers see all of it or nothing and a number is given once.
+    The folder needs a store whose renames are atomic.
     """
-    new, old = f"{folder}.new", f"{folder}.old"
-    registry.write.mode("overwrite").parquet(new)
     spark = registry.sparkSession
+    aside = f"{folder.rstrip('/')}/.{uuid.uuid4().hex}"
+    registry.write.parquet(aside)
     jvm = spark._jvm
-    paths = {name: jvm.org.apache.hadoop.fs.Path(name) for name in (folder, new, old)}
-    store = paths[folder].getFileSystem(spark._jsc.hadoopConfiguration())
-    store.delete(paths[old], True)
-    if store.exists(paths[folder]):
-        store.rename(paths[folder], paths[old])
-    store.rename(paths[new], paths[folder])
-    store.delete(paths[old], True)
+    source, target = _path(spark, aside), _path(spark, _snapshot(folder, number))
+    configuration = spark._jsc.hadoopConfiguration()
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.getFileSystem(configuration).getUri(), configuration)
+    plain = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        files.rename(source, target, plain)
+    except Py4JJavaError as error:
+        files.delete(source, True)
+        if "FileAlreadyExistsException" in str(error.java_exception.getClass().getName()):
+            return False
+        raise
+    return True
+
+
+def learn(learned: DataFrame, folder: str, attempts: int = ATTEMPTS) -> int:
+    """Merges ``learned`` into the latest snapshot and stores the result as the next one; returns its number.
+
+    If another learner has stored that number meanwhile, its snapshot is the new
+    base and the merge is made again, so the decisions of both are kept.
+    """
+    spark = learned.sparkSession
+    for _ in range(attempts):
+        number = next(reversed(snapshots(spark, folder)), 0)
+        known = load_registry(spark, folder, number) if number else empty_registry(spark)
+        if publish(merge_entries(known, learned), folder, number + 1):
+            return number + 1
+    raise RuntimeError(f"{folder}: {attempts} other learners were faster each time")
+
+
+def prune(spark: SparkSession, folder: str, keep: int) -> None:
+    """Removes all but the latest ``keep`` snapshots."""
+    for number in snapshots(spark, folder)[:-max(keep, 1)]:
+        path = _path(spark, _snapshot(folder, number))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def entry_id(source_system, column, entity, target_field, transform):

@@ -124,8 +124,7 @@ def apply_review(
     if registry_dir:
         learned = registry.learned_entries(base, decisions, now or datetime.now(timezone.utc))
         if not learned.isEmpty():
-            merged = registry.merge_entries(registry.load_registry(spark, registry_dir), learned)
-            registry.save_registry(merged, registry_dir)
+            registry.learn(learned, registry_dir)
     # Written aside first: the base may itself be read from mapping_reviewed.
     staged = reviewed.mapping.written(f"{workdir}/mapping_staged")
     mapping = staged.written(f"{workdir}/mapping_reviewed")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harmonia.operators import quality
+from harmonia.operators import disclosure, quality
 from suite import query
 from suite.scalars import SPARK_PHRASE
 from suite.sqltext import norm
@@ -125,3 +125,42 @@ def coverage_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "exposition_professionnelle": worker("events", "user_id"), "episode_poste": worker("lineitem", "l_suppkey"),
     }
     return quality.union_rules(quality.worker_coverage(tables))
+
+
+# --- small cells -------------------------------------------------------------------------------------
+# Nations by priority of the open orders: a few records a cell at the small scales.
+SMALL_CELL = 5
+
+
+@query(
+    "small_cells",
+    f"""
+WITH rec AS (SELECT n_name AS r, o_orderpriority AS c FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+             WHERE o_orderstatus = 'P' AND o_orderkey % 5 = 0),
+held AS (SELECT r, c, count(*) AS n FROM rec GROUP BY 1, 2),
+totals AS (SELECT r, sum(n) AS total FROM held GROUP BY 1),
+cells AS (SELECT t.r, x.c, coalesce(n, 0) AS n, total FROM totals t CROSS JOIN (SELECT DISTINCT c FROM held) x LEFT JOIN held ON held.r = t.r AND held.c = x.c),
+patterns AS (SELECT r, list(c ORDER BY c) AS cs FROM cells WHERE n BETWEEN 1 AND {SMALL_CELL - 1} GROUP BY 1),
+alike AS (SELECT *, count(*) OVER (PARTITION BY cs) AS same FROM patterns),
+lonely AS (SELECT *, count(*) OVER (PARTITION BY cs[1]) AS firsts FROM alike WHERE same = 1),
+rest AS (SELECT r, cs FROM lonely WHERE firsts = 1),
+partner AS (SELECT 'rest' AS g, r, CAST([] AS VARCHAR[]) AS cs FROM totals WHERE r NOT IN (SELECT r FROM rest) AND (SELECT count(*) FROM rest) = 1
+            ORDER BY total, r LIMIT 1),
+groups AS (SELECT 'p' || array_to_string(cs, '|') AS g, r, cs FROM alike WHERE same > 1
+           UNION ALL SELECT 'f' || cs[1], r, cs FROM lonely WHERE firsts > 1
+           UNION ALL SELECT 'rest', r, cs FROM rest UNION ALL SELECT * FROM partner),
+shown AS (SELECT DISTINCT g, unnest(cs) AS c FROM groups),
+narrow AS (SELECT g, min(c) AS own FROM shown GROUP BY 1 HAVING count(*) = 1),
+more AS (SELECT g, c FROM (SELECT g, c, row_number() OVER (PARTITION BY g ORDER BY sum(n), c) AS k
+         FROM groups JOIN narrow USING (g) JOIN cells USING (r) WHERE c <> own GROUP BY 1, 2) WHERE k = 1),
+hidden AS (SELECT DISTINCT r, c FROM groups JOIN (SELECT * FROM shown UNION SELECT * FROM more) USING (g))
+SELECT cells.r AS row_name, cells.c AS column_name, CASE WHEN hidden.r IS NULL THEN n END AS n, hidden.r IS NOT NULL AS suppressed,
+       CASE WHEN n BETWEEN 1 AND {SMALL_CELL - 1} THEN 'small' WHEN hidden.r IS NOT NULL THEN 'complementary' END AS reason
+FROM cells LEFT JOIN hidden ON hidden.r = cells.r AND hidden.c = cells.c
+""",
+)
+def small_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read(spark, sf_dir, "orders").where("o_orderstatus = 'P' AND o_orderkey % 5 = 0")
+    customer, nation = read(spark, sf_dir, "customer"), read(spark, sf_dir, "nation")
+    records = orders.join(customer, orders.o_custkey == customer.c_custkey).join(nation, customer.c_nationkey == nation.n_nationkey)
+    return disclosure.hide_small_cells(records, "n_name", "o_orderpriority", SMALL_CELL)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from harmonia.functions import text
 from harmonia.functions.keys import stable_id
 from harmonia.functions.matching import best_alias_score, levenshtein_score
 from harmonia.operators import matching, profiling, registry, review
-from harmonia.session import cut_lineage
+from harmonia.session import cut_lineage, ensure_checkpoint_dir
 from suite import query
 from suite.profiles import source
 from suite.sqltext import norm
@@ -284,3 +285,29 @@ def registry_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     applied = registry.apply_registry(proposals, known, "suite")
     return applied.select("p_partkey", "status", F.round("confidence_score", 6).alias("confidence_score"))
+
+
+@query(
+    "registry_snapshots",
+    """
+WITH p AS (SELECT *, p_partkey % 3 AS batch FROM part),
+s AS (SELECT unnest([1, 2, 3]) AS snapshot)
+SELECT snapshot, p_brand AS source_column, p_type AS entity, count(*) AS decision_count, 2024 + min(batch) AS first_year,
+       2024 + max(batch) AS last_year, max(p_name) FILTER (batch = last_batch) AS last_reason
+FROM (SELECT s.snapshot, p.*, max(batch) OVER (PARTITION BY s.snapshot, p_brand, p_type) AS last_batch FROM s JOIN p ON p.batch < s.snapshot)
+GROUP BY 1, 2, 3
+""",
+)
+def registry_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches of decisions, learned one after another, and what each snapshot holds."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/registry-{uuid.uuid4().hex}"
+    parts = read(spark, sf_dir, "part")
+    found = None
+    for batch in range(3):
+        number = registry.learn(entries(parts.where(F.col("p_partkey") % 3 == batch), datetime(2024 + batch, 1, 1)), folder)
+        held = registry.load_registry(spark, folder, number).select(
+            F.lit(number).alias("snapshot"), "source_column", "entity", "decision_count", F.year("first_learned_at").alias("first_year"),
+            F.year("last_learned_at").alias("last_year"), "last_reason",
+        )
+        found = held if found is None else found.unionByName(held)
+    return found

@@ -205,3 +205,29 @@ def test_review_is_idempotent_and_registry_learns(spark, run, tmp_path):
     assert empty.mapping.value_items.where("status = 'validated_by_human_review'").count() == 4
     assert empty.mapping.mapping_version == "0.1.0-draft-reviewed"
     assert review_base(spark, work).review_status == "reviewed"
+
+
+def test_two_learners_at_once_keep_both_decisions(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from harmonia.operators import registry
+
+    def learned(column, year):
+        values = {"id": column, "source_column": column, "decision_count": 1, "first_learned_at": datetime(year, 1, 1), "last_learned_at": datetime(year, 1, 1)}
+        row = {part.split()[0]: values.get(part.split()[0]) for part in registry.SCHEMA.split(", ")}
+        return spark.createDataFrame([row], registry.SCHEMA)
+
+    folder = str(tmp_path / "registry")
+    assert registry.learn(learned("a", 2024), folder) == 1
+    # One that still holds the first snapshot as its base comes second.
+    assert registry.publish(registry.merge_entries(load_registry(spark, folder, 1), learned("b", 2025)), folder, 2)
+    assert not registry.publish(registry.merge_entries(load_registry(spark, folder, 1), learned("c", 2025)), folder, 2)
+    assert registry.learn(learned("c", 2025), folder) == 3
+    with ThreadPoolExecutor(3) as pool:
+        numbers = list(pool.map(lambda k: registry.learn(learned(f"d{k}", 2026), folder), range(3)))
+    assert sorted(numbers) == [4, 5, 6]
+    held = {r["id"]: r["decision_count"] for r in load_registry(spark, folder).collect()}
+    assert held == {"a": 1, "b": 1, "c": 1, "d0": 1, "d1": 1, "d2": 1}
+    assert [r["id"] for r in load_registry(spark, folder, 1).collect()] == ["a"]
+    registry.prune(spark, folder, 2)
+    assert registry.snapshots(spark, folder) == [5, 6]
