@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-MODULES = ("cohorts", "scalars", "profiles", "tables", "checks", "reviews", "texts", "catalogue", "landing")
+MODULES = ("cohorts", "scalars", "profiles", "tables", "checks", "reviews", "texts", "catalogue", "decisions", "landing")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -5,6 +5,7 @@ Names are compared by edit distance here, which SQL can say too.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from harmonia.functions.matching import edit_ratio, levenshtein_score
 from harmonia.functions.text import plain_normalize
 from harmonia.operators import matching, profiling, quality, source_graph
 from harmonia.plans.mapping_document import Mapping, assemble
-from harmonia.session import cut_lineage
+from harmonia.session import cut_lineage, ensure_checkpoint_dir
 from harmonia.sources.exports import SourceTable
 from suite import query
 from suite.scalars import entity_sql
@@ -276,13 +277,17 @@ def rule_sql(rule: str, failed: str, severity: str, bad: str, good: str, table:
 
 
 def draft(spark: SparkSession, sf_dir: str) -> Mapping:
-    profiles, counts = profiled(spark, sf_dir)
+    return draft_of(*profiled(spark, sf_dir))
+
+
+def draft_of(profiles: profiling.Profiles, counts: profiling.ValueCounts) -> Mapping:
+    """The draft mapping, written as the workflow writes it."""
     proposals = cut_lineage(matching.propose_mappings(profiles.columns, profiles.sources, levenshtein_score, counts))
     found = cut_lineage(source_graph.join_candidates(profiles.columns, profiles.sources, counts, edit_ratio))
     return assemble(
         profiles, proposals, matching.blocked_columns(profiles.columns), found, source_graph.join_rules(found),
         source_system="suite", schema_version="v0", counts=counts,
-    )
+    ).written(f"{ensure_checkpoint_dir(found.sparkSession).rstrip('/')}/mapping-{uuid.uuid4().hex}")
 
 
 @query(

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harmonia.session import ensure_checkpoint_dir
+from harmonia.sources.artifacts import read_json_lines, read_tables, write_artifacts, write_csv, write_json_lines
 from harmonia.sources.exports import Bronze
 from suite import query
-from suite.views import read
+from suite.views import read, standard_tables
 
 PARTS = 4
 
@@ -145,3 +146,51 @@ def landed_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         found = rows if found is None else found.unionByName(rows)
     return found
+
+
+# --- artefacts ------------------------------------------------------------------------------------------
+@query(
+    "stored_tables",
+    """
+SELECT 'travailleur' AS name, count(*) AS row_count, count(DISTINCT c_mktsegment) AS kinds FROM customer
+UNION ALL SELECT 'visite_sante_travail', count(*), count(DISTINCT o_orderpriority) FROM orders
+UNION ALL SELECT 'vaccination', 0, 0
+""",
+)
+def stored_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standard tables written and read by name: an empty one keeps its columns, an absent one is left out."""
+    made = standard_tables(spark, sf_dir, ["travailleur", "visite_sante_travail"])
+    empty = made["visite_sante_travail"].where("false")
+    folder = f"{_folder(spark)}/tables"
+    write_artifacts({**made, "vaccination": empty}, folder)
+    found = None
+    for name, df in read_tables(spark, folder, [*made, "vaccination", "arret_travail"]).items():
+        kind = "suivi_type_concept_id" if name == "travailleur" else "type_visite_concept_id"
+        row = df.agg(F.count("*").alias("row_count"), F.count_distinct(kind).alias("kinds")).select(F.lit(name).alias("name"), "*")
+        found = row if found is None else found.unionByName(row)
+    return found
+
+
+@query(
+    "stored_texts",
+    f"""
+SELECT 'csv' AS format, CAST(doc_id AS VARCHAR) AS doc_id, CAST(n_chars > 500 AS VARCHAR) AS long, sha256(coalesce(text, '')) AS text_sha256 FROM documents
+UNION ALL SELECT 'json', CAST(doc_id AS VARCHAR), CAST(n_chars > 500 AS VARCHAR), sha256(coalesce(text, '')) FROM documents
+""",
+)
+def stored_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents written as delimited text and as JSON lines, and read back."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") > 500).alias("long"), F.coalesce("text", F.lit("")).alias("text"))
+    folder = _folder(spark)
+    write_csv(docs, f"{folder}/csv")
+    write_json_lines(docs, f"{folder}/json")
+    read_csv = spark.read.csv(f"{folder}/csv", header=True, multiLine=True, escape="\\")
+    read_json = read_json_lines(spark, f"{folder}/json", "doc_id long, long boolean, text string")
+    found = None
+    for name, df in (("csv", read_csv), ("json", read_json)):
+        rows = df.select(
+            F.lit(name).alias("format"), F.col("doc_id").cast("string").alias("doc_id"), F.col("long").cast("string").alias("long"),
+            F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
+        )
+        found = rows if found is None else found.unionByName(rows)
+    return found

@@ -22,7 +22,10 @@ def test_plans(spark, name):
         assert operator not in plan, operator
 
 
-@pytest.mark.parametrize("name", ["cohort_linked_date", "top_values", "resolve_keys", "registry_merge", "coverage_rules"])
+@pytest.mark.parametrize("name", [
+    "cohort_linked_date", "top_values", "resolve_keys", "registry_snapshots", "coverage_rules", "landed_documents", "table_run_losses", "small_cells",
+    "learning_columns", "overlap_values",
+])
 def test_against_sql(spark, name):
     from tests.oracle import compare, connect
 
