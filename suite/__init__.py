@@ -18,6 +18,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query and, where SQL can say the same, its SQL."""
 
     def register(build: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"two queries are named {name}")
         QUERIES[name] = build
         if sql is not None:
             SQL[name] = sql

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harmonia.operators.cohort import CohortResult, Reader, evaluate_cohort, event_predicate
 from harmonia.plans.cohort_definition import CohortDefinition
+from harmonia.session import ensure_checkpoint_dir
 from suite import query
 from suite.views import read, standard_tables
 
@@ -356,3 +359,60 @@ def event_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
         (test({"any": ["signup"], "equals": "click", "not_any": ["signup"]})
          & event_predicate(reader, "events", {"no_such_column": {"not_any": ["x"]}})).alias("first_key_wins"),
     )
+
+
+# --- exposure criterion, saved results, feasibility ----------------------------------------------------
+EXPOSED = {
+    "name": "exposed", "reference_year": 2026, "population": {"min_age": 50},
+    "criteria": {"exposures": {"any": ["Sign-up", "purchase"]}},
+}
+EXPOSED_SQL = f"""
+WITH {TABLES_SQL},
+f AS (SELECT 2026 - annee >= 50 AS f1, travailleur_id IN (SELECT travailleur_id FROM expo WHERE concept IN ('sign_up', 'purchase')) AS f2 FROM travailleur),
+c AS (SELECT count(*) AS c0, count(*) FILTER (f1) AS c1, count(*) FILTER (f1 AND f2) AS c2 FROM f)"""
+
+
+@query(
+    "cohort_exposure",
+    EXPOSED_SQL + """
+SELECT 0 AS ord, 'source_population' AS id, c0 AS output_count, CAST(0 AS BIGINT) AS excluded_count, c2 AS included FROM c
+UNION ALL SELECT 1, 'population:min_age', c1, c0 - c1, c2 FROM c
+UNION ALL SELECT 2, 'criteria:exposure', c2, c1 - c2, c2 FROM c
+""",
+)
+def cohort_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cohort by exposure, saved and read back."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cohort-{uuid.uuid4().hex}"
+    evaluate(spark, sf_dir, EXPOSED).save(folder)
+    included = spark.read.parquet(f"{folder}/included").agg(F.count("*").alias("included"))
+    return spark.read.parquet(f"{folder}/steps").select("ord", "id", "output_count", "excluded_count").crossJoin(F.broadcast(included))
+
+
+@query(
+    "cohort_feasibility",
+    """
+WITH n AS (SELECT count(*) AS n, count(*) FILTER (2026 - (1950 + c_nationkey * 2) >= 50) AS old FROM customer)
+SELECT 'feasible' AS cohort_name, 'feasible' AS feasibility_status, n AS source_population_count, old AS included_count, '' AS missing_tables,
+       CAST(0 AS BIGINT) AS blocking, CAST(0 AS BIGINT) AS warnings FROM n
+UNION ALL SELECT 'nobody', 'feasible_empty', n, 0, '', 0, 0 FROM n
+UNION ALL SELECT 'absent_table', 'not_feasible', n, 0, 'exposition_professionnelle', 1, 0 FROM n
+UNION ALL SELECT 'empty_table', 'feasible_empty', n, 0, '', 0, 1 FROM n
+""",
+)
+def cohort_feasibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions that find workers, find none, lack a table, and read an empty one."""
+    old = {"reference_year": 2026, "population": {"min_age": 50}}
+    whole = standard_tables(spark, sf_dir, ["travailleur", "exposition_professionnelle"])
+    workers = {"travailleur": whole["travailleur"]}
+    empty = {**workers, "exposition_professionnelle": whole["exposition_professionnelle"].where("false")}
+    found = None
+    for definition, tables in (
+        ({**old, "name": "feasible"}, whole), ({"name": "nobody", "reference_year": 2026, "population": {"min_age": 200}}, whole),
+        ({**EXPOSED, "name": "absent_table"}, workers), ({**EXPOSED, "name": "empty_table"}, empty),
+    ):
+        row = evaluate_cohort(spark, tables, definition).summary.select(
+            "cohort_name", "feasibility_status", "source_population_count", "included_count", "missing_tables",
+            F.col("blocking_diagnostics_count").alias("blocking"), F.col("warning_diagnostics_count").alias("warnings"),
+        )
+        found = row if found is None else found.unionByName(row)
+    return found

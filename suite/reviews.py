@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harmonia import fixed_values as fixed
 from harmonia.functions import text
 from harmonia.functions.keys import stable_id
 from harmonia.functions.matching import best_alias_score, levenshtein_score
@@ -311,3 +312,23 @@ def registry_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         found = held if found is None else found.unionByName(held)
     return found
+
+
+@query(
+    "review_value_map_sources",
+    """
+WITH reviewed AS (SELECT o_orderpriority AS p, 'P_' || count(*) AS target FROM orders WHERE o_orderpriority < '3' GROUP BY 1)
+SELECT o_orderkey, coalesce(target, CASE WHEN o_orderpriority IS NULL THEN 'NONE' ELSE 'RAW' END) AS concept FROM orders LEFT JOIN reviewed ON p = o_orderpriority
+""",
+)
+def review_value_map_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviewed targets replace the concepts of a table; of several reviews of a value the last source decides."""
+    orders = read(spark, sf_dir, "orders")
+    counted = orders.groupBy("o_orderpriority").agg(F.concat(F.lit("P_"), F.count("*")).alias("target_value"))
+    items = counted.select(
+        F.lit("b.csv").alias("source_ref"), F.lit("p").alias("source_column"), F.col("o_orderpriority").alias("source_value"), "target_value",
+        F.when(F.col("o_orderpriority") < "3", fixed.BY_HUMAN).otherwise(fixed.TO_REVIEW).alias("status"),
+    )
+    earlier = items.withColumn("source_ref", F.lit("a.csv")).withColumn("target_value", F.lit("earlier"))
+    table = orders.select("o_orderkey", F.lit("RAW").alias("concept"), "o_orderpriority")
+    return review.apply_value_map(table, "concept", "o_orderpriority", items.unionByName(earlier)).select("o_orderkey", "concept")
