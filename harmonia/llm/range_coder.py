@@ -7,99 +7,150 @@ on integers, so every machine decodes what another has encoded.
 
 from __future__ import annotations
 
-import math
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 
-BLOCK_IDS = 4096
+# A block knows its ids by slots, in the order of their first appearance.
+SLOT_BITS = 12
+BLOCK_IDS = 1 << SLOT_BITS
 LANES = 2048
-TABLE_BITS = 12
+PAIR_BITS = 13
 _HEADER = struct.Struct("<III")  # ids, crc32 of the ids, 32-bit words of the payload
 
 _WORD = np.uint64(1 << 32)
 _LOW = np.uint64(0xFFFFFFFF)
 _SHIFT = np.uint64(32)
 _ONE = np.uint64(1)
-_TOTAL_BITS = np.uint64(16)
 
-_SQUASH = np.array([min(4064, max(32, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2048, 2048)], np.int64)
-_STRETCH = np.array([round(256 * math.log((p + 0.5) / (4095.5 - p))) for p in range(4096)], np.int64)
+# Weights are out of 4096; order 0 always keeps the rest of _MOST.
+_SCALE, _MOST, _LEAST = 4096, 3968, 16
+_RATE = 4
+_NONE = BLOCK_IDS
+# First weights of a guess by how sure it is, and the least ones; index: order-2 certainty * 4 + order-1 certainty.
+_FIRST = np.array([0, 600, 1500, 2400])
+_FIRST_2, _FIRST_1 = np.repeat(_FIRST, 4) // 2, np.tile(_FIRST, 4) // 2
+_LEAST_2, _LEAST_1 = np.repeat([0, _LEAST, _LEAST, _LEAST], 4), np.tile([0, _LEAST, _LEAST, _LEAST], 4)
+_UP = np.arange(SLOT_BITS, -1, -1)[:, None]
+
+
+@lru_cache(maxsize=4)
+def _unseen(vocabulary: int) -> np.ndarray:
+    """Bounds of the ids for their first appearance in a block: the chance falls with the id, as merges come by frequency."""
+    return np.concatenate([[0], np.cumsum((1 << 20) // (np.arange(vocabulary) + 2048) + 1)])
 
 
 class _Model:
-    """What each lane expects next.
+    """What each lane expects next: a mixture of three predictions.
 
-    Order 2 and order 1 keep the id last seen after a context and how sure it
-    is; order 0 keeps the id that leads the block so far.  The chance that the
-    order-2 id comes next is mixed from two adaptive counters with weights that
-    learn; the others have one counter each.
+    Order 2 and order 1 guess the slot last seen after a context, with how sure
+    they are; order 0 gives every slot its count so far (one for the first, two
+    for each further occurrence) and a slot not yet seen the number of slots
+    plus one.  The weights of the guesses are learned for each pair of
+    certainties, each moving to its share in the chance of what came.  Counts
+    are held in a binary tree: a node holds the sum of its left half, a leaf its
+    own; the root is the lowest node above all slots in use.
     """
 
     def __init__(self, lanes: int):
-        size = 1 << TABLE_BITS
         self.lane = np.arange(lanes)
-        self.base = self.lane << TABLE_BITS
-        self.ids = {o: np.zeros(lanes * size, np.int32) for o in (1, 2)}
-        self.sure = {o: np.zeros(lanes * size, np.int8) for o in (1, 2)}
-        self.lead, self.votes = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.mixed = [np.full(lanes * 64, 1024, np.int64) for _ in range(2)]
-        self.single = [np.full(lanes * 8, 512, np.int64) for _ in range(2)]
-        self.weights = [np.full(lanes, 1 << 15, np.int64) for _ in range(2)]
+        self.base = self.lane << (SLOT_BITS + 1)
+        self.tree = np.zeros(lanes << (SLOT_BITS + 1), np.int16)
+        self.tables = (
+            np.full(lanes << PAIR_BITS, _NONE << 2, np.int16), np.full(lanes << SLOT_BITS, _NONE << 2, np.int16)
+        )
+        self.bases = (self.lane << PAIR_BITS, self.lane << SLOT_BITS)
+        self.at = [b.copy() for b in self.bases]
+        self.weights = (np.tile(_FIRST_2, lanes), np.tile(_FIRST_1, lanes))
         self.last = np.zeros(lanes, np.int64)
-        self.at = {o: self.base.copy() for o in (1, 2)}
-
-    def predict(self, k: int) -> None:
-        """Predictions of the first ``k`` lanes and the sizes of the four cases, out of 65536."""
-        self.k = k
-        i2, i1 = self.at[2][:k], self.at[1][:k]
-        self.p2, self.c2 = self.ids[2][i2], self.sure[2][i2].astype(np.int64)
-        self.p1, self.c1 = self.ids[1][i1], self.sure[1][i1].astype(np.int64)
-        self.p0 = self.lead[:k]
-        lane = self.lane[:k]
-        agree = self.p1 == self.p2
-        self.slots = [lane * 64 + self.c2 * 8 + self.c1, lane * 64 + self.c2 * 2 + agree]
-        self.stretched = [_STRETCH[m[s]] for m, s in zip(self.mixed, self.slots, strict=True)]
-        dot = (self.weights[0][:k] * self.stretched[0] + self.weights[1][:k] * self.stretched[1]) >> 16
-        self.q2 = _SQUASH[np.clip(dot, -2048, 2047) + 2048]
-        self.single_slots = [lane * 8 + self.c1, lane * 8 + np.minimum(self.votes[:k], 7)]
-        q1, q0 = (np.clip(m[s], 32, 4064) for m, s in zip(self.single, self.single_slots, strict=True))
-        f2 = self.q2 << 4
-        f1 = np.where(agree, 1, ((65536 - f2) * q1) >> 12)
-        f0 = np.maximum(1, ((65536 - f2 - f1) * q0) >> 12)
-        self.bounds = np.stack([np.zeros_like(f2), f2, f2 + f1, f2 + f1 + f0, np.full_like(f2, 65536)])
-
-    def case(self, ids: np.ndarray) -> np.ndarray:
-        """Which prediction an id meets: order 2, 1, 0, or none."""
-        return np.where(ids == self.p2, 0, np.where(ids == self.p1, 1, np.where(ids == self.p0, 2, 3)))
-
-    def learn(self, ids: np.ndarray, case: np.ndarray) -> None:
+        self.slots = np.zeros(lanes, np.int64)
+        self.depth = 1
+
+    def predict(self, k: int, step: int) -> int:
+        """Prepares the predictions of the first ``k`` lanes after ``step`` ids; gives the sum of all sizes."""
+        self.k, counts = k, 2 * step + 1
+        self.seen = 2 * step - self.slots[:k]
+        if int(self.slots[:k].max()) >> self.depth:
+            self.depth += 1
+            self.tree[self.base[:k] + (BLOCK_IDS >> self.depth)] = self.seen
+        self.up = _UP[SLOT_BITS - self.depth:]
+        self.held = [t[a[:k]].astype(np.int64) for t, a in zip(self.tables, self.at, strict=True)]
+        self.guess, self.sure = [h >> 2 for h in self.held], [h & 3 for h in self.held]
+        self.pair = self.sure[0] * 4 + self.sure[1]
+        self.chosen = (self.lane[:k] << 4) + self.pair
+        self.share = [w[self.chosen] for w in self.weights]
+        self.rest = _SCALE - self.share[0] - self.share[1]
+        self.extra = [s * counts for s in self.share]
+        return counts * _SCALE
+
+    def _below(self, slots: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """Counts of all slots before the given ones."""
+        up = slots >> self.up
+        right = (up[1:] & 1).astype(np.int16)
+        return (self.tree[base + (up[:-1] | (BLOCK_IDS >> self.up[:-1]))] * right).sum(axis=0, dtype=np.int16).astype(np.int64)
+
+    def size(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of the slots that come; the one after the last slot stands for ids not yet seen."""
+        k = self.k
+        up = slots >> self.up
+        self.nodes = self.base[:k] + (up | (BLOCK_IDS >> self.up))
+        self.right = (up[1:] & 1).astype(np.int16)
+        self.sums = self.tree[self.nodes]
+        before = (self.sums[:-1] * self.right).sum(axis=0, dtype=np.int16).astype(np.int64)
+        own = self.sums[-1].astype(np.int64)
+        self.fresh = own == 0
+        own = np.where(self.fresh, slots + 1, own)
+        self.hit = [slots == g for g in self.guess]
+        start, size = self.rest * before, self.rest * own
+        for guess, hit, extra in zip(self.guess, self.hit, self.extra, strict=True):
+            start += extra * (guess < slots)
+            size += extra * hit
+        return start, size
+
+    def find(self, place: np.ndarray) -> np.ndarray:
+        """The slot whose interval holds ``place``."""
+        k, base = self.k, self.base[:self.k]
+        swap = self.guess[0] > self.guess[1]
+        low, high = np.where(swap, self.guess[1], self.guess[0]), np.where(swap, self.guess[0], self.guess[1])
+        first = np.where(swap, self.extra[1], self.extra[0])
+        second = self.extra[0] + self.extra[1] - first
+        starts = self._below(np.concatenate([low, high]), np.concatenate([base, base]))
+        # What a guess adds comes in front of its slot's own counts.
+        for begun, added in ((self.rest * starts[:k], first), (self.rest * starts[k:], second)):
+            place = place - np.minimum(np.maximum(place - begun, 0), added)
+        place = place // self.rest
+        left = place.astype(np.int16)
+        node = base + (BLOCK_IDS >> self.depth)
+        for _ in range(self.depth):
+            held = self.tree[node]
+            right = left >= held
+            left -= held * right
+            node += node
+            node -= base
+            node += right
+        # What lies beyond all counts is for ids not yet seen.
+        return np.where(place >= self.seen, self.slots[:k], node - base - BLOCK_IDS)
+
+    def learn(self, slots: np.ndarray, size: np.ndarray) -> None:
         k = self.k
-        hit = ids == self.p2
-        target = hit.astype(np.int64) << 12
-        error = target - self.q2
-        for n in range(2):
-            held = self.mixed[n][self.slots[n]]
-            self.mixed[n][self.slots[n]] = np.clip(held + ((target - held) >> 4), 0, 4095)
-            self.weights[n][:k] += (self.stretched[n] * error) >> 11
-        for n in range(2):
-            asked = case > n
-            slots, held = self.single_slots[n][asked], self.single[n][self.single_slots[n][asked]]
-            right = (case[asked] == n + 1).astype(np.int64) << 12
-            self.single[n][slots] = np.clip(held + ((right - held) >> 5), 0, 4095)
-        for order, guess, sure in ((2, self.p2, self.c2), (1, self.p1, self.c1)):
-            at, met = self.at[order][:k], ids == guess
-            self.ids[order][at] = np.where(met | (sure > 1), guess, ids)
-            self.sure[order][at] = np.where(met, np.minimum(sure + 1, 7), sure >> 1)
-        votes = self.votes[:k] + np.where(ids == self.p0, 1, -1)
-        self.lead[:k] = np.where(votes < 0, ids, self.p0)
-        self.votes[:k] = np.clip(votes, 0, 255)
-        mixed = (ids * 0x9E3779B1) & 0xFFFFFFFF
-        self.at[1][:k] = self.base[:k] + (mixed >> (32 - TABLE_BITS))
-        pair = ((mixed ^ (self.last[:k] * 0x85EBCA6B)) * 0xC2B2AE35) & 0xFFFFFFFF
-        self.at[2][:k] = self.base[:k] + (pair >> (32 - TABLE_BITS))
-        self.last[:k] = ids
+        add = 2 - self.fresh.astype(np.int16)
+        self.sums[:-1] += add * (1 - self.right)
+        self.sums[-1] += add
+        self.tree[self.nodes] = self.sums
+        self.slots[:k] += self.fresh
+        fresh_guess = (slots << 2) + 1
+        for n, least in enumerate((_LEAST_2, _LEAST_1)):
+            hit, sure, held, share = self.hit[n], self.sure[n], self.held[n], self.share[n]
+            part = hit * (self.extra[n] * _MOST // size)
+            self.weights[n][self.chosen] = np.maximum(share + ((part - share) >> _RATE), least[self.pair])
+            kept = np.where(sure > 1, held - 1, fresh_guess)
+            self.tables[n][self.at[n][:k]] = np.where(hit, held + (sure < 3), kept)
+        pair = ((slots * 0x9E3779B1 ^ self.last[:k] * 0x85EBCA6B) * 0x2C1B3C6D) & 0xFFFFFFFF
+        self.at[0][:k] = self.bases[0][:k] + (pair >> (32 - PAIR_BITS))
+        self.at[1][:k] = self.bases[1][:k] + slots
+        self.last[:k] = slots
 
 
 class _Ranges:
@@ -122,16 +173,26 @@ class _Ranges:
         return lanes, (low >> _SHIFT).astype(np.uint32)
 
 
+def _slots(block: np.ndarray) -> np.ndarray:
+    """Ids as slots: numbered by first appearance."""
+    _, first, which = np.unique(block, return_index=True, return_inverse=True)
+    number = np.empty(len(first), np.int64)
+    number[np.argsort(first)] = np.arange(len(first))
+    return number[which]
+
+
 def _encode_lanes(blocks: list[np.ndarray], vocabulary: int) -> list[np.ndarray]:
     """32-bit words of each block; blocks come longest first."""
     lengths = np.array([len(b) for b in blocks])
     n, steps = len(blocks), int(lengths[0])
-    ids = np.zeros((steps, n), np.int64)
+    ids, slots = np.zeros((steps, n), np.int64), np.zeros((steps, n), np.int64)
     for lane, block in enumerate(blocks):
-        ids[:len(block), lane] = block
+        ids[:len(block), lane], slots[:len(block), lane] = block, _slots(block)
     alive = n - np.searchsorted(lengths[::-1], np.arange(steps), side="right")
-    words, used = np.zeros((n, steps + 4), np.uint32), np.zeros(n, np.int64)
-    model, ranges, size = _Model(n), _Ranges(n), np.uint64(vocabulary)
+    words, used = np.zeros((n, 2 * steps + 4), np.uint32), np.zeros(n, np.int64)
+    model, ranges = _Model(n), _Ranges(n)
+    bounds = _unseen(vocabulary)
+    sizes, whole, bounds = np.diff(bounds).astype(np.uint64), np.uint64(bounds[-1]), bounds.astype(np.uint64)
 
     def put(k: int) -> None:
         lanes, found = ranges.settle(k)
@@ -140,18 +201,17 @@ def _encode_lanes(blocks: list[np.ndarray], vocabulary: int) -> list[np.ndarray]
 
     for step in range(steps):
         k = int(alive[step])
-        now = ids[step, :k]
-        model.predict(k)
-        case = model.case(now)
-        lane = model.lane[:k]
-        start = model.bounds[case, lane].astype(np.uint64)
-        ranges.narrow(slice(0, k), ranges.width[:k] >> _TOTAL_BITS, start, model.bounds[case + 1, lane].astype(np.uint64) - start)
-        put(k)
-        plain = np.flatnonzero(case == 3)
-        unit = ranges.width[plain] // size
-        ranges.narrow(plain, unit, now[plain].astype(np.uint64), _ONE)
+        now = slots[step, :k]
+        total = model.predict(k, step)
+        start, size = model.size(now)
+        ranges.narrow(slice(0, k), ranges.width[:k] // np.uint64(total), start.astype(np.uint64), size.astype(np.uint64))
         put(k)
-        model.learn(now, case)
+        plain = np.flatnonzero(model.fresh)
+        if len(plain):
+            new = ids[step, plain]
+            ranges.narrow(plain, ranges.width[plain] // whole, bounds[new], sizes[new])
+            put(k)
+        model.learn(now, size)
     words[model.lane, used] = (ranges.low >> _SHIFT).astype(np.uint32)
     words[model.lane, used + 1] = (ranges.low & _LOW).astype(np.uint32)
     return [words[lane, :used[lane] + 2] for lane in range(n)]
@@ -165,8 +225,10 @@ def _decode_lanes(words: list[np.ndarray], lengths: np.ndarray, vocabulary: int)
     alive = n - np.searchsorted(lengths[::-1], np.arange(steps), side="right")
     code = (held[:, 0] << _SHIFT) | held[:, 1]
     used = np.full(n, 2, np.int64)
-    ids = np.zeros((steps, n), np.int64)
-    model, ranges, size = _Model(n), _Ranges(n), np.uint64(vocabulary)
+    slots, names = np.zeros((steps, n), np.int64), np.zeros((n, BLOCK_IDS), np.uint32)
+    model, ranges = _Model(n), _Ranges(n)
+    bounds = _unseen(vocabulary)
+    sizes, whole, starts = np.diff(bounds).astype(np.uint64), np.uint64(bounds[-1]), bounds.astype(np.uint64)
 
     def take(k: int) -> None:
         lanes, _ = ranges.settle(k)
@@ -175,25 +237,24 @@ def _decode_lanes(words: list[np.ndarray], lengths: np.ndarray, vocabulary: int)
 
     for step in range(steps):
         k = int(alive[step])
-        model.predict(k)
-        lane = model.lane[:k]
-        unit = ranges.width[:k] >> _TOTAL_BITS
-        place = ((code[:k] - ranges.low[:k]) // unit).astype(np.int64)
-        bounds = model.bounds
-        case = (place >= bounds[1]).astype(np.int64) + (place >= bounds[2]) + (place >= bounds[3])
-        start = bounds[case, lane].astype(np.uint64)
-        ranges.narrow(slice(0, k), unit, start, bounds[case + 1, lane].astype(np.uint64) - start)
-        take(k)
-        now = np.where(case == 0, model.p2, np.where(case == 1, model.p1, model.p0)).astype(np.int64)
-        plain = np.flatnonzero(case == 3)
-        unit = ranges.width[plain] // size
-        found = np.minimum((code[plain] - ranges.low[plain]) // unit, size - _ONE)
-        now[plain] = found.astype(np.int64)
-        ranges.narrow(plain, unit, found, _ONE)
+        total = model.predict(k, step)
+        unit = ranges.width[:k] // np.uint64(total)
+        place = np.minimum((code[:k] - ranges.low[:k]) // unit, np.uint64(total - 1)).astype(np.int64)
+        now = model.find(place)
+        start, size = model.size(now)
+        ranges.narrow(slice(0, k), unit, start.astype(np.uint64), size.astype(np.uint64))
         take(k)
-        ids[step, :k] = now
-        model.learn(now, case)
-    return [ids[:lengths[lane], lane].astype(np.uint32) for lane in range(n)]
+        plain = np.flatnonzero(model.fresh)
+        if len(plain):
+            unit = ranges.width[plain] // whole
+            place = np.minimum((code[plain] - ranges.low[plain]) // unit, whole - _ONE)
+            new = np.searchsorted(starts, place, side="right") - 1
+            ranges.narrow(plain, unit, starts[new], sizes[new])
+            take(k)
+            names[plain, now[plain]] = new
+        slots[step, :k] = now
+        model.learn(now, size)
+    return [names[lane, slots[:lengths[lane], lane]] for lane in range(n)]
 
 
 def encode_blocks(parts: list[np.ndarray], vocabulary: int) -> list[bytes]:
