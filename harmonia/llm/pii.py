@@ -81,7 +81,7 @@ IBAN_LENGTHS = {
     29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
 }
 # A country's number ends at its length, whatever follows it; else the longest run that stops before such a number is tried.
-_IBAN_KNOWN = "|".join(
+IBAN_KNOWN = "|".join(
     f"(?:{'|'.join(codes.split())})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{length - 4}}}" for length, codes in IBAN_LENGTHS.items()
 )
 
@@ -95,7 +95,7 @@ KINDS = (
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", _card, 0.7, "card|visa|credit|payment|tarjeta|carte|karte"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", _phone, 0.7,
          "phone|call|tel|mobile|fax|whatsapp"),
-    Kind("iban", rf"(?<![A-Za-z0-9])(?:{_IBAN_KNOWN}|[A-Z]{{2}}[0-9]{{2}}(?:(?:\x20(?!(?:{_IBAN_KNOWN})(?![A-Za-z0-9])))?[A-Z0-9]){{11,30}})(?![A-Za-z0-9])", _mod97, 0.8,
+    Kind("iban", rf"(?<![A-Za-z0-9])(?:{IBAN_KNOWN}|[A-Z]{{2}}[0-9]{{2}}(?:(?:\x20(?!(?:{IBAN_KNOWN})(?![A-Za-z0-9])))?[A-Z0-9]){{11,30}})(?![A-Za-z0-9])", _mod97, 0.8,
          "iban|account|konto|cuenta|compte", base=False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", _always, 0.3,
          "ssn|social security|insurance|tax id", base=False),
@@ -105,38 +105,68 @@ KINDS = (
 BASE_KINDS = tuple(k.name for k in KINDS if k.base)
 
 
-def _spans(text: Column, found: Column, kind: Kind) -> Column:
+# Texts are read in pieces of so many code points, so a span's surroundings cost the same wherever it stands.
+PIECE_CHARS = 64
+# Sums over long arrays run block by block: an array grows within a block and over the blocks only.
+BLOCK = 256
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Of each place of an array of counts, its value combined with all before it."""
+    nothing = F.array().cast("array<int>")
+
+    def grown(block: Column) -> Column:
+        return F.aggregate(
+            block, nothing, lambda acc, v: F.concat(acc, F.array(combine(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)), v)))
+        )
+
+    def joined(blocks: Column) -> Column:
+        return _let(
+            grown(F.transform(blocks, lambda block: F.get(block, F.size(block) - 1))),
+            lambda sums: F.flatten(F.transform(blocks, lambda block, i: _let(
+                F.coalesce(F.get(sums, i - 1), F.lit(0)), lambda before: F.transform(block, lambda v: combine(before, v))
+            ))),
+        )
+
+    return _let(values, lambda held: F.when(F.size(held) == 0, nothing).otherwise(_let(
+        F.transform(F.sequence(F.lit(0), F.size(held) - 1, F.lit(BLOCK)), lambda at: grown(F.slice(held, at + 1, BLOCK))), joined
+    )))
+
+
+def _cut(pieces: Column, start: Column, length: Column) -> Column:
+    """``length`` code points from ``start`` on of a text in pieces."""
+    first = F.floor(start / PIECE_CHARS).cast("int")
+    last = F.floor((start + length - 1) / PIECE_CHARS).cast("int")
+    return F.substring(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""), start - first * PIECE_CHARS + 1, length)
+
+
+def _spans(text: Column, pieces: Column, found: Column, kind: Kind) -> Column:
     """Confirmed spans of one kind: code points, end exclusive.
 
-    The pieces between the matches give each match its place.
+    What lies between the matches gives each match its place.
     """
-    between = F.transform(F.split(text, kind.pattern, -1), F.length)
-    placed = F.aggregate(
-        F.arrays_zip(found.alias("found"), F.slice(between, 1, F.size(found)).alias("gap")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")),
-        lambda acc, m: F.struct(
-            (acc["at"] + m["gap"] + F.length(m["found"])).alias("at"),
-            F.concat(
-                acc["spans"],
-                F.array(F.struct((acc["at"] + m["gap"]).alias("start"), (acc["at"] + m["gap"] + F.length(m["found"])).alias("end"))),
-            ).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
+    between = F.slice(F.split(text, kind.pattern, -1), 1, F.size(found))
+    ends = _running(F.zip_with(between, found, lambda gap, match: F.length(gap) + F.length(match)), lambda a, b: a + b)
     confirmed = F.filter(
-        F.arrays_zip(found.alias("found"), placed.alias("span")), lambda m: F.coalesce(kind.confirm(m["found"]), F.lit(False))
+        F.arrays_zip(found.alias("found"), ends.alias("end")), lambda m: F.coalesce(kind.confirm(m["found"]), F.lit(False))
     )
 
+    def near(start: Column, length: Column) -> Column:
+        return F.lower(_cut(pieces, start, length)).rlike(f"(?:{kind.context})")
+
     def scored(m: Column) -> Column:
-        start = m["span"]["start"]
-        before = F.lower(F.substring(text, F.greatest(start - CONTEXT_CHARS + 1, F.lit(1)), F.least(start, F.lit(CONTEXT_CHARS))))
-        near = before.rlike(f"(?:{kind.context})")
+        start = m["end"] - F.length(m["found"])
+        met = near(F.greatest(start - CONTEXT_CHARS, F.lit(0)), F.least(start, F.lit(CONTEXT_CHARS)))
         if not kind.base:
-            after = F.lower(F.substring(text, m["span"]["end"] + 1, F.lit(CONTEXT_CHARS)))
-            near = near | after.rlike(f"(?:{kind.context})")
-        gain = F.when(near, CONTEXT_GAIN).otherwise(0.0)
+            met = met | near(m["end"], F.lit(CONTEXT_CHARS))
+        gain = F.when(met, CONTEXT_GAIN).otherwise(0.0)
         return F.struct(
-            F.lit(kind.name).alias("kind"), start.alias("start"), m["span"]["end"].alias("end"),
+            F.lit(kind.name).alias("kind"), start.alias("start"), m["end"].alias("end"),
             F.least(F.lit(1.0), F.lit(kind.score) + gain).alias("score"),
         )
 
@@ -150,16 +180,23 @@ _SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 def with_spans(docs: DataFrame, text: str, into: str) -> DataFrame:
     """Adds the spans of all kinds, by kind as listed and then by start, as column ``into``.
 
-    Names that begin with ``into`` and an underscore are used on the way.
+    ``<into>_pieces`` holds the text in pieces of PIECE_CHARS code points, where
+    there are spans; names that begin with ``into`` and an underscore are used on the way.
     """
     held = docs
     for kind in KINDS:
         held = held.withColumn(f"{into}_{kind.name}", F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(kind.pattern), 0))
+    matches = [F.col(f"{into}_{kind.name}") for kind in KINDS]
+    some = F.greatest(*(F.size(found) for found in matches)) > 0
+    held = held.withColumn(
+        f"{into}_pieces",
+        F.when(some, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE_CHARS}}}"), 0)).otherwise(F.array().cast("array<string>")),
+    )
     nothing = F.array().cast(_SPAN)
-    parts = []
-    for kind in KINDS:
-        found = F.col(f"{into}_{kind.name}")
-        parts.append(F.when(F.size(found) > 0, _spans(F.col(text), found, kind)).otherwise(nothing))
+    parts = [
+        F.when(F.size(found) > 0, _spans(F.col(text), F.col(f"{into}_pieces"), found, kind)).otherwise(nothing)
+        for kind, found in zip(KINDS, matches, strict=True)
+    ]
     return held.withColumn(into, F.concat(*parts)).drop(*(f"{into}_{kind.name}" for kind in KINDS))
 
 
@@ -193,32 +230,34 @@ def find_pii(docs: DataFrame) -> DataFrame:
     )
 
 
-def redacted(text: Column, spans: Column) -> Column:
+def redacted(text: Column, pieces: Column, spans: Column) -> Column:
     """The text with every span replaced by its kind in brackets; overlapping spans become the first of them."""
-    apart = F.aggregate(
-        F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))),
-        F.array().cast("array<struct<start:int,end:int,kind:string>>"),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (s["start"] < F.try_element_at(acc, F.lit(-1))["end"]),
-            F.concat(
-                F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-                F.transform(
-                    F.slice(acc, F.greatest(F.size(acc), F.lit(1)), 1),
-                    lambda e: F.struct(e["start"].alias("start"), F.greatest(e["end"], s["end"]).alias("end"), e["kind"].alias("kind")),
-                ),
-            ),
-        ).otherwise(F.concat(acc, F.array(s))),
-    )
-    starts = F.concat(F.array(F.lit(0)), F.transform(apart, lambda s: s["end"]))
-    pieces = F.transform(
-        F.arrays_zip(starts.alias("low"), F.concat(F.transform(apart, lambda s: s["start"]), F.array(F.length(text))).alias("high"),
-                     F.concat(F.transform(apart, lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))), F.array(F.lit(""))).alias("mark")),
-        lambda p: F.concat(F.substring(text, p["low"] + 1, p["high"] - p["low"]), p["mark"]),
-    )
-    return F.when(F.size(spans) > 0, F.array_join(pieces, "")).otherwise(text)
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+    def marked(rows: Column, reach: Column) -> Column:
+        # A span begins a group where all before it have ended.
+        heads = F.filter(
+            F.transform(rows, lambda s, i: F.struct(
+                s["start"].alias("start"), s["kind"].alias("kind"), F.coalesce(F.get(reach, i - 1), F.lit(0)).alias("low")
+            )),
+            lambda h: h["start"] >= h["low"],
+        )
+        parts = F.transform(heads, lambda h: F.concat(
+            _cut(pieces, h["low"], h["start"] - h["low"]), F.lit("["), F.upper(h["kind"]), F.lit("]")
+        ))
+        end = F.get(reach, F.size(reach) - 1)
+        return F.concat(F.array_join(parts, ""), _cut(pieces, end, F.length(text) - end))
+
+    whole = _let(ordered, lambda rows: _let(
+        _running(F.transform(rows, lambda s: s["end"]), F.greatest), lambda reach: marked(rows, reach)
+    ))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with the spans of ``text`` replaced; NULL texts and all other columns stay as they are."""
-    found = with_spans(docs, "text", "_pii")
-    return found.withColumn("text", redacted(F.col("text"), F.col("_pii"))).select(*docs.columns)
+    """``docs`` with the spans of ``text`` replaced; NULL texts and all other columns, whatever their names, stay as they are."""
+    quoted = ["`" + c.replace("`", "``") + "`" for c in docs.columns]
+    rows = docs.select(F.struct(*quoted).alias("row"), F.col("text").cast("string").alias("text"))
+    found = with_spans(rows, "text", "spans")
+    text = redacted(F.col("text"), F.col("spans_pieces"), F.col("spans"))
+    return found.select(*(text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))

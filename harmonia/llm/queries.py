@@ -82,7 +82,8 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _spans_sql(k: int, kind: str, pattern: str, confirm: str, around: str = "", context: str = "") -> str:
     low = f"CASE WHEN regexp_matches(m, '^{around}') THEN 1 ELSE 0 END" if around else "0"
     high = f"CASE WHEN regexp_matches(m, '{around}$') THEN 1 ELSE 0 END" if around else "0"
-    near = f"AND regexp_matches(lower(substr(t, greatest(start - 39, 1), least(start, 40))), '{context}')" if context else ""
+    sides = ("substr(t, greatest(start - 39, 1), least(start, 40))", "substr(t, stop + 1, 40)")
+    near = "AND (" + " OR ".join(f"regexp_matches(lower({side}), '{context}')" for side in sides) + ")" if context else ""
     return f"""
 SELECT doc_id, {k} AS k, '{kind}' AS kind, start, stop FROM (
   SELECT doc_id, t, stop - length(m) + {low} AS start, stop - {high} AS stop, trim(m, '"'' ,;:()') AS m,
@@ -108,7 +109,7 @@ PII_SQL = "WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
                "NOT list_contains(list_transform(string_split(m, '.'), lambda x: coalesce(TRY_CAST(x AS HUGEINT), 999) > 255), true)"),
     _spans_sql(3, "card", r"[0-9](?:[\x20-]?[0-9])+", f"length(d) BETWEEN 13 AND 19 AND {_LUHN}"),
     _spans_sql(4, "phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(d) BETWEEN 9 AND 15"),
-    _spans_sql(5, "iban", r"(?:^|[^A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?:[^A-Za-z0-9]|$)", _MOD97, "[^A-Za-z0-9]"),
+    _spans_sql(5, "iban", rf"(?:^|[^A-Za-z0-9])(?:{pii.IBAN_KNOWN}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}})(?:[^A-Za-z0-9]|$)", _MOD97, "[^A-Za-z0-9]"),
     _spans_sql(6, "ssn", r"(?:^|[^0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?:[^0-9-]|$)", "true", "[^0-9-]",
                "ssn|social security|insurance|tax id"),
     _spans_sql(7, "secret", r"(?:^|[^A-Za-z0-9_])[A-Fa-f0-9]{32,128}(?:[^A-Za-z0-9_]|$)", "true", "[^A-Za-z0-9_]",

@@ -1,6 +1,7 @@
 """Operators against plain Python, over small tables with every awkward case."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -285,6 +286,23 @@ def test_account_numbers_before_other_capitals_and_context_after(spark):
     assert redacted[1] == "[IBAN] BIC COBADEFF" and redacted[2] == "[IBAN] EUR 500"
 
 
+def test_many_numbers_in_a_text_and_clashing_names(spark):
+    """Hundreds of thousands of matches in one text take seconds; columns may have any names."""
+    one = "call +49 30 1234567 or a.b@c.de é 10.0.0.1 {:06d} "
+    text = "".join(one.format(k) for k in range(34_000))
+    assert len(text) > 1_500_000
+    table = spark.createDataFrame([(1, text, "p", "q", 5)], "doc_id long, text string, _pii string, spans_email string, `a.b` int")
+    begun = time.monotonic()
+    row = pii.find_pii(table).collect()[0]
+    counts = fx.personal_data(text)
+    assert (row.n_email, row.n_ip, row.n_card, row.n_phone, row.base_sha256) == counts and row.n_email == row.n_ip == 34_000
+    found = pii.redact(table)
+    assert found.columns == table.columns
+    kept = found.collect()[0]
+    assert kept.text == "".join(f"call [PHONE] or [EMAIL] é [IP] {k:06d} " for k in range(34_000))
+    assert tuple(kept)[2:] == ("p", "q", 5) and time.monotonic() - begun < 60
+
+
 # --- 6 ---------------------------------------------------------------------------------------------
 def test_language(spark, pairs):
     rng = random.Random(3)
