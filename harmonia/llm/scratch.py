@@ -3,12 +3,27 @@
 from __future__ import annotations
 
 import uuid
-from typing import ClassVar
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 from harmonia.session import ensure_checkpoint_dir
 
+_OPENED: ContextVar[list[Scratch] | None] = ContextVar("opened", default=None)
+
+
+@contextmanager
+def opened() -> Iterator[list[Scratch]]:
+    """Every scratch opened within, in this thread of control alone."""
+    found: list[Scratch] = []
+    before = _OPENED.set(found)
+    try:
+        yield found
+    finally:
+        _OPENED.reset(before)
+
 
 class Scratch:
     """Writes tables as Parquet below ``spark.checkpoint.dir`` and reads them back.
@@ -16,17 +31,17 @@ class Scratch:
     A kept table has no lineage: a lost executor costs a re-read of files, not
     the work before them.  ``clear`` removes the tables that nothing reads any
     more; those that a returned DataFrame still reads stay, and whoever has
-    written that DataFrame may clear all of them (``opened`` lists every folder).
+    written that DataFrame may clear all of them (see ``opened``).
     """
 
-    opened: ClassVar[list[Scratch]] = []
-
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.count = 0
         self.tables: list[tuple[DataFrame, str]] = []
-        Scratch.opened.append(self)
+        held = _OPENED.get()
+        if held is not None:
+            held.append(self)
 
     def keep(self, df: DataFrame) -> DataFrame:
         return self.kept(df)[0]

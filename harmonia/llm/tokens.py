@@ -16,6 +16,8 @@ END_ID = 0
 ENCODED_AT_ONCE = 4096
 # Pieces a worker remembers before it starts afresh (about 40 bytes each).
 REMEMBERED = 1_500_000
+# Ids of remembered pieces; texts without white space are single pieces with many.
+REMEMBERED_IDS = 8_000_000
 
 _PLAIN = bt.NOT_SPACE.copy()
 _PLAIN[0x80:] = False
@@ -121,7 +123,7 @@ class PieceEncoder:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         hashes = bt.word_hashes(bt.LOWER[data] if self.lower else data, starts, ends)
         keys, example, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) > REMEMBERED:
+        if len(self.keys) > REMEMBERED or self.used > REMEMBERED_IDS:
             self.forget()
         at = np.searchsorted(self.keys, keys)
         unknown = np.ones(len(keys), dtype=bool)

@@ -13,7 +13,7 @@ from harmonia.llm import (
     token_files, tokens,
 )
 from harmonia.llm.components import connected_components
-from harmonia.llm.scratch import Scratch
+from harmonia.llm.scratch import Scratch, opened
 from tests.llm import fixtures as fx
 
 
@@ -394,6 +394,18 @@ def test_token_files(spark, docs, pairs, tmp_path):
     assert ordered == sorted(ordered)
 
 
+def test_a_tokenizer_forgets_pieces_by_their_ids(monkeypatch):
+    held = tokens.PieceEncoder(tokens.tokenizer_path(tokens.BYTE_BPE), tokens.spaced_pieces)
+    library = Tokenizer.from_file(tokens.tokenizer_path(tokens.BYTE_BPE))
+    monkeypatch.setattr(tokens, "REMEMBERED_IDS", 2000)
+    for k in range(8):
+        # Blank-free texts: one long piece each.
+        data = "".join(f"語{k * 400 + j}文" for j in range(400)).encode()
+        ids, bounds = held.encode(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        assert ids.tolist() == library.encode(data.decode(), add_special_tokens=False).ids and bounds[-1] == len(ids)
+        assert held.used <= 2000 + len(ids)
+
+
 def test_range_coder_round_trips_and_checks():
     rng = np.random.default_rng(8)
     for ids in (np.zeros(0, int), np.array([7]), np.zeros(9000, int), rng.integers(0, 50257, 9000), rng.integers(0, 40, 20000)):
@@ -435,6 +447,15 @@ def test_near_dedup(docs, pairs, monkeypatch):
         same(found, expected)
 
 
+def test_scratch_of_one_job_is_not_seen_by_another(spark):
+    with opened() as outer:
+        first = Scratch(spark, "outer")
+        with opened() as inner:
+            second = Scratch(spark, "inner")
+    Scratch(spark, "alone")
+    assert outer == [first] and inner == [second]
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100 + k, 101 + k) for k in range(30)] + [(7, 7)]
