@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harmonia.llm import decontamination, near_dedup, packing, pii, quality
-from harmonia.llm.scratch import Scratch
+from harmonia.llm.scratch import Scratch, opened
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -61,11 +61,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        begun = len(Scratch.opened)
-        docs = scratch.keep(stage(spark, docs, sf_dir))
+        with opened() as used:
+            docs = scratch.keep(stage(spark, docs, sf_dir))
         # What the stage and the one before have written is read no more.
         scratch.clear(docs)
-        for used in Scratch.opened[begun:]:
-            used.clear()
-        del Scratch.opened[begun:]
+        for own in used:
+            own.clear()
     return STAGES[-1][1](spark, docs, sf_dir)
