@@ -20,16 +20,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from harmonia.functions import ngram_counts
-from harmonia.functions.text import normalize, text
+from harmonia.functions.text import text
 from harmonia.operators.skew import hot_counts, join_unique
 from harmonia.operators.text_model import ID
-from harmonia.session import written
+from harmonia.session import rows_per_batch, written
 
 # Bytes of text in a task that counts n-grams.
 TASK_BYTES = 32 << 20
 # Tokens in one block of a model, and codes in one group of texts.
 BLOCK_TOKENS = 1_000_000
 GROUP_CODES = 4_000_000
+# Codes in a batch of packed texts that a Python worker is given; a text with more is a batch of its own.
+BATCH_CODES = 2_000_000
+# Codes in one array of a model: arrays are collected on the heap, over a hundred bytes a code.
+ARRAY_CODES = 16_384
 
 DIGITS = 8
 
@@ -44,11 +48,21 @@ def spread(records: DataFrame, column: str) -> DataFrame:
 
 def packed_counts(records: DataFrame, column: str, *keep: str) -> DataFrame:
     """``record_id``, kept columns, ``codes``, ``n`` and ``digest`` of every text that is not empty once normalised."""
-    compact = spread(records, column).select(ID, *keep, normalize(text(F.col(column))).alias("_compact")).where("_compact <> ''")
-    kept = compact.schema.fields[:-1]
+    texts = spread(records, column).select(ID, *keep, text(F.col(column)).alias("_text"))
+    kept = texts.schema.fields[:-1]
     arrays = [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("codes", "n")]
     schema = T.StructType([*kept, *arrays, T.StructField("digest", T.BinaryType())])
-    return compact.mapInArrow(ngram_counts.packer(len(kept)), schema)
+    return texts.mapInArrow(ngram_counts.packer(len(kept)), schema)
+
+
+def bounded(packed: DataFrame, work: Callable, schema: T.StructType | str) -> DataFrame:
+    """``work`` on batches of packed texts of bounded size, written once.
+
+    A batch is so many rows by default, however many codes they hold.
+    """
+    most = packed.agg(F.max(F.size("codes"))).first()[0] or 1
+    with rows_per_batch(packed.sparkSession, BATCH_CODES // max(1, most)):
+        return written(packed.mapInArrow(work, schema))
 
 
 def document_frequency(packed: DataFrame, examples: int) -> DataFrame:
@@ -57,7 +71,7 @@ def document_frequency(packed: DataFrame, examples: int) -> DataFrame:
     Codes are counted in the tasks that hold them; rows follow the tasks' distinct
     codes, not the texts.
     """
-    grams = packed.select("codes").mapInArrow(ngram_counts.count_codes, "code int, df long")
+    grams = bounded(packed.select("codes"), ngram_counts.count_codes, "code int, df long")
     whole = packed.groupBy("digest").agg(F.count("*").alias("df"))
     tokens = grams.groupBy("code").agg(F.sum("df").alias("df")).select("code", F.lit(None).cast("binary").alias("digest"), "df")
     tokens = tokens.unionByName(whole.select(F.lit(None).cast("int").alias("code"), "digest", "df"))
@@ -67,17 +81,18 @@ def document_frequency(packed: DataFrame, examples: int) -> DataFrame:
 # --- groups of texts and blocks of tokens -----------------------------------------------------------
 @dataclass(frozen=True)
 class Deal:
-    """How many blocks the tokens are dealt to, and how many groups the texts."""
+    """How many blocks the tokens are dealt to, how many groups the texts, and how many arrays hold a block."""
 
     blocks: int
     groups: int
+    arrays: int
 
     @classmethod
     def of(cls, packed: DataFrame, tokens: DataFrame) -> Deal:
         distinct = tokens.where("code IS NOT NULL").count()
         codes = packed.agg(F.sum(F.size("codes").cast("long"))).first()[0] or 0
         blocks = max(1, -(-distinct // BLOCK_TOKENS))
-        return cls(blocks, max(1, -(-codes // (blocks * GROUP_CODES))))
+        return cls(blocks, max(1, -(-codes // (blocks * GROUP_CODES))), max(1, -(-distinct // (blocks * ARRAY_CODES))))
 
     def group(self) -> Column:
         return F.pmod(F.xxhash64(ID), F.lit(self.groups)).cast("int").alias("group")
@@ -90,13 +105,13 @@ class Deal:
         else:
             names = rows.columns
             schema = T.StructType([*rows.schema.fields, T.StructField("block", T.IntegerType())])
-            dealt = rows.mapInArrow(ngram_counts.splitter(names.index("codes"), names.index("n"), self.blocks), schema)
+            dealt = bounded(rows, ngram_counts.splitter(names.index("codes"), names.index("n"), self.blocks), schema)
         return dealt.select("block", self.group(), *rows.columns)
 
     def in_blocks(self, values: DataFrame, kind: str, value: str, *by: str) -> DataFrame:
-        """``values`` by code as arrays: a row for every block (and label), in every group."""
-        block = F.pmod("code", F.lit(self.blocks)).alias("block")
-        held = values.where("code IS NOT NULL").groupBy(block, *by).agg(F.collect_list(F.struct("code", F.col(value).alias("v"))).alias("_all"))
+        """``values`` by code as arrays: rows for every block (and label), in every group."""
+        block, array = F.pmod("code", F.lit(self.blocks)).alias("block"), F.pmod(F.xxhash64("code"), F.lit(self.arrays)).alias("array")
+        held = values.where("code IS NOT NULL").groupBy(block, array, *by).agg(F.collect_list(F.struct("code", F.col(value).alias("v"))).alias("_all"))
         return held.select(
             "block", F.explode(F.sequence(F.lit(0), F.lit(self.groups - 1))).alias("group"), F.lit(kind).alias("kind"),
             (F.col(by[0]) if by else F.lit(None).cast("string")).alias("label"),
@@ -226,14 +241,15 @@ def _dots(texts: pa.Table, model: pa.Table) -> pa.Table:
     if len(texts):
         group = _Group(texts, model)
         weight = group.weights()
-        for row in range(len(model)):
-            if model.column("kind")[row].as_py() != "centroid":
-                continue
-            codes, values = (model.column(c)[row].values.to_numpy(zero_copy_only=False) for c in ("codes", "values"))
+        held = model.filter(pc.equal(model.column("kind"), "centroid"))
+        named = held.column("label")
+        for label in pc.unique(named).to_pylist():
+            own = held.filter(pc.is_null(named) if label is None else pc.fill_null(pc.equal(named, label), False))
+            codes, values = (_flat(own.column(c))[0] for c in ("codes", "values"))
             found = _Lookup(codes, values)(group.codes)
             dots.append(_row_sums(weight * found, group.ends))
             ids.append(texts.column(ID))
-            labels.append(pa.array([model.column("label")[row].as_py()] * len(texts), pa.string()))
+            labels.append(pa.array([label] * len(texts), pa.string()))
     return pa.table({
         ID: pa.chunked_array([c for x in ids for c in x.chunks], texts.schema.field(ID).type),
         "label": pa.chunked_array(labels, pa.string()), "dot": pa.array(np.concatenate([*dots, np.zeros(0)])),
@@ -250,13 +266,14 @@ class Weighed:
     def __init__(self, packed: DataFrame, tokens: DataFrame):
         self.packed, self.tokens = packed, tokens
         self.deal = Deal.of(packed, tokens)
+        self.texts = self.deal.texts(packed)
         self.id_field = next(f for f in packed.schema.fields if f.name == ID)
         self.keep = [c for c in packed.columns if c not in (ID, "codes", "n", "digest")]
         whole = tokens.where("digest IS NOT NULL").select("digest", "df", "idf")
         # A text that is copied everywhere is one digest: it is split by its known count.
         self.hot = written(hot_counts(whole, "digest", "df"))
         self.digests = written(join_unique(packed.select(ID, *self.keep, "digest"), whole.drop("df"), "digest", "inner", hot=self.hot))
-        grams = _meet(self.deal.texts(packed), self.idf(), _squares, T.StructType([self.id_field, T.StructField("square", T.DoubleType())]))
+        grams = _meet(self.texts, self.idf(), _squares, T.StructType([self.id_field, T.StructField("square", T.DoubleType())]))
         squares = grams.unionByName(self.digests.select(ID, (F.col("idf") * F.col("idf")).alias("square")))
         self.norms = written(squares.groupBy(ID).agg(F.sqrt(F.sum("square")).alias("norm")).where("norm > 0"))
 
@@ -269,9 +286,6 @@ class Weighed:
             held = held.unionByName(table, allowMissingColumns=True)
         return held
 
-    def texts(self) -> DataFrame:
-        return self.deal.texts(self.packed)
-
     def digest_weights(self) -> DataFrame:
         return self.digests.join(self.norms, ID).select(
             ID, *self.keep, "digest", F.round(F.col("idf") / F.col("norm"), DIGITS).alias("weight")
@@ -281,7 +295,7 @@ class Weighed:
         """``record_id``, kept columns, ``codes`` and ``weights`` by block of tokens; a row with the ``digest`` has its weight alone."""
         kept = [f for f in self.packed.schema.fields if f.name in (ID, *self.keep)]
         arrays = [T.StructField("codes", T.ArrayType(T.IntegerType())), T.StructField("weights", T.ArrayType(T.DoubleType()))]
-        grams = _meet(self.texts(), self.model(), _weights_of([f.name for f in kept]), T.StructType([*kept, *arrays]))
+        grams = _meet(self.texts, self.model(), _weights_of([f.name for f in kept]), T.StructType([*kept, *arrays]))
         whole = self.digest_weights().select(ID, *self.keep, "digest", F.array("weight").alias("weights"))
         return grams.unionByName(whole, allowMissingColumns=True)
 
@@ -312,7 +326,7 @@ def train(records: DataFrame, packed: DataFrame) -> TextModel:
     labels = written(records.groupBy(F.col("expected").alias("label")).agg(F.count("*").alias("examples_count")))
     tokens = written(document_frequency(packed, records.count()))
     weighed = Weighed(packed, tokens)
-    grams = _meet(weighed.texts(), weighed.model(), _label_sums, "label string, code int, sum double")
+    grams = _meet(weighed.texts, weighed.model(), _label_sums, "label string, code int, sum double")
     whole = weighed.digest_weights().select(F.col("expected").alias("label"), "digest", F.col("weight").alias("sum"))
     sums = grams.unionByName(whole, allowMissingColumns=True).groupBy("label", "code", "digest").agg(F.sum("sum").alias("sum"))
     means = written(sums.join(labels, "label").select("label", "code", "digest", (F.col("sum") / F.col("examples_count")).alias("mean")))
@@ -329,7 +343,7 @@ def predict(records: DataFrame, packed: DataFrame, model: TextModel, top_k: int,
     weighed = Weighed(packed, model.tokens)
     blocks = weighed.deal.in_blocks(model.centroids, "centroid", "weight", "label")
     schema = T.StructType([weighed.id_field, T.StructField("label", T.StringType()), T.StructField("dot", T.DoubleType())])
-    grams = _meet(weighed.texts(), weighed.model(blocks), _dots, schema)
+    grams = _meet(weighed.texts, weighed.model(blocks), _dots, schema)
     per_digest = model.centroids.where("digest IS NOT NULL").groupBy("digest").agg(F.collect_list(F.struct("label", "weight")).alias("centroids"))
     whole = join_unique(weighed.digest_weights().select(ID, "digest", "weight"), per_digest, "digest", "inner", hot=weighed.hot)
     whole = whole.select(ID, "weight", F.inline("centroids").alias("label", "centroid")).select(
