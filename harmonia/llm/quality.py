@@ -7,16 +7,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harmonia.llm import bytetext as bt
 
 GRAM_BYTES = 4
 BUCKETS = 1 << 16
-# Labelled rows that the target multinomial and the threshold are fitted on; the
-# raw multinomial counts every document.
-LABELLED_ROWS = 20_000
+# Bits that mark labelled ids: texts of others are not shuffled, but for a few that share a bit.
+MARK_BITS = 1 << 24
 SCALE = 1 << 16
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
@@ -147,37 +146,60 @@ class QualityModel:
     threshold: float
 
 
-def _sample(labels: DataFrame, rows: int) -> DataFrame:
-    """A bounded sample of labelled rows, the same on every run."""
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(
+def _part(doc_id: Column) -> Column:
+    return F.crc32(doc_id.cast("string")) % 2
+
+
+def _labelled(labels: DataFrame) -> DataFrame:
+    """One row for every labelled document."""
+    return labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(
         F.col("doc_id").cast("long").alias("doc_id")
     ).agg(F.min("quality").alias("quality"))
-    order = F.crc32(F.col("doc_id").cast("string"))
-    return known.withColumn("part", order % 2).orderBy(order, "doc_id").limit(rows)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, rows: int = LABELLED_ROWS, spread: float = SPREAD) -> QualityModel:
+def _may_meet(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (``doc_id, text``) whose ids may be in ``chosen``: all that are, and by chance some that are not."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(MARK_BITS))
+    # Bitmaps number their bits from 1.
+    marks = chosen.select((place + 1).alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")
+    )
+    packed = np.zeros(MARK_BITS // 8, np.uint8)
+    for row in marks.collect():  # MARK_BITS bits at most
+        packed[(row.bucket - 1) * len(row.bits):row.bucket * len(row.bits)] = np.frombuffer(row.bits, np.uint8)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = np.unpackbits(packed, bitorder="little").astype(bool)
+        for batch in batches:
+            yield batch.select([0, 1]).filter(pa.array(marked[batch.column(2).to_numpy()]))
+
+    return docs.select("doc_id", "text", place.alias("place")).where("doc_id IS NOT NULL").mapInArrow(keep, docs.schema)
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, spread: float = SPREAD) -> QualityModel:
     """Multinomials and threshold.
 
     The raw multinomial counts every text.  The target multinomial counts the
-    trusted texts (quality 1) of one half of a bounded sample of labels; the
-    other half, unseen by it, sets the threshold: half-way between the mean
-    ratios of its trusted and its poor texts.  With fewer than LEAST_POOR poor
-    texts it is ``spread`` deviations below the mean of the trusted ones, if that
-    is lower.  Without trusted texts every text passes.
+    trusted texts (quality 1) of one half of the labelled documents; the other
+    half, unseen by it, sets the threshold: half-way between the mean ratios of
+    its trusted and its poor texts.  With fewer than LEAST_POOR poor texts it is
+    ``spread`` deviations below the mean of the trusted ones, if that is lower.
+    Without trusted texts every text passes.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chosen = F.broadcast(_sample(labels, rows))  # at most ``rows`` rows
-    labelled = docs.where("text IS NOT NULL").join(chosen, "doc_id")
+    chosen = _labelled(labels)
+    filled, part = docs.where("text IS NOT NULL"), _part(F.col("doc_id"))
     raw = gram_counts(docs)
-    target = gram_counts(labelled.where("quality = 1 AND part = 0"))
+    trusted_ids = chosen.where("quality = 1")
+    target = gram_counts(_may_meet(filled.where(part == 0), trusted_ids).join(trusted_ids, "doc_id"))
     if not target.sum():
         return QualityModel(np.zeros(BUCKETS, np.int64), -np.inf)
     ratio = log_ratio(target, raw)
-    scored = labelled.where("part = 1").select("doc_id", "text").mapInArrow(_scorer(ratio), _BASE)
+    # Texts are scored where they are read; narrow rows meet the labels.
+    scored = filled.where(part == 1).mapInArrow(_scorer(ratio), _BASE)
     mean = F.col("ratio") / F.greatest("n_grams", F.lit(1))
     trusted = (F.col("quality") == 1).alias("trusted")
-    seen = scored.where(f"n_words >= {LEAST_WORDS}").join(chosen, "doc_id").groupBy(trusted).agg(
+    seen = scored.where(f"n_words >= {LEAST_WORDS}").select("doc_id", "ratio", "n_grams").join(chosen, "doc_id").groupBy(trusted).agg(
         F.count("*").alias("n"), F.avg(mean).alias("mean"), F.stddev_pop(mean).alias("deviation")
     )
     found = {row.trusted: row for row in seen.collect()}  # two rows
