@@ -23,7 +23,7 @@ from harmonia.functions import ngram_counts
 from harmonia.functions.text import text
 from harmonia.operators.skew import hot_counts, join_unique
 from harmonia.operators.text_model import ID
-from harmonia.session import rows_per_batch, written
+from harmonia.session import rows_per_batch, small_reads, written
 
 # Bytes of text in a task that counts n-grams.
 TASK_BYTES = 32 << 20
@@ -32,6 +32,8 @@ BLOCK_TOKENS = 1_000_000
 GROUP_CODES = 4_000_000
 # Codes in a batch of packed texts that a Python worker is given; a text with more is a batch of its own.
 BATCH_CODES = 2_000_000
+# Packed texts that a scan decodes at once; 4,096 by default, with thousands of codes each.
+READ_ROWS = 128
 # Codes in one array of a model: arrays are collected on the heap, over a hundred bytes a code.
 ARRAY_CODES = 16_384
 
@@ -48,6 +50,7 @@ def spread(records: DataFrame, column: str) -> DataFrame:
 
 def packed_counts(records: DataFrame, column: str, *keep: str) -> DataFrame:
     """``record_id``, kept columns, ``codes``, ``n`` and ``digest`` of every text that is not empty once normalised."""
+    small_reads(records.sparkSession, READ_ROWS)
     texts = spread(records, column).select(ID, *keep, text(F.col(column)).alias("_text"))
     kept = texts.schema.fields[:-1]
     arrays = [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("codes", "n")]

@@ -48,3 +48,14 @@ def test_packer_normalises_as_the_column_does(spark, monkeypatch):
     parts = [r for b in ngram_counts.packer(1)([batch]) for r in b.to_pylist()]
     key = lambda r: (r["record_id"], sorted(zip(r["codes"], r["n"], strict=True)), r["digest"])
     assert list(map(key, parts)) == list(map(key, whole)) and [r["record_id"] for r in whole] == [1, 3]
+
+
+def test_scans_of_packed_texts_are_small(spark):
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "4096")
+        text_vectors.packed_counts(spark.createDataFrame([(1, "abc")], "record_id int, text string"), "text")
+        assert int(spark.conf.get(name)) <= text_vectors.READ_ROWS
+    finally:
+        spark.conf.set(name, before)
