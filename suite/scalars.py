@@ -9,6 +9,7 @@ from harmonia import fixed_values as fixed
 from harmonia.functions import keys, text, values
 from harmonia.operators.matching import map_values
 from harmonia.operators.profiling import infer_entities, infer_sensitivity
+from harmonia.session import parallel
 from suite import query
 from suite.sqltext import flag, norm, pseudonym, size_band, upper
 from suite.views import read
@@ -317,4 +318,5 @@ def entity_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.concat_ws(" ", text.normalize(F.col("p_name")), text.normalize(F.col("p_type")), F.lit("visite clepers site"))
     form = F.col("p_size") % 3
     file = F.concat("p_brand", F.when(form == 0, " poste.csv").when(form == 1, " salaries.csv").otherwise(".csv"))
-    return read(spark, sf_dir, "part").select("p_partkey", F.concat_ws(",", infer_entities(file, names)).alias("entities"))
+    parts = parallel(read(spark, sf_dir, "part"))
+    return parts.select("p_partkey", F.concat_ws(",", infer_entities(file, names)).alias("entities"))

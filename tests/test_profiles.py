@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from harmonia.operators import profiling
+from harmonia.operators.profiling import infer_entities
 from harmonia.sources.exports import SourceTable
 
 
@@ -16,3 +17,14 @@ def test_values_of_one_row_number_are_ranked_by_their_text(spark):
         found = ranked(counts, n).orderBy("rank").collect()
         assert [r["value"] for r in found] == wanted[:n]
     assert profiling.first_examples(counts, 51).where("rank = 51").first()["value"] == long
+
+
+def test_names_are_folded_once_for_all_words(spark):
+    """The folding of a source's name does not grow with the words that are looked for in it."""
+    table = spark.createDataFrame([("Salariés.csv", "x"), ("a.csv", "cleperssite"), (None, None)], "file string, names string")
+    found = table.select(infer_entities(F.col("file"), F.col("names")).alias("entities"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1
+    rows = [r["entities"] for r in found.collect()]
+    assert rows[0] == ["travailleur", "episode_poste", "unite_travail"]
+    assert rows[1] == ["episode_poste"] and rows[2] == []
