@@ -8,7 +8,7 @@ columns can be its partners, and only these pairs are counted.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,8 +18,9 @@ from harmonia import fixed_values as fixed
 from harmonia.functions.keys import stable_id
 from harmonia.functions.matching import name_ratio, uniqueness_ratio
 from harmonia.functions.text import normalize_key
-from harmonia.operators.profiling import ValueCounts
+from harmonia.operators.profiling import ValueCounts, cells, marked
 from harmonia.session import written
+from harmonia.sources.exports import SourceTable
 
 SIDE = ("source_ref", "column", "row_count", "distinct_count", "uniqueness_ratio", "inferred_entities")
 
@@ -42,26 +43,67 @@ def joinable_columns(columns: DataFrame, sources: DataFrame) -> DataFrame:
 PARTS = 64
 
 
-def distinct_values(counts: ValueCounts) -> DataFrame:
-    """Distinct (column_id, value) of all columns.  A long value goes by its head and digest, which no short one equals."""
-    held = counts.rows.where(F.col("value") != "")
+def _column_values(rows: DataFrame) -> DataFrame:
+    """(column_id, value) of values that are not empty.  A long value goes by its head and digest, which no short one equals."""
+    held = rows.where(F.col("value") != "")
     return held.select(F.struct("source", "position").alias("column_id"), F.concat("value", F.coalesce(F.hex("digest"), F.lit(""))).alias("value"))
 
 
-def column_sets(values: DataFrame) -> DataFrame:
-    """Values held by several columns, as (columns, part, n): how many of each set of columns, by part of their hash."""
-    return (
-        values.groupBy("value")
-        .agg(F.array_sort(F.collect_set("column_id")).alias("columns"))
-        .where(F.size("columns") > 1)
-        .groupBy("columns", F.pmod(F.xxhash64("value"), F.lit(PARTS)).cast("int").alias("part"))
+def distinct_values(counts: ValueCounts) -> DataFrame:
+    """Distinct (column_id, value) of all columns."""
+    return _column_values(counts.rows)
+
+
+def cell_values(tables: Iterable[SourceTable]) -> DataFrame:
+    """(column_id, value) of every cell, repeats and all."""
+    return _column_values(marked(cells(list(tables))))
+
+
+# Columns whose flags one number holds.
+FLAGS = 63
+
+
+def column_ids(values: DataFrame) -> list[tuple[int, int]]:
+    """The columns of some values: catalogue metadata."""
+    return sorted((r["source"], r["position"]) for r in values.select("column_id.*").distinct().collect())
+
+
+def column_sets(values: DataFrame, ids: list[tuple[int, int]]) -> DataFrame:
+    """Values held by several of the columns ``ids``, as (columns, part, n): how many of each set of columns, by part of their hash.
+
+    A set is flags in whole numbers, one for every 63 columns, so repeated
+    values are combined before their only shuffle.
+    """
+    first, number = [0] * (max((s for s, _ in ids), default=0) + 1), 0
+    for source in range(len(first)):
+        first[source] = number
+        number += max((p + 1 for s, p in ids if s == source), default=0)
+    at = F.element_at(F.array(*map(F.lit, first)), F.col("column_id.source") + 1) + F.col("column_id.position")
+    flags = [f"flags_{k}" for k in range(max(1, -(-number // FLAGS)))]
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("at") % FLAGS)
+    held = [F.bit_or(F.when(F.floor(F.col("at") / FLAGS) == k, bit).otherwise(F.lit(0).cast("bigint"))).alias(name) for k, name in enumerate(flags)]
+    sets = (
+        values.select("value", at.alias("at")).groupBy("value").agg(*held)
+        .where(reduce(Column.__add__, [F.bit_count(name) for name in flags]) > 1)
+        .groupBy(*flags, F.pmod(F.xxhash64("value"), F.lit(PARTS)).cast("int").alias("part"))
         .agg(F.count("*").alias("n"))
     )
 
+    def column(source: int, position: int) -> Column:
+        place = first[source] + position
+        there = F.getbit(flags[place // FLAGS], F.lit(place % FLAGS)) == 1
+        return F.when(there, F.struct(F.lit(source).alias("source"), F.lit(position).alias("position")))
 
-def overlaps(values: DataFrame) -> DataFrame:
-    """(left, right, overlap) of all columns of different sources that share a value; ids are (source, position) structs."""
-    sets = column_sets(values).groupBy("columns").agg(F.sum("n").alias("n"))
+    columns = F.array_compact(F.array(*(column(*x) for x in ids))) if ids else F.array().cast("array<struct<source:int,position:int>>")
+    return sets.select(columns.alias("columns"), "part", "n")
+
+
+def overlaps(values: DataFrame, ids: list[tuple[int, int]] | None = None) -> DataFrame:
+    """(left, right, overlap) of all columns of different sources that share a value; ids are (source, position) structs.
+
+    Values may repeat.  ``ids`` names the columns where they are known.
+    """
+    sets = column_sets(values, column_ids(values) if ids is None else ids).groupBy("columns").agg(F.sum("n").alias("n"))
     pairs = sets.select("n", "columns", F.posexplode("columns").alias("at", "left")).select(
         "n", "left", F.explode(F.slice("columns", F.col("at") + 2, F.size("columns"))).alias("right")
     )
@@ -82,7 +124,7 @@ def likely_overlaps(values: DataFrame, least_ratio: float) -> DataFrame:
     counted in full.
     """
     sizes = written(values.groupBy("column_id").agg(F.count("*").alias("size")))
-    sets = written(column_sets(values))
+    sets = written(column_sets(values, column_ids(sizes)))
     member = sets.select("columns", "part", "n", F.size("columns").alias("holders"), F.explode("columns").alias("column_id"))
     cells = member.groupBy("column_id", "holders", "part").agg(F.sum("n").alias("n"))
     alone = sizes.join(cells.groupBy("column_id").agg(F.sum("n").alias("shared")), "column_id").select(
