@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from harmonia.session import ensure_checkpoint_dir
 from harmonia.sources.artifacts import read_json_lines, read_tables, write_artifacts, write_csv, write_json_lines
@@ -13,7 +15,9 @@ from harmonia.sources.exports import Bronze
 from suite import query
 from suite.views import read, standard_tables
 
-PARTS = 4
+
+# Part files of an export at least, and bytes of text in one, so that a task's share does not grow with the table.
+PARTS, PART_BYTES = 4, 64 << 20
 
 
 def _folder(spark: SparkSession) -> str:
@@ -21,8 +25,10 @@ def _folder(spark: SparkSession) -> str:
 
 
 def _in_order(df: DataFrame, key: str) -> DataFrame:
-    """Part files that follow one another in the order of ``key``."""
-    return df.repartitionByRange(PARTS, key).sortWithinPartitions(key)
+    """Part files that follow one another in the order of ``key``, as many as the texts' bytes ask for."""
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    size = df.agg(F.sum(reduce(Column.__add__, texts)).alias("bytes")).first()["bytes"] if texts else None
+    return df.repartitionByRange(max(PARTS, -(-(size or 0) // PART_BYTES)), key).sortWithinPartitions(key)
 
 
 def write_raw_csv(df: DataFrame, key: str, cells: dict[str, Column], path: str, sep: str = ",") -> None:
@@ -106,7 +112,7 @@ def landed_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same export in two encodings: bytes outside ASCII are Windows-1252 where they are not UTF-8."""
     folder = _folder(spark)
     text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x20-\x7E\xA0-\xFF]", "?").alias("text")
-    docs = _in_order(read(spark, sf_dir, "documents").select("doc_id", text), "doc_id")
+    docs = _in_order(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", text)
     for name, encoding in (("latin", "ISO-8859-1"), ("utf8", "UTF-8")):
         docs.write.options(header=True, sep="|", escape='"', encoding=encoding).csv(f"{folder}/exports/{name}.csv")
     bronze = _landed(spark, folder)
