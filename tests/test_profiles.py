@@ -28,3 +28,11 @@ def test_names_are_folded_once_for_all_words(spark):
     rows = [r["entities"] for r in found.collect()]
     assert rows[0] == ["travailleur", "episode_poste", "unite_travail"]
     assert rows[1] == ["episode_poste"] and rows[2] == []
+
+
+def test_counts_and_columns_are_computed_once_for_all_that_reads_them(spark):
+    table = SourceTable.from_dataframe("s", spark.createDataFrame([("a",), ("b",)], "v string"), F.lit(1))
+    profiles = profiling.profile(spark, [table])
+    plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (profiles.columns, profiles.sources)]
+    assert "Aggregate" not in plans[0] and "Generate" not in plans[1] and "Window" not in plans[1]
+    assert profiles.columns.first()["row_count"] == 2 and profiles.sources.first()["row_count"] == 2
