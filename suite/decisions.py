@@ -18,7 +18,13 @@ from suite.views import read
 APPROVED, REJECTED = "0123456789", "abc"
 
 
-def decided(spark: SparkSession, sf_dir: str, drop_rejected: bool = False) -> tuple[Mapping, review.Reviewed]:
+def decided(spark: SparkSession, sf_dir: str) -> tuple[Mapping, review.Reviewed]:
+    mapping, (after,) = decided_each(spark, sf_dir, (False,))
+    return mapping, after
+
+
+def decided_each(spark: SparkSession, sf_dir: str, drop_rejected: tuple[bool, ...]) -> tuple[Mapping, list[review.Reviewed]]:
+    """The draft, profiled and written once, and what a review makes of it for each choice."""
     profiles, counts = profiled(spark, sf_dir)
     mapping = draft_of(profiles, counts)
     first = F.substring("id", 1, 1)
@@ -30,7 +36,10 @@ def decided(spark: SparkSession, sf_dir: str, drop_rejected: bool = False) -> tu
     )
     none = review.Decisions.from_rows(spark)
     decisions = review.Decisions(columns, none.values, none.rules)
-    after = review.apply_decisions(mapping, decisions, profiles.columns, drop_rejected=drop_rejected, counts=counts, sources=profiles.sources)
+    after = [
+        review.apply_decisions(mapping, decisions, profiles.columns, drop_rejected=dropped, counts=counts, sources=profiles.sources)
+        for dropped in drop_rejected
+    ]
     return mapping, after
 
 
@@ -68,8 +77,8 @@ UNION ALL SELECT 'kept', 'skipped', id FROM accepted WHERE (entity, source_ref)
 def review_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What waits after the review, with rejected columns kept or dropped, and the approved ones that another source keeps out."""
     found = None
-    for dropped in (False, True):
-        after = decided(spark, sf_dir, dropped)[1]
+    choices = (False, True)
+    for dropped, after in zip(choices, decided_each(spark, sf_dir, choices)[1], strict=True):
         parts = [("pending", review_queue(after.mapping).columns)] + ([] if dropped else [("skipped", after.skipped)])
         for part, df in parts:
             rows = df.select(F.lit("dropped" if dropped else "kept").alias("rejected_ones"), F.lit(part).alias("part"), "id")

@@ -36,3 +36,12 @@ def test_counts_and_columns_are_computed_once_for_all_that_reads_them(spark):
     plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (profiles.columns, profiles.sources)]
     assert "Aggregate" not in plans[0] and "Generate" not in plans[1] and "Window" not in plans[1]
     assert profiles.columns.first()["row_count"] == 2 and profiles.sources.first()["row_count"] == 2
+
+
+def test_both_choices_of_a_review_share_one_draft(spark, monkeypatch):
+    from suite import decisions
+
+    calls, profiled = [], decisions.profiled
+    monkeypatch.setattr(decisions, "profiled", lambda *given: calls.append(given) or profiled(*given))
+    rows = decisions.review_left(spark, "/root/testdata/sf0.001").collect()
+    assert len(calls) == 1 and {r["rejected_ones"] for r in rows} <= {"kept", "dropped"}
