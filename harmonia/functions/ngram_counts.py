@@ -193,6 +193,25 @@ def count_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
+def count_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``count_codes`` and the digests of a column of texts, without their packed rows: code, digest, df; one of the first two is null."""
+    marks: list[pa.Array] = []
+
+    def codes() -> Iterator[pa.RecordBatch]:
+        for packed in packer(0)(batches):
+            marks.append(packed.column("digest"))
+            yield packed.select(["codes"])
+
+    def rows(code: pa.Array, digest: pa.Array, df: pa.Array) -> pa.RecordBatch:
+        return pa.record_batch({"code": code, "digest": digest, "df": df})
+
+    for found in count_codes(codes()):
+        yield rows(found.column("code"), pa.nulls(len(found), pa.binary()), found.column("df"))
+        for held in marks:
+            yield rows(pa.nulls(len(held), pa.int32()), held, pa.array(np.ones(len(held), np.int64)))
+        marks.clear()
+
+
 def splitter(codes_at: int, n_at: int, blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Each row's codes and counts by the remainder of the code: a row for every block that the row has codes of."""
 

@@ -77,7 +77,17 @@ def document_frequency(packed: DataFrame, examples: int) -> DataFrame:
     grams = bounded(packed.select("codes"), ngram_counts.count_codes, "code int, df long")
     whole = packed.groupBy("digest").agg(F.count("*").alias("df"))
     tokens = grams.groupBy("code").agg(F.sum("df").alias("df")).select("code", F.lit(None).cast("binary").alias("digest"), "df")
-    tokens = tokens.unionByName(whole.select(F.lit(None).cast("int").alias("code"), "digest", "df"))
+    return _with_idf(tokens.unionByName(whole.select(F.lit(None).cast("int").alias("code"), "digest", "df")), examples)
+
+
+def frequency_of_texts(records: DataFrame, column: str) -> DataFrame:
+    """`document_frequency` of texts whose packed counts nothing else reads: counted where they are packed, written nowhere."""
+    texts = spread(records, column).select(text(F.col(column)).alias("_text"))
+    counted = texts.mapInArrow(ngram_counts.count_texts, "code int, digest binary, df long")
+    return _with_idf(counted.groupBy("code", "digest").agg(F.sum("df").alias("df")), records.count())
+
+
+def _with_idf(tokens: DataFrame, examples: int) -> DataFrame:
     return tokens.withColumn("idf", F.round(F.log(F.lit(examples + 1) / (F.col("df") + 1)) + F.lit(1.0), 6))
 
 

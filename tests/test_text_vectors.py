@@ -59,3 +59,14 @@ def test_scans_of_packed_texts_are_small(spark):
         assert int(spark.conf.get(name)) <= text_vectors.READ_ROWS
     finally:
         spark.conf.set(name, before)
+
+
+def test_frequencies_of_texts_are_those_of_packed_counts(spark):
+    texts = ["", None, "ab", "ab", "É!", "abcabcabc", "the same text", "the same text", "z" * 3000, "--"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "record_id int, text string")
+    names = ["code", "digest", "df", "idf"]
+    want = text_vectors.document_frequency(text_vectors.packed_counts(docs, "text"), len(texts)).select(*names)
+    direct = text_vectors.frequency_of_texts(docs, "text").select(*names)
+    assert sorted(direct.collect(), key=str) == sorted(want.collect(), key=str)
+    # Nothing but the texts is read.
+    assert "written-" not in "".join(direct.inputFiles())
