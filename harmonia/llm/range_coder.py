@@ -1,8 +1,10 @@
-"""An adaptive context-mixing range coder for token ids, many blocks side by side.
+"""An adaptive context-mixing range coder for token ids, many lanes of a block side by side.
 
-Every block starts from the same empty model, so blocks are independent; numpy
-follows up to LANES of them at once, one id of each per step.  All arithmetic is
-on integers, so every machine decodes what another has encoded.
+Every block starts from an empty model, so blocks are independent.  The ids of a
+block are dealt to lanes of about LANE_IDS in a row; numpy codes one id of each
+lane per step, and all lanes of a block share one model, which learns what they
+coded after each step.  All arithmetic is on integers, so every machine decodes
+what another has encoded.
 """
 
 from __future__ import annotations
@@ -13,144 +15,139 @@ from functools import lru_cache
 
 import numpy as np
 
-# A block knows its ids by slots, in the order of their first appearance.
-SLOT_BITS = 12
-BLOCK_IDS = 1 << SLOT_BITS
-LANES = 2048
-PAIR_BITS = 13
+BLOCK_IDS = 1 << 21
+LANE_IDS = 512
+PAIR_BITS = 18
 _HEADER = struct.Struct("<III")  # ids, crc32 of the ids, 32-bit words of the payload
+_LANE = np.dtype("<u2")  # 32-bit words of each lane, before the words
 
 _WORD = np.uint64(1 << 32)
 _LOW = np.uint64(0xFFFFFFFF)
 _SHIFT = np.uint64(32)
 _ONE = np.uint64(1)
 
-# Weights are out of 4096; order 0 always keeps the rest of _MOST.
-_SCALE, _MOST, _LEAST = 4096, 3968, 16
-_RATE = 4
-_NONE = BLOCK_IDS
+# Weights are out of 512; order 0 always keeps the rest of _MOST.
+_SCALE, _MOST, _LEAST = 512, 496, 2
+_RATE = 3
 # First weights of a guess by how sure it is, and the least ones; index: order-2 certainty * 4 + order-1 certainty.
-_FIRST = np.array([0, 600, 1500, 2400])
+_FIRST = np.array([0, 75, 188, 300])
 _FIRST_2, _FIRST_1 = np.repeat(_FIRST, 4) // 2, np.tile(_FIRST, 4) // 2
-_LEAST_2, _LEAST_1 = np.repeat([0, _LEAST, _LEAST, _LEAST], 4), np.tile([0, _LEAST, _LEAST, _LEAST], 4)
-_UP = np.arange(SLOT_BITS, -1, -1)[:, None]
+_LEASTS = np.stack([np.repeat([0, _LEAST, _LEAST, _LEAST], 4), np.tile([0, _LEAST, _LEAST, _LEAST], 4)])
+# Chances of order 0 are out of this, or of eight times the vocabulary; they are set anew when the ids have grown by a sixteenth.
+_MASS = 1 << 20
+_NEAR_BITS = 3
+_NEAR = (1 << _NEAR_BITS) - 1
 
 
 @lru_cache(maxsize=4)
-def _unseen(vocabulary: int) -> np.ndarray:
-    """Bounds of the ids for their first appearance in a block: the chance falls with the id, as merges come by frequency."""
-    return np.concatenate([[0], np.cumsum((1 << 20) // (np.arange(vocabulary) + 2048) + 1)])
+def _unseen(vocabulary: int) -> tuple[np.ndarray, int]:
+    """Chances of ids not seen yet, and their sum: they fall with the id, as merges come by frequency."""
+    chances = (1 << 20) // (np.arange(vocabulary) + 2048) + 1
+    return chances, int(chances.sum())
 
 
 class _Model:
     """What each lane expects next: a mixture of three predictions.
 
-    Order 2 and order 1 guess the slot last seen after a context, with how sure
-    they are; order 0 gives every slot its count so far (one for the first, two
-    for each further occurrence) and a slot not yet seen the number of slots
-    plus one.  The weights of the guesses are learned for each pair of
-    certainties, each moving to its share in the chance of what came.  Counts
-    are held in a binary tree: a node holds the sum of its left half, a leaf its
-    own; the root is the lowest node above all slots in use.
+    Order 2 and order 1 guess the id last seen after a context, with how sure
+    they are; order 0 gives every id its count so far (one for the first, two
+    for each further occurrence) and all ids together the number of different
+    ones plus one, as their first chances go.  The weights of the guesses are
+    learned for each pair of certainties, each moving to its mean share in the
+    chance of what came.
     """
 
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.base = self.lane << (SLOT_BITS + 1)
-        self.tree = np.zeros(lanes << (SLOT_BITS + 1), np.int16)
-        self.tables = (
-            np.full(lanes << PAIR_BITS, _NONE << 2, np.int16), np.full(lanes << SLOT_BITS, _NONE << 2, np.int16)
-        )
-        self.bases = (self.lane << PAIR_BITS, self.lane << SLOT_BITS)
-        self.at = [b.copy() for b in self.bases]
-        self.weights = (np.tile(_FIRST_2, lanes), np.tile(_FIRST_1, lanes))
+    def __init__(self, lanes: int, ids: int, vocabulary: int):
+        self.vocabulary, self.pair_bits = vocabulary, min(PAIR_BITS, max(10, ids.bit_length()))
+        # Row 0 of what comes in pairs is order 2, row 1 order 1, whose guesses follow those of order 2.
+        self.mass = max(_MASS, 1 << (vocabulary.bit_length() + 3))
+        # Short numbers wherever all sizes fit them.
+        self.kind = np.int32 if self.mass * _SCALE < 1 << 31 else np.int64
+        self.table = np.full((1 << self.pair_bits) + vocabulary, vocabulary << 2, self.kind)
+        self.at = np.zeros((2, lanes), np.int64)
+        self.at[1] = 1 << self.pair_bits
         self.last = np.zeros(lanes, np.int64)
-        self.slots = np.zeros(lanes, np.int64)
-        self.depth = 1
-
-    def predict(self, k: int, step: int) -> int:
-        """Prepares the predictions of the first ``k`` lanes after ``step`` ids; gives the sum of all sizes."""
-        self.k, counts = k, 2 * step + 1
-        self.seen = 2 * step - self.slots[:k]
-        if int(self.slots[:k].max()) >> self.depth:
-            self.depth += 1
-            self.tree[self.base[:k] + (BLOCK_IDS >> self.depth)] = self.seen
-        self.up = _UP[SLOT_BITS - self.depth:]
-        self.held = [t[a[:k]].astype(np.int64) for t, a in zip(self.tables, self.at, strict=True)]
-        self.guess, self.sure = [h >> 2 for h in self.held], [h & 3 for h in self.held]
-        self.pair = self.sure[0] * 4 + self.sure[1]
-        self.chosen = (self.lane[:k] << 4) + self.pair
-        self.share = [w[self.chosen] for w in self.weights]
-        self.rest = _SCALE - self.share[0] - self.share[1]
-        self.extra = [s * counts for s in self.share]
-        return counts * _SCALE
-
-    def _below(self, slots: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """Counts of all slots before the given ones."""
-        up = slots >> self.up
-        right = (up[1:] & 1).astype(np.int16)
-        return (self.tree[base + (up[:-1] | (BLOCK_IDS >> self.up[:-1]))] * right).sum(axis=0, dtype=np.int16).astype(np.int64)
-
-    def size(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of the slots that come; the one after the last slot stands for ids not yet seen."""
-        k = self.k
-        up = slots >> self.up
-        self.nodes = self.base[:k] + (up | (BLOCK_IDS >> self.up))
-        self.right = (up[1:] & 1).astype(np.int16)
-        self.sums = self.tree[self.nodes]
-        before = (self.sums[:-1] * self.right).sum(axis=0, dtype=np.int16).astype(np.int64)
-        own = self.sums[-1].astype(np.int64)
-        self.fresh = own == 0
-        own = np.where(self.fresh, slots + 1, own)
-        self.hit = [slots == g for g in self.guess]
-        start, size = self.rest * before, self.rest * own
-        for guess, hit, extra in zip(self.guess, self.hit, self.extra, strict=True):
-            start += extra * (guess < slots)
-            size += extra * hit
-        return start, size
+        self.weights = np.stack([_FIRST_2, _FIRST_1])
+        self.counts, self.came = np.zeros(vocabulary, np.int64), []
+        self.seen, self.next = 0, 0
+        self.cumulated = np.zeros(vocabulary + 1, self.kind)
+
+    def _set_chances(self) -> None:
+        if self.came:
+            self.counts += np.bincount(np.concatenate(self.came), minlength=self.vocabulary)
+            self.came = []
+        held = np.maximum(2 * self.counts - 1, 0)
+        twice, different = 2 * self.seen + 1, int(np.count_nonzero(self.counts))
+        left = self.mass - 2 * self.vocabulary
+        unseen = left * (different + 1) // twice
+        first, whole = _unseen(self.vocabulary)
+        chances = first * unseen // whole + 1
+        if self.seen:
+            chances += held * (left - unseen) // (2 * self.seen - different)
+        np.cumsum(chances, out=self.cumulated[1:])
+        self.whole = int(self.cumulated[-1])
+        self.next = self.seen + max(1, self.seen >> 4)
+        # Ids by eighths of places, made when one is looked for.
+        self.nearest: np.ndarray | None = None
+
+    def predict(self, k: int) -> int:
+        """Prepares the predictions of the first ``k`` lanes; gives the sum of all sizes."""
+        if self.seen >= self.next:
+            self._set_chances()
+        self.held = self.table[self.at[:, :k]]
+        self.guess, self.sure = self.held >> 2, self.held & 3
+        self.pair = ((self.sure[0] << 2) + self.sure[1]).astype(np.int64)
+        self.rest = (_SCALE - self.weights.sum(axis=0)).astype(self.kind)[self.pair]
+        self.extra = (self.weights * self.whole).astype(self.kind)[:, self.pair]
+        return self.whole * _SCALE
+
+    def size(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of the ids that come."""
+        start, end = self.cumulated[ids], self.cumulated[ids + 1]
+        ids = ids.astype(self.kind)
+        self.hit = self.guess == ids
+        before, own = self.extra * (self.guess < ids), self.extra * self.hit
+        return self.rest * start + before[0] + before[1], self.rest * (end - start) + own[0] + own[1]
 
     def find(self, place: np.ndarray) -> np.ndarray:
-        """The slot whose interval holds ``place``."""
-        k, base = self.k, self.base[:self.k]
+        """The id whose interval holds ``place``."""
+        place = place.astype(self.kind)
         swap = self.guess[0] > self.guess[1]
-        low, high = np.where(swap, self.guess[1], self.guess[0]), np.where(swap, self.guess[0], self.guess[1])
+        starts = self.rest * self.cumulated[self.guess]
         first = np.where(swap, self.extra[1], self.extra[0])
         second = self.extra[0] + self.extra[1] - first
-        starts = self._below(np.concatenate([low, high]), np.concatenate([base, base]))
-        # What a guess adds comes in front of its slot's own counts.
-        for begun, added in ((self.rest * starts[:k], first), (self.rest * starts[k:], second)):
+        # What a guess adds comes in front of its id's own chance.
+        for begun, added in ((np.minimum(starts[0], starts[1]), first), (np.maximum(starts[0], starts[1]), second)):
             place = place - np.minimum(np.maximum(place - begun, 0), added)
-        place = place // self.rest
-        left = place.astype(np.int16)
-        node = base + (BLOCK_IDS >> self.depth)
-        for _ in range(self.depth):
-            held = self.tree[node]
-            right = left >= held
-            left -= held * right
-            node += node
-            node -= base
-            node += right
-        # What lies beyond all counts is for ids not yet seen.
-        return np.where(place >= self.seen, self.slots[:k], node - base - BLOCK_IDS)
-
-    def learn(self, slots: np.ndarray, size: np.ndarray) -> None:
-        k = self.k
-        add = 2 - self.fresh.astype(np.int16)
-        self.sums[:-1] += add * (1 - self.right)
-        self.sums[-1] += add
-        self.tree[self.nodes] = self.sums
-        self.slots[:k] += self.fresh
-        fresh_guess = (slots << 2) + 1
-        for n, least in enumerate((_LEAST_2, _LEAST_1)):
-            hit, sure, held, share = self.hit[n], self.sure[n], self.held[n], self.share[n]
-            part = hit * (self.extra[n] * _MOST // size)
-            self.weights[n][self.chosen] = np.maximum(share + ((part - share) >> _RATE), least[self.pair])
-            kept = np.where(sure > 1, held - 1, fresh_guess)
-            self.tables[n][self.at[n][:k]] = np.where(hit, held + (sure < 3), kept)
-        pair = ((slots * 0x9E3779B1 ^ self.last[:k] * 0x85EBCA6B) * 0x2C1B3C6D) & 0xFFFFFFFF
-        self.at[0][:k] = self.bases[0][:k] + (pair >> (32 - PAIR_BITS))
-        self.at[1][:k] = self.bases[1][:k] + slots
-        self.last[:k] = slots
+        place = np.minimum(place // self.rest, self.whole - 1)
+        if self.nearest is None:
+            edges = (self.cumulated + _NEAR) >> _NEAR_BITS
+            self.nearest = np.repeat(np.arange(self.vocabulary), np.diff(edges))
+        ids = self.nearest[place >> _NEAR_BITS]
+        # Every id has a chance, so a few more steps reach the right one.
+        beyond = np.flatnonzero(self.cumulated[ids + 1] <= place)
+        while len(beyond):
+            ids[beyond] += 1
+            beyond = beyond[self.cumulated[ids[beyond] + 1] <= place[beyond]]
+        return ids
+
+    def learn(self, ids: np.ndarray, size: np.ndarray) -> None:
+        k = len(ids)
+        order, lane = np.nonzero(self.hit)
+        parts = self.extra[order, lane].astype(np.int64) * _MOST // size[lane]
+        n = np.bincount(self.pair, minlength=16)
+        # Sums of whole numbers below 2**53 are exact.
+        sums = np.bincount((order << 4) + self.pair[lane], parts, minlength=32).astype(np.int64).reshape(2, 16)
+        moved = np.maximum(self.weights + ((sums // np.maximum(n, 1) - self.weights) >> _RATE), _LEASTS)
+        self.weights = np.where(n > 0, moved, self.weights)
+        # Of lanes with one context the last one's guess stays.
+        kept = np.where(self.sure > 1, self.held - 1, ((ids << 2) + 1).astype(self.kind))
+        self.table[self.at[:, :k]] = np.where(self.hit, self.held + (self.sure < 3), kept)
+        self.came.append(ids)
+        self.seen += k
+        self.at[0, :k] = ((ids * 0x9E3779B1 + self.last[:k] * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - self.pair_bits)
+        self.at[1, :k] = ids + (1 << self.pair_bits)
+        self.last[:k] = ids
 
 
 class _Ranges:
@@ -159,9 +156,9 @@ class _Ranges:
     def __init__(self, lanes: int):
         self.low, self.width = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
 
-    def narrow(self, lanes, unit: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        self.low[lanes] += unit * start
-        self.width[lanes] = unit * size
+    def narrow(self, k: int, unit: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        self.low[:k] += unit * start.astype(np.uint64)
+        self.width[:k] = unit * size.astype(np.uint64)
 
     def settle(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Lanes whose first 32 bits are settled, and these bits; an interval across a border is cut at it."""
@@ -173,122 +170,95 @@ class _Ranges:
         return lanes, (low >> _SHIFT).astype(np.uint32)
 
 
-def _slots(block: np.ndarray) -> np.ndarray:
-    """Ids as slots: numbered by first appearance."""
-    _, first, which = np.unique(block, return_index=True, return_inverse=True)
-    number = np.empty(len(first), np.int64)
-    number[np.argsort(first)] = np.arange(len(first))
-    return number[which]
-
-
-def _encode_lanes(blocks: list[np.ndarray], vocabulary: int) -> list[np.ndarray]:
-    """32-bit words of each block; blocks come longest first."""
-    lengths = np.array([len(b) for b in blocks])
-    n, steps = len(blocks), int(lengths[0])
-    ids, slots = np.zeros((steps, n), np.int64), np.zeros((steps, n), np.int64)
-    for lane, block in enumerate(blocks):
-        ids[:len(block), lane], slots[:len(block), lane] = block, _slots(block)
-    alive = n - np.searchsorted(lengths[::-1], np.arange(steps), side="right")
-    words, used = np.zeros((n, 2 * steps + 4), np.uint32), np.zeros(n, np.int64)
-    model, ranges = _Model(n), _Ranges(n)
-    bounds = _unseen(vocabulary)
-    sizes, whole, bounds = np.diff(bounds).astype(np.uint64), np.uint64(bounds[-1]), bounds.astype(np.uint64)
-
-    def put(k: int) -> None:
-        lanes, found = ranges.settle(k)
-        words[lanes, used[lanes]] = found
-        used[lanes] += 1
+def _shape(n: int) -> tuple[int, int]:
+    """Lanes of a block and ids of each but the last."""
+    steps = -(-n // max(1, n // LANE_IDS))
+    return -(-n // steps), steps
+
 
+def _encode(block: np.ndarray, vocabulary: int) -> bytes:
+    n = len(block)
+    if not n:
+        return b""
+    lanes, steps = _shape(n)
+    ids = np.zeros(lanes * steps, np.int64)
+    ids[:n] = block
+    ids = np.ascontiguousarray(ids.reshape(lanes, steps).T)
+    short = n - (lanes - 1) * steps
+    words, used = np.zeros((lanes, steps + 1), np.uint32), np.zeros(lanes, np.int64)
+    model, ranges = _Model(lanes, n, vocabulary), _Ranges(lanes)
     for step in range(steps):
-        k = int(alive[step])
-        now = slots[step, :k]
-        total = model.predict(k, step)
+        k = lanes if step < short else lanes - 1
+        now = ids[step, :k]
+        total = model.predict(k)
         start, size = model.size(now)
-        ranges.narrow(slice(0, k), ranges.width[:k] // np.uint64(total), start.astype(np.uint64), size.astype(np.uint64))
-        put(k)
-        plain = np.flatnonzero(model.fresh)
-        if len(plain):
-            new = ids[step, plain]
-            ranges.narrow(plain, ranges.width[plain] // whole, bounds[new], sizes[new])
-            put(k)
+        ranges.narrow(k, ranges.width[:k] // np.uint64(total), start, size)
+        settled, found = ranges.settle(k)
+        words[settled, used[settled]] = found
+        used[settled] += 1
         model.learn(now, size)
-    words[model.lane, used] = (ranges.low >> _SHIFT).astype(np.uint32)
-    words[model.lane, used + 1] = (ranges.low & _LOW).astype(np.uint32)
-    return [words[lane, :used[lane] + 2] for lane in range(n)]
-
-
-def _decode_lanes(words: list[np.ndarray], lengths: np.ndarray, vocabulary: int) -> list[np.ndarray]:
-    n, steps = len(words), int(lengths[0])
-    held = np.zeros((n, max(len(w) for w in words) + 2), np.uint64)
-    for lane, block in enumerate(words):
-        held[lane, :len(block)] = block
-    alive = n - np.searchsorted(lengths[::-1], np.arange(steps), side="right")
+    # The interval is wider than 2**32, so 32 bits name a place in it.
+    words[np.arange(lanes), used] = ((ranges.low + _LOW) >> _SHIFT).astype(np.uint32)
+    used += 1
+    held = words[np.arange(steps + 1) < used[:, None]]
+    return used.astype(_LANE).tobytes() + held.astype("<u4").tobytes()
+
+
+def _decode(n: int, used: np.ndarray, words: np.ndarray, vocabulary: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.uint32)
+    lanes, steps = _shape(n)
+    held = np.zeros((lanes, int(used.max()) + 2), np.uint64)
+    held[np.arange(held.shape[1]) < used[:, None]] = words
     code = (held[:, 0] << _SHIFT) | held[:, 1]
-    used = np.full(n, 2, np.int64)
-    slots, names = np.zeros((steps, n), np.int64), np.zeros((n, BLOCK_IDS), np.uint32)
-    model, ranges = _Model(n), _Ranges(n)
-    bounds = _unseen(vocabulary)
-    sizes, whole, starts = np.diff(bounds).astype(np.uint64), np.uint64(bounds[-1]), bounds.astype(np.uint64)
-
-    def take(k: int) -> None:
-        lanes, _ = ranges.settle(k)
-        code[lanes] = (code[lanes] << _SHIFT) | held[lanes, np.minimum(used[lanes], held.shape[1] - 1)]
-        used[lanes] += 1
-
+    at = np.full(lanes, 2, np.int64)
+    short = n - (lanes - 1) * steps
+    ids = np.zeros((steps, lanes), np.uint32)
+    model, ranges = _Model(lanes, n, vocabulary), _Ranges(lanes)
     for step in range(steps):
-        k = int(alive[step])
-        total = model.predict(k, step)
+        k = lanes if step < short else lanes - 1
+        total = model.predict(k)
         unit = ranges.width[:k] // np.uint64(total)
-        place = np.minimum((code[:k] - ranges.low[:k]) // unit, np.uint64(total - 1)).astype(np.int64)
+        place = np.minimum((code[:k] - ranges.low[:k]) // unit, np.uint64(total - 1)).view(np.int64)
         now = model.find(place)
         start, size = model.size(now)
-        ranges.narrow(slice(0, k), unit, start.astype(np.uint64), size.astype(np.uint64))
-        take(k)
-        plain = np.flatnonzero(model.fresh)
-        if len(plain):
-            unit = ranges.width[plain] // whole
-            place = np.minimum((code[plain] - ranges.low[plain]) // unit, whole - _ONE)
-            new = np.searchsorted(starts, place, side="right") - 1
-            ranges.narrow(plain, unit, starts[new], sizes[new])
-            take(k)
-            names[plain, now[plain]] = new
-        slots[step, :k] = now
+        ranges.narrow(k, unit, start, size)
+        settled, _ = ranges.settle(k)
+        code[settled] = (code[settled] << _SHIFT) | held[settled, np.minimum(at[settled], held.shape[1] - 1)]
+        at[settled] += 1
+        ids[step, :k] = now
         model.learn(now, size)
-    return [names[lane, slots[:lengths[lane], lane]] for lane in range(n)]
+    return ids.T.reshape(-1)[:n]
 
 
 def encode_blocks(parts: list[np.ndarray], vocabulary: int) -> list[bytes]:
     """Each block with its length, checksum and size in front."""
-    order = sorted(range(len(parts)), key=lambda k: -len(parts[k]))
-    found: list[bytes] = [b""] * len(parts)
-    for a in range(0, len(order), LANES):
-        group = order[a:a + LANES]
-        for k, words in zip(group, _encode_lanes([parts[k] for k in group], vocabulary), strict=True):
-            check = zlib.crc32(parts[k].astype("<u4").tobytes())
-            found[k] = _HEADER.pack(len(parts[k]), check, len(words)) + words.astype("<u4").tobytes()
+    found = []
+    for part in parts:
+        lanes = _shape(len(part))[0] if len(part) else 0
+        coded = _encode(part, vocabulary)
+        check = zlib.crc32(part.astype("<u4").tobytes())
+        found.append(_HEADER.pack(len(part), check, (len(coded) - lanes * _LANE.itemsize) // 4) + coded)
     return found
 
 
 def decode(payloads: list[bytes], vocabulary: int) -> list[np.ndarray]:
     """Ids of each payload, which is any number of blocks one after another; wrong checksums raise."""
-    blocks: list[tuple[int, int, int, np.ndarray]] = []
-    for number, payload in enumerate(payloads):
-        at = 0
+    found = []
+    for payload in payloads:
+        at, parts = 0, [np.zeros(0, np.uint32)]
         while at < len(payload):
-            n, check, words = _HEADER.unpack_from(payload, at)
+            n, check, size = _HEADER.unpack_from(payload, at)
+            lanes = _shape(n)[0] if n else 0
             at += _HEADER.size
-            blocks.append((number, n, check, np.frombuffer(payload, "<u4", words, at)))
-            at += 4 * words
-    order = sorted(range(len(blocks)), key=lambda k: -blocks[k][1])
-    parts: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(blocks)
-    for a in range(0, len(order), LANES):
-        group = order[a:a + LANES]
-        lengths = np.array([blocks[k][1] for k in group])
-        for k, ids in zip(group, _decode_lanes([blocks[k][3] for k in group], lengths, vocabulary), strict=True):
-            if zlib.crc32(ids.astype("<u4").tobytes()) != blocks[k][2]:
+            used = np.frombuffer(payload, _LANE, lanes, at).astype(np.int64)
+            at += lanes * _LANE.itemsize
+            if used.sum() != size:
+                raise ValueError("the sizes of a block's lanes are wrong")
+            ids = _decode(n, used, np.frombuffer(payload, "<u4", size, at), vocabulary)
+            at += 4 * size
+            if zlib.crc32(ids.astype("<u4").tobytes()) != check:
                 raise ValueError("a block's checksum is wrong")
-            parts[k] = ids
-    found: list[list[np.ndarray]] = [[] for _ in payloads]
-    for (number, *_), ids in zip(blocks, parts, strict=True):
-        found[number].append(ids)
-    return [np.concatenate(held) if held else np.zeros(0, np.uint32) for held in found]
+            parts.append(ids)
+        found.append(np.concatenate(parts))
+    return found

@@ -16,7 +16,7 @@ from harmonia.llm import range_coder
 from harmonia.llm.tokens import BYTE_BPE, encoder, tokenizer_path, with_ends
 
 # A frame is a row of a file: whole documents of about so many ids, in independent blocks.
-FRAME_IDS = 1 << 19
+FRAME_IDS = 1 << 21
 
 _FRAME = "part long, frame long, before long, n_ids long, vocabulary int, doc_ids array<long>, lengths array<long>, payload binary"
 _DOC = "part long, doc_id long, within long, n_tokens long, ids_crc32 long"

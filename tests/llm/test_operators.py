@@ -437,6 +437,30 @@ def test_range_coder_mixes_three_orders():
     assert bits["skewed"] < 6.8 and bits["order 1"] < 1 and bits["order 2"] < 0.6, bits
 
 
+def test_lanes_of_a_long_block_share_one_model():
+    ids = np.random.default_rng(4).permutation(np.repeat(np.arange(6000, dtype=np.uint32), 20))
+    coded = range_coder.encode_blocks([ids, ids[:5000]], 50257)
+    assert all((a == b).all() for a, b in zip(range_coder.decode(coded, 50257), [ids, ids[:5000]], strict=True))
+    # 6,000 ids as often as one another are 12.55 bits each.
+    assert 8 * len(coded[0]) / len(ids) < 13.4
+
+
+def test_pieces_are_given_to_the_library_in_rows(monkeypatch):
+    path = tokens.tokenizer_path(tokens.BYTE_BPE)
+    held, library = tokens.PieceEncoder(path, tokens.spaced_pieces), Tokenizer.from_file(path)
+    rng, given, encoded = random.Random(6), [], held._encoded
+    monkeypatch.setattr(held, "_encoded", lambda texts: given.extend(texts) or encoded(texts))
+    parts = ["ab", "é", " ", " ", "\n", "\t", "'s", "12", "<|endoftext|>", "\u3000", "\xa0", "\x85", "\x1c", "語", "ß", ".", "%%", "😀"]
+    for texts in (["".join(rng.choice(parts) for _ in range(30)) for _ in range(300)], [" ".join(f"w{k}x" for k in range(3000))]):
+        given.clear()
+        data, lengths = "".join(texts).encode(), [len(t.encode()) for t in texts]
+        ids, bounds = held.encode(np.frombuffer(data, np.uint8), np.concatenate([[0], np.cumsum(lengths)]))
+        for k, text in enumerate(texts):
+            assert ids[bounds[k]:bounds[k + 1]].tolist() == library.encode(text, add_special_tokens=False).ids
+    # 3,000 pieces, all but the first of them in rows.
+    assert len(given) <= 3000 / tokens.IN_A_ROW + 2
+
+
 # --- 10 --------------------------------------------------------------------------------------------
 def test_near_dedup(docs, pairs, monkeypatch):
     for full in (near_dedup.FULL_BUCKET, 2):
