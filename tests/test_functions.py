@@ -139,3 +139,24 @@ def test_value_mapping_status(spark):
          ("to_flag", "", "false")], "t string, s string, r string")
     got = [r[0] for r in df.select(values.value_mapping_status(F.col("t"), F.col("s"), F.col("r"))).collect()]
     assert got == ["a_revoir", "auto", "a_revoir", "a_revoir", "a_revoir", "auto", "ignore_empty"]
+
+
+def test_texts_in_ascii_fold_as_all_others_without_their_pattern(spark):
+    """Every character of ASCII, alone, doubled and at either end; the fold pattern is left to other texts."""
+    parts = [chr(c) for c in range(0x80)] + ["é", "ﬁ", "語", ""]
+    given = [a + x + b for x in parts for a in ("", "a", "-", "Pre") for b in ("", "Z", "__", "-reprise", " vip")] + ["VR", "vr\n", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(given)], "k int, t string")
+    found = df.select("t", text.normalize(F.col("t")), text.normalize_upper(F.col("t")), values.normalize_visit_type(F.col("t"))).collect()
+    for value, lower, upper, visit in found:
+        if value is None:
+            assert (lower, upper, visit) == (None, None, None)
+            continue
+        n = text.plain_normalize(value)
+        assert (lower, upper) == (n, text.plain_normalize_upper(value)), repr(value)
+        kind = (
+            "REPRISE" if n in ("vr", "visitereprise") else "PRE_REPRISE" if "pre" in n and "reprise" in n else "REPRISE" if "reprise" in n
+            else "VIP_PERIODIQUE" if "period" in n or "vip" in n else upper
+        )
+        assert visit == kind, repr(value)
+    plan = df.select(text.normalize(F.col("t")))._jdf.queryExecution().analyzed().toString()
+    assert "translate(lower(t" in plan
