@@ -214,6 +214,69 @@ def test_passage_whose_fragments_stand_in_earlier_documents(spark):
     assert {i for i in expected if not expected[i] <= found.get(i, set())} == set()
 
 
+def test_every_exact_passage_of_the_least_length(spark):
+    """Exact passages of 40 to 50 words are met whatever fragments stand in earlier documents, at texts' ends too."""
+    rng, docs, expected = random.Random(15), {}, {}
+    word = lambda: f"v{rng.randrange(10**6)}"
+    for n in [40, 41, 42, 43, 45, 50] * 8:
+        passage, cut = [word() for _ in range(n)], rng.randrange(8, 32)
+        before, after = (rng.choice([0, 30]) for _ in range(2))
+        for piece in (passage[:cut], passage[cut:], passage[3:37], passage[:36]):
+            docs[len(docs) + 1] = [word() for _ in range(30)] + piece + [word() for _ in range(30)]
+        docs[len(docs) + 1] = [word() for _ in range(30 - before)] + passage + [word() for _ in range(30 - after)]
+        docs[len(docs) + 1] = [word() for _ in range(before)] + passage + [word() for _ in range(after)]
+        expected[len(docs)] = set(range(before, before + n))
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    found = covered(substring_dedup.repeated_passages(table).collect(), docs)
+    assert {i for i in expected if len(expected[i] & found.get(i, set())) < 0.75 * len(expected[i])} == set()
+
+
+def test_changed_passages(spark):
+    """Passages with words replaced at random, against all pairs of windows: those of 40 words may have no two seeds in common."""
+    rng, docs, holds = random.Random(16), {}, {}
+    word = lambda: f"v{rng.randrange(10**6)}"
+    for n, share in [(40, 0.05), (50, 0.1), (60, 0.1), (60, 0.15), (100, 0.15), (100, 0.2)] * 40:
+        passage = [word() for _ in range(n)]
+        changed = set(rng.sample(range(n), round(n * share)))
+        for held in (passage, [word() if k in changed else w for k, w in enumerate(passage)]):
+            docs[len(docs) + 1] = [word() for _ in range(30)] + held + [word() for _ in range(30)]
+        same = [k not in changed for k in range(n)]
+        if any(sum(same[k:k + 40]) >= 30 for k in range(n - 39)):
+            holds.setdefault((n, share), []).append(len(docs))
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    found = covered(substring_dedup.repeated_passages(table).collect(), docs)
+    met = {key: sum(i in found for i in ids) / len(ids) for key, ids in holds.items()}
+    assert min(met.values()) >= 0.85 and sum(met.values()) >= 0.95 * len(met), met
+
+
+def test_a_passage_whose_end_is_changed(spark):
+    """40 words of which the first, the last and some others differ."""
+    rng, docs = random.Random(17), {}
+    word = lambda: f"v{rng.randrange(10**6)}"
+    for _ in range(20):
+        passage = [word() for _ in range(40)]
+        for held in (passage, [word(), *passage[1:20], word(), *passage[21:38], word(), word()]):
+            docs[len(docs) + 1] = [word() for _ in range(10)] + held + [word() for _ in range(5)]
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    assert set(covered(substring_dedup.repeated_passages(table).collect(), docs)) == set(range(2, 41, 2))
+
+
+def test_chains_of_many_pairs_at_once():
+    rng, long = random.Random(18), substring_dedup.LONG_WORDS
+    pairs = []
+    for _ in range(200):
+        apart = rng.randrange(3)
+        pairs.append([(x, x + rng.choice([0, 0, 0, 3][:apart + 2])) for x in (rng.randrange(300) for _ in range(rng.randrange(1, 9)))])
+        if rng.random() < 0.3:
+            pairs[-1].append((~50, ~53))
+    flat = np.array([m for pair in pairs for m in pair])
+    found = substring_dedup.pair_chains(np.array([len(p) for p in pairs]), flat[:, 0], flat[:, 1])
+    for pair, held in zip(pairs, found, strict=True):
+        steps = [*range(0, long - 5, 5), long - 5]
+        short = [m for x, y in pair for m in ([(x, y)] if x >= 0 else [(~x + k, ~y + k) for k in steps])]
+        assert held == [c for c in substring_dedup.chains(short) if len(c) >= substring_dedup.LEAST_SEEDS]
+
+
 # --- 4 ---------------------------------------------------------------------------------------------
 def test_quality_base_and_verdict(spark, docs, pairs):
     labels = spark.createDataFrame([(k, int(k % 3 > 0), 0, "x") for k in range(1, 24)] + [(None, 1, 0, "x"), (3, None, 0, "x")],
