@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 
 BLOCK_IDS = 1 << 21
-LANE_IDS = 512
+LANE_IDS = 256
 PAIR_BITS = 18
 _HEADER = struct.Struct("<III")  # ids, crc32 of the ids, 32-bit words of the payload
 _LANE = np.dtype("<u2")  # 32-bit words of each lane, before the words

@@ -22,45 +22,59 @@ _FRAME = "part long, frame long, before long, n_ids long, vocabulary int, doc_id
 _DOC = "part long, doc_id long, within long, n_tokens long, ids_crc32 long"
 
 
+class _Frames:
+    """Frames of one part, in order: documents are held until they fill one, whatever batches they come in."""
+
+    def __init__(self, part: int, vocabulary: int):
+        self.part, self.vocabulary, self.frame, self.before = part, vocabulary, 0, 0
+        self.ids: list[np.ndarray] = []
+        self.lengths: list[np.ndarray] = []
+        self.doc_ids: list[pa.Array] = []
+        self.held = 0
+
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The frames that are full now: each ends with the document that fills it."""
+        bounds, low = np.concatenate([[0], np.cumsum(lengths)]), 0
+        while low < len(lengths):
+            high = min(len(lengths), int(np.searchsorted(bounds, bounds[low] + FRAME_IDS - self.held)))
+            self.ids.append(ids[bounds[low]:bounds[high]])
+            self.lengths.append(lengths[low:high])
+            self.doc_ids.append(doc_ids.slice(low, high - low))
+            self.held, low = self.held + int(bounds[high] - bounds[low]), high
+            if self.held >= FRAME_IDS:
+                yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        """What is held, as a frame of blocks that end with it."""
+        if not self.lengths:
+            return
+        ids, lengths = np.concatenate(self.ids), np.concatenate(self.lengths)
+        # What the last document adds makes no short block of its own.
+        blocks = np.array_split(ids, max(1, round(len(ids) / range_coder.BLOCK_IDS)))
+        payload = b"".join(range_coder.encode_blocks(blocks, self.vocabulary))
+        doc_ids, n = pa.concat_arrays(self.doc_ids), len(ids)
+        self.ids, self.lengths, self.doc_ids, self.held = [], [], [], 0
+        yield pa.record_batch(
+            {
+                "part": pa.array([self.part], pa.int64()), "frame": pa.array([self.frame], pa.int64()),
+                "before": pa.array([self.before], pa.int64()), "n_ids": pa.array([n], pa.int64()),
+                "vocabulary": pa.array([self.vocabulary], pa.int32()),
+                "doc_ids": pa.ListArray.from_arrays(pa.array([0, len(lengths)], pa.int32()), doc_ids),
+                "lengths": bt.ragged(lengths, np.array([len(lengths)]), pa.int64()), "payload": pa.array([payload], pa.binary()),
+            }
+        )
+        self.frame, self.before = self.frame + 1, self.before + n
+
+
 def _writer(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = encoder(path, True)
-        vocabulary = held.tokenizer.get_vocab_size()
-        part, frame, before = TaskContext.get().partitionId(), 0, 0
+        frames = _Frames(TaskContext.get().partitionId(), held.tokenizer.get_vocab_size())
         for batch in batches:
-            parts = [with_ends(*held.encode(data, offsets)) for _, _, data, offsets in bt.text_chunks(batch.column(1))]
-            if not parts:
-                continue
-            ids = np.concatenate([p[0] for p in parts])
-            lengths = np.concatenate([np.diff(p[1]) for p in parts])
-            bounds = np.concatenate([[0], np.cumsum(lengths)])
-            # Frames end with the document that fills them; blocks end with their frame.
-            cuts, low = [0], 0
-            while low < len(lengths):
-                low = min(len(lengths), int(np.searchsorted(bounds, bounds[low] + FRAME_IDS)))
-                cuts.append(low)
-            spans = [(bounds[a], bounds[b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-            blocks = [
-                ids[at:min(at + range_coder.BLOCK_IDS, end)]
-                for start, end in spans for at in range(start, end, range_coder.BLOCK_IDS)
-            ]
-            coded = iter(range_coder.encode_blocks(blocks, vocabulary))
-            payloads = [
-                b"".join(next(coded) for _ in range(start, end, range_coder.BLOCK_IDS)) for start, end in spans
-            ]
-            n = len(spans)
-            sizes = np.array([end - start for start, end in spans])
-            per_frame = np.diff(cuts)
-            yield pa.record_batch(
-                {
-                    "part": pa.array(np.full(n, part, np.int64)), "frame": pa.array(np.arange(frame, frame + n)),
-                    "before": pa.array(before + np.cumsum(sizes) - sizes), "n_ids": pa.array(sizes),
-                    "vocabulary": pa.array(np.full(n, vocabulary, np.int32)),
-                    "doc_ids": pa.ListArray.from_arrays(pa.array(np.array(cuts, np.int32)), batch.column(0)),
-                    "lengths": bt.ragged(lengths, per_frame, pa.int64()), "payload": pa.array(payloads, pa.binary()),
-                }
-            )
-            frame, before = frame + n, before + int(sizes.sum())
+            for low, high, data, offsets in bt.text_chunks(batch.column(1)):
+                ids, bounds = with_ends(*held.encode(data, offsets))
+                yield from frames.add(batch.column(0).slice(low, high - low), ids, np.diff(bounds))
+        yield from frames.rest()
 
     return write
 

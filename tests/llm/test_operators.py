@@ -5,6 +5,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -457,6 +458,24 @@ def test_token_files(spark, docs, pairs, tmp_path):
     assert ordered == sorted(ordered)
 
 
+def test_frames_are_filled_across_batches(monkeypatch):
+    """Small batches make no small blocks: what they hold is coded together, with the same ids."""
+    monkeypatch.setattr(token_files, "FRAME_IDS", 1000)
+    rng, frames = np.random.default_rng(19), token_files._Frames(3, 50257)
+    docs = [rng.integers(0, 50257, n).astype(np.uint32) for n in (0, 1, 300, 2500, 999, 1, *rng.integers(0, 400, 40))]
+    found = []
+    for low in range(0, len(docs), 4):
+        part = docs[low:low + 4]
+        found += frames.add(pa.array(range(low, low + len(part)), pa.int64()), np.concatenate(part), np.array([len(d) for d in part]))
+    found = [f.to_pylist()[0] for f in [*found, *frames.rest()]]
+    assert all(1000 <= f["n_ids"] < 1000 + max(f["lengths"]) for f in found[:-1]) and not list(frames.rest())
+    assert [f["frame"] for f in found] == list(range(len(found))) and {f["part"] for f in found} == {3}
+    assert [d for f in found for d in f["doc_ids"]] == list(range(len(docs)))
+    assert [f["before"] for f in found] == np.cumsum([0, *(f["n_ids"] for f in found)])[:-1].tolist()
+    back = np.concatenate(range_coder.decode([f["payload"] for f in found], 50257))
+    assert (back == np.concatenate(docs)).all() and [n for f in found for n in f["lengths"]] == [len(d) for d in docs]
+
+
 def test_a_tokenizer_forgets_pieces_by_their_ids(monkeypatch):
     held = tokens.PieceEncoder(tokens.tokenizer_path(tokens.BYTE_BPE), tokens.spaced_pieces)
     library = Tokenizer.from_file(tokens.tokenizer_path(tokens.BYTE_BPE))
