@@ -113,6 +113,32 @@ def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
 
 
+def _pieces(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, what `normalize` leaves of them one after another, bounds) of the texts that are not empty then; a long one is alone."""
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    if not len(column):
+        return
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    low = 0
+    while low < len(column):
+        high = int(np.searchsorted(offsets, offsets[low] + PIECE_CHARS, side="right")) - 1
+        high = min(len(column), max(high, low + 1))
+        raw = data[offsets[low]:offsets[high]]
+        if len(raw) > PIECE_CHARS:
+            part = _normalized_long(raw)
+            bounds = np.array([0, len(part)])
+        else:
+            part, bounds = normalized(raw, offsets[low:high + 1] - offsets[low])
+        filled = np.flatnonzero(np.diff(bounds))
+        yield low + filled, part, np.concatenate([[0], bounds[filled + 1]])
+        low = high
+
+
+def _marks(part: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.array([hashlib.sha256(part[a:b]).digest() for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())
+
+
 def packer(kept: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """One row for every text of batches of ``kept`` columns and a text: the columns, codes, n and digest.
 
@@ -121,46 +147,35 @@ def packer(kept: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = pc.fill_null(batch.column(kept).cast(pa.large_string()), "")
-            if not len(column):
-                continue
-            offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
-            data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-            low = 0
-            while low < len(column):
-                high = int(np.searchsorted(offsets, offsets[low] + PIECE_CHARS, side="right")) - 1
-                high = min(len(column), max(high, low + 1))
-                raw = data[offsets[low]:offsets[high]]
-                if len(raw) > PIECE_CHARS:
-                    part = _normalized_long(raw)
-                    bounds = np.array([0, len(part)])
-                else:
-                    part, bounds = normalized(raw, offsets[low:high + 1] - offsets[low])
-                filled = np.flatnonzero(np.diff(bounds))
-                bounds = np.concatenate([[0], bounds[filled + 1]])
-                if len(part) > PIECE_CHARS and len(filled) == 1:
+            for rows, part, bounds in _pieces(batch.column(kept)):
+                if len(part) > PIECE_CHARS and len(rows) == 1:
                     codes, n = _of_one(part)
                     owner = np.zeros(len(codes), np.int64)
                 else:
                     owner, codes, n = _of_many(part, bounds)
                     short = np.flatnonzero(np.diff(bounds) < min(NGRAM_SIZES))
-                    own = [sum(int(_DIGIT[b]) * BASE**k for k, b in enumerate(part[bounds[i]:bounds[i + 1]][::-1])) for i in short]
-                    order = np.argsort(np.concatenate([owner, short]), kind="stable")
-                    owner = np.concatenate([owner, short])[order]
-                    codes = np.concatenate([codes, np.array(own, np.int64)])[order]
-                    n = np.concatenate([n, np.ones(len(short), np.int64)])[order]
-                lengths = np.bincount(owner, minlength=len(filled))
-                marks = [hashlib.sha256(part[a:b]).digest() for a, b in zip(bounds, bounds[1:], strict=False)]
-                rows = pa.array(low + filled)
+                    if len(short):
+                        own = [sum(int(_DIGIT[b]) * BASE**k for k, b in enumerate(part[bounds[i]:bounds[i + 1]][::-1])) for i in short]
+                        order = np.argsort(np.concatenate([owner, short]), kind="stable")
+                        owner = np.concatenate([owner, short])[order]
+                        codes = np.concatenate([codes, np.array(own, np.int64)])[order]
+                        n = np.concatenate([n, np.ones(len(short), np.int64)])[order]
+                lengths = np.bincount(owner, minlength=len(rows))
                 yield pa.record_batch(
-                    [*(batch.column(k).take(rows) for k in range(kept)), _lists(codes, lengths), _lists(n, lengths), pa.array(marks, pa.binary())],
+                    [*(batch.column(k).take(pa.array(rows)) for k in range(kept)), _lists(codes, lengths), _lists(n, lengths), _marks(part, bounds)],
                     names=[*batch.schema.names[:kept], "codes", "n", "digest"],
                 )
-                low = high
 
     return pack
 
 
+def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first column and the digest of the text in the second."""
+    for batch in batches:
+        for rows, part, bounds in _pieces(batch.column(1)):
+            yield pa.record_batch([batch.column(0).take(pa.array(rows)), _marks(part, bounds)], names=[batch.schema.names[0], "digest"])
+
+
 # Distinct codes that a task counts before it passes them on.
 HELD_CODES = 1 << 22
 
@@ -210,23 +225,3 @@ def count_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in marks:
             yield rows(pa.nulls(len(held), pa.int32()), held, pa.array(np.ones(len(held), np.int64)))
         marks.clear()
-
-
-def splitter(codes_at: int, n_at: int, blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Each row's codes and counts by the remainder of the code: a row for every block that the row has codes of."""
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(codes_at)
-            codes = lists.flatten().to_numpy(zero_copy_only=False)
-            n = batch.column(n_at).flatten().to_numpy(zero_copy_only=False)
-            owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-            key = owner * blocks + codes % blocks
-            order = np.argsort(key, kind="stable")
-            cell, lengths = np.unique(key[order], return_counts=True)
-            at = pa.array(cell // blocks)
-            columns = [batch.column(k).take(at) for k in range(batch.num_columns)]
-            columns[codes_at], columns[n_at] = _lists(codes[order], lengths), _lists(n[order], lengths)
-            yield pa.record_batch([*columns, pa.array((cell % blocks).astype(np.int32))], names=[*batch.schema.names, "block"])
-
-    return split

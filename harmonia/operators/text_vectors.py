@@ -1,15 +1,17 @@
-"""TF-IDF vectors and nearest centroids of whole texts, packed.
-
-A text is one row: the sorted codes of its n-grams, their counts, and a digest
-that stands for the text itself.  The model's tokens are dealt to blocks of a
-bounded number of tokens, and the texts to groups of a bounded number of codes;
-a task meets one group with one block, multiplies in arrays and gives one number
-for each text (and label).  N-grams are rows only in the counts by token.
+"""TF-IDF vectors and nearest centroids of whole texts.
+
+A text is one row.  Its n-grams are codes that a task counts where it needs them,
+from the text: counts take several times the room of the text, so none are
+written or shuffled.  Texts are dealt to groups of bounded size, and each group
+is given the whole model, or one block of it at a time where it has more tokens
+than a task should hold.  A task reads the model, then its texts one batch after
+another, and gives what it finds for each text (and label).  N-grams are rows
+only in the counts by token.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,17 +21,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from harmonia.fixed_values import NGRAM_SIZES
 from harmonia.functions import ngram_counts
 from harmonia.functions.text import text
-from harmonia.operators.skew import hot_counts, join_unique
 from harmonia.operators.text_model import ID
-from harmonia.session import rows_per_batch, small_reads, written
+from harmonia.session import parallel, rows_per_batch, small_reads, written
 
-# Bytes of text in a task that counts n-grams.
-TASK_BYTES = 32 << 20
-# Tokens in one block of a model, and codes in one group of texts.
-BLOCK_TOKENS = 1_000_000
-GROUP_CODES = 4_000_000
+# Tokens in one block of a model (for each label, where there are centroids), and codes in one group of texts.
+BLOCK_TOKENS = 16_000_000
+GROUP_CODES = 200_000_000
+# A task has a group of one block; with more groups than these, several one after another.
+MOST_TASKS = 400
 # Codes in a batch of packed texts that a Python worker is given; a text with more is a batch of its own.
 BATCH_CODES = 2_000_000
 # Packed texts that a scan decodes at once; 4,096 by default, with thousands of codes each.
@@ -41,21 +43,26 @@ DIGITS = 8
 
 
 # --- counts ---------------------------------------------------------------------------------------
-def spread(records: DataFrame, column: str) -> DataFrame:
-    """Records in enough tasks for the bytes of their texts; left where they are if their scan has as many."""
-    size = records.agg(F.sum(F.octet_length(column))).first()[0] or 0
-    wanted = max(records.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
-    return records if records.rdd.getNumPartitions() >= wanted else records.repartition(wanted, ID)
+def texts(records: DataFrame, column: str, *keep: str) -> DataFrame:
+    """``record_id``, kept columns and ``text``, to be counted by the tasks that read them."""
+    return records.select(ID, *keep, text(F.col(column)).alias("text"))
 
 
 def packed_counts(records: DataFrame, column: str, *keep: str) -> DataFrame:
-    """``record_id``, kept columns, ``codes``, ``n`` and ``digest`` of every text that is not empty once normalised."""
+    """``record_id``, kept columns, ``codes``, ``n`` and ``digest`` of every text that is not empty once normalised.
+
+    All below takes these in place of `texts`; they hold several times as many bytes.
+    """
     small_reads(records.sparkSession, READ_ROWS)
-    texts = spread(records, column).select(ID, *keep, text(F.col(column)).alias("_text"))
-    kept = texts.schema.fields[:-1]
+    rows = parallel(texts(records, column, *keep))
+    kept = rows.schema.fields[:-1]
     arrays = [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("codes", "n")]
     schema = T.StructType([*kept, *arrays, T.StructField("digest", T.BinaryType())])
-    return texts.mapInArrow(ngram_counts.packer(len(kept)), schema)
+    return rows.mapInArrow(ngram_counts.packer(len(kept)), schema)
+
+
+def _is_packed(rows: DataFrame) -> bool:
+    return "codes" in rows.columns
 
 
 def bounded(packed: DataFrame, work: Callable, schema: T.StructType | str) -> DataFrame:
@@ -68,23 +75,24 @@ def bounded(packed: DataFrame, work: Callable, schema: T.StructType | str) -> Da
         return written(packed.mapInArrow(work, schema))
 
 
-def document_frequency(packed: DataFrame, examples: int) -> DataFrame:
+def document_frequency(rows: DataFrame, examples: int) -> DataFrame:
     """``code, digest, df, idf``: n-grams have a code, whole texts a digest.
 
     Codes are counted in the tasks that hold them; rows follow the tasks' distinct
     codes, not the texts.
     """
-    grams = bounded(packed.select("codes"), ngram_counts.count_codes, "code int, df long")
-    whole = packed.groupBy("digest").agg(F.count("*").alias("df"))
+    if not _is_packed(rows):
+        counted = parallel(rows.select("text")).mapInArrow(ngram_counts.count_texts, "code int, digest binary, df long")
+        return _with_idf(counted.groupBy("code", "digest").agg(F.sum("df").alias("df")), examples)
+    grams = bounded(rows.select("codes"), ngram_counts.count_codes, "code int, df long")
+    whole = rows.groupBy("digest").agg(F.count("*").alias("df"))
     tokens = grams.groupBy("code").agg(F.sum("df").alias("df")).select("code", F.lit(None).cast("binary").alias("digest"), "df")
     return _with_idf(tokens.unionByName(whole.select(F.lit(None).cast("int").alias("code"), "digest", "df")), examples)
 
 
 def frequency_of_texts(records: DataFrame, column: str) -> DataFrame:
-    """`document_frequency` of texts whose packed counts nothing else reads: counted where they are packed, written nowhere."""
-    texts = spread(records, column).select(text(F.col(column)).alias("_text"))
-    counted = texts.mapInArrow(ngram_counts.count_texts, "code int, digest binary, df long")
-    return _with_idf(counted.groupBy("code", "digest").agg(F.sum("df").alias("df")), records.count())
+    """`document_frequency` of the texts of a column."""
+    return document_frequency(texts(records, column), records.count())
 
 
 def _with_idf(tokens: DataFrame, examples: int) -> DataFrame:
@@ -101,216 +109,309 @@ class Deal:
     arrays: int
 
     @classmethod
-    def of(cls, packed: DataFrame, tokens: DataFrame) -> Deal:
+    def of(cls, rows: DataFrame, tokens: DataFrame, labels: int = 1) -> Deal:
         distinct = tokens.where("code IS NOT NULL").count()
-        codes = packed.agg(F.sum(F.size("codes").cast("long"))).first()[0] or 0
-        blocks = max(1, -(-distinct // BLOCK_TOKENS))
-        return cls(blocks, max(1, -(-codes // (blocks * GROUP_CODES))), max(1, -(-distinct // (blocks * ARRAY_CODES))))
+        size = F.size("codes") if _is_packed(rows) else F.length("text") * len(NGRAM_SIZES)
+        codes = rows.agg(F.sum(size.cast("long"))).first()[0] or 0
+        blocks = max(1, -(-distinct * labels // BLOCK_TOKENS))
+        # All cores have a group of each block.
+        groups = max(rows.sparkSession.sparkContext.defaultParallelism, -(-codes // GROUP_CODES))
+        return cls(blocks, groups, max(1, -(-distinct // (blocks * ARRAY_CODES))))
 
     def group(self) -> Column:
         return F.pmod(F.xxhash64(ID), F.lit(self.groups)).cast("int").alias("group")
 
-    def texts(self, packed: DataFrame) -> DataFrame:
-        """Codes of every text by group and block."""
-        rows = packed.drop("digest")
-        if self.blocks == 1:
-            dealt = rows.withColumn("block", F.lit(0))
-        else:
-            names = rows.columns
-            schema = T.StructType([*rows.schema.fields, T.StructField("block", T.IntegerType())])
-            dealt = bounded(rows, ngram_counts.splitter(names.index("codes"), names.index("n"), self.blocks), schema)
-        return dealt.select("block", self.group(), *rows.columns)
-
     def in_blocks(self, values: DataFrame, kind: str, value: str, *by: str) -> DataFrame:
-        """``values`` by code as arrays: rows for every block (and label), in every group."""
+        """``values`` by code as arrays: rows for every block (and label)."""
         block, array = F.pmod("code", F.lit(self.blocks)).alias("block"), F.pmod(F.xxhash64("code"), F.lit(self.arrays)).alias("array")
         held = values.where("code IS NOT NULL").groupBy(block, array, *by).agg(F.collect_list(F.struct("code", F.col(value).alias("v"))).alias("_all"))
         return held.select(
-            "block", F.explode(F.sequence(F.lit(0), F.lit(self.groups - 1))).alias("group"), F.lit(kind).alias("kind"),
-            (F.col(by[0]) if by else F.lit(None).cast("string")).alias("label"),
+            "block", F.lit(kind).alias("kind"), (F.col(by[0]) if by else F.lit(None).cast("string")).alias("label"),
             F.col("_all.code").alias("codes"), F.col("_all.v").alias("values"),
         )
 
-    def norms(self, norms: DataFrame) -> DataFrame:
-        """Lengths of the texts of a group, for every block."""
-        rows = norms.select(self.group(), ID, "norm", F.explode(F.sequence(F.lit(0), F.lit(self.blocks - 1))).alias("block"))
-        return rows.select("block", "group", F.lit("norm").alias("kind"), ID, "norm")
+    def in_groups(self, values: DataFrame) -> DataFrame:
+        """Rows of blocks in every group."""
+        return values.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(self.groups - 1))))
+
+    def meet(self, model: DataFrame, rows: DataFrame, work: Callable, schema: T.StructType | str) -> DataFrame:
+        """``work`` on every group and block: their rows of the model come first, then the texts as ``own``.
+
+        Texts come by kind "text", behind all others in order.
+        """
+        names = [f.name for f in rows.schema.fields]
+        own = rows.select(
+            self.group(), F.struct(*names).alias("own"), F.explode(F.sequence(F.lit(0), F.lit(self.blocks - 1))).alias("block")
+        ).withColumn("kind", F.lit(TEXT))
+        part = (F.col("block") * self.groups + F.col("group")).alias("part")
+        both = model.unionByName(own, allowMissingColumns=True).select(part, "kind", *MODEL_COLUMNS, "own")
+        tasks = min(self.blocks * self.groups, MOST_TASKS)
+        dealt = both.repartitionById(tasks, F.pmod("part", F.lit(tasks))).sortWithinPartitions("part", "kind")
+        return dealt.mapInArrow(_met(work, names), schema)
+
+
+TEXT = "text"
+MODEL_COLUMNS = ("label", "codes", "values", "digest", "value")
+
+
+def _met(work: Callable, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work(model, packed texts)`` for each part, whose rows come one after another."""
+    pack = ngram_counts.packer(len(names) - 1) if names[-1] == "text" else lambda batches: batches
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, model, state = None, [], None, None
+        for batch in batches:
+            parts, is_text = batch.column("part").to_numpy(), pc.equal(batch.column("kind"), TEXT).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((np.diff(parts) != 0) | (np.diff(is_text.view(np.int8)) != 0)) + 1
+            for low, high in zip([0, *cuts], [*cuts, len(parts)], strict=True):
+                if low == high:
+                    continue
+                if parts[low] != part:
+                    if state is not None:
+                        yield from state.rest()
+                    part, held, model, state = parts[low], [], None, None
+                rows = batch.slice(low, high - low)
+                if not is_text[low]:
+                    held.append(rows.select(["kind", *MODEL_COLUMNS]))
+                    continue
+                if state is None:
+                    model, held = _Model(held), []
+                    state = work(model)
+                own = pa.RecordBatch.from_arrays(rows.column("own").flatten(), names=names)
+                for packed in pack([own]):
+                    if len(packed):
+                        yield from state.texts(packed)
+        if state is not None:
+            yield from state.rest()
+
+    return run
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays([*column.chunks, pa.array([], column.type)])
+
+
+def _flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column one after another, and how many each list has."""
+    lists = _one(column) if isinstance(column, pa.ChunkedArray) else column
+    return lists.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+
+
+class _Places:
+    """Where a code stands among sorted ones: a bit for each known code, and the number of those before every 64."""
+
+    def __init__(self, codes: np.ndarray):
+        self.bits = np.zeros((ngram_counts.BASE ** max(NGRAM_SIZES) >> 6) + 1, np.uint64)
+        np.bitwise_or.at(self.bits, codes >> 6, np.uint64(1) << (codes & 63).astype(np.uint64))
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.bits), dtype=np.int64)[:-1]]).astype(np.int32)
+
+    def __call__(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which codes are known, the places of these)."""
+        word, bit = codes >> 6, np.uint64(1) << (codes & 63).astype(np.uint64)
+        known = np.flatnonzero(self.bits[word] & bit)
+        word, bit = word[known], bit[known]
+        return known, self.before[word] + np.bitwise_count(self.bits[word] & (bit - np.uint64(1)))
+
+
+_NO_MODEL = pa.schema([
+    ("kind", pa.string()), ("label", pa.string()), ("codes", pa.list_(pa.int32())), ("values", pa.list_(pa.float64())),
+    ("digest", pa.binary()), ("value", pa.float64()),
+])
+
+
+class _Model:
+    """A block of a model in a task: values in the order of the codes, and those of the group's digests."""
+
+    def __init__(self, rows: list[pa.RecordBatch]):
+        kinds = ("idf", "centroid", "digest", "digest centroid")
+        rows = rows or [pa.RecordBatch.from_pylist([], schema=_NO_MODEL)]
+        of = {k: pa.Table.from_batches([r.filter(pc.equal(r.column("kind"), k)) for r in rows]) for k in kinds}
+        codes, idf = (_flat(of["idf"].column(c))[0] for c in ("codes", "values"))
+        order = np.argsort(codes)
+        self.codes, self.idf = codes[order], idf[order]
+        self.places = _Places(self.codes)
+        self.digests = _one(of["digest"].column("digest"))
+        self.whole = of["digest"].column("value").to_numpy()
+        named, marked = of["centroid"], of["digest centroid"]
+        self.labels = pc.unique(pa.chunked_array([*named.column("label").chunks, *marked.column("label").chunks], pa.string())).to_pylist()
+        self.centroids = []
+        for label in self.labels:
+            mine, whole = (t.filter(_same(t.column("label"), label)) for t in (named, marked))
+            held, over = np.zeros(len(self.codes)), np.zeros(len(self.digests))
+            codes, weights = (_flat(mine.column(c))[0] for c in ("codes", "values"))
+            known, at = self.places(codes)
+            held[at] = weights[known]
+            over[pc.index_in(_one(whole.column("digest")), self.digests).to_numpy()] = whole.column("value").to_numpy()
+            self.centroids.append((held, over))
+
+
+def _same(values: pa.ChunkedArray, value: str | None) -> pa.ChunkedArray:
+    return pc.is_null(values) if value is None else pc.fill_null(pc.equal(values, value), False)
+
+
+class _Weights:
+    """Packed texts against a block: products of counts and idf that are not 0, and the weights that follow.
+
+    Weights have 8 digits.  The length of a text is its ``norm``, or that of its products where the block is the whole model.
+    """
 
+    def __init__(self, model: _Model, packed: pa.RecordBatch):
+        codes, lengths = _flat(packed.column("codes"))
+        n, _ = _flat(packed.column("n"))
+        self.rows = len(packed)
+        known, at = model.places(codes)
+        raw = n[known] * model.idf[at]
+        some = np.flatnonzero(raw)
+        self.at, self.raw, self.owner = at[some], raw[some], np.repeat(np.arange(self.rows), lengths)[known[some]]
+        found = pc.fill_null(pc.index_in(packed.column("digest"), model.digests), -1).to_numpy()
+        self.digest = np.where(found < 0, 0, found)
+        self.raw_digest = np.where(found < 0, 0.0, np.append(model.whole, 0.0)[found])
+        self.squares = self.sums(self.raw * self.raw) + self.raw_digest * self.raw_digest
+        norm = packed.column("norm").to_numpy(zero_copy_only=False) if "norm" in packed.schema.names else np.sqrt(self.squares)
+        self.norm = np.where(norm > 0, norm, np.inf)
 
-def _meet(texts: DataFrame, model: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: T.StructType | str) -> DataFrame:
-    """``work`` on each group of texts with its block of the model."""
-    on = ["block", "group"]
-    return texts.groupBy(*on).cogroup(model.groupBy(*on)).applyInArrow(work, schema)
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Sums of each text."""
+        # Without any value these are whole numbers.
+        return np.bincount(self.owner, weights=values, minlength=self.rows).astype(np.float64)
 
+    def weights(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the codes, and of the digests."""
+        return tuple(np.floor(raw / norm * 10**DIGITS + 0.5) / 10**DIGITS for raw, norm in (
+            (self.raw, self.norm[self.owner]), (self.raw_digest, self.norm)))
 
-def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Values of a list column one after another, and where each list ends."""
-    lists = column.combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    return lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
 
+class _Squares:
+    def __init__(self, model: _Model):
+        self.model = model
 
-class _Lookup:
-    """Values by code; 0 where a code is unknown."""
+    def texts(self, packed: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield pa.record_batch({ID: packed.column(ID), "square": pa.array(_Weights(self.model, packed).squares)})
 
-    def __init__(self, codes: np.ndarray, values: np.ndarray):
-        order = np.argsort(codes)
-        self.codes, self.values = codes[order], values[order]
-
-    def __call__(self, codes: np.ndarray) -> np.ndarray:
-        if not len(self.codes):
-            return np.zeros(len(codes))
-        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        return np.where(self.codes[at] == codes, self.values[at], 0.0)
-
-
-def _row_sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    if not len(ends):
-        return np.zeros(0)
-    starts = np.concatenate([[0], ends[:-1]])
-    full = np.flatnonzero(ends > starts)
-    out = np.zeros(len(ends))
-    if len(full):
-        out[full] = np.add.reduceat(values, starts[full])
-    return out
-
-
-class _Group:
-    """Texts of a group against a block: products of counts and idf, and weights where the lengths are given."""
-
-    def __init__(self, texts: pa.Table, model: pa.Table):
-        self.codes, self.ends = _flat(texts.column("codes"))
-        counts, _ = _flat(texts.column("n"))
-        kind = model.column("kind")
-        idf = model.filter(pc.equal(kind, "idf"))
-        self.raw = counts * _Lookup(_flat(idf.column("codes"))[0], _flat(idf.column("values"))[0])(self.codes)
-        self.model, self.kind, self.texts = model, kind, texts
-
-    def weights(self) -> np.ndarray:
-        """Weights to 8 digits; 0 where a token is unknown."""
-        held = self.model.filter(pc.equal(self.kind, "norm"))
-        at = pc.index_in(self.texts.column(ID), held.column(ID).combine_chunks()).to_numpy().astype(np.float64)
-        norm = np.full(len(at), np.inf)
-        known = ~np.isnan(at)
-        norm[known] = held.column("norm").to_numpy()[at[known].astype(np.int64)]
-        lengths = np.diff(np.concatenate([[0], self.ends]))
-        return np.floor(self.raw / np.repeat(norm, lengths) * 10**DIGITS + 0.5) / 10**DIGITS
-
-
-def _squares(texts: pa.Table, model: pa.Table) -> pa.Table:
-    if not len(texts):
-        return pa.table({ID: texts.column(ID), "square": pa.array([], pa.float64())})
-    group = _Group(texts, model)
-    return pa.table({ID: texts.column(ID), "square": pa.array(_row_sums(group.raw * group.raw, group.ends))})
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        return iter(())
 
 
 def _lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values, kind))
 
 
-def _weights_of(names: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def work(texts: pa.Table, model: pa.Table) -> pa.Table:
-        own = texts.select(names)
-        if not len(texts):
-            nothing = {"codes": pa.array([], pa.list_(pa.int32())), "weights": pa.array([], pa.list_(pa.float64()))}
-            return pa.table({**{n: own.column(n) for n in names}, **nothing})
-        group = _Group(texts, model)
-        weight = group.weights()
-        known = group.raw != 0
-        ends = np.concatenate([[0], np.cumsum(known)])[group.ends]
-        return pa.table({
-            **{n: own.column(n) for n in names}, "codes": _lists(group.codes[known], ends, pa.int32()),
-            "weights": _lists(weight[known], ends, pa.float64()),
+class _Vectors(_Squares):
+    """Codes and weights of each text, and a row with its digest."""
+
+    def __init__(self, model: _Model, names: list[str]):
+        super().__init__(model)
+        self.names = names
+
+    def texts(self, packed: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        found = _Weights(self.model, packed)
+        weight, over = found.weights()
+        ends = np.cumsum(np.bincount(found.owner, minlength=found.rows))
+        yield pa.record_batch({
+            **{n: packed.column(n) for n in self.names}, "codes": _lists(self.model.codes[found.at], ends, pa.int32()),
+            "weights": _lists(weight, ends, pa.float64()), "digest": pa.nulls(found.rows, pa.binary()),
+        })
+        some = pa.array(np.flatnonzero(found.raw_digest))
+        yield pa.record_batch({
+            **{n: packed.column(n).take(some) for n in self.names}, "codes": pa.nulls(len(some), pa.list_(pa.int32())),
+            "weights": _lists(over[some], np.arange(1, len(some) + 1), pa.float64()), "digest": packed.column("digest").take(some),
         })
 
-    return work
-
-
-def _label_sums(texts: pa.Table, model: pa.Table) -> pa.Table:
-    """Sums of the weights of each label by code, for the texts of one group."""
-    labels, codes, sums = [], [], []
-    if len(texts):
-        group = _Group(texts, model)
-        weight, lengths = group.weights(), np.diff(np.concatenate([[0], group.ends]))
-        expected = texts.column("expected").combine_chunks().dictionary_encode()
-        expected = expected.chunk(0) if isinstance(expected, pa.ChunkedArray) else expected
-        owner = np.repeat(expected.indices.fill_null(-1).to_numpy(), lengths)
-        for k, label in [*enumerate(expected.dictionary.to_pylist()), (-1, None)]:
-            own = np.flatnonzero((owner == k) & (group.raw != 0))
-            if len(own):
-                found, place = np.unique(group.codes[own], return_inverse=True)
-                labels.append(pa.array([label] * len(found), pa.string()))
-                codes.append(found)
-                sums.append(np.bincount(place, weights=weight[own]))
-    return pa.table({
-        "label": pa.chunked_array(labels, pa.string()), "code": pa.array(np.concatenate([*codes, np.zeros(0)]).astype(np.int32)),
-        "sum": pa.array(np.concatenate([*sums, np.zeros(0)])),
-    })
-
-
-def _dots(texts: pa.Table, model: pa.Table) -> pa.Table:
-    """Products of every text with every label that has a token of it."""
-    ids, labels, dots = [texts.column(ID).slice(0, 0)], [], []
-    if len(texts):
-        group = _Group(texts, model)
-        weight = group.weights()
-        held = model.filter(pc.equal(model.column("kind"), "centroid"))
-        named = held.column("label")
-        for label in pc.unique(named).to_pylist():
-            own = held.filter(pc.is_null(named) if label is None else pc.fill_null(pc.equal(named, label), False))
-            codes, values = (_flat(own.column(c))[0] for c in ("codes", "values"))
-            found = _Lookup(codes, values)(group.codes)
-            dots.append(_row_sums(weight * found, group.ends))
-            ids.append(texts.column(ID))
-            labels.append(pa.array([label] * len(texts), pa.string()))
-    return pa.table({
-        ID: pa.chunked_array([c for x in ids for c in x.chunks], texts.schema.field(ID).type),
-        "label": pa.chunked_array(labels, pa.string()), "dot": pa.array(np.concatenate([*dots, np.zeros(0)])),
-    })
+
+# Sums that a task holds before it passes them on: those of so many labels at once.
+HELD_SUMS = 1 << 24
+
+
+class _LabelSums(_Squares):
+    """Sums of the weights of each label by code, and the weights of the digests."""
+
+    def __init__(self, model: _Model):
+        super().__init__(model)
+        self.held: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}
+
+    def texts(self, packed: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        found = _Weights(self.model, packed)
+        weight, over = found.weights()
+        named = packed.column("expected").to_pylist()
+        number = {label: k for k, label in enumerate(dict.fromkeys(named))}
+        of = np.array([number[label] for label in named], np.int64)[found.owner]
+        size = len(self.model.codes)
+        for label, k in number.items():
+            if label not in self.held:
+                if (len(self.held) + 1) * size > HELD_SUMS:
+                    yield from self.rest()
+                self.held[label] = np.zeros(size), np.zeros(size, bool)
+            own = np.flatnonzero(of == k)
+            sums, seen = self.held[label]
+            np.add.at(sums, found.at[own], weight[own])
+            seen[found.at[own]] = True
+        some = np.flatnonzero(found.raw_digest)
+        yield self.rows([named[k] for k in some], pa.nulls(len(some), pa.int32()), packed.column("digest").take(pa.array(some)), over[some])
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        for label, (sums, seen) in self.held.items():
+            for low in range(0, len(seen), BATCH_CODES):
+                at = low + np.flatnonzero(seen[low:low + BATCH_CODES])
+                yield self.rows([label] * len(at), pa.array(self.model.codes[at], pa.int32()), pa.nulls(len(at), pa.binary()), sums[at])
+        self.held = {}
+
+    @staticmethod
+    def rows(labels: list[str | None], codes: pa.Array, digests: pa.Array, sums: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch({"label": pa.array(labels, pa.string()), "code": codes, "digest": digests, "sum": pa.array(sums, pa.float64())})
+
+
+class _Dots(_Squares):
+    """Products of every text with every label of the model."""
+
+    def texts(self, packed: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        found = _Weights(self.model, packed)
+        weight, over = found.weights()
+        for label, (held, whole) in zip(self.model.labels, self.model.centroids, strict=True):
+            dot = found.sums(weight * held[found.at])
+            if len(whole):
+                dot += over * whole[found.digest]
+            yield pa.record_batch({ID: packed.column(ID), "label": pa.array([label] * found.rows, pa.string()), "dot": pa.array(dot)})
 
 
 # --- vectors ------------------------------------------------------------------------------------------
 class Weighed:
-    """Texts with the tokens of a model: their lengths, and the weights of their digests.
+    """Texts (`texts` or packed counts) with the tokens of a model, for ``labels`` values of each token.
 
-    ``packed`` and ``tokens`` are read several times and should be written tables.
+    ``tokens`` is read several times and should be a written table.
     """
 
-    def __init__(self, packed: DataFrame, tokens: DataFrame):
-        self.packed, self.tokens = packed, tokens
-        self.deal = Deal.of(packed, tokens)
-        self.texts = self.deal.texts(packed)
-        self.id_field = next(f for f in packed.schema.fields if f.name == ID)
-        self.keep = [c for c in packed.columns if c not in (ID, "codes", "n", "digest")]
-        whole = tokens.where("digest IS NOT NULL").select("digest", "df", "idf")
-        # A text that is copied everywhere is one digest: it is split by its known count.
-        self.hot = written(hot_counts(whole, "digest", "df"))
-        self.digests = written(join_unique(packed.select(ID, *self.keep, "digest"), whole.drop("df"), "digest", "inner", hot=self.hot))
-        grams = _meet(self.texts, self.idf(), _squares, T.StructType([self.id_field, T.StructField("square", T.DoubleType())]))
-        squares = grams.unionByName(self.digests.select(ID, (F.col("idf") * F.col("idf")).alias("square")))
-        self.norms = written(squares.groupBy(ID).agg(F.sqrt(F.sum("square")).alias("norm")).where("norm > 0"))
-
-    def idf(self) -> DataFrame:
-        return self.deal.in_blocks(self.tokens, "idf", "idf")
-
-    def model(self, *more: DataFrame) -> DataFrame:
-        held = self.idf().unionByName(self.deal.norms(self.norms), allowMissingColumns=True)
+    def __init__(self, rows: DataFrame, tokens: DataFrame, labels: int = 1):
+        self.rows, self.tokens = rows, tokens
+        self.deal = Deal.of(rows, tokens, labels)
+        self.id_field = next(f for f in rows.schema.fields if f.name == ID)
+        self.keep = [c for c in rows.columns if c not in (ID, "text", "codes", "n", "digest")]
+        # A text that is copied everywhere is one row of a group.
+        if _is_packed(rows):
+            marks = rows.select(self.deal.group(), "digest")
+        else:
+            marks = parallel(rows.select(self.deal.group(), "text")).mapInArrow(ngram_counts.digests, "group int, digest binary")
+        whole = tokens.where("digest IS NOT NULL").select("digest", F.col("idf").alias("value"))
+        self.digests = written(marks.distinct().join(whole, "digest").select("group", "digest", "value"))
+        if self.deal.blocks > 1:
+            squares = self.meet(_Squares, T.StructType([self.id_field, T.StructField("square", T.DoubleType())]))
+            norms = written(squares.groupBy(ID).agg(F.sqrt(F.sum("square")).alias("norm")))
+            last = [c for c in rows.columns if c not in (ID, *self.keep)]
+            self.rows = rows.join(norms, ID).select(ID, *self.keep, "norm", *last)
+
+    def meet(self, work: Callable, schema: T.StructType | str, *more: DataFrame) -> DataFrame:
+        idf = self.deal.in_groups(self.deal.in_blocks(self.tokens, "idf", "idf"))
+        digests = self.digests.select(F.lit(0).alias("block"), F.lit("digest").alias("kind"), "group", "digest", "value")
+        model = idf.unionByName(digests, allowMissingColumns=True)
         for table in more:
-            held = held.unionByName(table, allowMissingColumns=True)
-        return held
-
-    def digest_weights(self) -> DataFrame:
-        return self.digests.join(self.norms, ID).select(
-            ID, *self.keep, "digest", F.round(F.col("idf") / F.col("norm"), DIGITS).alias("weight")
-        )
+            model = model.unionByName(table, allowMissingColumns=True)
+        return self.deal.meet(model, self.rows, work, schema)
 
     def vectors(self) -> DataFrame:
         """``record_id``, kept columns, ``codes`` and ``weights`` by block of tokens; a row with the ``digest`` has its weight alone."""
-        kept = [f for f in self.packed.schema.fields if f.name in (ID, *self.keep)]
+        kept = [f for f in self.rows.schema.fields if f.name in (ID, *self.keep)]
         arrays = [T.StructField("codes", T.ArrayType(T.IntegerType())), T.StructField("weights", T.ArrayType(T.DoubleType()))]
-        grams = _meet(self.texts, self.model(), _weights_of([f.name for f in kept]), T.StructType([*kept, *arrays]))
-        whole = self.digest_weights().select(ID, *self.keep, "digest", F.array("weight").alias("weights"))
-        return grams.unionByName(whole, allowMissingColumns=True)
+        names = [f.name for f in kept]
+        return self.meet(lambda model: _Vectors(model, names), T.StructType([*kept, *arrays, T.StructField("digest", T.BinaryType())]))
 
 
 # --- model ----------------------------------------------------------------------------------------------
@@ -331,38 +432,34 @@ class TextModel:
         return cls(*(spark.read.parquet(f"{folder}/{name}") for name in ("tokens", "centroids", "labels")))
 
 
-def train(records: DataFrame, packed: DataFrame) -> TextModel:
-    """A centroid for each label of ``records`` (``record_id, expected``); ``packed`` are their counts with ``expected`` kept.
+def train(records: DataFrame, rows: DataFrame) -> TextModel:
+    """A centroid for each label of ``records`` (``record_id, expected``); ``rows`` are their texts with ``expected`` kept.
 
     The mean of a label's vectors, brought to length 1, each weight to 8 digits.
     """
     labels = written(records.groupBy(F.col("expected").alias("label")).agg(F.count("*").alias("examples_count")))
-    tokens = written(document_frequency(packed, records.count()))
-    weighed = Weighed(packed, tokens)
-    grams = _meet(weighed.texts, weighed.model(), _label_sums, "label string, code int, sum double")
-    whole = weighed.digest_weights().select(F.col("expected").alias("label"), "digest", F.col("weight").alias("sum"))
-    sums = grams.unionByName(whole, allowMissingColumns=True).groupBy("label", "code", "digest").agg(F.sum("sum").alias("sum"))
+    tokens = written(document_frequency(rows, records.count()))
+    found = Weighed(rows, tokens).meet(_LabelSums, "label string, code int, digest binary, sum double")
+    sums = found.groupBy("label", "code", "digest").agg(F.sum("sum").alias("sum"))
     means = written(sums.join(labels, "label").select("label", "code", "digest", (F.col("sum") / F.col("examples_count")).alias("mean")))
     lengths = means.groupBy("label").agg(F.sqrt(F.sum(F.col("mean") * F.col("mean"))).alias("length"))
     weight = F.round(F.col("mean") / F.col("length"), DIGITS).alias("weight")
     return TextModel(tokens, written(means.join(lengths, "label").select("label", "code", "digest", weight)), labels)
 
 
-def predict(records: DataFrame, packed: DataFrame, model: TextModel, top_k: int, *keep: str) -> DataFrame:
+def predict(records: DataFrame, rows: DataFrame, model: TextModel, top_k: int, *keep: str) -> DataFrame:
     """The ``top_k`` labels of every record by cosine, ties by label: (record_id, kept columns, rank, label, score).
 
     A label that shares no token with a record scores 0.
     """
-    weighed = Weighed(packed, model.tokens)
-    blocks = weighed.deal.in_blocks(model.centroids, "centroid", "weight", "label")
-    schema = T.StructType([weighed.id_field, T.StructField("label", T.StringType()), T.StructField("dot", T.DoubleType())])
-    grams = _meet(weighed.texts, weighed.model(blocks), _dots, schema)
-    per_digest = model.centroids.where("digest IS NOT NULL").groupBy("digest").agg(F.collect_list(F.struct("label", "weight")).alias("centroids"))
-    whole = join_unique(weighed.digest_weights().select(ID, "digest", "weight"), per_digest, "digest", "inner", hot=weighed.hot)
-    whole = whole.select(ID, "weight", F.inline("centroids").alias("label", "centroid")).select(
-        ID, "label", (F.col("weight") * F.col("centroid")).alias("dot")
+    weighed = Weighed(rows, model.tokens, model.labels.count())
+    grams = weighed.deal.in_groups(weighed.deal.in_blocks(model.centroids, "centroid", "weight", "label"))
+    whole = weighed.digests.drop("value").join(model.centroids.where("digest IS NOT NULL").drop("code"), "digest").select(
+        F.lit(0).alias("block"), F.lit("digest centroid").alias("kind"), "group", "digest", "label", F.col("weight").alias("value")
     )
-    scores = grams.unionByName(whole).groupBy(ID, "label").agg(F.round(F.sum("dot"), 6).alias("score"))
+    schema = T.StructType([weighed.id_field, T.StructField("label", T.StringType()), T.StructField("dot", T.DoubleType())])
+    dots = weighed.meet(_Dots, schema, grams, whole)
+    scores = dots.groupBy(ID, "label").agg(F.round(F.sum("dot"), 6).alias("score"))
     # Labels are the classes of the model: one short list.
     every = records.select(ID, *keep).crossJoin(F.broadcast(model.labels.select("label")))
     found = every.join(scores, [ID, "label"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))

@@ -1,5 +1,8 @@
 """What a task of the text model holds at once, and normalisation in the packer."""
 
+import random
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -7,6 +10,8 @@ from pyspark.sql import functions as F
 from harmonia.functions import ngram_counts
 from harmonia.functions.text import normalize
 from harmonia.operators import text_vectors
+from harmonia.session import ensure_checkpoint_dir
+from suite.texts import centroid_predict
 
 
 def test_arrays_of_a_model_are_bounded(spark, monkeypatch):
@@ -70,3 +75,30 @@ def test_frequencies_of_texts_are_those_of_packed_counts(spark):
     assert sorted(direct.collect(), key=str) == sorted(want.collect(), key=str)
     # Nothing but the texts is read.
     assert "written-" not in "".join(direct.inputFiles())
+
+
+def test_predictions_write_and_shuffle_texts_not_their_counts(spark, tmp_path):
+    """Counts hold several times as many bytes as their texts; the texts are shuffled twice (to be weighed for the model and for the scores)."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(30)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(600)), "xy"[i % 2]) for i in range(400)]
+    # One text is copied, and one has no letters.
+    rows += [(i, rows[0][1], "x") for i in range(400, 420)] + [(420, "--", "y")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8).write.parquet(str(tmp_path / "documents.parquet"))
+    size = sum(len(text) for _, text, _ in rows)
+
+    def written_bytes():
+        return sum(f.stat().st_size for f in Path(ensure_checkpoint_dir(spark).removeprefix("file:")).rglob("*.parquet"))
+
+    def shuffled_bytes():
+        none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, none, None)
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    before, shuffled = written_bytes(), shuffled_bytes()
+    found = centroid_predict(spark, str(tmp_path)).collect()
+    assert len(found) == 2 * len(rows) and {r["score"] for r in found if r["doc_id"] == 420} == {0.0}
+    copies = {tuple(r)[1:] for r in found if r["doc_id"] == 0 or 400 <= r["doc_id"] < 420}
+    assert len(copies) == 2
+    assert written_bytes() - before < size / 2
+    assert shuffled_bytes() - shuffled < 3 * size
