@@ -591,3 +591,39 @@ def test_empty_tables(spark, tmp_path):
         token_counts.token_counts(none), token_files.token_ids(none, str(tmp_path / "ids")), near_dedup.near_dedup(none),
     ):
         assert found.count() == 0
+
+
+def test_a_changed_passage_that_a_nearer_document_holds(spark):
+    """All seeds of the passage first stand in earlier documents, which hold too little of it each."""
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choice("bcdfgaeiou") for _ in range(7))
+    rows, want = [], set()
+    for k in range(20):
+        passage = [word() for _ in range(60)]
+        fragments = [passage[low:low + 20] for low in range(0, 60, 10)]
+        changed = [word() if n % 10 == 5 else w for n, w in enumerate(passage)]
+        for n, text in enumerate([*fragments, passage, changed]):
+            rows.append((k * 10 + n, " ".join([*(word() for _ in range(30)), *text, *(word() for _ in range(30))])))
+        want.add((k * 10 + 7, k * 10 + 6))
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in found} >= want
+
+
+def test_gaps_of_any_size_are_compared_in_order(monkeypatch):
+    def common(left, right):
+        row = [0] * (len(right) + 1)
+        for word in left:
+            before = row[:]
+            for k, other in enumerate(right, 1):
+                row[k] = before[k - 1] + 1 if word == other else max(before[k], row[k - 1])
+        return row[-1]
+
+    rng = np.random.default_rng(4)
+    cases = [(rng.integers(0, words, n), rng.integers(0, words, m)) for words, n, m in ((3, 5, 9), (50, 290, 301), (4, 70, 31), (200, 301, 300))]
+    # One word more at its start: nothing stands in its place after it.
+    long = rng.integers(0, 10**6, 400)
+    cases.append((long, np.insert(long, 1, -1)))
+    for bits in (1 << 13, 64, 7):
+        monkeypatch.setattr(substring_dedup, "_GAP_BITS", bits, raising=False)
+        for left, right in cases:
+            assert substring_dedup._gap_matches(left, right) == common(left.tolist(), right.tolist())
